@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, mixing, quality, sharding, simhash, token_table
+from . import bpe, jaccard, langid, mixing, quality, sharding, simhash, token_table
 from .common import read_table
 
 ONE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,10 +16,18 @@ def op1_token_table(spark, sf_dir):
     return token_table.encode_and_digest(read_table(spark, sf_dir, "documents"), ONE_VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op2_kneser_ney(spark, sf_dir):
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.edited_likeness(read_table(spark, sf_dir, "documents"))
 
 
+def op5_signature_trees(spark, sf_dir):
+    return jaccard.similar_components(read_table(spark, sf_dir, "documents"))
+
+
 def op6_risk_controlled_rules(spark, sf_dir):
     return quality.assess(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -36,5 +44,5 @@ def op10_permutation_table(spark, sf_dir):
     return sharding.place(read_table(spark, sf_dir, "documents"), ["doc_id"], sharding.build_table(SHARDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_table, op4_simhash, op6_risk_controlled_rules, op7_sainte_lague_mix, op9_two_tier_bpe, op10_permutation_table)}
+QUERIES = {f.__name__: f for f in (op1_token_table, op2_kneser_ney, op4_simhash, op5_signature_trees, op6_risk_controlled_rules, op7_sainte_lague_mix, op9_two_tier_bpe, op10_permutation_table)}
 ORACLES: dict[str, str] = {}
