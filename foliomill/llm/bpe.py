@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -21,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PretokenEncoder
+from .pretokens import PretokenEncoder, slices
 
+_CODERS: dict = {}
 _MASK = (1 << 64) - 1
-SLICE = 128
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -89,7 +90,7 @@ class TwoTierBPE:
         rank = {t: i for i, t in enumerate(tokens)}
         self._byte = [rank[bytes([b])] for b in range(256)]
         self._pair = {(rank[t[:k]], rank[t[k:]]): i for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank}
-        self._encode = PretokenEncoder(pattern, self._resolve).encode
+        self.encoder = PretokenEncoder(pattern, self._resolve, limit=500_000)
         lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self._len, self._off = lengths, np.cumsum(lengths) - lengths
         self._all = np.frombuffer(b"".join(tokens), dtype=np.uint8)
@@ -119,10 +120,10 @@ class TwoTierBPE:
     def _resolve(self, token: str) -> bytes:
         raw = token.encode()
         i = self.table.find(raw)
-        return np.array([i] if i >= 0 else self.merge(raw), dtype="<u4").tobytes()
+        return array("I", [i] if i >= 0 else self.merge(raw)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self._encode(text), dtype="<u4")
+        return np.frombuffer(self.encoder.encode(text), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, by one gather from the vocabulary's joined bytes."""
@@ -133,11 +134,24 @@ class TwoTierBPE:
         return self._all[np.arange(ends[-1]) + np.repeat(self._off[ids] - (ends - n), n)].tobytes()
 
 
+def as_lists(ids: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
 def _coder(docs: DataFrame, ranks_path: str, pattern: str):
     """Broadcasts the vocabulary with its perfect hash (as large as the rank file, whatever the corpus)."""
     tokens = read_ranks(ranks_path)
     shared = docs.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens)))
-    return lambda: TwoTierBPE(*shared.value, pattern)
+    name = (hashlib.sha256(b"\0".join(tokens)).hexdigest(), pattern)
+
+    def make() -> TwoTierBPE:
+        """A worker process keeps its coder and caches from task to task."""
+        if name not in _CODERS:
+            _CODERS.clear()
+            _CODERS[name] = TwoTierBPE(*shared.value, pattern)
+        return _CODERS[name]
+
+    return make
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,11 +161,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = make()
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
-                ids = [coder.encode(t or "") for t in part.column(1).to_pylist()]
-                at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids).astype(np.int32)))], names=["doc_id", "tokens"])
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), as_lists(*coder.encoder.encode_many(part.column(1)))], names=["doc_id", "tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, tokens array<int>")
 
@@ -177,15 +188,14 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: s
         coder = make()
         decimal = [str(i) for i in range(len(coder.tokens))].__getitem__
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
-                n, ids_sha, raw_sha = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = coder.encode(text or "")
-                    n.append(len(ids))
+            for part in slices(batch, 1):
+                all_ids, at = coder.encoder.encode_many(part.column(1))
+                ids_sha, raw_sha = [], []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                    ids = all_ids[a:b]
                     ids_sha.append(hashlib.sha256(",".join(map(decimal, ids.tolist())).encode()).hexdigest())
                     raw_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(raw_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -201,13 +211,10 @@ def with_tokens(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = make()
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                ids = [coder.encode(t) for t in texts]
-                n = np.array([len(x) for x in ids], dtype=np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
-                same = pa.array([coder.decode(x) == t.encode() for x, t in zip(ids, texts)])
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], lists, pa.array(n), same], names=out.names)
+            for part in slices(batch, at):
+                texts = part.column(at)
+                ids, starts = coder.encoder.encode_many(texts)
+                same = pa.array([coder.decode(ids[a:b]) == t.encode() for a, b, t in zip(starts[:-1].tolist(), starts[1:].tolist(), texts.to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], as_lists(ids, starts), pa.array(np.diff(starts)), same], names=out.names)
 
     return docs.mapInArrow(run, out)

@@ -1,17 +1,19 @@
-"""Encoding a text by its pre-tokens, with bounded caches of what was resolved before.
+"""Encoding texts by their pre-tokens, with bounded caches of what was resolved before.
 
-The pattern starts a new match at every single space between non-blank characters, so a text may be cut there and each
-piece encoded for itself. A text in which a space touches another blank takes the plain path: all matches of the pattern.
+The pattern starts a new match at every single space between non-blank characters, so a text may be cut there and each piece encoded for
+itself. A batch's pieces are made distinct first, so that each is looked up once. A text in which a space touches another blank, or stands
+at an end, takes the plain path: all matches of the pattern.
 """
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: A space next to another blank: the pattern's runs of blanks then depend on what follows.
-_TOUCHING = re.compile(r"\s | \s")
+#: Bytes of text that are encoded at once.
+AT_ONCE = 8 << 20
 
 
 class _Cache(dict):
@@ -35,25 +37,66 @@ class _Cache(dict):
 
 
 class PretokenEncoder:
-    """encode(text): the ids as little-endian unsigned 32-bit integers.
+    """Ids of texts as little-endian unsigned 32-bit integers.
 
     resolve(pre_token) gives the bytes of one match's ids. Equal results whatever the caches hold.
     """
 
-    def __init__(self, pattern: str, resolve, limit: int = 350_000):
-        self._find = regex.compile(pattern).findall
-        self._one = _Cache(resolve, limit)
-        self._after_space = _Cache(lambda part: self._plain(" " + part), limit)
+    def __init__(self, pattern: str, resolve, limit: int = 400_000):
+        self._find, self._resolve = regex.compile(pattern).findall, resolve
+        self._one = _Cache(resolve, limit // 8)
+        self._after_space = _Cache(self._piece, limit)
 
-    def _plain(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
         return b"".join(map(self._one.__getitem__, self._find(text)))
 
-    def encode(self, text: str) -> bytes:
-        if _TOUCHING.search(text):
-            out = self._plain(text)
-        else:
-            parts = text.split(" ")
-            out = self._plain(parts[0]) + b"".join(map(self._after_space.__getitem__, parts[1:]))
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a space and the piece behind it."""
+        if piece.isalpha():
+            return self._resolve(" " + piece)
+        if piece[-1:] in ".,;:" and piece[:-1].isalpha():
+            return self._after_space[piece[:-1]] + self._one[piece[-1]]
+        return self.plain(" " + piece)
+
+    def encode_many(self, texts: pa.StringArray, tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by tail, and where each text's begin (one entry more than texts)."""
+        if not len(texts):
+            return np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        lists = pc.split_pattern(texts, " ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        code, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        at -= at[0]
+        blank = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(coded.dictionary), coded.dictionary), pc.equal(pc.binary_length(coded.dictionary), 0))
+        plain = np.logical_or.reduceat(blank.to_numpy(zero_copy_only=False)[code], at[:-1])
+        own = [self.plain(texts[i].as_py() if whole else pieces[k]) for i, (k, whole) in enumerate(zip(code[at[:-1]].tolist(), plain.tolist()))]
+        keep = np.repeat(~plain, np.diff(at))
+        keep[at[:-1]] = True
+        pool = [*map(self._after_space.__getitem__, pieces), *own, tail]
+        code[at[:-1]] = len(pieces) + np.arange(len(own))
+        ends = np.cumsum(np.where(plain, 1, np.diff(at)))
+        code = np.insert(code[keep], ends, len(pool) - 1)
+        taken = pa.array(pool, pa.large_binary()).take(pa.array(code))
+        ids = np.frombuffer(taken.buffers()[2], dtype="<u4") if taken.buffers()[2] else np.empty(0, dtype="<u4")
+        stop = np.frombuffer(taken.buffers()[1], dtype=np.int64)[1 : len(taken) + 1] >> 2
+        ids = ids[: stop[-1]]
         self._one.turn()
         self._after_space.turn()
-        return out
+        return ids, np.concatenate([[0], stop[ends + np.arange(len(ends))]])
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many(pa.array([text], pa.string()))[0].tobytes()
+
+
+def slices(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
+    """The batch cut so that no part has much more than AT_ONCE bytes of text; null texts become empty ones."""
+    texts = pc.fill_null(batch.column(column).cast(pa.string()), "")
+    batch = pa.RecordBatch.from_arrays([texts if i == column else x for i, x in enumerate(batch.columns)], names=batch.schema.names)
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    out, start = [], 0
+    while start < batch.num_rows:
+        before = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, before + AT_ONCE, side="right")))
+        out.append(batch.slice(start, stop - start))
+        start = stop
+    return out

@@ -11,20 +11,21 @@ are all kept, ordered by a hash of their text; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path
-from .pretokens import PretokenEncoder
+from .pretokens import PretokenEncoder, slices
 
-#: Rows that are encoded and handed on at once.
-SLICE = 256
 WRITER = {
     "compression": "zstd",
     "parquet.compression.codec.zstd.level": "1",
@@ -46,11 +47,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+@functools.lru_cache(maxsize=1)
 def make_encoder(json_text: str, pattern: str):
-    """text -> bytes of its ids, as tokenizers' encode(text, add_special_tokens=False) gives them.
+    """(texts, tail) -> ids in a row and where each text's begin, as tokenizers' encode(text, add_special_tokens=False) gives them.
 
     The library's own model encodes each distinct pre-token; a vocabulary with a normaliser or another pre-tokenizer, and texts
-    that hold an added token's string, go through the library whole.
+    that hold an added token's string, go through the library whole. A worker process keeps its encoder and caches from task to task.
     """
     import json
 
@@ -62,17 +64,28 @@ def make_encoder(json_text: str, pattern: str):
     spec = json.loads(json_text)
 
     def by_library(text: str) -> bytes:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def resolve(token: str) -> bytes:
+        # printable ASCII but the space stands for itself
+        written_as = token.replace(" ", letters[32]) if token.isascii() and token.isprintable() else token.encode().decode("latin-1").translate(letters)
+        return array("I", [t.id for t in model.tokenize(written_as)]).tobytes()
+
+    own = PretokenEncoder(pattern, resolve)
     pre = spec.get("pre_tokenizer") or {}
     if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or spec["model"].get("dropout"):
-        return by_library
+        marked = lambda texts: np.ones(len(texts), dtype=bool)
+    else:
+        marked = lambda texts: np.logical_or.reduce([np.zeros(len(texts), dtype=bool), *[pc.match_substring(texts, a).to_numpy(zero_copy_only=False) for a in added]])
 
-    def resolve(token: str) -> bytes:
-        return np.array([t.id for t in model.tokenize(token.encode().decode("latin-1").translate(letters))], dtype="<u4").tobytes()
+    def encode(texts: pa.StringArray, tail: bytes) -> tuple[np.ndarray, np.ndarray]:
+        odd = marked(texts)
+        if not odd.any():
+            return own.encode_many(texts, tail)
+        ids = [by_library(t) + tail if o else own.encode(t) + tail for t, o in zip(texts.to_pylist(), odd)]
+        return np.frombuffer(b"".join(ids), dtype="<u4"), np.concatenate([[0], np.cumsum([len(x) >> 2 for x in ids])])
 
-    encode = PretokenEncoder(pattern, resolve).encode
-    return lambda text: by_library(text) if any(a in text for a in added) else encode(text)
+    return encode
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", **writer: str) -> None:
@@ -89,23 +102,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
         to_ids, shard, start = make_encoder(vocabulary.value, pattern), TaskContext.get().partitionId(), 0
         tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
-                ids = [to_ids(t or "") + tail for t in part.column(1).to_pylist()]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = np.cumsum(n)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())
+            for part in slices(batch, 1):
+                ids, at = to_ids(part.column(1), tail)
+                n = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(n), shard, dtype=np.int32)),
                         part.column(0),
-                        pa.array(start + ends - n),
+                        pa.array(start + at[:-1]),
                         pa.array(n),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values),
+                        pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view("<i4"))),
                     ],
                     names=["shard", "doc_id", "start_in_shard", "n_tokens", "tokens"],
                 )
-                start += int(ends[-1])
+                start += int(at[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
