@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .pretokens import PretokenEncoder, slices
 
@@ -201,12 +202,15 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: s
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def with_tokens(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with the columns tokens (array<int>), n_tokens and round_trip: whether the ids decode to the text's bytes."""
-    make, schema = _coder(docs, ranks_path, pattern), docs.drop("tokens", "n_tokens", "round_trip", *drop).schema
+def with_tokens(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """docs with the columns tokens (array<int>), n_tokens and round_trip: whether the ids decode to the text's bytes.
+
+    Columns of those names in docs give way to the new ones; a null text has no tokens and decodes to an empty one.
+    """
+    make, schema = _coder(docs, ranks_path, pattern), docs.drop("tokens", "n_tokens", "round_trip").schema
     at = docs.columns.index(text_col)
     keep = [docs.columns.index(c) for c in schema.names]
-    out = schema.add("tokens", "array<int>").add("n_tokens", "long").add("round_trip", "boolean")
+    out = schema.add("tokens", ArrayType(IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = make()
@@ -215,6 +219,7 @@ def with_tokens(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
                 texts = part.column(at)
                 ids, starts = coder.encoder.encode_many(texts)
                 same = pa.array([coder.decode(ids[a:b]) == t.encode() for a, b, t in zip(starts[:-1].tolist(), starts[1:].tolist(), texts.to_pylist())], pa.bool_())
+                # texts that were null stay null, though they are encoded as empty
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], as_lists(ids, starts), pa.array(np.diff(starts)), same], names=out.names)
 
     return docs.mapInArrow(run, out)

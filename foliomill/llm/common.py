@@ -46,6 +46,18 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast at most; beyond that both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs less the rows whose id is in ids (one column, distinct; null equals null)."""
+    gone = written(ids.toDF("_gone"), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def words(text):
     """Column: the runs of non-blank characters of a text; null counts as empty."""
     clean = F.trim(F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS)))

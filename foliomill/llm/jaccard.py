@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_IDS, without, written
 from .shingles import shingle_sets
 from .signature_tree import SetForest
 
@@ -42,7 +42,6 @@ NUM, DEN, SHINGLE = 75, 100, 5
 SAMPLE, FREQUENT_SHARE, FREQUENT = 16_384, 1 / 512, 1 << 18
 #: Members and shingles of a chunk.
 CHUNK, CHUNK_SHINGLES = 2048, 2_000_000
-BROADCAST_IDS = 1_000_000
 SLICE = 256
 
 
@@ -199,8 +198,5 @@ def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int =
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows whose id isn't the one that names their component."""
-    gone = similar_components(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = written(gone, "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    found = similar_components(docs, **options)
+    return without(docs, found.where("component_id <> doc_id").select("doc_id").distinct())

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, word_count, words, written
+from .common import BLANKS, without, word_count, words, written
 
 #: The base rules: fewest words, and the largest percentage of repeated words.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
@@ -159,6 +159,6 @@ def assess(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: flo
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with their own columns."""
-    kept = assess(docs, labels, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that are kept, with their own columns; rows that share an id stay if one of them is kept."""
+    judged = assess(docs, labels, **options)
+    return without(docs, judged.groupBy("doc_id").agg(F.max("kept").alias("any")).where(~F.col("any")).select("doc_id"))

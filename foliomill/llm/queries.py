@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, jaccard, langid, mixing, quality, sharding, simhash, token_table
+from . import bpe, jaccard, langid, mixing, pii, quality, quotes, sharding, simhash, token_table
 from .common import read_table
 
 ONE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,10 @@ def op2_kneser_ney(spark, sf_dir):
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quotation_links(spark, sf_dir):
+    return quotes.reply_order(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.edited_likeness(read_table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op7_sainte_lague_mix(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_weak_supervision(spark, sf_dir):
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op9_two_tier_bpe(spark, sf_dir):
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), MANY_VOCABULARY, public_tokenizers.PATTERN)
 
@@ -44,5 +52,5 @@ def op10_permutation_table(spark, sf_dir):
     return sharding.place(read_table(spark, sf_dir, "documents"), ["doc_id"], sharding.build_table(SHARDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_table, op2_kneser_ney, op4_simhash, op5_signature_trees, op6_risk_controlled_rules, op7_sainte_lague_mix, op9_two_tier_bpe, op10_permutation_table)}
+QUERIES = {f.__name__: f for f in (op1_token_table, op2_kneser_ney, op3_quotation_links, op4_simhash, op5_signature_trees, op6_risk_controlled_rules, op7_sainte_lague_mix, op8_weak_supervision, op9_two_tier_bpe, op10_permutation_table)}
 ORACLES: dict[str, str] = {}
