@@ -34,7 +34,7 @@ from .common import written
 ORDER, FOLDS, CALIBRATION = 5, 5, 1
 MODEL_GRAMS, LANGUAGES = 1 << 21, 256
 TAIL, MARGIN_BINS, BIN = 0.01, 80, 0.025
-PIECE, ROWS = 1_000_000, 1_500_000
+PIECE, ROWS = 400_000, 400_000
 _SPACE = 32
 _RNG = np.random.default_rng(77)
 _PLACE = _RNG.integers(1, 2**63, ORDER + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,17 +92,27 @@ def _inside(ends: np.ndarray) -> np.ndarray:
     return mark
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct values, a place of each, and for every place the index of its value."""
+    order = np.argsort(x)
+    s = x[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, dtype=bool)
+    inverse = np.empty(len(x), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return s[new], order[new], inverse
+
+
 def count_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """hash, symbols (a row each) and count of the distinct ORDER-grams."""
     s, ends = symbols(texts)
     at = np.flatnonzero(_inside(ends))
-    h, first, n = np.unique(gram_hashes(s)[ORDER][at], return_index=True, return_counts=True)
-    return h, s[at[first][:, None] + np.arange(1 - ORDER, 1)], n
+    h, first, inverse = distinct(gram_hashes(s)[ORDER][at])
+    return h, s[at[first][:, None] + np.arange(1 - ORDER, 1)], np.bincount(inverse, minlength=len(h))
 
 
 def merge_counts(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, s, n = (np.concatenate(x) for x in zip(*parts))
-    u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    u, first, inverse = distinct(h)
     return u, s[first], np.bincount(inverse, weights=n, minlength=len(u)).astype(np.int64)
 
 
@@ -201,7 +211,7 @@ class Identifier:
 
     def __init__(self, models: list[Model]):
         self.models = models
-        self.known, self.scores = np.empty(0, np.uint64), np.empty((0, len(models)))
+        self.known, self.scores = np.empty(0, np.uint64), np.empty((0, len(models)), dtype=np.float32)
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The mean negative log probability of a symbol, a row a text and a column a model; and how many symbols are letters."""
@@ -211,13 +221,13 @@ class Identifier:
         if not len(at):
             return np.zeros((len(texts), len(self.models))), np.zeros(len(texts), dtype=np.int64)
         h = gram_hashes(s)
-        u, first, inverse = np.unique(h[ORDER][at], return_index=True, return_inverse=True)
+        u, first, inverse = distinct(h[ORDER][at])
         place = np.minimum(np.searchsorted(self.known, u), max(0, len(self.known) - 1))
         new = self.known[place] != u if len(self.known) else np.ones(len(u), dtype=bool)
         if new.any():
             p = at[first[new]]
             own, before = [x[p] for x in h], [x[p - 1] for x in h]
-            fresh = np.stack([m.log_probability(own, before) for m in self.models], axis=1)
+            fresh = np.stack([m.log_probability(own, before) for m in self.models], axis=1).astype(np.float32)
             if len(self.known) + len(fresh) > self.CACHE:
                 keep = np.unique(place[~new])
                 self.known, self.scores = self.known[keep], self.scores[keep]
@@ -225,11 +235,13 @@ class Identifier:
             order = np.argsort(both)
             self.known, self.scores = both[order], np.concatenate([self.scores, fresh])[order]
             place = np.searchsorted(self.known, u)
-        each = self.scores[place][inverse]
-        owner = np.searchsorted(ends, at, side="right")
-        total = np.stack([np.bincount(owner, weights=each[:, j], minlength=len(texts)) for j in range(each.shape[1])], axis=1)
-        n = np.bincount(owner, minlength=len(texts))
-        letters = np.bincount(owner, weights=s[at] != _SPACE, minlength=len(texts)).astype(np.int64)
+        n = np.diff(np.searchsorted(at, np.concatenate([[0], ends])))
+        full = np.flatnonzero(n)
+        starts = (np.cumsum(n) - n)[full]
+        total = np.zeros((len(texts), len(self.models)))
+        total[full] = np.add.reduceat(self.scores[place].take(inverse, axis=0), starts, axis=0, dtype=np.float64)
+        letters = np.zeros(len(texts), dtype=np.int64)
+        letters[full] = np.add.reduceat((s[at] != _SPACE).astype(np.int64), starts)
         return -total / np.maximum(n, 1)[:, None], letters
 
 
