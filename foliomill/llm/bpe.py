@@ -91,7 +91,7 @@ class TwoTierBPE:
         rank = {t: i for i, t in enumerate(tokens)}
         self._byte = [rank[bytes([b])] for b in range(256)]
         self._pair = {(rank[t[:k]], rank[t[k:]]): i for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank}
-        self.encoder = PretokenEncoder(pattern, self._resolve, limit=500_000)
+        self.encoder = PretokenEncoder(pattern, self._resolve)
         lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self._len, self._off = lengths, np.cumsum(lengths) - lengths
         self._all = np.frombuffer(b"".join(tokens), dtype=np.uint8)

@@ -16,23 +16,90 @@ import regex
 AT_ONCE = 8 << 20
 
 
+_RNG = np.random.default_rng(42)
+_BYTE = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def string_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each string, from the bytes of the whole array at once."""
+    at = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.empty(0, np.uint8)
+    n = np.diff(at)
+    place = np.arange(len(raw)) - np.repeat(at[:-1] - at[0], n)
+    full = np.flatnonzero(n)
+    out = []
+    for byte, step in zip(_BYTE, _STEP):
+        h = n.astype(np.uint64)
+        if len(full):
+            power = np.multiply.accumulate(np.full(int(n.max()), step, dtype=np.uint64))
+            h[full] += np.add.reduceat(byte[raw] * power[place], (at[:-1] - at[0])[full])
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(h ^ (h >> np.uint64(29)))
+    return out[0], out[1]
+
+
+class _Known:
+    """Ids by the 128-bit hash of a piece: sorted arrays, the newest entries apart until there are many. Bounded by `limit` entries."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts = [self._empty(), self._empty()]
+        self.pool, self.used = np.empty(1 << 16, dtype="<u4"), 0
+
+    @staticmethod
+    def _empty() -> list[np.ndarray]:
+        return [np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)]
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each one's ids begin in the pool (-1 if unknown), and how many they are."""
+        off, n = np.full(len(h1), -1, dtype=np.int64), np.zeros(len(h1), dtype=np.int64)
+        for k1, k2, o, m in self.parts:
+            if len(k1):
+                i = np.minimum(np.searchsorted(k1, h1), len(k1) - 1)
+                hit = (k1[i] == h1) & (k2[i] == h2)
+                off[hit], n[hit] = o[i[hit]], m[i[hit]]
+        return off, n
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, ids: list[bytes]) -> None:
+        n = np.array([len(x) >> 2 for x in ids], dtype=np.int64)
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        off = self.used + np.cumsum(n) - n
+        self.used += len(flat)
+        self.parts[1] = self._merged(self.parts[1], [h1, h2, off, n.astype(np.int32)])
+        if len(self.parts[1][0]) > 250_000:
+            self.parts = [self._merged(*self.parts), self._empty()]
+
+    @staticmethod
+    def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        both = [np.concatenate(x) for x in zip(a, b)]
+        order = np.argsort(both[0])
+        return [x[order] for x in both]
+
+    def turn(self) -> None:
+        if len(self.parts[0][0]) + len(self.parts[1][0]) > self.limit:
+            self.clear()
+
+
 class _Cache(dict):
-    """Two generations of at most `limit` entries each; what is used again moves to the young one."""
+    """At most about `limit` resolved entries; emptied when full."""
 
     def __init__(self, resolve, limit: int):
         super().__init__()
-        self.resolve, self.limit, self.old = resolve, limit, {}
+        self.resolve, self.limit = resolve, limit
 
     def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            found = self.resolve(key)
-        self[key] = found
+        self[key] = found = self.resolve(key)
         return found
 
     def turn(self) -> None:
         if len(self) > self.limit:
-            self.old = dict(self)
             self.clear()
 
 
@@ -42,10 +109,10 @@ class PretokenEncoder:
     resolve(pre_token) gives the bytes of one match's ids. Equal results whatever the caches hold.
     """
 
-    def __init__(self, pattern: str, resolve, limit: int = 400_000):
-        self._find, self._resolve = regex.compile(pattern).findall, resolve
-        self._one = _Cache(resolve, limit // 8)
-        self._after_space = _Cache(self._piece, limit)
+    def __init__(self, pattern: str, resolve, limit: int = 2_500_000):
+        self._find = regex.compile(pattern).findall
+        self._one = _Cache(resolve, 150_000)
+        self._resolve, self._known = resolve, _Known(limit)
 
     def plain(self, text: str) -> bytes:
         return b"".join(map(self._one.__getitem__, self._find(text)))
@@ -55,7 +122,7 @@ class PretokenEncoder:
         if piece.isalpha():
             return self._resolve(" " + piece)
         if piece[-1:] in ".,;:" and piece[:-1].isalpha():
-            return self._after_space[piece[:-1]] + self._one[piece[-1]]
+            return self._one[" " + piece[:-1]] + self._one[piece[-1]]
         return self.plain(" " + piece)
 
     def encode_many(self, texts: pa.StringArray, tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
@@ -65,24 +132,34 @@ class PretokenEncoder:
         lists = pc.split_pattern(texts, " ")
         at = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        code, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        code, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         at -= at[0]
-        blank = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(coded.dictionary), coded.dictionary), pc.equal(pc.binary_length(coded.dictionary), 0))
+        blank = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(pieces), pieces), pc.equal(pc.binary_length(pieces), 0))
         plain = np.logical_or.reduceat(blank.to_numpy(zero_copy_only=False)[code], at[:-1])
-        own = [self.plain(texts[i].as_py() if whole else pieces[k]) for i, (k, whole) in enumerate(zip(code[at[:-1]].tolist(), plain.tolist()))]
+        own = [self.plain(texts[i].as_py() if whole else pieces[k].as_py()) for i, (k, whole) in enumerate(zip(code[at[:-1]].tolist(), plain.tolist()))]
+        h1, h2 = string_hashes(pieces)
+        off, n = self._known.find(h1, h2)
+        new = np.flatnonzero(off < 0)
+        if len(new):
+            self._known.add(h1[new], h2[new], [self._piece(p) for p in pieces.take(pa.array(new)).to_pylist()])
+            off[new], n[new] = self._known.find(h1[new], h2[new])
+        # behind the pool of known pieces stand the texts' first pieces (or whole texts) and the tail
+        extra = [*own, tail]
+        m = np.array([len(x) >> 2 for x in extra], dtype=np.int64)
+        pool = np.concatenate([self._known.pool[: self._known.used], np.frombuffer(b"".join(extra), dtype="<u4")])
+        off, n = np.concatenate([off, self._known.used + np.cumsum(m) - m]), np.concatenate([n, m])
         keep = np.repeat(~plain, np.diff(at))
         keep[at[:-1]] = True
-        pool = [*map(self._after_space.__getitem__, pieces), *own, tail]
         code[at[:-1]] = len(pieces) + np.arange(len(own))
         ends = np.cumsum(np.where(plain, 1, np.diff(at)))
-        code = np.insert(code[keep], ends, len(pool) - 1)
-        taken = pa.array(pool, pa.large_binary()).take(pa.array(code))
-        ids = np.frombuffer(taken.buffers()[2], dtype="<u4") if taken.buffers()[2] else np.empty(0, dtype="<u4")
-        stop = np.frombuffer(taken.buffers()[1], dtype=np.int64)[1 : len(taken) + 1] >> 2
-        ids = ids[: stop[-1]]
+        code = np.insert(code[keep], ends, len(n) - 1)
+        long = n[code]
+        stop = np.cumsum(long)
+        index = np.repeat((off[code] - (stop - long)).astype(np.int32), long)
+        index += np.arange(len(index), dtype=np.int32)
         self._one.turn()
-        self._after_space.turn()
-        return ids, np.concatenate([[0], stop[ends + np.arange(len(ends))]])
+        self._known.turn()
+        return pool[index], np.concatenate([[0], stop[ends + np.arange(len(ends))]])
 
     def encode(self, text: str) -> bytes:
         return self.encode_many(pa.array([text], pa.string()))[0].tobytes()
