@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Bytes of text that are encoded at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 
 
 _RNG = np.random.default_rng(42)
@@ -40,7 +40,7 @@ def string_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Known:
-    """Ids by the 128-bit hash of a piece: sorted arrays, the newest entries apart until there are many. Bounded by `limit` entries."""
+    """Ids by 96 bits of a piece's hashes: sorted arrays, the newest entries apart until there are many. Bounded by `limit` entries."""
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -52,11 +52,12 @@ class _Known:
 
     @staticmethod
     def _empty() -> list[np.ndarray]:
-        return [np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        return [np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)]
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each one's ids begin in the pool (-1 if unknown), and how many they are."""
         off, n = np.full(len(h1), -1, dtype=np.int64), np.zeros(len(h1), dtype=np.int64)
+        h2 = h2.astype(np.uint32)
         for k1, k2, o, m in self.parts:
             if len(k1):
                 i = np.minimum(np.searchsorted(k1, h1), len(k1) - 1)
@@ -67,12 +68,12 @@ class _Known:
     def add(self, h1: np.ndarray, h2: np.ndarray, ids: list[bytes]) -> None:
         n = np.array([len(x) >> 2 for x in ids], dtype=np.int64)
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(len(flat) + (1 << 20), dtype="<u4")])
         self.pool[self.used : self.used + len(flat)] = flat
         off = self.used + np.cumsum(n) - n
         self.used += len(flat)
-        self.parts[1] = self._merged(self.parts[1], [h1, h2, off, n.astype(np.int32)])
+        self.parts[1] = self._merged(self.parts[1], [h1, h2.astype(np.uint32), off.astype(np.int32), n.astype(np.int32)])
         if len(self.parts[1][0]) > 250_000:
             self.parts = [self._merged(*self.parts), self._empty()]
 
@@ -109,9 +110,9 @@ class PretokenEncoder:
     resolve(pre_token) gives the bytes of one match's ids. Equal results whatever the caches hold.
     """
 
-    def __init__(self, pattern: str, resolve, limit: int = 2_500_000):
+    def __init__(self, pattern: str, resolve, limit: int = 1_000_000):
         self._find = regex.compile(pattern).findall
-        self._one = _Cache(resolve, 150_000)
+        self._one = _Cache(resolve, 100_000)
         self._resolve, self._known = resolve, _Known(limit)
 
     def plain(self, text: str) -> bytes:
@@ -159,6 +160,8 @@ class PretokenEncoder:
         index += np.arange(len(index), dtype=np.int32)
         self._one.turn()
         self._known.turn()
+        del lists, coded, pieces, code, long
+        pa.default_memory_pool().release_unused()
         return pool[index], np.concatenate([[0], stop[ends + np.arange(len(ends))]])
 
     def encode(self, text: str) -> bytes:

@@ -11,6 +11,7 @@ are all kept, ordered by a hash of their text; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import zlib
 from array import array
@@ -88,6 +89,18 @@ def make_encoder(json_text: str, pattern: str):
     return encode
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While plans are made inside, at most so many rows go to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", **writer: str) -> None:
     """Encodes every document, appends end_id and writes the table described above to path.
 
@@ -119,7 +132,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(encode, SCHEMA).write.options(**(WRITER | writer)).parquet(path)
+    with small_batches(spark):
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(encode, SCHEMA).write.options(**(WRITER | writer)).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None, doc_ids: tuple[int, int] | None = None) -> DataFrame:
