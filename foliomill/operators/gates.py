@@ -1 +1,100 @@
-"""Audit queries: rows are violations."""
+"""Audit queries. Each returns violations; no rows means the gate is passed."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from foliomill.operators.joins import BOX
+from foliomill.plans.registry import operator
+
+
+@operator("Q08 S15", """SELECT doc_id, g.p AS missing FROM (SELECT doc_id, unnest(range(1, max(page) + 3)) AS p FROM pm GROUP BY doc_id) g WHERE NOT EXISTS (SELECT 1 FROM pm WHERE pm.doc_id = g.doc_id AND pm.page = g.p)""")
+def page_sequence_gap(v):
+    """Pages that the sequence up to two beyond the last one lacks."""
+    want = v.pm.groupBy("doc_id").agg(F.max("page").alias("m")).select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m") + F.lit(2).cast("long"))).alias("missing"))
+    return want.join(v.pm.select("doc_id", F.col("page").cast("long").alias("missing")), ["doc_id", "missing"], "left_anti")
+
+
+@operator("Q13 T21", r"""SELECT doc_id, line_no, CASE WHEN regexp_matches(text, '^[,.;:!?)\]]') THEN 'head' ELSE 'tail' END AS side FROM ln WHERE regexp_matches(text, '^[,.;:!?)\]]') OR regexp_matches(text, '[(\[|]$')""", big="line_no")
+def line_prohibitions(v):
+    """Lines that begin or end with a mark that mayn't."""
+    head = F.col("text").rlike(r"^[,.;:!?)\]]")
+    return v.ln.where(head | F.col("text").rlike(r"[(\[|]$")).select("doc_id", "line_no", F.when(head, "head").otherwise("tail").alias("side"))
+
+
+@operator("Q17 J36", "SELECT r.page_key, r.rid, count(*) AS residue FROM rc r JOIN rc t ON r.page_key = t.page_key AND r.rid <> t.rid AND r.size = 10 AND greatest(least(r.x1, t.x1) - greatest(r.x0, t.x0), 0) * greatest(least(r.y1, t.y1) - greatest(r.y0, t.y0), 0) BETWEEN 1 AND 0.9 * ((t.x1 - t.x0) * (t.y1 - t.y0)) GROUP BY r.page_key, r.rid")
+def clip_residue(v):
+    """Figure clips that cut texts: some of a text, not nearly all, lies in the clip."""
+    r = v.rc.where("size = 10").select("page_key", "rid", *BOX)
+    t = v.rc.select(F.col("page_key").alias("pk"), *[F.col(c).alias(f"t{c}") for c in ("rid", *BOX)])
+    s = F.greatest(F.least("x1", "tx1") - F.greatest("x0", "tx0"), F.lit(0)) * F.greatest(F.least("y1", "ty1") - F.greatest("y0", "ty0"), F.lit(0))
+    area = (F.col("tx1") - F.col("tx0")) * (F.col("ty1") - F.col("ty0"))
+    return r.join(t, (r.page_key == t.pk) & (F.col("rid") != F.col("trid")) & s.between(F.lit(1), 0.9 * area)).groupBy("page_key", "rid").agg(F.count(F.lit(1)).alias("residue"))
+
+
+@operator("Q20 Y9", "SELECT doc_id, page, lines, chars, CASE WHEN chars = 0 THEN 'blank' WHEN chars <= 60 THEN 'orphan' ELSE 'thin' END AS kind FROM pm WHERE lines <= 2 OR chars <= 60")
+def thin_pages(v):
+    """Pages of one or two lines, of at most 60 characters, or blank."""
+    return v.pm.where("lines <= 2 OR chars <= 60").select("doc_id", "page", "lines", "chars", F.when(F.col("chars") == 0, "blank").when(F.col("chars") <= 60, "orphan").otherwise("thin").alias("kind"))
+
+
+@operator("Q23", "SELECT a.page_key, a.rid AS a_rid, b.rid AS b_rid FROM rc a JOIN rc b ON a.page_key = b.page_key AND a.rid < b.rid AND greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) > 0.05 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))")
+def link_overlap(v):
+    """Pairs of links that overlap by over 5 % of the smaller."""
+    a = v.rc.select("page_key", F.col("rid").alias("a_rid"), *BOX)
+    b = v.rc.select("page_key", F.col("rid").alias("b_rid"), *[F.col(c).alias(f"b{c}") for c in BOX])
+    s = F.greatest(F.least("x1", "bx1") - F.greatest("x0", "bx0"), F.lit(0)) * F.greatest(F.least("y1", "by1") - F.greatest("y0", "by0"), F.lit(0))
+    smaller = F.least((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), (F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0")))
+    return a.join(b, "page_key").where((F.col("a_rid") < F.col("b_rid")) & (s > 0.05 * smaller)).select("page_key", "a_rid", "b_rid")
+
+
+@operator("Q27 Q28 Y11", r"SELECT page_id, ord, title FROM toc WHERE regexp_matches(title, '[A-Za-z]{3}') AND NOT regexp_matches(title, '^(Home|About)')", big="ord")
+def toc_residual(v):
+    """Contents entries that still hold Latin words."""
+    return v.toc.where(F.col("title").rlike("[A-Za-z]{3}") & ~F.col("title").rlike("^(Home|About)")).select("page_id", "ord", "title")
+
+
+@operator("Q30 Q45 D22", """SELECT doc_id, CAST(sum(n) AS BIGINT) AS violations, sum(n) = 0 AS passed FROM (SELECT doc_id, 0 AS n FROM documents UNION ALL SELECT doc_id, count(*) FROM pm WHERE lines <= 2 GROUP BY doc_id UNION ALL SELECT doc_id, count(*) FROM ln WHERE regexp_matches(text, '^[,.;:!?)]') GROUP BY doc_id) GROUP BY doc_id""")
+def corpus_verdict(v):
+    """All gates by document, and whether it passes them together."""
+    thin = v.pm.where("lines <= 2").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    heads = v.ln.where(F.col("text").rlike("^[,.;:!?)]")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    g = v.documents.select("doc_id", F.lit(0).cast("long").alias("n")).unionByName(thin).unionByName(heads).groupBy("doc_id").agg(F.sum("n").alias("violations"))
+    return g.withColumn("passed", F.col("violations") == 0)
+
+
+@operator("Q35", "SELECT doc_id, round(count(*) / (max(doc_id) % 9 + 2.0), 6) AS ratio FROM pm GROUP BY doc_id HAVING NOT round(count(*) / (max(doc_id) % 9 + 2.0), 6) BETWEEN 0.7 AND 0.85")
+def page_budget(v):
+    """Documents whose page ratio is off the 70 to 85 % budget."""
+    r = F.round(F.count(F.lit(1)) / (F.max("doc_id") % 9 + F.lit(2.0)), 6)
+    return v.pm.groupBy("doc_id").agg(r.alias("ratio")).where("NOT ratio BETWEEN 0.7 AND 0.85")
+
+
+@operator("Q42 Q41", "SELECT doc_id, count(*) AS pages FROM pm GROUP BY doc_id")
+def asserted_pages(v):
+    """Page counts, with the hard assertion that there is one at least."""
+    g = v.pm.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
+    return g.where(F.assert_true(F.col("pages") >= 1, "a document without pages").isNull())
+
+
+@operator("Q46 Y5", """SELECT doc_id, captions, figures FROM (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(text, '^Licensed')) AS captions, count(*) FILTER (WHERE regexp_matches(text, '[0-9]{4}')) AS figures FROM ln GROUP BY doc_id) WHERE captions > 0 AND figures <> captions""")
+def figures_per_caption(v):
+    """Documents whose captions don't have one figure each."""
+    g = v.ln.groupBy("doc_id").agg(F.count_if(F.col("text").rlike("^Licensed")).alias("captions"), F.count_if(F.col("text").rlike("[0-9]{4}")).alias("figures"))
+    return g.where("captions > 0 AND figures <> captions")
+
+
+@operator("Q02 Q05 E3 E4", "SELECT p_partkey, p_name FROM part WHERE CASE WHEN p_size % 6 = 0 THEN NULL WHEN p_size % 6 = 1 THEN p_name ELSE upper(p_name) END IS NULL OR p_size % 6 = 1")
+def rule_misses(v):
+    """Descriptions for which the rule gives nothing, or the text itself."""
+    out = F.when(F.col("p_size") % 6 == 0, None).when(F.col("p_size") % 6 == 1, F.col("p_name")).otherwise(F.upper("p_name"))
+    return v.part.where(out.isNull() | (out == F.col("p_name"))).select("p_partkey", "p_name")
+
+
+@operator("Q21 W11 W1", """SELECT conv_id, turn FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS role_before, role FROM conversations) WHERE before IS NOT NULL AND (turn <> before + 1 OR role = role_before)""")
+def span_breaks(v):
+    """Spans that don't follow the one before by one, or repeat its kind."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = v.conversations.select("conv_id", "turn", "role", F.lag("turn").over(w).alias("before"), F.lag("role").over(w).alias("role_before"))
+    return c.where("before IS NOT NULL AND (turn <> before + 1 OR role = role_before)").select("conv_id", "turn")

@@ -20,11 +20,11 @@ SHARED = "(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(leas
 GAP = "greatest(b.x0 - a.x1, a.x0 - b.x1, b.y0 - a.y1, a.y0 - b.y1, 0)"
 
 
-@operator("G1 G2 G4 D5", f"""SELECT a.page_key, a.rid AS a_rid, b.rid AS b_rid, {SHARED} AS shared, round({SHARED} / {AREA_A}, 6) AS of_self, round({SHARED} / least({AREA_A}, {AREA_B}), 6) AS of_smaller, round({SHARED} / greatest({AREA_A}, {AREA_B}), 6) AS of_larger, {GAP} AS gap FROM rc a JOIN rc b ON a.page_key = b.page_key AND a.rid < b.rid WHERE {GAP} <= 4""")
+@operator("G1 G2 G4 D5", f"""SELECT a.page_key, a.rid AS a_rid, b.rid AS b_rid, {SHARED} AS shared, {SHARED} / {AREA_A} AS of_self, {SHARED} / least({AREA_A}, {AREA_B}) AS of_smaller, {SHARED} / greatest({AREA_A}, {AREA_B}) AS of_larger, {GAP} AS gap FROM rc a JOIN rc b ON a.page_key = b.page_key AND a.rid < b.rid WHERE {GAP} <= 4""")
 def overlap_ratios(v):
     """Neighbouring pairs with their overlap by each denominator and their gap."""
     p = pairs(v).withColumn("shared", g.shared("a_", "b_")).withColumn("gap", g.gap("a_", "b_")).where("gap <= 4")
-    r = lambda d: F.round(F.col("shared") / d, 6)
+    r = lambda d: F.col("shared") / d
     return p.select("page_key", "a_rid", "b_rid", "shared", r(g.area("a_")).alias("of_self"), r(F.least(g.area("a_"), g.area("b_"))).alias("of_smaller"), r(F.greatest(g.area("a_"), g.area("b_"))).alias("of_larger"), "gap")
 
 
