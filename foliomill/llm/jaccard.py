@@ -13,7 +13,7 @@ Exact, in four steps.
 4. Components. Tasks return a spanning forest, not pairs; labels are spread with pointer jumping in tables of the shared folder.
 
 Scale. Texts are read twice and never shuffled whole: only those of classes in blocks move. Equal sets are collapsed before that, and a
-task emits the prefix of a digest once. What is broadcast is bounded: frequent shingles to FREQUENT, ids of classes in blocks to
+task emits the prefix of a digest once. What is broadcast is bounded: frequent shingles to FREQUENT, hashes of texts in blocks to
 BROADCAST_IDS, beyond which they are joined by a shuffle.
 
 Limit. A block of m different sets costs (m / CHUNK)^2 tasks; the bound is reached only by that many different texts that share shingles.
@@ -93,7 +93,7 @@ def frequent_shingles(rows: DataFrame, n: int, k: int) -> np.ndarray:
 
 
 def shingled(rows: DataFrame, frequent: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, d (digest), prefix of each row; a task gives the prefix of a digest once, null after that."""
+    """doc_id, t (hash of the text), n, d (digest), prefix of each row; a task gives the prefix of a digest once, none after that."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +101,15 @@ def shingled(rows: DataFrame, frequent: np.ndarray, k: int, num: int, den: int)
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
-                sets = shingle_sets([t or "" for t in part.column(1).to_pylist()], k)
+                sets = shingle_sets([t or "" for t in part.column(2).to_pylist()], k)
                 ds = [digest(s) for s in sets]
                 heads = []
                 for d, s in zip(ds, sets):
                     heads.append(s[:0] if d in seen else prefix(s, shared.value, num, den))
                     seen.add(d)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ds, pa.int64()), _lists(heads)], names=["doc_id", "n", "d", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ds, pa.int64()), _lists(heads)], names=["doc_id", "t", "n", "d", "prefix"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, d long, prefix array<long>")
+    return rows.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, n long, d long, prefix array<long>")
 
 
 def blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -141,7 +141,7 @@ def forest(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
         own = table.column("own").to_numpy()
         cls, found = table.column("d").to_numpy(), {}
         sets = shingle_sets([t or "" for t in table.column("text").to_pylist()], k)
-        for i, s in enumerate(sets):  # rows that share an id with the one meant have another digest
+        for i, s in enumerate(sets):  # a text that only shares the hash of the one meant has another digest
             if digest(s) == cls[i]:
                 found.setdefault(int(cls[i]), i)
         at = np.array(list(found.values()), dtype=np.int64)
@@ -154,7 +154,7 @@ def forest(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(cls[linked]), "b": pa.array(cls[root[linked]])})
 
-    rows = members.join(texts, "doc_id").select("pivot", "ci", "cj", "own", "d", "text")
+    rows = members.join(texts, "t").select("pivot", "ci", "cj", "own", "d", "text")
     return rows.groupBy("pivot", "ci", "cj").applyInArrow(run, "a long, b long")
 
 
@@ -177,16 +177,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document: the smallest id that it reaches by links."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     frequent = frequent_shingles(rows, rows.count(), k)
     sets = written(shingled(rows, frequent, k, num, den), "sets")
-    classes = written(sets.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep")), "classes")
-    members = written(blocks(sets, num, den), "blocks").join(classes.withColumnRenamed("rep", "doc_id"), "d").where("doc_id is not null")
+    classes = written(sets.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t")), "classes")
+    members = written(blocks(sets, num, den), "blocks").join(classes.select("d", "t"), "d")
     members = written(_pairs_of_chunks(members), "members")
-    wanted = members.select("doc_id").distinct()
+    wanted = members.select("t").distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, "doc_id", "left_semi")
+    # one text of each hash; equal ones are merged in their tasks before they move
+    texts = rows.select("t", "text").join(wanted, "t", "left_semi").groupBy("t").agg(F.min("text").alias("text"))
     edges = written(forest(members, texts, k, num, den), "forest")
     reached = components(edges)
     least = classes.join(reached, classes["d"] == reached["v"]).groupBy("c").agg(F.min("rep").alias("least"))
