@@ -53,4 +53,45 @@ def op10_permutation_table(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_table, op2_kneser_ney, op3_quotation_links, op4_simhash, op5_signature_trees, op6_risk_controlled_rules, op7_sainte_lague_mix, op8_weak_supervision, op9_two_tier_bpe, op10_permutation_table)}
-ORACLES: dict[str, str] = {}
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP5_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.c, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT u, min(v) AS c FROM r GROUP BY u) c ON c.u = d.doc_id
+"""
+
+
+def _op6_sql() -> str:
+    rules = quality.RULES
+    p, g = quality.LIMIT, quality.GRID
+    step = lambda r, lo, hi: f"SELECT stratum, '{r}' AS rule, CAST(least(greatest(ceil(({r} - {lo}::DOUBLE) / {(hi - lo) / g!r}::DOUBLE), 0), {g}) AS BIGINT) AS step FROM held"
+    cut = lambda r, lo, hi: f"max(CASE WHEN rule = '{r}' THEN {lo}::DOUBLE + c * {(hi - lo) / g!r}::DOUBLE END) AS cut_{r}"
+    failed = ", ".join(f"CASE WHEN {r} > cut_{r} + 1e-12 THEN '{r}' END" for r in rules)
+    return f"""
+WITH d AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win), (VALUES (0), (1), (2)) v(o) WHERE c > 1 GROUP BY doc_id),
+b AS (SELECT doc_id, stratum, t, len(ws) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN cov USING (doc_id)),
+f AS (SELECT doc_id, stratum, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, n_words < {quality.FEWEST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed,
+  n_symbols / greatest(word_chars, 1) AS symbol_share, (len(lines) - len(list_distinct(lines))) / greatest(len(lines), 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share, word_chars / greatest(n_words, 1) AS mean_word_chars,
+  (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) / greatest(word_chars, 1) AS upper_share, (length(t) - length(regexp_replace(t, '[!?]', '', 'g'))) / greatest(word_chars, 1) AS bang_share FROM b),
+held AS (SELECT * FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1)),
+steps AS ({" UNION ALL ".join(step(r, lo, hi) for r, (lo, hi) in rules.items())}),
+grid AS (SELECT stratum, rule, c, count(*) AS n, count(*) FILTER (WHERE step > c) AS lost FROM steps, (SELECT unnest(range(0, {g})) AS c) GROUP BY stratum, rule, c),
+best AS (SELECT stratum, rule, min(c) AS c FROM grid WHERE lost < n * {p} AND list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {quality.DELTA} / ({len(rules)} * (SELECT count(DISTINCT coalesce(stratum, '')) FROM grid)) GROUP BY stratum, rule),
+cuts AS (SELECT stratum AS cut_stratum, {", ".join(cut(r, lo, hi) for r, (lo, hi) in rules.items())} FROM best GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed_rules) = 0 AS kept, failed_rules
+FROM (SELECT *, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed_rules FROM f LEFT JOIN cuts ON stratum IS NOT DISTINCT FROM cut_stratum)
+"""
+
+
+ORACLES: dict[str, str] = {"op5_signature_trees": OP5_SQL.strip(), "op6_risk_controlled_rules": _op6_sql().strip()}
