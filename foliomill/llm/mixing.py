@@ -22,6 +22,15 @@ from .common import word_count, written
 WEIGHTS, MOST, BLOCK, SHARD_ROWS, SEED = (5, 2, 1), 3, 64, 4096, 17
 
 
+def seeded(seed: int, *cols: str) -> Column:
+    """A hash of values as text, from md5, so that any SQL engine can repeat the order."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("(null)")) for c in cols]))
+
+
+def seeded_number(seed: int, *cols: str) -> Column:
+    return F.conv(F.substring(seeded(seed, *cols), 1, 8), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, docs, source_size, weight, target.
 
@@ -70,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     small = F.broadcast(goal) if goal.count() <= 10_000 else goal
     renamed = small.select(F.col("source").alias("_source"), "docs", "source_size", "target")
     joined = sizes.join(renamed, F.col("source").eqNullSafe(F.col("_source")))
-    shard: Column = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.ceil(F.col("docs") / shard_rows))
+    shard: Column = F.pmod(seeded_number(seed, "doc_id"), F.ceil(F.col("docs") / shard_rows))
     rows = joined.select("doc_id", "source", "size", "source_size", "target", shard.alias("shard"))
     cells = rows.groupBy("source", "shard", "source_size", "target").agg(F.sum("size").alias("cell_size"))
     cells = cells.withColumn("blocks", F.when(F.col("cell_size") > 0, F.greatest(F.round(F.col("cell_size") / block), F.lit(1))).otherwise(0).cast("long"))
@@ -82,9 +91,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     dealt = cells.join(quotas, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = apportion(dealt, ["source"], ["shard"], "blocks", "source_quota")
     quota = F.least(F.col("quota"), most * F.col("blocks"))
-    start = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "shard"), F.greatest(F.col("blocks"), F.lit(1)))
+    start = F.pmod(seeded_number(seed + 1, "source", "shard"), F.greatest(F.col("blocks"), F.lit(1)))
     runs = dealt.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "cell_size", "blocks", quota.alias("quota"), start.alias("start"))
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size")
+    order = Window.partitionBy("source", "shard").orderBy(seeded(seed + 2, "doc_id"), "doc_id", "size")
     placed = rows.withColumn("b", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("a", F.col("b") - F.col("size"))
     full = placed.join(runs, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     n = F.greatest(F.col("blocks"), F.lit(1))

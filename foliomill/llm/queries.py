@@ -94,4 +94,25 @@ FROM (SELECT *, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed_rules
 """
 
 
-ORACLES: dict[str, str] = {"op5_signature_trees": OP5_SQL.strip(), "op6_risk_controlled_rules": _op6_sql().strip()}
+def _op7_sql() -> str:
+    m = mixing
+    text = lambda c: f"coalesce(CAST({c} AS VARCHAR), '(null)')"
+    number = lambda seed, *cols: f"CAST('0x' || substr(md5('{seed}:' || {" || ':' || ".join(map(text, cols))}), 1, 8) AS BIGINT)"
+    return f"""
+WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents),
+per AS (SELECT source, count(*) AS docs, CAST(sum(size) AS BIGINT) AS source_size, CAST({list(m.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(m.WEIGHTS)} + 1] AS DOUBLE) AS weight FROM sizes GROUP BY source),
+lev AS (SELECT *, CAST({m.MOST} * source_size AS DOUBLE) AS cap, (sum(source_size) OVER () - coalesce(sum({m.MOST} * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM per WINDOW o AS (ORDER BY {m.MOST} * source_size / weight, source NULLS LAST)),
+goal AS (SELECT source, docs, source_size, CASE WHEN cap < level * weight THEN cap ELSE least(cap, coalesce(max(CASE WHEN NOT cap < level * weight THEN level END) OVER (), 0) * weight) END AS target FROM lev),
+rows_ AS (SELECT doc_id, s.source, size, source_size, target, {number(m.SEED, "doc_id")} % CAST(ceil(docs / {m.SHARD_ROWS}) AS BIGINT) AS shard FROM sizes s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
+cells AS (SELECT source, shard, source_size, target, CAST(sum(size) AS BIGINT) AS cell_size, CASE WHEN sum(size) > 0 THEN CAST(greatest(round(sum(size) / {m.BLOCK}), 1) AS BIGINT) ELSE 0 END AS blocks FROM rows_ GROUP BY source, shard, source_size, target),
+src AS (SELECT *, CAST(round(sum(wish) OVER ()) AS BIGINT) AS seats FROM (SELECT source, CAST(sum(blocks) AS BIGINT) AS sb, CASE WHEN source_size > 0 THEN target * sum(blocks) / source_size ELSE 0 END AS wish FROM cells GROUP BY source, source_size, target)),
+sq AS (SELECT source, least(count(*) FILTER (WHERE rk <= seats), {m.MOST} * max(sb)) AS quota FROM (SELECT *, row_number() OVER (ORDER BY wish / (2 * k + 1) DESC, source NULLS LAST) AS rk FROM (SELECT *, unnest(range(0, CAST(2 * ceil(wish) + 3 AS BIGINT))) AS k FROM src) WHERE wish > 0) GROUP BY source),
+cq AS (SELECT source, shard, least(count(*) FILTER (WHERE rk <= quota), {m.MOST} * max(blocks)) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY blocks / (2 * k + 1) DESC, shard) AS rk FROM (SELECT c.*, q.quota, unnest(range(0, {m.MOST} * blocks + 2)) AS k FROM cells c JOIN sq q ON c.source IS NOT DISTINCT FROM q.source) WHERE blocks > 0) GROUP BY source, shard),
+runs AS (SELECT c.source, c.shard, cell_size, greatest(blocks, 1) AS n, coalesce(quota, 0) AS quota, {number(m.SEED + 1, "c.source", "c.shard")} % greatest(blocks, 1) AS start FROM cells c LEFT JOIN cq ON c.source IS NOT DISTINCT FROM cq.source AND c.shard = cq.shard),
+placed AS (SELECT *, b - size AS a FROM (SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY md5('{m.SEED + 2}:' || {text("doc_id")}), doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS b FROM rows_))
+SELECT doc_id, size, source_size, target, CAST(floor(quota / n) * size + greatest(least(b, floor(least(start + quota % n, n) * cell_size / n)) - greatest(a, floor(start * cell_size / n)), 0) + greatest(least(b, floor(greatest(start + quota % n - n, 0) * cell_size / n)) - a, 0) AS BIGINT) AS taken
+FROM placed p JOIN runs r ON p.source IS NOT DISTINCT FROM r.source AND p.shard = r.shard
+"""
+
+
+ORACLES: dict[str, str] = {"op5_signature_trees": OP5_SQL.strip(), "op6_risk_controlled_rules": _op6_sql().strip(), "op7_sainte_lague_mix": _op7_sql().strip()}
