@@ -50,12 +50,21 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, led by as many underscores as make it no column of df (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs less the rows whose id is in ids (one column, distinct; null equals null)."""
-    gone = written(ids.toDF("_gone"), "gone")
+    name = fresh(docs, "_gone")
+    gone = written(ids.toDF(name), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
 
 
 def words(text):

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import fresh, word_count, written
 
 WEIGHTS, MOST, BLOCK, SHARD_ROWS, SEED = (5, 2, 1), 3, 64, 4096, 17
 
@@ -111,7 +111,8 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     Rows that share an id and a source share one number of copies, the mean of theirs.
     """
     mixed = mix(docs, **options)
+    key, origin, times, copy = (fresh(docs, f"_{n}") for n in ("id", "source", "times", "copy"))
     copies = F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int")
-    times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(copies.alias("_copies")).where("_copies > 0")
-    found = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return found.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    wanted = mixed.groupBy(F.col("doc_id").alias(key), F.col("source").alias(origin)).agg(copies.alias(times)).where(F.col(times) > 0)
+    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(origin)))
+    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
