@@ -9,14 +9,16 @@ Exact, in four steps.
    class with fewer such shingles than k of its smallest possible partner has no link. Otherwise it leaves the blocks that account
    for fewer than half of that k: two linked classes still meet in one block, as each loses less than half of what they share.
 3. Signature trees. The classes of a block meet in a task that builds a signature tree and descends it against itself. A block that is
-   too large is cut into chunks, and a task takes two of them; all pairs are covered and no task grows with the block.
+   too large for one task is cut into chunks: each is compared with the block's centre, and only classes not linked to it are then
+   held against all chunks, tree against tree. No pair is left out and no task grows with the block.
 4. Components. Tasks return a spanning forest, not pairs; labels are spread with pointer jumping in tables of the shared folder.
 
 Scale. Texts are read twice and never shuffled whole: only those of classes in blocks move. Equal sets are collapsed before that, and a
 task emits the prefix of a digest once. What is broadcast is bounded: frequent shingles to FREQUENT, hashes of texts in blocks to
 BROADCAST_IDS, beyond which they are joined by a shuffle.
 
-Limit. A block of m different sets costs (m / CHUNK)^2 tasks; the bound is reached only by that many different texts that share shingles.
+Limit. In a block of m different sets of which u aren't linked to its centre, u * m / CHUNK^2 tasks compare them: such texts share most
+shingles with many others without being similar enough, and only a comparison can tell.
 
 Defined cases: a text without words (null, empty, blank) has size 0, no links and its own id; with fewer than five words the whole
 sequence is one shingle; equal rows are linked; rows that share an id are separate documents; null ids never name a component that has another
@@ -113,7 +115,7 @@ def shingled(rows: DataFrame, frequent: np.ndarray, k: int, num: int, den: int)
 
 
 def blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pivot, d, n: which classes must meet in which block."""
+    """pivot, d, n, tokens: which classes must meet in which block, and how many shingles lead each there."""
     posted = sets.select(F.explode("prefix").alias("token"), "d", "n")
     whole = Window.partitionBy("token")
     shared = posted.select("token", "d", "n", F.min("d").over(whole).alias("pivot"), F.max("d").over(whole).alias("top")).where("pivot <> top").dropDuplicates(["token", "d"])
@@ -122,40 +124,92 @@ def blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
     need = F.greatest(F.floor(least / 10), F.lit(1))
     order = Window.partitionBy("d").orderBy("tokens", "pivot")
     ranked = per.withColumn("total", F.sum("tokens").over(Window.partitionBy("d"))).withColumn("up_to", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = ranked.where((F.col("total") >= need) & (F.col("up_to") > F.floor((need - 1) / 2))).select("pivot", "d", "n")
-    return kept.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("pivot"))).where("m > 1").drop("m")
+    return ranked.where((F.col("total") >= need) & (F.col("up_to") > F.floor((need - 1) / 2))).select("pivot", "d", "n", "tokens")
 
 
-def _pairs_of_chunks(members: DataFrame) -> DataFrame:
-    """members with ci, cj: the tasks in which each takes part, and its own chunk."""
-    sized = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    own = members.join(sized, "pivot").withColumn("own", F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int"))
-    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return each.withColumn("ci", F.least("own", "other")).withColumn("cj", F.greatest("own", "other")).drop("other", "chunks", "n")
+def bounded(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has no more than BROADCAST_IDS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def forest(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """a, b: a spanning forest of the links within each task's classes."""
+def sized(rows: DataFrame, *more) -> DataFrame:
+    """pivot, chunks (of at most about CHUNK members and CHUNK_SHINGLES shingles) and more aggregates; blocks of one member are left out."""
+    n = F.count(F.lit(1))
+    chunks = F.greatest(F.ceil(n / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    return rows.groupBy("pivot").agg(chunks.alias("chunks"), n.alias("members"), *more)
+
+
+def _task(f, k: int, num: int, den: int):
+    """An Arrow function over a task's rows (d, text, left, right, linked): f(forest, left, right, linked) links, the roots are returned."""
 
     def run(table: pa.Table) -> pa.Table:
-        own = table.column("own").to_numpy()
-        cls, found = table.column("d").to_numpy(), {}
-        sets = shingle_sets([t or "" for t in table.column("text").to_pylist()], k)
+        cls = table.column("d").to_numpy()
+        sets, at = shingle_sets([t or "" for t in table.column("text").to_pylist()], k), {}
         for i, s in enumerate(sets):  # a text that only shares the hash of the one meant has another digest
             if digest(s) == cls[i]:
-                found.setdefault(int(cls[i]), i)
-        at = np.array(list(found.values()), dtype=np.int64)
+                at.setdefault(int(cls[i]), []).append(i)
         if len(at) < 2:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        cls, own = cls[at], own[at]
-        f = SetForest([sets[i] for i in at], num, den)
-        left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())
-        root = f.link(left, right if len(right) else None)
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": pa.array(cls[linked]), "b": pa.array(cls[root[linked]])})
+        flag = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right", "linked")}
+        # left ones come first, so that the centre of a star is the root of what it links
+        at = dict(sorted(at.items(), key=lambda x: not flag["left"][x[1]].any()))
+        any_of = lambda c: np.flatnonzero([flag[c][i].any() for i in at.values()])
+        forest = SetForest([sets[i[0]] for i in at.values()], num, den)
+        f(forest, any_of("left"), any_of("right"), any_of("linked"))
+        forest.settle()
+        own = np.array(list(at), dtype=np.int64)
+        moved = np.flatnonzero(forest.root != np.arange(len(own)))
+        return pa.table({"a": pa.array(own[moved]), "b": pa.array(own[forest.root[moved]])})
+
+    return run
+
+
+def _whole(forest: SetForest, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> None:
+    forest.link(left)
+
 
-    rows = members.join(texts, "t").select("pivot", "ci", "cj", "own", "d", "text")
-    return rows.groupBy("pivot", "ci", "cj").applyInArrow(run, "a long, b long")
+def _star(forest: SetForest, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> None:
+    """left is the centre alone."""
+    if len(left):
+        forest.compare(int(left[0]), np.setdiff1d(np.arange(forest.n), left))
+
+
+def _rest(forest: SetForest, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> None:
+    if len(linked):  # joined by way of the centre already
+        forest.root[linked] = linked.min()
+    forest.join(left)
+    forest.join(left, np.setdiff1d(right, left))
+
+
+def forest(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """a, b: edges that connect all linked classes that meet in a block.
+
+    A block of one chunk is a task. In a larger one every chunk is first compared with the block's centre, the class that most of its
+    shingles lead there; only classes that aren't linked to it are then compared with all, chunk by chunk.
+    """
+    none = F.lit(False)
+    flags = lambda df, left, right=none, linked=none: df.select("pivot", "i", "j", "d", "t", left.alias("left"), right.alias("right"), linked.alias("linked"))
+    run = lambda rows, f: rows.join(texts, "t").groupBy("pivot", "i", "j").applyInArrow(_task(f, k, num, den), "a long, b long")
+    sizes = written(sized(members, F.max_by("d", F.struct("tokens", "d")).alias("centre")).where("members > 1"), "sizes")
+    placed = written(members.join(bounded(sizes), "pivot"), "members")
+    small = placed.where("chunks = 1").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    edges = run(flags(small, F.lit(True)), _whole)
+    big = placed.where("chunks > 1").withColumn("own", F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int"))
+    if not big.limit(1).count():
+        return edges
+    centres = big.where("d = centre").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    stars = flags(centres.withColumn("j", F.lit(0)), F.lit(True)).unionByName(flags(big.where("d <> centre").withColumn("i", F.col("own")).withColumn("j", F.lit(0)), none))
+    found = written(run(stars, _star), "stars")
+    # an edge of a star joins its two ends, one of them the centre
+    ends = found.select(F.explode(F.array("a", "b")).alias("d"), F.array("a", "b").alias("ab"))
+    linked = written(big.join(ends, "d").where(F.array_contains("ab", F.col("centre"))).select("pivot", "d").distinct(), "linked")
+    left = written(big.where("d <> centre").join(linked, ["pivot", "d"], "left_anti"), "left")
+    lefts = bounded(written(sized(left).select("pivot", F.col("chunks").alias("parts")), "parts"))
+    rest_left = left.join(lefts, "pivot").withColumn("i", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    marked = big.join(linked.withColumn("by_star", F.lit(True)), ["pivot", "d"], "left").withColumn("is_linked", F.coalesce("by_star", F.lit(False)) | (F.col("d") == F.col("centre")))
+    rest_right = marked.join(lefts, "pivot").withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = run(flags(rest_left, F.lit(True)).unionByName(flags(rest_right, none, F.lit(True), F.col("is_linked"))), _rest)
+    return edges.unionByName(found).unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -181,13 +235,9 @@ def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int =
     frequent = frequent_shingles(rows, rows.count(), k)
     sets = written(shingled(rows, frequent, k, num, den), "sets")
     classes = written(sets.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t")), "classes")
-    members = written(blocks(sets, num, den), "blocks").join(classes.select("d", "t"), "d")
-    members = written(_pairs_of_chunks(members), "members")
-    wanted = members.select("t").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    members = written(written(blocks(sets, num, den), "blocks").join(classes.select("d", "t"), "d"), "meeting")
     # one text of each hash; equal ones are merged in their tasks before they move
-    texts = rows.select("t", "text").join(wanted, "t", "left_semi").groupBy("t").agg(F.min("text").alias("text"))
+    texts = written(rows.select("t", "text").join(bounded(members.select("t").distinct()), "t", "left_semi").groupBy("t").agg(F.min("text").alias("text")), "texts")
     edges = written(forest(members, texts, k, num, den), "forest")
     reached = components(edges)
     least = classes.join(reached, classes["d"] == reached["v"]).groupBy("c").agg(F.min("rep").alias("least"))

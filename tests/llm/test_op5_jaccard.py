@@ -111,3 +111,30 @@ def test_one_of_each(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     left = {r["doc_id"] for r in jaccard.one_of_each(df).collect()}
     assert left == {c for _, _, c in brute(list(range(len(texts))), texts)}
+
+
+def test_a_star_names_its_centre():
+    import pyarrow as pa
+
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(base[:j] + ["x"] + base[j + 1 :]) for j in range(3, 60, 6)] + [" ".join(base), "quite another text of some words"]
+    d = [jaccard.digest(x) for x in shingles.shingle_sets(texts)]
+    n = len(texts)
+    table = pa.table({"d": d, "text": texts, "left": [i == n - 2 for i in range(n)], "right": [False] * n, "linked": [False] * n})
+    got = jaccard._task(jaccard._star, 5, 75, 100)(table)
+    assert set(got.column("b").to_pylist()) == {d[-2]} and sorted(got.column("a").to_pylist()) == sorted(d[:-2])
+
+
+def test_large_blocks_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(120):
+        t = list(base)
+        for _ in range(r.choice([1, 2, 4, 8])):
+            t[r.randrange(len(t))] = f"y{r.randrange(9999)}"
+        texts.append(" ".join(t))
+    ids = list(range(len(texts)))
+    got = {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard.similar_components(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()}
+    assert got == brute(ids, texts)
