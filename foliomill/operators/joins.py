@@ -74,9 +74,13 @@ def point_in_cell(v):
 def vertical_rules(v):
     """Vertical segments that at least two horizontal ones cross."""
     s = v.sg.where("axis = 'V'").drop("axis")
-    h = v.sg.where("axis = 'H'").select(F.col("page_key").alias("pk"), F.col("k").alias("hk"), F.col("a").alias("ha"), F.col("b").alias("hb"))
-    on = (s.page_key == h.pk) & F.col("hk").between(F.col("a") - 1.5, F.col("b") + 1.5) & F.col("k").between(F.col("ha") - 1.5, F.col("hb") + 1.5)
-    return s.join(h, on).groupBy("page_key", "k", "a", "b").agg(F.count(F.lit(1)).alias("crossed")).where("crossed >= 2")
+    h = v.sg.where("axis = 'H'").select("page_key", F.col("k").alias("hk"), F.col("a").alias("ha"), F.col("b").alias("hb"))
+    # each vertical is dealt to the integer positions it spans on its page, so the join is equal on page and position
+    top = h.groupBy("page_key").agg(F.max("hk").alias("top"), F.min("hk").alias("low"))
+    lo, hi = F.greatest(F.ceil(F.col("a") - 1.5), F.col("low")), F.least(F.floor(F.col("b") + 1.5), F.col("top"))
+    dealt = s.join(top, "page_key").where(lo <= hi).select("page_key", "k", "a", "b", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("hk"))
+    crossing = dealt.join(h, ["page_key", "hk"]).where(F.col("k").between(F.col("ha") - 1.5, F.col("hb") + 1.5))
+    return crossing.groupBy("page_key", "k", "a", "b").agg(F.count(F.lit(1)).alias("crossed")).where("crossed >= 2")
 
 
 @operator("J12", """SELECT g.page_key, g.c, g.r FROM (SELECT page_key, c, r FROM (SELECT DISTINCT page_key FROM sg) p, range(0, 5) t(c), range(0, 4) u(r)) g WHERE NOT EXISTS (SELECT 1 FROM sg s WHERE s.page_key = g.page_key AND s.axis = 'H' AND s.k // 10 = g.r AND s.a <= g.c * 60 + 30 AND s.b + 30 >= g.c * 60 + 30)""")
