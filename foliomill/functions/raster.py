@@ -75,12 +75,14 @@ def margin_ink(im: np.ndarray, left: int, top: int, right: int, bottom: int) ->
 
 def stray_share(crop: np.ndarray, page: np.ndarray, reach: int = 2) -> float:
     """The share of a crop's ink that has no ink of the page within reach."""
-    m, p = ink(crop), ink(page)
-    grown = np.zeros_like(p)
-    h, w = p.shape
-    for dy in range(-reach, reach + 1):
-        for dx in range(-reach, reach + 1):
-            grown[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)] |= p[max(0, -dy) : h + min(0, -dy), max(0, -dx) : w + min(0, -dx)]
+    m, grown = ink(crop), ink(page)
+    for axis in (0, 1):  # rows, then columns: together a square
+        wide = grown.copy()
+        for d in range(1, reach + 1):
+            to, since = (slice(d, None), slice(None, -d)) if axis == 0 else ((slice(None), slice(d, None)), (slice(None), slice(None, -d)))
+            wide[to] |= grown[since]
+            wide[since] |= grown[to]
+        grown = wide
     return float((m & ~grown).sum() / max(1, m.sum()))
 
 
