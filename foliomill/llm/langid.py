@@ -10,8 +10,11 @@ The language with the lowest cross-entropy per symbol wins. Rejection is calibra
 fold): the score is the share of right answers at a like margin over the runner-up, made monotone; a document is marked rejected if its
 score is below half or its cross-entropy exceeds what all but TAIL of that language's documents have.
 
-Size. A gram is kept if its share of its language's grams is at least languages / MODEL_GRAMS, so all models together hold at most
-MODEL_GRAMS grams of the highest order, whatever the corpus; languages beyond LANGUAGES (the rarest) are not learned.
+Size. No gram is dropped: discounts, totals and continuation counts are taken over all distinct grams. The two symbols before the last one
+put a gram into one of CELLS cells. All that orders above LOW look up for a place of a text lies in one cell, so the tasks build their part
+of a model by themselves. The driver builds only orders up to LOW, which grow with the square of the alphabet. Texts are scored in passes of
+some cells each, so that a worker holds about MODEL_GRAMS grams of the highest order; sums of the passes are added by the text's 128-bit hash.
+Languages beyond LANGUAGES (the rarest) are not learned.
 
 Defined cases: a text that is null or has no letter is `und`, score 0, not rejected; ties go to the first language by name; without any
 learned language all is `und`; texts of more than PIECE characters are read in pieces that start anew; a null id is never learned from;
@@ -33,6 +36,8 @@ from .common import written
 
 ORDER, FOLDS, CALIBRATION = 5, 5, 1
 MODEL_GRAMS, LANGUAGES = 1 << 21, 256
+#: Orders that the driver builds; cells that grams fall in; grams of all languages that a task builds at a time, about.
+LOW, CELLS, SLOT_GRAMS = 2, 4096, 25_000
 TAIL, MARGIN_BINS, BIN = 0.01, 80, 0.025
 PIECE, ROWS = 400_000, 400_000
 _SPACE = 32
@@ -83,6 +88,13 @@ def gram_hashes(s: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cell of a place or gram, from the two symbols before its last."""
+    x = a.astype(np.uint64) * _PLACE[0] + b.astype(np.uint64) * _PLACE[1]
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(33)) % np.uint64(CELLS)).astype(np.int32)
+
+
 def _inside(ends: np.ndarray) -> np.ndarray:
     """Places that are symbols of a text, not the blanks that lead it."""
     starts = np.concatenate([[0], ends[:-1]])
@@ -117,7 +129,7 @@ def merge_counts(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """lang, gram, n over all rows (lang, text)."""
+    """lang, cell, gram, n over all rows (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[str]] = {}
@@ -144,43 +156,78 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             for k in range(0, len(n), 50_000):
                 letters = np.ascontiguousarray(s[k : k + 50_000]).tobytes().decode("utf-32-le", "surrogatepass")
                 grams = [letters[i : i + ORDER] for i in range(0, len(letters), ORDER)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n[k : k + 50_000])], names=["lang", "gram", "n"])
+                cells = _cells(s[k : k + 50_000, ORDER - 3], s[k : k + 50_000, ORDER - 2])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(cells), pa.array(grams), pa.array(n[k : k + 50_000])], names=["lang", "cell", "gram", "n"])
+
+    return rows.mapInArrow(run, "lang string, cell int, gram string, n long").groupBy("lang", "cell", "gram").agg(F.sum("n").alias("n"))
+
+
+def _hashed(grams: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all orders and the place where each gram (of ORDER symbols) ends."""
+    # hashes depend only on symbols, so one row of symbols for each gram gives those of all orders
+    s = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(grams), ORDER)
+    flat = np.concatenate([np.full((len(grams), 1), _SPACE, dtype=np.uint32), s], axis=1).reshape(-1)
+    return gram_hashes(flat), np.arange(len(grams)) * (ORDER + 1) + ORDER
+
+
+def _discount(once: float, twice: float) -> float:
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+def _shorter(h: list[np.ndarray], at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct gram of k - 1 symbols and its count of distinct left neighbours, from the distinct grams of k."""
+    _, first, same = np.unique(h[k - 1][at], return_index=True, return_inverse=True)
+    return at[first], np.bincount(same).astype(np.float64)
 
-    return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+def _level(h: list[np.ndarray], at: np.ndarray, n: np.ndarray, k: int, d: float) -> tuple:
+    c = h[k - 1][at - 1] if k > 1 else np.zeros(len(at), dtype=np.uint64)
+    ctx, of = np.unique(c, return_inverse=True)
+    total, kinds = np.bincount(of, weights=n), np.bincount(of)
+    return k, h[k][at], h[k - 1][at], np.maximum(n - d, 0) / total[of], ctx, d * kinds / total, of
+
+
+def _interpolated(levels: list[tuple], below_h: np.ndarray, below_p: np.ndarray) -> Iterator[tuple]:
+    """k, sorted grams, probabilities, contexts and weights, from the lowest order up; below: the order under the lowest."""
+    for k, g, suffix, direct, ctx, weight, of in reversed(levels):
+        lower = below_p[np.searchsorted(below_h, suffix)] if k > 1 else below_p[np.zeros(len(g), dtype=np.int64)]
+        p = direct + weight[of] * lower
+        order = np.argsort(g)
+        below_h, below_p = g[order], p[order]
+        yield k, below_h, below_p, ctx, weight
 
 
 class Model:
     """One language: for each order, sorted hashes of grams and contexts with their logarithms."""
 
-    def __init__(self, grams: list[str], counts: np.ndarray):
-        # hashes depend only on symbols, so one row of symbols for each gram gives those of all orders
-        s = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(grams), ORDER)
-        flat = np.concatenate([np.full((len(grams), 1), _SPACE, dtype=np.uint32), s], axis=1).reshape(-1)
-        h = gram_hashes(flat)
-        last = np.arange(len(grams)) * (ORDER + 1) + ORDER
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = [None] * (ORDER + 1)
-        self.contexts: list[tuple[np.ndarray, np.ndarray]] = [None] * (ORDER + 1)
-        at, n = last, counts.astype(np.float64)
+    def __init__(self, grams: list[str], counts: np.ndarray, top: int = ORDER):
+        """Orders up to top, from the distinct grams of the order top, each led by blanks up to ORDER symbols."""
+        (h, at), n = _hashed(grams), counts.astype(np.float64)
         levels = []
-        for k in range(ORDER, 0, -1):
-            g, c = h[k][at], h[k - 1][at - 1] if k > 1 else np.zeros(len(at), dtype=np.uint64)
-            once, twice = float((n == 1).sum()), float((n == 2).sum())
-            d = once / (once + 2 * twice) if once and twice else 0.5
-            ctx, of = np.unique(c, return_inverse=True)
-            total, kinds = np.bincount(of, weights=n), np.bincount(of)
-            levels.append((k, g, h[k - 1][at], np.maximum(n - d, 0) / total[of], ctx, d * kinds / total, of))
-            _, first, same = np.unique(h[k - 1][at], return_index=True, return_inverse=True)
-            at, n = at[first], np.bincount(same).astype(np.float64)
+        for k in range(top, 0, -1):
+            levels.append(_level(h, at, n, k, _discount(float((n == 1).sum()), float((n == 2).sum()))))
+            at, n = _shorter(h, at, k)
         size = len(levels[-1][1]) + 1
-        below_h, below_p = np.zeros(1, dtype=np.uint64), np.array([1.0 / size])
         self.uniform = -math.log(size)
-        for k, g, suffix, direct, ctx, weight, of in reversed(levels):
-            lower = below_p[np.searchsorted(below_h, suffix)] if k > 1 else below_p[np.zeros(len(g), dtype=np.int64)]
-            p = direct + weight[of] * lower
-            order = np.argsort(g)
-            below_h, below_p = g[order], p[order]
-            self.grams[k] = (below_h, np.log(below_p).astype(np.float32))
-            self.contexts[k] = (ctx, np.log(weight).astype(np.float32))
+        none = np.empty(0, np.uint64), np.empty(0, np.float32)
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = [none] * (ORDER + 1)
+        self.contexts: list[tuple[np.ndarray, np.ndarray]] = [none] * (ORDER + 1)
+        for k, g, p, ctx, weight in _interpolated(levels, np.zeros(1, dtype=np.uint64), np.array([1.0 / size])):
+            self.grams[k] = g, np.log(p).astype(np.float32)
+            self.contexts[k] = ctx, np.log(weight).astype(np.float32)
+        self.top = g, p
+
+    def extended(self, parts: list[dict]) -> Model:
+        """This model with the parts (k, grams, logs, contexts, weights as bytes) of higher orders that some cells have."""
+        out = Model.__new__(Model)
+        out.uniform, out.grams, out.contexts = self.uniform, list(self.grams), list(self.contexts)
+        for k in {x["k"] for x in parts}:
+            own = [x for x in parts if x["k"] == k]
+            for to, keys, logs in ((out.grams, "grams", "logs"), (out.contexts, "contexts", "weights")):
+                key = np.frombuffer(b"".join(x[keys] for x in own), np.uint64)
+                order = np.argsort(key)
+                to[k] = key[order], np.frombuffer(b"".join(x[logs] for x in own), np.float32)[order]
+        return out
 
     def log_probability(self, h: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
         """h[k]: hashes of the last k symbols; before[k]: of the k symbols before the last."""
@@ -188,6 +235,8 @@ class Model:
         open_ = np.arange(len(out))
         for k in range(ORDER, 0, -1):
             keys, logs = self.grams[k]
+            if not len(keys):
+                continue
             x = h[k][open_]
             i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
             hit = keys[i] == x
@@ -209,17 +258,30 @@ class Identifier:
 
     CACHE = 400_000
 
-    def __init__(self, models: list[Model]):
-        self.models = models
+    def __init__(self, models: list[Model], cells: np.ndarray | None = None):
+        """cells: for each cell whether its places count here; all do without."""
+        self.models, self.cells = models, cells
         self.known, self.scores = np.empty(0, np.uint64), np.empty((0, len(models)), dtype=np.float32)
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The mean negative log probability of a symbol, a row a text and a column a model; and how many symbols are letters."""
+        """The mean negative log probability of a symbol, a row a text and a column a model; and how many symbols are letters.
+
+        With cells, symbols of other cells add nothing to the mean's sum.
+        """
         s, ends = symbols(texts)
         inside = _inside(ends)
         at = np.flatnonzero(inside)
         if not len(at):
             return np.zeros((len(texts), len(self.models))), np.zeros(len(texts), dtype=np.int64)
+        n = np.diff(np.searchsorted(at, np.concatenate([[0], ends])))
+        letters = np.zeros(len(texts), dtype=np.int64)
+        letters[n > 0] = np.add.reduceat((s[at] != _SPACE).astype(np.int64), (np.cumsum(n) - n)[n > 0])
+        whole = np.maximum(n, 1)[:, None]
+        if self.cells is not None:
+            at = at[self.cells[_cells(s[at - 2], s[at - 1])]]
+            n = np.diff(np.searchsorted(at, np.concatenate([[0], ends])))
+            if not len(at):
+                return np.zeros((len(texts), len(self.models))), letters
         h = gram_hashes(s)
         u, first, inverse = distinct(h[ORDER][at])
         place = np.minimum(np.searchsorted(self.known, u), max(0, len(self.known) - 1))
@@ -235,14 +297,11 @@ class Identifier:
             order = np.argsort(both)
             self.known, self.scores = both[order], np.concatenate([self.scores, fresh])[order]
             place = np.searchsorted(self.known, u)
-        n = np.diff(np.searchsorted(at, np.concatenate([[0], ends])))
         full = np.flatnonzero(n)
         starts = (np.cumsum(n) - n)[full]
         total = np.zeros((len(texts), len(self.models)))
         total[full] = np.add.reduceat(self.scores[place].take(inverse, axis=0), starts, axis=0, dtype=np.float64)
-        letters = np.zeros(len(texts), dtype=np.int64)
-        letters[full] = np.add.reduceat((s[at] != _SPACE).astype(np.int64), starts)
-        return -total / np.maximum(n, 1)[:, None], letters
+        return -total / whole, letters
 
 
 def fold_of(id_col: str) -> Column:
@@ -250,56 +309,170 @@ def fold_of(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)), F.lit(0)).cast("int")
 
 
-def train(rows: DataFrame) -> tuple[list[str], list[Model]]:
-    """Languages and their models from rows (lang, text); what reaches the driver is bounded by MODEL_GRAMS."""
+def _statistics(table: pa.Table) -> pa.Table:
+    """lang, k, gram, a, b: for orders above LOW how many grams count once and twice, for LOW each gram and its count in these cells."""
+    lang, grams = table.column("lang")[0].as_py(), table.column("gram").to_pylist()
+    (h, at), n = _hashed(grams), table.column("n").to_numpy()
+    out = []
+    for k in range(ORDER, LOW, -1):
+        out.append((k, "", int((n == 1).sum()), int((n == 2).sum())))
+        at, n = _shorter(h, at, k)
+    out += [(LOW, grams[i // (ORDER + 1)][-LOW:], int(m), 0) for i, m in zip(at, n)]
+    k, gram, a, b = zip(*out)
+    return pa.table({"lang": [lang] * len(out), "k": pa.array(k, pa.int32()), "gram": gram, "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _part(shared):
+    """An Arrow function that builds the orders above LOW of one language's grams in a slot."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lang, slot = (x.as_py() for x in key)
+        discounts, below_h, below_p = shared.value[lang]
+        (h, at), n = _hashed(table.column("gram").to_pylist()), table.column("n").to_numpy().astype(np.float64)
+        levels = []
+        for k in range(ORDER, LOW, -1):
+            levels.append(_level(h, at, n, k, discounts[k]))
+            at, n = _shorter(h, at, k)
+        out = [{"lang": lang, "slot": slot, "k": k, "grams": g.tobytes(), "logs": np.log(p).astype(np.float32).tobytes(), "contexts": ctx.tobytes(), "weights": np.log(w).astype(np.float32).tobytes()} for k, g, p, ctx, w in _interpolated(levels, below_h, below_p)]
+        return pa.Table.from_pylist(out, schema=pa.schema([("lang", pa.string()), ("slot", pa.int32()), ("k", pa.int32()), *((x, pa.binary()) for x in ("grams", "logs", "contexts", "weights"))]))
+
+    return run
+
+
+class Trained:
+    """All models as a table of parts; orders up to LOW are held here."""
+
+    def __init__(self, langs: list[str], low: dict[str, Model], parts: DataFrame, slots: int, passes: list[tuple[list[str], list[int]]]):
+        self.langs, self.low, self.parts, self.slots, self.passes = langs, low, parts, slots, passes
+
+    def models(self, langs: list[str], slots: list[int]) -> tuple[list[Model], np.ndarray | None]:
+        """The models of a pass, and its cells if it hasn't all."""
+        rows = self.parts.where(F.col("slot").isin(slots) & F.col("lang").isin(langs)) if len(self.passes) > 1 else self.parts
+        by: dict[str, list[dict]] = {x: [] for x in langs}
+        for r in rows.toArrow().to_pylist():
+            by[r["lang"]].append(r)
+        cells = np.isin(np.arange(CELLS) % self.slots, slots) if len(slots) < self.slots else None
+        return [self.low[x].extended(by.pop(x)) for x in langs], cells
+
+
+def train(rows: DataFrame) -> Trained | None:
+    """The models of rows (lang, text); None without any gram. What reaches the driver is orders up to LOW and a number a language and slot."""
     counts = written(gram_counts(rows.where("lang is not null and text is not null").select("lang", "text")), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
-    floor = {r["lang"]: r["n"] * len(totals) / MODEL_GRAMS for r in totals}
-    langs = sorted(floor)
-    if not langs:
-        return [], []
-    least = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, floor[lang])]), F.col("lang"))
-    got = counts.where(F.col("lang").isin(langs)).where(F.col("n") >= least).toArrow()
-    of, grams, n = got.column("lang").to_pylist(), got.column("gram").to_pylist(), got.column("n").to_numpy()
-    by: dict[str, list[int]] = {}
-    for i, lang in enumerate(of):
-        by.setdefault(lang, []).append(i)
-    langs = [x for x in langs if x in by]
-    return langs, [Model([grams[i] for i in by[x]], n[by[x]]) for x in langs]
-
-
-def score(rows: DataFrame, models: list[Model]) -> DataFrame:
-    """doc_id, fold, lang, letters, best (index of a model), entropy, margin (to the runner-up) of rows (doc_id, fold, lang, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("grams")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    if not totals:
+        return None
+    langs = sorted(r["lang"] for r in totals)
+    slots = min(CELLS, -(-sum(r["grams"] for r in totals) // SLOT_GRAMS))
+    dealt = counts.where(F.col("lang").isin(langs)).withColumn("slot", (F.col("cell") % slots).cast("int")).select("lang", "slot", "gram", "n")
+    found = dealt.groupBy("lang", "slot").applyInArrow(_statistics, "lang string, k int, gram string, a long, b long")
+    discounts: dict[str, dict[int, float]] = {x: {} for x in langs}
+    pairs: dict[str, list[tuple[str, int]]] = {x: [] for x in langs}
+    for r in found.groupBy("lang", "k", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow().to_pylist():
+        if r["k"] > LOW:
+            discounts[r["lang"]][r["k"]] = _discount(r["a"], r["b"])
+        else:
+            pairs[r["lang"]].append((r["gram"], r["a"]))
+    low = {x: Model([" " * (ORDER - LOW) + g for g, _ in pairs[x]], np.array([n for _, n in pairs.pop(x)]), LOW) for x in langs}
+    shared = rows.sparkSession.sparkContext.broadcast({x: (discounts[x], *low[x].top) for x in langs})
+    parts = written(dealt.groupBy("lang", "slot").applyInArrow(_part(shared), "lang string, slot int, k int, grams binary, logs binary, contexts binary, weights binary"), "models")
+    size = {(r["lang"], r["slot"]): r["n"] for r in parts.where(F.col("k") == ORDER).select("lang", "slot", (F.length("grams") / 8).cast("long").alias("n")).collect()}
+    passes: list[tuple[list[str], list[int]]] = []
+    for own in [langs]:
+        held, room = [], 0
+        for slot in range(slots):
+            n = sum(size.get((x, slot), 0) for x in own)
+            if held and room < n:
+                passes.append((own, held))
+                held = []
+            room = (room if held else MODEL_GRAMS) - n
+            held.append(slot)
+        passes.append((own, held))
+    return Trained(langs, low, parts, slots, passes)
+
+
+def _scorer(shared):
+    """(texts) -> mean negative log probabilities of a pass and letters, for whole documents."""
+    models, cells = shared.value
+    own = Identifier(models, cells)
+
+    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [(i, t[k : k + PIECE]) for i, t in enumerate(texts) for k in range(0, max(1, len(t)), PIECE)]
+        e, letters = own.entropies([t for _, t in pieces])
+        if len(pieces) > len(texts):  # a long text counts each piece by its length
+            doc, w = np.array([i for i, _ in pieces]), np.array([max(1, len(t)) for _, t in pieces], dtype=np.float64)
+            e = np.stack([np.bincount(doc, weights=e[:, j] * w, minlength=len(texts)) for j in range(e.shape[1])], axis=1) / np.bincount(doc, weights=w, minlength=len(texts))[:, None]
+            letters = np.bincount(doc, weights=letters, minlength=len(texts)).astype(np.int64)
+        return e, letters
+
+    return run
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows (..., text) in runs of about ROWS characters, with their texts."""
+    for b in batches:
+        texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+        start, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= ROWS:
+                yield b.slice(start, i + 1 - start), texts[start : i + 1]
+                start, size = i + 1, 0
+        if start < len(texts):
+            yield b.slice(start), texts[start:]
+
+
+def score(rows: DataFrame, trained: Trained) -> DataFrame:
+    """doc_id, fold, lang, letters, best (index of a language), entropy, margin (to the runner-up) of rows (doc_id, fold, lang, text)."""
+    sc = rows.sparkSession.sparkContext
+    if len(trained.passes) > 1:
+        return _score_in_passes(rows, trained)
+    shared = sc.broadcast(trained.models(*trained.passes[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Identifier(shared.value)
-
-        def flush(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-            pieces = [(i, t[k : k + PIECE]) for i, t in enumerate(texts) for k in range(0, max(1, len(t)), PIECE)]
-            e, letters = own.entropies([t for _, t in pieces])
-            if len(pieces) > len(texts):  # a long text counts each piece by its length
-                doc, w = np.array([i for i, _ in pieces]), np.array([max(1, len(t)) for _, t in pieces], dtype=np.float64)
-                e = np.stack([np.bincount(doc, weights=e[:, j] * w, minlength=len(texts)) for j in range(e.shape[1])], axis=1) / np.bincount(doc, weights=w, minlength=len(texts))[:, None]
-                letters = np.bincount(doc, weights=letters, minlength=len(texts)).astype(np.int64)
+        entropies = _scorer(shared)
+        for part, texts in _in_parts(batches):
+            e, letters = entropies(texts)
             best = e.argmin(axis=1)
             two = np.partition(e, 1, axis=1)[:, :2] if e.shape[1] > 1 else np.concatenate([e, e + MARGIN_BINS * BIN], axis=1)
-            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(letters), pa.array(best.astype(np.int32)), pa.array(two[:, 0]), pa.array(two[:, 1] - two[:, 0])], names=["doc_id", "fold", "lang", "letters", "best", "entropy", "margin"])
-
-        for b in batches:
-            texts = [t or "" for t in b.column(3).to_pylist()]
-            start, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= ROWS:
-                    yield flush(b.slice(start, i + 1 - start), texts[start : i + 1])
-                    start, size = i + 1, 0
-            if start < len(texts):
-                yield flush(b.slice(start), texts[start:])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(letters), pa.array(best.astype(np.int32)), pa.array(two[:, 0]), pa.array(two[:, 1] - two[:, 0])], names=["doc_id", "fold", "lang", "letters", "best", "entropy", "margin"])
 
     return rows.select("doc_id", "fold", "lang", "text").mapInArrow(run, "doc_id long, fold int, lang string, letters long, best int, entropy double, margin double")
 
 
+def _score_in_passes(rows: DataFrame, trained: Trained) -> DataFrame:
+    sc = rows.sparkSession.sparkContext
+    text = F.coalesce("text", F.lit(""))
+    keyed = rows.select("doc_id", "fold", "lang", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(77), text).alias("t2"), text.alias("text"))
+
+    def runner(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            entropies = _scorer(shared)
+            for part, texts in _in_parts(batches):
+                e, letters = entropies(texts)
+                at = np.arange(0, e.size + 1, e.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(letters), pa.ListArray.from_arrays(pa.array(at), pa.array(e.reshape(-1)))], names=["t1", "t2", "letters", "e"])
+
+        return run
+
+    sums = None
+    for i, (langs, slots) in enumerate(trained.passes):
+        shared = sc.broadcast(trained.models(langs, slots))
+        some = keyed.select("t1", "t2", "text").mapInArrow(runner(shared), "t1 long, t2 long, letters long, e array<double>")
+        # equal texts count once; the offset of the pass's languages tells groups apart
+        one = written(some.groupBy("t1", "t2").agg(F.first("letters").alias("letters"), F.first("e").alias("e")), "pass").withColumns({"i": F.lit(i), "offset": F.lit(trained.langs.index(langs[0]))})
+        shared.destroy()
+        sums = one if sums is None else sums.unionByName(one)
+    add = lambda x, y: F.when(F.size(x) == 0, y).otherwise(F.zip_with(x, y, lambda p, q: p + q))
+    whole = sums.groupBy("t1", "t2", "offset").agg(F.first("letters").alias("letters"), F.array_sort(F.collect_list(F.struct("i", "e"))).alias("all"))
+    e = F.aggregate(F.col("all.e"), F.array().cast("array<double>"), add)
+    ranked = whole.select("t1", "t2", "letters", F.slice(F.array_sort(F.transform(e, lambda x, j: F.struct(x.alias("e"), (j + F.col("offset")).cast("int").alias("best")))), 1, 2).alias("two"))
+    texts = ranked.groupBy("t1", "t2").agg(F.first("letters").alias("letters"), F.array_sort(F.flatten(F.collect_list("two"))).alias("two"))
+    first, second = F.col("two")[0], F.try_element_at("two", F.lit(2))
+    margin = F.coalesce(second["e"] - first["e"], F.lit(MARGIN_BINS * BIN))
+    found = written(texts.select("t1", "t2", "letters", first["best"].alias("best"), first["e"].alias("entropy"), margin.alias("margin")), "texts")
+    return keyed.drop("text").join(found, ["t1", "t2"]).drop("t1", "t2")
+
+
 def monotone(right: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Non-decreasing shares by pooling neighbours that fall; each bin starts with one right of two, so none is certain."""
     blocks: list[list[float]] = []
@@ -330,10 +503,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """doc_id, held_out, lang_pred, score, entropy, rejected of every document; learned from the folds other than 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold_of(id_col).alias("fold"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     held_out = (F.col("fold") == 0).alias("held_out")
-    langs, models = train(rows.where(~F.col("fold").isin(0, CALIBRATION)))
-    if not langs:
+    trained = train(rows.where(~F.col("fold").isin(0, CALIBRATION)))
+    if trained is None:
         return rows.select("doc_id", held_out, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(False).alias("rejected"))
-    scored = written(score(rows, models), "scored")
+    langs = trained.langs
+    scored = written(score(rows, trained), "scored")
     table, limits = calibrate(scored, langs)
     none = F.col("letters") == 0
     at = F.least(F.floor(F.col("margin") / BIN), F.lit(MARGIN_BINS - 1)).cast("int") + 1

@@ -108,3 +108,33 @@ def test_long_texts_and_cache(monkeypatch):
 def test_monotone_scores():
     x = langid.monotone(np.array([1, 0, 5, 9]), np.array([10, 10, 10, 10]))
     assert (np.diff(x) >= 0).all() and len(x) == 4
+
+
+def _assembled(trained):
+    """Whole models from all parts, whatever the passes."""
+    by = {x: [] for x in trained.langs}
+    for r in trained.parts.toArrow().to_pylist():
+        by[r["lang"]].append(r)
+    return [trained.low[x].extended(by[x]) for x in trained.langs]
+
+
+def test_no_gram_is_dropped(spark, monkeypatch):
+    """However little a pass holds, the models are those of all grams, and passes give what one pass gives."""
+    docs = _docs(spark, 300)
+    rows = docs.selectExpr("doc_id", "cast(coalesce(doc_id, 0) % 5 as int) as fold", "lang", "text")
+    whole = sorted(map(str, langid.identify(docs).collect()))
+    monkeypatch.setattr(langid, "MODEL_GRAMS", 60)
+    monkeypatch.setattr(langid, "SLOT_GRAMS", 40)
+    trained = langid.train(rows.where("fold > 1"))
+    assert len(trained.passes) > 3 and sorted(x for _, s in trained.passes for x in s) == list(range(trained.slots))
+    for lang, got in zip(trained.langs, _assembled(trained)):
+        texts = [r["text"] for r in rows.where("fold > 1 and text is not null").where(docs["lang"] == lang).collect()]
+        _, s, n = langid.count_grams(texts)
+        want = langid.Model(["".join(map(chr, x)) for x in s], n)
+        assert got.uniform == want.uniform and len(got.grams[langid.ORDER][0]) == len(n)
+        for k in range(1, langid.ORDER + 1):
+            for a, b in zip(got.grams[k] + got.contexts[k], want.grams[k] + want.contexts[k]):
+                assert np.allclose(a, b, rtol=1e-6, atol=0)
+    got = sorted(map(str, langid.identify(docs).collect()))
+    cut = lambda rows: [[x[:9] for x in r.split("=")] for r in rows]
+    assert cut(got) == cut(whole)
