@@ -13,6 +13,10 @@ Exact, in four steps.
    held against all chunks, tree against tree. No pair is left out and no task grows with the block.
 4. Components. Tasks return a spanning forest, not pairs; labels are spread with pointer jumping in tables of the shared folder.
 
+Links. link_counts() compares all pairs of each block, linked already or not, chunk by chunk, and gives each document's number of links: the
+other documents of its class and all those of classes linked to it. Two classes may meet in several blocks; only the one of the least
+pivot they share counts the pair. A group of m linked classes takes m * m / 2 comparisons, and each text moves m / CHUNK times.
+
 Scale. Texts are read twice and never shuffled whole: only those of classes in blocks move. Equal sets are collapsed before that, and a
 task emits the prefix of a digest once. What is broadcast is bounded: frequent shingles to FREQUENT, hashes of texts in blocks to
 BROADCAST_IDS, beyond which they are joined by a shuffle.
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, without, written
 from .shingles import shingle_sets
-from .signature_tree import SetForest
+from .signature_tree import LinkCounter, SetForest
 
 NUM, DEN, SHINGLE = 75, 100, 5
 #: Documents sampled for the order of shingles, the share of them that makes a shingle frequent, and how many such are kept at most.
@@ -212,6 +216,43 @@ def forest(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return edges.unionByName(found).unionByName(rest)
 
 
+def _count_task(k: int, num: int, den: int):
+    """An Arrow function over rows (d, text, size, lesser, left, right): edges (a, b) of a spanning forest, and (a, null, n): a has n links here."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cls = table.column("d").to_numpy()
+        sets, at = shingle_sets([t or "" for t in table.column("text").to_pylist()], k), {}
+        for i, s in enumerate(sets):  # as in _task
+            if digest(s) == cls[i]:
+                at.setdefault(int(cls[i]), i)
+        own, rows = np.array(list(at), dtype=np.int64), np.array(list(at.values()), dtype=np.int64)
+        if len(own) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        lesser = table.column("lesser").to_pylist()
+        forest = LinkCounter([sets[i] for i in rows], num, den, table.column("size").to_numpy()[rows], [np.array(lesser[i], dtype=np.int64) for i in rows])
+        left, right = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)[rows]) for c in ("left", "right"))
+        forest.join(left, None if len(left) == len(own) else right)
+        forest.merge()
+        moved, has = np.flatnonzero(forest.root != np.arange(len(own))), np.flatnonzero(forest.links)
+        none = lambda n: pa.nulls(n, pa.int64())
+        return pa.table({"a": np.concatenate([own[moved], own[has]]), "b": pa.chunked_array([pa.array(own[forest.root[moved]]), none(len(has))]), "n": pa.chunked_array([none(len(moved)), pa.array(forest.links[has])])})
+
+    return run
+
+
+def counted(members: DataFrame, texts: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """a, b, n: edges that connect all linked classes (n null), and parts n of the number of documents in classes linked to a (b null)."""
+    sizes = written(sized(members).where("members > 1"), "sizes")
+    before = Window.partitionBy("d").orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)
+    placed = members.withColumn("lesser", F.collect_list("pivot").over(before)).join(bounded(sizes), "pivot").join(classes.select("d", "size"), "d")
+    own = F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int")
+    # each pair of chunks is a task, also a chunk with itself
+    dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pairs = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    rows = pairs.select("pivot", "i", "j", "d", "t", "size", "lesser", (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"))
+    return rows.join(texts, "t").groupBy("pivot", "i", "j").applyInArrow(_count_task(k, num, den), "a long, b long, n long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, c: for every vertex of edges (a, b) the least vertex it is connected with.
 
@@ -229,22 +270,45 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("v", "c")
 
 
-def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: the smallest id that it reaches by links."""
+def _meeting(docs: DataFrame, num: int, den: int, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """sets, classes, members of blocks and texts of those, as tables."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     frequent = frequent_shingles(rows, rows.count(), k)
     sets = written(shingled(rows, frequent, k, num, den), "sets")
-    classes = written(sets.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t")), "classes")
+    classes = written(sets.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.count(F.lit(1)).alias("size")), "classes")
     members = written(written(blocks(sets, num, den), "blocks").join(classes.select("d", "t"), "d"), "meeting")
     # one text of each hash; equal ones are merged in their tasks before they move
     texts = written(rows.select("t", "text").join(bounded(members.select("t").distinct()), "t", "left_semi").groupBy("t").agg(F.min("text").alias("text")), "texts")
-    edges = written(forest(members, texts, k, num, den), "forest")
+    return sets, classes, members, texts
+
+
+def _named(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """d, component of every class."""
     reached = components(edges)
     least = classes.join(reached, classes["d"] == reached["v"]).groupBy("c").agg(F.min("rep").alias("least"))
     linked = reached.join(least, "c").select(F.col("v").alias("d"), "least")
-    names = written(classes.join(linked, "d", "left").select("d", F.coalesce("least", "rep").alias("component")), "names")
-    alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
-    return sets.select("doc_id", "n", "d").join(names, "d", "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    return classes.join(linked, "d", "left").select("d", F.coalesce("least", "rep").alias("component"))
+
+
+_ALONE = "case when n = 0 then doc_id else coalesce(component, doc_id) end as component_id"
+
+
+def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: the smallest id that it reaches by links."""
+    sets, classes, members, texts = _meeting(docs, num, den, k, id_col, text_col)
+    names = written(_named(classes, written(forest(members, texts, k, num, den), "forest")), "names")
+    return sets.select("doc_id", "n", "d").join(names, "d", "left").selectExpr("doc_id", "n as n_shingles", _ALONE)
+
+
+def link_counts(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every document: how many other rows are similar enough to it."""
+    sets, classes, members, texts = _meeting(docs, num, den, k, id_col, text_col)
+    found = written(counted(members, texts, classes, k, num, den), "counted")
+    per = found.where("n is not null").groupBy(F.col("a").alias("d")).agg(F.sum("n").alias("linked"))
+    names = _named(classes, found.where("n is null").select("a", "b"))
+    links = classes.select("d", "size").join(per, "d", "left").select("d", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+    whole = written(names.join(links, "d"), "names")
+    return sets.select("doc_id", "n", "d").join(whole, "d", "left").selectExpr("doc_id", "n as n_shingles", _ALONE, "case when n = 0 then 0L else links end as n_links")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -32,6 +32,10 @@ def op5_signature_trees(spark, sf_dir):
     return jaccard.similar_components(read_table(spark, sf_dir, "documents"))
 
 
+def op5_link_counts(spark, sf_dir):
+    return jaccard.link_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op6_risk_controlled_rules(spark, sf_dir):
     return quality.assess(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_permutation_table(spark, sf_dir):
     return sharding.place(read_table(spark, sf_dir, "documents"), ["doc_id"], sharding.build_table(SHARDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_table, op2_kneser_ney, op3_quotation_links, op4_simhash, op5_signature_trees, op6_risk_controlled_rules, op7_sainte_lague_mix, op8_weak_supervision, op9_two_tier_bpe, op10_permutation_table)}
+QUERIES = {f.__name__: f for f in (op1_token_table, op2_kneser_ney, op3_quotation_links, op4_simhash, op5_signature_trees, op6_risk_controlled_rules, op7_sainte_lague_mix, op8_weak_supervision, op9_two_tier_bpe, op10_permutation_table, op5_link_counts)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,6 +72,8 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.c, d
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT u, min(v) AS c FROM r GROUP BY u) c ON c.u = d.doc_id
 """
 
+OP5_LINKS_SQL = OP5_SQL.replace("AS component_id", "AS component_id, coalesce(k.k, 0) AS n_links") + "LEFT JOIN (SELECT u, count(*) AS k FROM e GROUP BY u) k ON k.u = d.doc_id"
+
 
 def _op6_sql() -> str:
     rules = quality.RULES
@@ -115,4 +121,4 @@ FROM placed p JOIN runs r ON p.source IS NOT DISTINCT FROM r.source AND p.shard
 """
 
 
-ORACLES: dict[str, str] = {"op5_signature_trees": OP5_SQL.strip(), "op6_risk_controlled_rules": _op6_sql().strip(), "op7_sainte_lague_mix": _op7_sql().strip()}
+ORACLES: dict[str, str] = {"op5_signature_trees": OP5_SQL.strip(), "op5_link_counts": OP5_LINKS_SQL.strip(), "op6_risk_controlled_rules": _op6_sql().strip(), "op7_sainte_lague_mix": _op7_sql().strip()}

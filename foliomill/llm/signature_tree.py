@@ -59,11 +59,14 @@ class SetForest:
             held = self.mark[np.concatenate([self.tokens[self.at[j] : self.at[j + 1]] for j in part])]
             starts = np.concatenate([[0], np.cumsum(self.size[part])[:-1]])
             both = np.add.reduceat(held.astype(np.int64), starts)
-            for j in part[self.den * both >= self.num * (self.size[i] + self.size[part] - both)]:
-                a, b = self.find(i), self.find(int(j))
-                self.root[max(a, b)] = min(a, b)
+            self.found(i, part[self.den * both >= self.num * (self.size[i] + self.size[part] - both)])
         self.mark[own] = False
 
+    def found(self, i: int, others: np.ndarray) -> None:
+        for j in others:
+            a, b = self.find(i), self.find(int(j))
+            self.root[max(a, b)] = min(a, b)
+
     def tree(self, members: np.ndarray) -> tuple[np.ndarray, list[_Level]]:
         """Members in the order of leaves (like sizes and least hashes stand together), and the levels from leaves to root."""
         tier = np.floor(np.log(np.maximum(self.size[members], 1)) / np.log(self.den / self.num)) if self.num < self.den else self.size[members]
@@ -152,3 +155,37 @@ class SetForest:
         self.join(left, right)
         self.settle()
         return self.root
+
+
+class LinkCounter(SetForest):
+    """Sets with the summed weights of what each is linked with; no pair is passed over, as roots stay apart until merge().
+
+    A pair counts only if its members share none of their keys, so that of several tasks that see it just one counts it.
+    """
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int, weight: np.ndarray, keys: list[np.ndarray]):
+        super().__init__(sets, num, den)
+        self.weight, self.links, self.up = weight, np.zeros(self.n, dtype=np.int64), np.arange(self.n)
+        held = np.array([len(x) for x in keys])
+        _, codes = np.unique(np.concatenate([*keys, np.empty(0, np.int64)]), return_inverse=True)
+        self.keys = np.split(codes, np.cumsum(held)[:-1])
+        self.keyed, self.key_mark = held > 0, np.zeros(len(codes) + 1, dtype=bool)
+
+    def found(self, i: int, others: np.ndarray) -> None:
+        if not len(others):
+            return
+        apart = others[self.up[others] != self.up[i]]
+        if len(apart):
+            joined = np.unique(np.append(self.up[apart], self.up[i]))
+            self.up[np.isin(self.up, joined)] = joined[0]
+        if self.keyed[i]:
+            self.key_mark[self.keys[i]] = True
+            other = np.flatnonzero(self.keyed[others])
+            shared = np.array([self.key_mark[self.keys[j]].any() for j in others[other]], dtype=bool)
+            self.key_mark[self.keys[i]] = False
+            others = np.delete(others, other[shared])
+        self.links[i] += self.weight[others].sum()
+        self.links[others] += self.weight[i]
+
+    def merge(self) -> None:
+        self.root = self.up

@@ -138,3 +138,27 @@ def test_large_blocks_of_near_copies(spark, monkeypatch):
     ids = list(range(len(texts)))
     got = {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard.similar_components(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()}
     assert got == brute(ids, texts)
+
+
+def _near_copies(n, words=150):
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for _ in range(n):
+        t = list(base)
+        for _ in range(r.choice([1, 2, 4, 8])):
+            t[r.randrange(len(t))] = f"y{r.randrange(9999)}"
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [2048, 7])
+def test_every_link_is_counted_once(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    texts = corpus(7, 120) + _near_copies(60) + _near_copies(3)
+    s = sets_of(texts)
+    want = [sum(i != j and bool(s[i]) and bool(s[j]) and 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]) for j in range(len(s))) for i in range(len(s))]
+    ids = list(range(len(texts)))
+    got = jaccard.link_counts(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["n_links"]) for r in got} == set(zip(ids, want)) and len(got) == len(texts)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(ids, texts)
