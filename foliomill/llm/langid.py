@@ -14,7 +14,7 @@ Size. No gram is dropped: discounts, totals and continuation counts are taken ov
 put a gram into one of CELLS cells. All that orders above LOW look up for a place of a text lies in one cell, so the tasks build their part
 of a model by themselves. The driver builds only orders up to LOW, which grow with the square of the alphabet. Texts are scored in passes of
 some cells each, so that a worker holds about MODEL_GRAMS grams of the highest order; sums of the passes are added by the text's 128-bit hash.
-Languages beyond LANGUAGES (the rarest) are not learned.
+All languages are learned; a pass holds at most LANGUAGES of them.
 
 Defined cases: a text that is null or has no letter is `und`, score 0, not rejected; ties go to the first language by name; without any
 learned language all is `und`; texts of more than PIECE characters are read in pieces that start anew; a null id is never learned from;
@@ -358,12 +358,12 @@ class Trained:
 def train(rows: DataFrame) -> Trained | None:
     """The models of rows (lang, text); None without any gram. What reaches the driver is orders up to LOW and a number a language and slot."""
     counts = written(gram_counts(rows.where("lang is not null and text is not null").select("lang", "text")), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("grams")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    totals = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("grams")).collect()
     if not totals:
         return None
     langs = sorted(r["lang"] for r in totals)
     slots = min(CELLS, -(-sum(r["grams"] for r in totals) // SLOT_GRAMS))
-    dealt = counts.where(F.col("lang").isin(langs)).withColumn("slot", (F.col("cell") % slots).cast("int")).select("lang", "slot", "gram", "n")
+    dealt = counts.withColumn("slot", (F.col("cell") % slots).cast("int")).select("lang", "slot", "gram", "n")
     found = dealt.groupBy("lang", "slot").applyInArrow(_statistics, "lang string, k int, gram string, a long, b long")
     discounts: dict[str, dict[int, float]] = {x: {} for x in langs}
     pairs: dict[str, list[tuple[str, int]]] = {x: [] for x in langs}
@@ -377,7 +377,7 @@ def train(rows: DataFrame) -> Trained | None:
     parts = written(dealt.groupBy("lang", "slot").applyInArrow(_part(shared), "lang string, slot int, k int, grams binary, logs binary, contexts binary, weights binary"), "models")
     size = {(r["lang"], r["slot"]): r["n"] for r in parts.where(F.col("k") == ORDER).select("lang", "slot", (F.length("grams") / 8).cast("long").alias("n")).collect()}
     passes: list[tuple[list[str], list[int]]] = []
-    for own in [langs]:
+    for own in (langs[i : i + LANGUAGES] for i in range(0, len(langs), LANGUAGES)):
         held, room = [], 0
         for slot in range(slots):
             n = sum(size.get((x, slot), 0) for x in own)

@@ -138,3 +138,13 @@ def test_no_gram_is_dropped(spark, monkeypatch):
     got = sorted(map(str, langid.identify(docs).collect()))
     cut = lambda rows: [[x[:9] for x in r.split("=")] for r in rows]
     assert cut(got) == cut(whole)
+
+
+def test_all_languages_are_learned(spark, monkeypatch):
+    docs = _docs(spark, 300)
+    whole = sorted(map(str, langid.identify(docs).collect()))
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    got = langid.identify(docs).collect()
+    assert {r["lang_pred"] for r in got} == {"aa", "bb", "cc", "und"}
+    cut = lambda rows: [[x[:9] for x in r.split("=")] for r in rows]
+    assert cut(sorted(map(str, got))) == cut(whole)
