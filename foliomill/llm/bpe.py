@@ -5,12 +5,18 @@ the driver, leads to it, and the stored bytes confirm the match. Tier two. A pre
 of its bytes; a heap holds the ranks of neighbouring pairs, stale entries are passed over, and the lowest rank (leftmost at a tie)
 is merged until none is left.
 
-Defined cases: a null or empty text has no ids and decodes to no bytes; ids keep the order of the text; repeated rows are encoded alike.
+Letters, digits and blanks are those of tiktoken's tables: code points that it classes otherwise are found once on the driver, and stand-ins
+take their place while a text is split.
+
+Defined cases: a null or empty text has no ids and decodes to no bytes; ids keep the order of the text; repeated rows are encoded alike, and
+rows that share an id are all kept; a text of any length is encoded whole; an empty table gives an empty table; other columns are left behind,
+but by with_tokens(), where columns of its names give way.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from array import array
 from collections.abc import Iterator
@@ -18,6 +24,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +48,31 @@ def read_ranks(path: str) -> list[bytes]:
     return tokens
 
 
+#: A letter, a digit, a blank and a mark that every version of the tables classes alike and no contraction holds.
+STAND_INS = {r"\p{L}": "\u0100", r"\p{N}": "\u00b2", r"\s": "\u2003", "": "\ufffc"}
+
+
+@functools.lru_cache(maxsize=1)
+def stand_ins() -> dict[int, str]:
+    """For each code point that tiktoken's tables class otherwise than those used here, one of the class it has there."""
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    single = {bytes([b]): b for b in range(256)}
+    out: dict[int, str] = {}
+    seen: set[str] = set()
+    wrong: set[str] = set()
+    for kind, stand_in in STAND_INS.items():
+        if not kind:
+            break
+        theirs = set(bytes(tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode())
+        ours = set(regex.findall(kind, every))
+        wrong |= theirs ^ ours
+        out |= {ord(c): stand_in for c in theirs - ours}
+        seen |= theirs
+    return out | {ord(c): STAND_INS[""] for c in wrong - seen}
+
+
 def _slot(h: int, shift: int, n: int) -> int:
     x = (h + shift * 0x9E3779B97F4A7C15) & _MASK
     x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & _MASK
@@ -86,12 +118,13 @@ class PerfectHash:
 
 
 class TwoTierBPE:
-    def __init__(self, tokens: list[bytes], table: PerfectHash, pattern: str):
+    def __init__(self, tokens: list[bytes], table: PerfectHash, pattern: str, classes: dict[int, str] | None = None):
+        """classes: as stand_ins() gives them, taken from there by default."""
         self.tokens, self.table = tokens, table
         rank = {t: i for i, t in enumerate(tokens)}
         self._byte = [rank[bytes([b])] for b in range(256)]
         self._pair = {(rank[t[:k]], rank[t[k:]]): i for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank}
-        self.encoder = PretokenEncoder(pattern, self._resolve)
+        self.encoder = PretokenEncoder(pattern, self._resolve, stand_ins=stand_ins() if classes is None else classes)
         lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self._len, self._off = lengths, np.cumsum(lengths) - lengths
         self._all = np.frombuffer(b"".join(tokens), dtype=np.uint8)
@@ -142,14 +175,14 @@ def as_lists(ids: np.ndarray, at: np.ndarray) -> pa.ListArray:
 def _coder(docs: DataFrame, ranks_path: str, pattern: str):
     """Broadcasts the vocabulary with its perfect hash (as large as the rank file, whatever the corpus)."""
     tokens = read_ranks(ranks_path)
-    shared = docs.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens)))
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens), stand_ins()))
     name = (hashlib.sha256(b"\0".join(tokens)).hexdigest(), pattern)
 
     def make() -> TwoTierBPE:
         """A worker process keeps its coder and caches from task to task."""
         if name not in _CODERS:
             _CODERS.clear()
-            _CODERS[name] = TwoTierBPE(*shared.value, pattern)
+            _CODERS[name] = TwoTierBPE(*shared.value[:2], pattern, shared.value[2])
         return _CODERS[name]
 
     return make

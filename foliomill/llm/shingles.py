@@ -1,36 +1,23 @@
 """Sets of word shingles as sorted 64-bit hashes, computed over whole batches of texts with numpy.
 
-Words are runs of bytes other than space and tab to carriage return, after A-Z are lower-cased. A word's hash sums a random value of each
-byte times a power of its place; a shingle's hash mixes those of its words in order. Texts are read in segments of about SEGMENT bytes cut
-at blanks, so memory doesn't grow with the length of a text beyond 8 bytes a word.
+Words are runs of bytes other than space and tab to carriage return, after A-Z are lower-cased. A word's hash mixes its bytes eight at a
+time; a shingle's hash mixes those of its words in order. Texts are read in segments of about SEGMENT bytes cut at blanks, so memory
+doesn't grow with the length of a text beyond 8 bytes a word.
+
+Defined cases: an empty or blank text has no words and an empty set; a text of fewer words than k is one shingle; a word longer than SEGMENT
+is read whole; repeated texts have equal sets; no texts give no sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from .hashing import chunk_hashes, mix
+
 SEGMENT = 1 << 20
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_BYTE[_BLANK] = 0
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_POWER = np.multiply.accumulate(np.full(4096, _STEP, dtype=np.uint64))
-_PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWER
-    if n > len(_POWER):
-        _POWER = np.multiply.accumulate(np.full(2 * n, _STEP, dtype=np.uint64))
-    return _POWER
+_PLACE = np.random.default_rng(20240607).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _segment(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -40,9 +27,8 @@ def _segment(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(full & np.concatenate([[True], ~full[:-1]]))
     if not len(first):
         return np.empty(0, np.uint64), first
-    place = np.arange(first[0], len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-    h = np.add.reduceat(_BYTE[a[first[0] :]] * _powers(int(place.max()) + 1)[place], first - first[0])
-    return _mix(h), first
+    stop = np.flatnonzero(full & np.concatenate([~full[1:], [True]])) + 1
+    return chunk_hashes(a, first, stop), first
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +71,13 @@ def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
     rolled = np.zeros(n, dtype=np.uint64)
     for j in range(min(k, n)):
         rolled[: n - j] += w[j:] * _PLACE[j]
-    rolled = _mix(rolled)
+    rolled = mix(rolled)
     sets = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= k:
             sets.append(np.unique(rolled[a : b - k + 1]))
         elif b > a:
-            sets.append(_mix((w[a:b] * _PLACE[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
+            sets.append(mix((w[a:b] * _PLACE[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
         else:
             sets.append(np.empty(0, np.uint64))
     return sets

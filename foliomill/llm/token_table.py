@@ -6,13 +6,15 @@ pages); row groups and page sizes are set, and the writer adds column and offset
 and a read of metadata never touches the ids.
 
 Defined cases: a null text is an empty one; a document without tokens holds only the end id; null ids come first; rows that repeat an id
-are all kept, ordered by a hash of their text; an empty table gives an empty table; other columns are left behind.
+are all kept, ordered by a hash of their text; a text of any length is encoded whole; an empty table gives an empty table; other columns are
+left behind.
 """
 
 from __future__ import annotations
 
 import contextlib
 import functools
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -49,11 +51,34 @@ def byte_letters() -> dict[int, str]:
 
 
 @functools.lru_cache(maxsize=1)
-def make_encoder(json_text: str, pattern: str):
+def doubtful_letters() -> str:
+    """A pattern of the code points that tables of different Unicode versions may class differently as letter, digit or neither.
+
+    Sure are those that an early version (3.2) and this one class alike, and those assigned since that are neither letters nor digits.
+    """
+    now, early = unicodedata.category, unicodedata.ucd_3_2_0.category
+    kind = lambda c: c[0] if c[0] in "LNZ" else c if c == "Cn" else "o"
+    ranges: list[list[int]] = []
+    for i in range(0x110000):
+        if 0xD800 <= i < 0xE000:
+            continue
+        a, b = kind(now(c := chr(i))), kind(early(c))
+        if a != "Cn" and (a == b or (a == "o" and b == "Cn")):
+            continue
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+@functools.lru_cache(maxsize=1)
+def make_encoder(json_text: str, pattern: str, doubtful: str | None = None):
     """(texts, tail) -> ids in a row and where each text's begin, as tokenizers' encode(text, add_special_tokens=False) gives them.
 
-    The library's own model encodes each distinct pre-token; a vocabulary with a normaliser or another pre-tokenizer, and texts
-    that hold an added token's string, go through the library whole. A worker process keeps its encoder and caches from task to task.
+    The library's own model encodes each distinct pre-token. A vocabulary with a normaliser or another pre-tokenizer, texts that hold
+    an added token's string, and texts with a letter whose class depends on the Unicode version (doubtful) go through the library
+    whole. A worker process keeps its encoder and caches from task to task.
     """
     import json
 
@@ -77,7 +102,11 @@ def make_encoder(json_text: str, pattern: str):
     if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or spec["model"].get("dropout"):
         marked = lambda texts: np.ones(len(texts), dtype=bool)
     else:
-        marked = lambda texts: np.logical_or.reduce([np.zeros(len(texts), dtype=bool), *[pc.match_substring(texts, a).to_numpy(zero_copy_only=False) for a in added]])
+        doubtful = doubtful or doubtful_letters()
+
+        def marked(texts: pa.StringArray) -> np.ndarray:
+            found = [pc.match_substring(texts, a).to_numpy(zero_copy_only=False) for a in added]
+            return np.logical_or.reduce([pc.match_substring_regex(texts, doubtful).to_numpy(zero_copy_only=False), *found])
 
     def encode(texts: pa.StringArray, tail: bytes) -> tuple[np.ndarray, np.ndarray]:
         odd = marked(texts)
@@ -109,10 +138,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        vocabulary = spark.sparkContext.broadcast(f.read())
+        vocabulary = spark.sparkContext.broadcast((f.read(), doubtful_letters()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, shard, start = make_encoder(vocabulary.value, pattern), TaskContext.get().partitionId(), 0
+        to_ids, shard, start = make_encoder(vocabulary.value[0], pattern, vocabulary.value[1]), TaskContext.get().partitionId(), 0
         tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for part in slices(batch, 1):

@@ -85,6 +85,15 @@ def test_random_strings_on_both_encoders():
     r = random.Random(5)
     ids, at = two.encoder.encode_many(pa.array(["a b c", "", "x  y", "the cat, sat. on;"]), b"\1\0\0\0")
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*enc.encode_ordinary(t), 1] for t in ("a b c", "", "x  y", "the cat, sat. on;")]
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    pair = f"q {word} and {word.translate(str.maketrans('ab', 'ba'))} end"  # equal under any polynomial hash with an odd step
+    assert own(pa.array([pair]), b"")[0].tolist() == library.encode(pair, add_special_tokens=False).ids
+    assert two.encode(pair).tolist() == enc.encode_ordinary(pair)
+    planes = (0x80, 0x800, 0x3000, 0x10000, 0x20000, 0x110000)
+    wild = ["".join(r.choice(" \n\t a1.") if r.random() < 0.3 else chr(c) for c in (r.randrange(r.choice(planes)) for _ in range(r.randrange(1, 16))) if not 0xD800 <= c < 0xE000) for _ in range(20_000)]
+    for encode, want in ((lambda x: own(x, b""), [e.ids for e in library.encode_batch(wild, add_special_tokens=False)]), (two.encoder.encode_many, enc.encode_ordinary_batch(wild))):
+        ids, at = encode(pa.array(wild))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
     parts = [" ", "  ", "\n", " \n", "\t", " ", "　", "a", "the", "é", "漢字", "²", "'s", "'S", "!?", "😀", "́", "_", "42"]
     for _ in range(3000):
         s = "".join(r.choice(parts) for _ in range(r.randrange(20)))
@@ -92,6 +101,28 @@ def test_random_strings_on_both_encoders():
         assert two.encode(s).tolist() == enc.encode_ordinary(s)
 
 
+def test_pieces_of_one_hash_are_told_apart():
+    from foliomill.llm.pretokens import _Known
+
+    known = _Known(10)
+    raw = np.frombuffer(b"abcd" + b"abcx" + b"ab", dtype=np.uint8)
+    h, at = np.array([7, 7, 7], dtype=np.uint64), np.array([0, 4, 8, 10])
+    off, n = known.add(h[:1], [b"abcd"], [b"\1\0\0\0\2\0\0\0"])
+    got = known.find(h, raw, at)
+    assert got[0].tolist() == [off[0], -1, -1] and got[1].tolist() == [2, 0, 0]
+
+
+def test_a_text_larger_than_a_slice(spark):
+    text = "The quick brown fox, jumps over 13 dogs. " * 110_000
+    df = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    tokens = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    got = {r["doc_id"]: r for r in bpe.round_trip_digests(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()}
+    assert got[1]["n_tokens"] == len(enc.encode_ordinary(text)) and got[1]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    sums = {r["doc_id"]: r["n_tokens"] for r in token_table.encode_and_digest(df, P.path("byte_bpe_50k.json"), P.PATTERN).collect()}
+    assert sums[1] == len(Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids) + 1
+
+
 def test_copied_columns_do_not_clash(spark):
     df = spark.createDataFrame([(1, "a", "b", 2)], "doc_id long, text string, tokens string, shard int")
     assert bpe.encode(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).columns == ["doc_id", "tokens"]
