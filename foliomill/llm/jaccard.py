@@ -1,8 +1,8 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a similarity of 0.75 or more, and their components.
 
 Exact, in four steps.
-1. Sets. Each text gives its set's size, a digest (equal sets are one class) and a prefix. Shingles are ordered by (frequent, hash), where
-   the frequent ones are those of many documents in a bounded sample: the order only steers cost, any order gives the same links. With n
+1. Sets. Each text gives its set's size, a digest of 128 bits (equal sets are one class) and a prefix. Shingles are ordered by (frequent,
+   hash), where the frequent ones are those of many documents in a bounded sample: the order only steers cost, any order gives the same links. With n
    members, a set that is linked shares at least ceil(3n/4) of them, so of its first n - ceil(3n/4) + k members at least k are shared,
    and lie in the partner's prefix too, for whichever of the two prefixes ends first. k is n / 10.
 2. Blocks. Shingles of a prefix that only one class has are dropped; the others lead to a block, named by the least class that has them. A
@@ -61,20 +61,23 @@ def _spare(n):
     return np.maximum(1, n // 10)
 
 
-def prefix(values: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+def prefix(values: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The members of a set's prefix that aren't frequent, and those that are."""
     n = len(values)
-    if not n:
-        return values
-    if len(frequent):
+    often = np.zeros(n, dtype=bool)
+    if n and len(frequent):
         at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
         often = frequent[at] == values
-        values = np.concatenate([values[~often], values[often]])
-    return values[: n - _least(n, num, den) + int(_spare(n))]
+    keep = n - _least(n, num, den) + int(_spare(n)) if n else 0
+    rare = values[~often][:keep]
+    return rare, values[often][: keep - len(rare)]
 
 
-def digest(values: np.ndarray) -> int:
-    h = xxhash.xxh3_64_intdigest(values.tobytes())
-    return h - (1 << 64) if h >> 63 else h
+def digest(values: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest(values.tobytes())
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return signed(h & ((1 << 64) - 1)), signed(h >> 64)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -99,23 +102,38 @@ def frequent_shingles(rows: DataFrame, n: int, k: int) -> np.ndarray:
 
 
 def shingled(rows: DataFrame, frequent: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, t (hash of the text), n, d (digest), prefix of each row; a task gives the prefix of a digest once, none after that."""
+    """doc_id, t and u (hashes of the text), n, d and e (digest), prefix, often of each row.
+
+    prefix and often are as prefix() gives them; a task gives those of a digest once, none after that.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
-                sets = shingle_sets([t or "" for t in part.column(2).to_pylist()], k)
+                sets = shingle_sets([t or "" for t in part.column(3).to_pylist()], k)
                 ds = [digest(s) for s in sets]
                 heads = []
                 for d, s in zip(ds, sets):
-                    heads.append(s[:0] if d in seen else prefix(s, shared.value, num, den))
+                    heads.append((s[:0], s[:0]) if d in seen else prefix(s, shared.value, num, den))
                     seen.add(d)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ds, pa.int64()), _lists(heads)], names=["doc_id", "t", "n", "d", "prefix"])
+                numbers = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [d for d, _ in ds], [e for _, e in ds])]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *numbers, *(_lists([h[j] for h in heads]) for j in (0, 1))], names=["doc_id", "t", "u", "n", "d", "e", "prefix", "often"])
+
+    return rows.select("doc_id", "t", "u", "text").mapInArrow(run, "doc_id long, t long, u long, n long, d long, e long, prefix array<long>, often array<long>")
+
 
-    return rows.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, n long, d long, prefix array<long>")
+def one_set_each(sets: DataFrame) -> DataFrame:
+    """sets, with a d of its own for each (d, e): of sets whose digests share only d, all but one are renamed. Most often nothing is."""
+    shared = sets.where("n > 0").groupBy("d").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).where("lo <> hi").drop("hi")
+    shared = written(shared, "shared-digests")
+    if not shared.limit(1).count():
+        return sets
+    names = bounded(shared.withColumnRenamed("d", "_d"))
+    own = F.when((F.col("e") == F.col("lo")) | F.col("lo").isNull(), F.col("d")).otherwise(F.xxhash64("d", "e"))
+    return sets.join(names, F.col("d") == F.col("_d"), "left").withColumn("d", own).drop("_d", "lo")
 
 
 def blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -123,6 +141,10 @@ def blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
     posted = sets.select(F.explode("prefix").alias("token"), "d", "n")
     whole = Window.partitionBy("token")
     shared = posted.select("token", "d", "n", F.min("d").over(whole).alias("pivot"), F.max("d").over(whole).alias("top")).where("pivot <> top").dropDuplicates(["token", "d"])
+    # a frequent shingle may stand in any share of all sets: its ends are aggregated before a shuffle, and there are FREQUENT at most
+    hot = written(sets.select(F.explode("often").alias("token"), "d", "n").dropDuplicates(["token", "d"]), "hot")
+    ends = written(hot.groupBy("token").agg(F.min("d").alias("pivot"), F.max("d").alias("top")).where("pivot <> top"), "ends")
+    shared = shared.unionByName(hot.join(F.broadcast(ends), "token").select("token", "d", "n", "pivot", "top"))
     per = shared.repartition("d").groupBy("d", "n", "pivot").agg(F.count(F.lit(1)).alias("tokens"))
     least = F.ceil(F.lit(num) * F.col("n") / den)
     need = F.greatest(F.floor(least / 10), F.lit(1))
@@ -144,14 +166,16 @@ def sized(rows: DataFrame, *more) -> DataFrame:
 
 
 def _task(f, k: int, num: int, den: int):
-    """An Arrow function over a task's rows (d, text, left, right, linked): f(forest, left, right, linked) links, the roots are returned."""
+    """An Arrow function over a task's rows (d, text, left, right, linked): f(forest, left, right, linked) links, the roots are returned.
+
+    Rows of one class hold one text.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         cls = table.column("d").to_numpy()
         sets, at = shingle_sets([t or "" for t in table.column("text").to_pylist()], k), {}
-        for i, s in enumerate(sets):  # a text that only shares the hash of the one meant has another digest
-            if digest(s) == cls[i]:
-                at.setdefault(int(cls[i]), []).append(i)
+        for i, c in enumerate(cls.tolist()):
+            at.setdefault(c, []).append(i)
         if len(at) < 2:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         flag = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right", "linked")}
@@ -192,8 +216,8 @@ def forest(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     shingles lead there; only classes that aren't linked to it are then compared with all, chunk by chunk.
     """
     none = F.lit(False)
-    flags = lambda df, left, right=none, linked=none: df.select("pivot", "i", "j", "d", "t", left.alias("left"), right.alias("right"), linked.alias("linked"))
-    run = lambda rows, f: rows.join(texts, "t").groupBy("pivot", "i", "j").applyInArrow(_task(f, k, num, den), "a long, b long")
+    flags = lambda df, left, right=none, linked=none: df.select("pivot", "i", "j", "d", "t", "u", left.alias("left"), right.alias("right"), linked.alias("linked"))
+    run = lambda rows, f: rows.join(texts, ["t", "u"]).groupBy("pivot", "i", "j").applyInArrow(_task(f, k, num, den), "a long, b long")
     sizes = written(sized(members, F.max_by("d", F.struct("tokens", "d")).alias("centre")).where("members > 1"), "sizes")
     placed = written(members.join(bounded(sizes), "pivot"), "members")
     small = placed.where("chunks = 1").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
@@ -222,9 +246,8 @@ def _count_task(k: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         cls = table.column("d").to_numpy()
         sets, at = shingle_sets([t or "" for t in table.column("text").to_pylist()], k), {}
-        for i, s in enumerate(sets):  # as in _task
-            if digest(s) == cls[i]:
-                at.setdefault(int(cls[i]), i)
+        for i, c in enumerate(cls.tolist()):
+            at.setdefault(c, i)
         own, rows = np.array(list(at), dtype=np.int64), np.array(list(at.values()), dtype=np.int64)
         if len(own) < 2:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
@@ -249,8 +272,8 @@ def counted(members: DataFrame, texts: DataFrame, classes: DataFrame, k: int, nu
     # each pair of chunks is a task, also a chunk with itself
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pairs = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    rows = pairs.select("pivot", "i", "j", "d", "t", "size", "lesser", (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"))
-    return rows.join(texts, "t").groupBy("pivot", "i", "j").applyInArrow(_count_task(k, num, den), "a long, b long, n long")
+    rows = pairs.select("pivot", "i", "j", "d", "t", "u", "size", "lesser", (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"))
+    return rows.join(texts, ["t", "u"]).groupBy("pivot", "i", "j").applyInArrow(_count_task(k, num, den), "a long, b long, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -272,13 +295,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _meeting(docs: DataFrame, num: int, den: int, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """sets, classes, members of blocks and texts of those, as tables."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.xxhash64(F.lit("u"), text_col).alias("u"), F.col(text_col).alias("text"))
     frequent = frequent_shingles(rows, rows.count(), k)
-    sets = written(shingled(rows, frequent, k, num, den), "sets")
-    classes = written(sets.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.count(F.lit(1)).alias("size")), "classes")
-    members = written(written(blocks(sets, num, den), "blocks").join(classes.select("d", "t"), "d"), "meeting")
-    # one text of each hash; equal ones are merged in their tasks before they move
-    texts = written(rows.select("t", "text").join(bounded(members.select("t").distinct()), "t", "left_semi").groupBy("t").agg(F.min("text").alias("text")), "texts")
+    sets = one_set_each(written(shingled(rows, frequent, k, num, den), "sets"))
+    classes = written(sets.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.min_by("u", "t").alias("u"), F.count(F.lit(1)).alias("size")), "classes")
+    members = written(written(blocks(sets, num, den), "blocks").join(classes.select("d", "t", "u"), "d"), "meeting")
+    # one text of each pair of hashes; equal ones are merged in their tasks before they move
+    texts = written(rows.select("t", "u", "text").join(bounded(members.select("t", "u").distinct()), ["t", "u"], "left_semi").groupBy("t", "u").agg(F.min("text").alias("text")), "texts")
     return sets, classes, members, texts
 
 
@@ -312,6 +335,9 @@ def link_counts(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = SHINGL
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose id isn't the one that names their component."""
+    """docs without the rows whose id isn't the one that names their component.
+
+    All rows of an id that names a component stay, and so do rows whose id is null: they can't be told apart by id.
+    """
     found = similar_components(docs, **options)
     return without(docs, found.where("component_id <> doc_id").select("doc_id").distinct())

@@ -68,6 +68,22 @@ def test_shingle_sets():
     assert (shingles.shingle_sets([texts[i].upper()])[0] == shingles.shingle_sets([texts[i].lower()])[0]).all()
 
 
+def test_words_of_a_repeating_pattern_are_told_apart():
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    a, b = shingles.shingle_sets([f"{word} one two three four five", f"{other} one two three four five"])
+    assert len(a) == len(b) == 2 and len(np.intersect1d(a, b)) == 1
+    many = shingles.shingle_sets([f"w{i} " * 1 + "x" * (i % 37) for i in range(50_000)])
+    assert len(np.unique(np.concatenate(many))) == len({(f"w{i}", "x" * (i % 37)) for i in range(50_000)})
+
+
+def test_sets_that_share_half_a_digest_stay_apart(spark):
+    rows = [(1, 5, 7, 1), (2, 5, 8, 1), (3, 5, 7, 1), (4, 6, 7, 1), (5, 0, 0, 0)]
+    got = jaccard.one_set_each(spark.createDataFrame(rows, "doc_id long, d long, e long, n long")).collect()
+    d = {r["doc_id"]: r["d"] for r in got}
+    assert d[1] == d[3] == 5 and d[2] not in (5, 6) and d[4] == 6 and len(got) == 5
+
+
 @pytest.mark.parametrize("seed", [2, 3])
 def test_tree_equals_all_pairs(seed):
     texts = [t or "" for t in corpus(seed, 400)]
@@ -118,7 +134,7 @@ def test_a_star_names_its_centre():
 
     base = [f"w{i}" for i in range(80)]
     texts = [" ".join(base[:j] + ["x"] + base[j + 1 :]) for j in range(3, 60, 6)] + [" ".join(base), "quite another text of some words"]
-    d = [jaccard.digest(x) for x in shingles.shingle_sets(texts)]
+    d = [jaccard.digest(x)[0] for x in shingles.shingle_sets(texts)]
     n = len(texts)
     table = pa.table({"d": d, "text": texts, "left": [i == n - 2 for i in range(n)], "right": [False] * n, "linked": [False] * n})
     got = jaccard._task(jaccard._star, 5, 75, 100)(table)
