@@ -2,7 +2,7 @@
 
 A line's quote level is the number of > that lead it. Consecutive lines of one level are a passage; level 0 is the message's own text, less
 a line that only announces a quote. Passages are normalised (lower case, runs of anything but letters and digits as one blank) and
-hashed, whole, by paragraph and by line. Quoted passages are joined, within a conversation, to the first message whose own text has such a
+hashed, whole, by paragraph, by line and by sentence. Quoted passages are joined, within a conversation, to the first message whose own text has such a
 passage; the longest unit of a passage that is found names its original. A message's parent is the original of its outermost quotes that
 covers most characters.
 
@@ -14,8 +14,8 @@ Scale. Own passages are reduced to one row a conversation and hash before the jo
 there and the other side is split where it is hot; no pairs are made.
 
 Defined cases: null text is empty; a message without quotes, or whose quotes aren't found in an earlier turn, has no parent; nulls in
-conv_id or turn are never linked and come first; rows that repeat a turn are all kept and share a parent; quotes of units under
-SHORTEST normalised characters aren't linked; an empty table gives an empty table; other columns are left behind.
+conv_id or turn are never linked and come first; rows that repeat a turn are all kept and share a parent; units of any length are linked
+if they hold a letter or digit, ties going to the earliest turn; an empty table gives an empty table; other columns are left behind.
 """
 
 from __future__ import annotations
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SHORTEST = 12
 _LEAD = re.compile(r"^((?:[ \t]{0,2}>)+)[ \t]?")
 # Fixed forms of a line that announces a quote.
 ANNOUNCES = re.compile(r"^\s*(?:on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,80}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)\s*:\s*$", re.I)
 _GAP = re.compile(r"[\W_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def passages(text: str) -> list[tuple[int, str]]:
@@ -62,11 +62,11 @@ def normal(text: str) -> str:
 
 
 def units(text: str) -> list[tuple[int, str]]:
-    """(rank, normalised unit): the whole passage (0), its paragraphs (1) and lines (2); short and repeated units are left out."""
+    """(rank, normalised unit): the whole passage (0), its paragraphs (1), lines (2) and sentences (3); repeated units are left out."""
     seen, out = set(), []
-    for rank, parts in enumerate(([text], re.split(r"\n\s*\n", text), text.split("\n"))):
+    for rank, parts in enumerate(([text], re.split(r"\n\s*\n", text), text.split("\n"), _SENTENCE.split(text))):
         for p in parts:
-            if len(n := normal(p)) >= SHORTEST and n not in seen:
+            if (n := normal(p)) and n not in seen:
                 seen.add(n)
                 out.append((rank, n))
     return out

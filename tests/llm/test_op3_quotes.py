@@ -47,12 +47,18 @@ def test_links_and_order_against_the_truth(spark):
         assert [(r["thread"], r["turn"]) for r in own] == sorted((r["thread"], r["turn"]) for r in own)
 
 
+def test_a_sentence_of_a_line_is_found(spark):
+    rows = [(1, 0, "u", "First thought. Second one, longer! Ok?"), (1, 1, "u", "> second one, longer!\nyes"), (1, 2, "u", "> ok\n> first thought"), (1, 3, "u", "> Yes!")]
+    got = {r["turn"]: r["parent_turn"] for r in quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: 0, 2: 0, 3: 1}
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(1, 0, "u", "a long enough line"), (1, 1, None, "> a long enough line\nyes"), (1, 1, None, "> a long enough line\nyes"), (1, 2, "u", "> nobody said this line"), (1, 3, "u", None), (None, 0, "u", "a long enough line"), (None, 1, "u", "> a long enough line"), (2, None, "u", "> a long enough line"), (1, 4, "u", "> yes"), (1, 0, "u", "> a long enough line")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = quotes.reply_order(df).collect()
     assert len(got) == len(rows)
-    assert sorted((r["turn"], r["parent_turn"]) for r in got if r["conv_id"] == 1 and r["parent_turn"] is not None) == [(1, 0), (1, 0)]
+    assert sorted((r["turn"], r["parent_turn"]) for r in got if r["conv_id"] == 1 and r["parent_turn"] is not None) == [(1, 0), (1, 0), (4, 1)]
     assert all(r["parent_turn"] is None for r in got if r["conv_id"] != 1)
     assert sorted(r["position"] for r in got if r["conv_id"] == 1) == list(range(7))
     assert quotes.reply_order(df.where("false")).count() == 0
