@@ -9,7 +9,8 @@ Scale. Only ids, sources and sizes are shuffled. A hot source is dealt over as m
 near the final quotas (about four a source or shard), never one by one from zero.
 
 Defined cases: null text has size 0 and takes 0; a null source is a source and comes last; a source of size 0 has target 0; an empty
-table gives an empty table; repeated rows are separate documents; other columns are ignored.
+table gives an empty table; repeated rows are separate documents, and rows that tie in the seeded order (equal ids) go by size; a text longer
+than a block spans several and may be taken in part; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,14 +1,17 @@
 """Quality rules whose cutoffs are risk-controlled: DataFrame functions only.
 
-Each rule rejects a document whose value lies above a cutoff. Labelled good documents are a holdout: for every stratum and rule the
-cutoffs of a fixed grid are tested from the loosest to the strictest, and the last is taken for which the exact binomial test still shows
-that at most `limit` of good documents are lost. Testing in a fixed order needs no correction within a grid; over rules and strata the
-error `delta` is shared out evenly (Bonferroni), so with probability 1 - delta all limits hold at once. A stratum without evidence
-gets no cutoff and only the base rules reject there.
+Each rule rejects a document whose value lies above a cutoff. The cutoffs of all rules are tightened together, along the steps of one fixed
+grid: a document's step is the highest that one of its values reaches. Labelled good documents are a holdout: for every stratum the steps are
+tested from the loosest to the strictest, and the last is taken for which the exact binomial test still shows that all rules together
+lose at most `limit` of the good documents. Testing in a fixed order needs no correction within a grid. Over strata the error `delta` is
+shared out evenly (Bonferroni) among those that hold enough labelled documents to pass at all, which their number alone decides; so
+with probability 1 - delta all limits hold at once. A stratum without evidence gets no cutoff and only the base rules reject there.
+
+Scale. One pass over the texts without a shuffle; of labelled documents only counts by stratum and step are collected, 201 rows a stratum.
 
 Defined cases: a null text has no words; an empty table gives an empty table; a null stratum is a stratum of its own; a document labelled
-both ways is left out of the holdout, one labelled twice alike counts once; repeated rows are judged alike; documents of any
-length are judged whole; other columns of the input are ignored or kept, never read.
+both ways is left out of the holdout, one labelled twice alike counts once; strata with equal numbers of labels fare alike; repeated rows are
+judged alike; documents of any length are judged whole; other columns of the input are ignored or kept, never read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from .common import BLANKS, without, word_count, words, written
 
 #: The base rules: fewest words, and the largest percentage of repeated words.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
-#: Of good documents a rule may lose so many in a stratum; the chance that any limit is broken.
+#: Of good documents the rules may lose so many in a stratum; the chance that any limit is broken.
 LIMIT, DELTA = 0.01, 0.05
 #: Rule: lowest cutoff, highest cutoff. Cutoffs lie on GRID equal steps between them.
 RULES = {
@@ -116,29 +119,25 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(feats: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff, lost, n: the strictest cutoff of each stratum and rule that the holdout certifies.
+    """stratum, rule, cutoff, lost, n: the strictest cutoffs of each stratum that the holdout certifies; lost and n are those of all rules.
 
-    Good documents are counted by stratum, rule and grid step before anything is shuffled, so a hot stratum is a few rows.
+    Good documents are counted by stratum and grid step before anything is shuffled, so a hot stratum is a few rows.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = 1 and hi = 1").select("doc_id")
     held = feats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
     step = lambda r: F.least(F.greatest(F.ceil((F.col(r) - RULES[r][0]) / ((RULES[r][1] - RULES[r][0]) / GRID)), F.lit(0)), F.lit(GRID)).cast("int")
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), step(r).alias("step")) for r in RULES]))
-    counted = held.select("stratum", each.alias("x")).groupBy("stratum", "x.rule", "x.step").agg(F.count(F.lit(1)).alias("docs"))
-    own = Window.partitionBy("stratum", "rule")
-    tests = counted.select("stratum", "rule", "docs", "step", F.sum("docs").over(own).alias("n"))
+    counted = held.groupBy("stratum", F.greatest(*[step(r) for r in RULES]).alias("step")).agg(F.count(F.lit(1)).alias("docs"))
+    per = counted.groupBy("stratum").agg(F.sum("docs").alias("n"), F.collect_list(F.struct("step", "docs")).alias("hist"))
+    # one row a stratum: those that could pass without any loss share delta
+    able = F.col("n") * math.log1p(-limit) <= F.log(delta / F.row_number().over(Window.orderBy(F.col("n").desc())))
+    per = per.withColumn("able", able).withColumn("share", F.sum(F.col("able").cast("long")).over(Window.partitionBy())).where("able")
     # a cutoff at step c loses the documents of higher steps
-    at = tests.groupBy("stratum", "rule", "n").agg(F.collect_list(F.struct("step", "docs")).alias("hist"))
-    grid = at.select("stratum", "rule", "n", "hist", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("c"))
+    grid = per.select("stratum", "n", "hist", "share", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("c"))
     lost = F.aggregate(F.filter("hist", lambda x: x["step"] > F.col("c")), F.lit(0).cast("long"), lambda a, x: a + x["docs"])
-    grid = grid.select("stratum", "rule", "n", "c", lost.alias("lost"))
-    share = grid.select("stratum").distinct().agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
-    passed = grid.crossJoin(F.broadcast(share)).where(binomial_tail(F.col("lost"), F.col("n"), limit) <= delta / (len(RULES) * F.col("strata")))
-    best = passed.groupBy("stratum", "rule", "n").agg(F.min(F.struct("c", "lost")).alias("best"))
-    value = F.lit(None).cast("double")
-    for r, (lo, hi) in RULES.items():
-        value = F.when(F.col("rule") == r, lo + F.col("best.c") * ((hi - lo) / GRID)).otherwise(value)
-    return best.select("stratum", "rule", value.alias("cutoff"), F.col("best.lost").alias("lost"), "n")
+    passed = grid.select("stratum", "n", "share", "c", lost.alias("lost")).where(binomial_tail(F.col("lost"), F.col("n"), limit) <= delta / F.col("share"))
+    best = passed.groupBy("stratum", "n").agg(F.min(F.struct("c", "lost")).alias("best"))
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), (lo + F.col("best.c") * ((hi - lo) / GRID)).alias("cutoff")) for r, (lo, hi) in RULES.items()]))
+    return best.select("stratum", "n", F.col("best.lost").alias("lost"), each.alias("x")).select("stratum", "x.rule", "x.cutoff", "lost", "n")
 
 
 def judge(feats: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from . import bpe, jaccard, langid, mixing, pii, quality, quotes, sharding, simhash, token_table
 from .common import read_table
@@ -24,8 +25,23 @@ def op3_quotation_links(spark, sf_dir):
     return quotes.reply_order(read_table(spark, sf_dir, "conversations"))
 
 
+def quoted_messages(spark, sf_dir):
+    """The conversations as mail would hold them: each message quotes the one before it, and at a second level the one before that."""
+    own = read_table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
+    before = own.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("p1"))
+    further = own.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("p2"))
+    all_three = own.join(before, ["conv_id", "turn"], "left").join(further, ["conv_id", "turn"], "left")
+    level = lambda c, mark: F.concat(F.lit(mark), F.replace(F.col(c), F.lit("\n"), F.lit("\n" + mark)))
+    quotes_ = F.concat(level("p1", "> "), F.coalesce(F.concat(F.lit("\n"), level("p2", ">> ")), F.lit("")), F.lit("\n\n"))
+    return all_three.select("conv_id", "turn", "role", F.concat(F.coalesce(quotes_, F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def op3_quoted_threads(spark, sf_dir):
+    return quotes.reply_order(quoted_messages(spark, sf_dir))
+
+
 def op4_simhash(spark, sf_dir):
-    return simhash.edited_likeness(read_table(spark, sf_dir, "documents"))
+    return simhash.near_counts(simhash.edited_likeness(read_table(spark, sf_dir, "documents")))
 
 
 def op5_signature_trees(spark, sf_dir):
@@ -56,7 +72,7 @@ def op10_permutation_table(spark, sf_dir):
     return sharding.place(read_table(spark, sf_dir, "documents"), ["doc_id"], sharding.build_table(SHARDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_table, op2_kneser_ney, op3_quotation_links, op4_simhash, op5_signature_trees, op6_risk_controlled_rules, op7_sainte_lague_mix, op8_weak_supervision, op9_two_tier_bpe, op10_permutation_table, op5_link_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_table, op2_kneser_ney, op3_quotation_links, op4_simhash, op5_signature_trees, op6_risk_controlled_rules, op7_sainte_lague_mix, op8_weak_supervision, op9_two_tier_bpe, op10_permutation_table, op5_link_counts, op3_quoted_threads)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,11 +91,27 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT u, min(v)
 OP5_LINKS_SQL = OP5_SQL.replace("AS component_id", "AS component_id, coalesce(k.k, 0) AS n_links") + "LEFT JOIN (SELECT u, count(*) AS k FROM e GROUP BY u) k ON k.u = d.doc_id"
 
 
+_NORMAL = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+OP3_SQL = rf"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+u AS (SELECT DISTINCT conv_id, turn, {_NORMAL.format("x")} AS unit FROM (SELECT conv_id, turn, unnest([text] || regexp_split_to_array(text, '\n\s*\n') || string_split(text, chr(10)) || string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS x FROM m)),
+f AS (SELECT conv_id, unit, min(turn) AS original FROM u GROUP BY conv_id, unit),
+q AS (SELECT a.conv_id, a.turn, a.role, a.text, nullif({_NORMAL.format("b.text")}, '') AS q1, nullif({_NORMAL.format("c.text")}, '') AS q2 FROM m a LEFT JOIN m b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 LEFT JOIN m c ON b.turn IS NOT NULL AND c.conv_id = a.conv_id AND c.turn = a.turn - 2),
+p AS (SELECT q.*, coalesce(x.original, y.original) AS parent_turn FROM q LEFT JOIN f x ON x.conv_id = q.conv_id AND x.unit = q1 LEFT JOIN f y ON y.conv_id = q.conv_id AND y.unit = q2),
+t AS (SELECT conv_id, turn, turn AS thread FROM p WHERE parent_turn IS NULL UNION ALL SELECT p.conv_id, p.turn, t.thread FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.parent_turn)
+SELECT p.conv_id, row_number() OVER (PARTITION BY p.conv_id ORDER BY thread, p.turn) - 1 AS position, p.turn, role, parent_turn, thread,
+  CAST(q1 IS NOT NULL AS BIGINT) + CAST(q2 IS NOT NULL AS BIGINT) AS n_quotes, CAST(q1 IS NOT NULL AS BIGINT) + CAST(q2 IS NOT NULL AS BIGINT) AS n_linked,
+  trim(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS text
+FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn
+"""
+
+
 def _op6_sql() -> str:
     rules = quality.RULES
     p, g = quality.LIMIT, quality.GRID
-    step = lambda r, lo, hi: f"SELECT stratum, '{r}' AS rule, CAST(least(greatest(ceil(({r} - {lo}::DOUBLE) / {(hi - lo) / g!r}::DOUBLE), 0), {g}) AS BIGINT) AS step FROM held"
-    cut = lambda r, lo, hi: f"max(CASE WHEN rule = '{r}' THEN {lo}::DOUBLE + c * {(hi - lo) / g!r}::DOUBLE END) AS cut_{r}"
+    step = lambda r, lo, hi: f"least(greatest(ceil(({r} - {lo}::DOUBLE) / {(hi - lo) / g!r}::DOUBLE), 0), {g})"
+    cut = lambda r, lo, hi: f"{lo}::DOUBLE + c * {(hi - lo) / g!r}::DOUBLE AS cut_{r}"
     failed = ", ".join(f"CASE WHEN {r} > cut_{r} + 1e-12 THEN '{r}' END" for r in rules)
     return f"""
 WITH d AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
@@ -91,10 +123,11 @@ f AS (SELECT doc_id, stratum, n_words, word_chars, n_symbols, len(lines) - len(l
   n_symbols / greatest(word_chars, 1) AS symbol_share, (len(lines) - len(list_distinct(lines))) / greatest(len(lines), 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share, word_chars / greatest(n_words, 1) AS mean_word_chars,
   (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) / greatest(word_chars, 1) AS upper_share, (length(t) - length(regexp_replace(t, '[!?]', '', 'g'))) / greatest(word_chars, 1) AS bang_share FROM b),
 held AS (SELECT * FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1)),
-steps AS ({" UNION ALL ".join(step(r, lo, hi) for r, (lo, hi) in rules.items())}),
-grid AS (SELECT stratum, rule, c, count(*) AS n, count(*) FILTER (WHERE step > c) AS lost FROM steps, (SELECT unnest(range(0, {g})) AS c) GROUP BY stratum, rule, c),
-best AS (SELECT stratum, rule, min(c) AS c FROM grid WHERE lost < n * {p} AND list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {quality.DELTA} / ({len(rules)} * (SELECT count(DISTINCT coalesce(stratum, '')) FROM grid)) GROUP BY stratum, rule),
-cuts AS (SELECT stratum AS cut_stratum, {", ".join(cut(r, lo, hi) for r, (lo, hi) in rules.items())} FROM best GROUP BY stratum)
+steps AS (SELECT stratum, greatest({", ".join(step(r, lo, hi) for r, (lo, hi) in rules.items())}) AS step FROM held),
+able AS (SELECT stratum, count(*) OVER () AS share FROM (SELECT stratum, n, row_number() OVER (ORDER BY n DESC) AS place FROM (SELECT stratum, count(*) AS n FROM steps GROUP BY stratum)) WHERE n * ln(1 - {p}) <= ln({quality.DELTA} / place)),
+grid AS (SELECT s.stratum, share, c, count(*) AS n, count(*) FILTER (WHERE step > c) AS lost FROM steps s JOIN able a ON s.stratum IS NOT DISTINCT FROM a.stratum, (SELECT unnest(range(0, {g})) AS c) GROUP BY s.stratum, share, c),
+best AS (SELECT stratum, min(c) AS c FROM grid WHERE lost < n * {p} AND list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {quality.DELTA} / share GROUP BY stratum),
+cuts AS (SELECT stratum AS cut_stratum, {", ".join(cut(r, lo, hi) for r, (lo, hi) in rules.items())} FROM best)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed_rules) = 0 AS kept, failed_rules
 FROM (SELECT *, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed_rules FROM f LEFT JOIN cuts ON stratum IS NOT DISTINCT FROM cut_stratum)
 """
@@ -121,4 +154,4 @@ FROM placed p JOIN runs r ON p.source IS NOT DISTINCT FROM r.source AND p.shard
 """
 
 
-ORACLES: dict[str, str] = {"op5_signature_trees": OP5_SQL.strip(), "op5_link_counts": OP5_LINKS_SQL.strip(), "op6_risk_controlled_rules": _op6_sql().strip(), "op7_sainte_lague_mix": _op7_sql().strip()}
+ORACLES: dict[str, str] = {"op5_signature_trees": OP5_SQL.strip(), "op5_link_counts": OP5_LINKS_SQL.strip(), "op3_quoted_threads": OP3_SQL.strip(), "op6_risk_controlled_rules": _op6_sql().strip(), "op7_sainte_lague_mix": _op7_sql().strip()}

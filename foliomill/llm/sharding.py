@@ -4,6 +4,8 @@ Each shard walks the slots of a prime-sized table in an order of its own (an off
 claim their next free slot, a shard of weight w being given w turns a round, until the table is full. A key's hash picks a slot and so
 its shard: one lookup, even shares, and few keys move when a shard comes or goes.
 
+Two shards that want one slot: the one whose turn comes first has it, turns going by name. Keys may be texts of any length.
+
 Defined cases: a null key has a slot of its own hash like any key; equal keys share a shard, unless spread_by names columns that deal the
 rows of hot keys over `spread` places; an empty table gives an empty table; only key columns and the result are returned.
 """

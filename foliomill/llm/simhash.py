@@ -4,6 +4,8 @@ A text's terms are its lower-cased runs of five words (all words, where there ar
 hash votes with its weight for or against every bit, and the sign of the sum is the bit. Fingerprints within a Hamming radius r are found
 with permuted block tables: of b blocks at least b - r agree, so each choice of b - r blocks is a table keyed by those bits.
 
+near_counts() counts for every document the others within the radius: documents of one fingerprint are a class, only classes are compared.
+
 Scale. Two bits' votes share one long counter, so 32 sums serve 64 bits and partial sums never leave a task. The edited-text query deals
 documents by ranges of their id into small buckets; a bucket also gets a copy of the first row of the next one, so that one exchange of
 the text serves the order, the edit, both fingerprints and the comparison.
@@ -14,20 +16,20 @@ an empty table; null ids sort last in descending order; rows that share an id ar
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import BROADCAST_IDS, words, written
 from .quality import bound
 
 TERM_WORDS = 5
 #: Rows of a range bucket, and the most buckets: their boundaries are constants of the plan.
 BUCKET_ROWS, MOST_BUCKETS, COARSE = 256, 65_536, 64
-RADIUS, BLOCKS = 3, 6
-#: A key with more fingerprints than this is split by further blocks of its remaining bits.
-HOT_KEY = 256
+#: Blocks of the permuted tables; a key with more than HOT_KEY fingerprints is split by tables over the next, finer blocks.
+RADIUS, BLOCKS, HOT_KEY = 3, (6, 8, 16), 256
 
 
 def term_hashes(text: Column) -> Column:
@@ -140,28 +142,60 @@ def _mask(blocks: int, chosen: tuple[int, ...]) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def within_radius(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """a, b, distance: all pairs of different fingerprints (a < b) at most radius bits apart; prints has a long column fp.
+def within_radius(prints: DataFrame, radius: int = RADIUS, blocks: tuple[int, ...] = BLOCKS, hot: int = HOT_KEY) -> DataFrame:
+    """a, b, distance: all pairs of different fingerprints (a < b) at most radius bits apart, each once; prints has a long column fp.
 
-    Equal fingerprints are one row first, so copies never make pairs. A key that many fingerprints share is split by tables over 16
-    finer blocks before it is joined with itself.
+    Equal fingerprints are one row first, so copies never make pairs. Of the tables in which two agree only the first counts: the one of
+    the first blocks that agree. A key that many fingerprints share is split by finer tables before it is joined with itself; at the
+    last level a key leaves 12 bits open, so at most 4096 fingerprints meet.
+    """
+    rows = written(prints.select("fp").where("fp is not null").distinct(), "prints")
+    keys: list[str] = []
+    found = None
+    for depth, count in enumerate(blocks):
+        chosen = list(combinations(range(count), count - radius))
+        t, key = f"t{count}", f"key{count}"
+        masks = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_mask(count, c)).cast("long")).alias("key")) for i, c in enumerate(chosen)])
+        rows = rows.select("fp", *keys, F.explode(masks).alias("x")).select("fp", *keys, F.col("x.t").alias(t), F.col("x.key").alias(key))
+        keys = [*keys, t, key]
+        last = depth == len(blocks) - 1
+        sized = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        marked = rows.join(sized, keys)
+        marked = marked if last else written(marked, "keys")
+        few = marked if last else marked.where(F.col("n") <= hot)
+        left, right = few.select(F.col("fp").alias("a"), *keys), few.select(F.col("fp").alias("b"), *keys)
+        differ = F.col("a").bitwiseXOR(F.col("b"))
+        pairs = left.join(right, keys).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius))
+        # at each level the table is that of the first agreeing blocks: those passed over differ
+        for level in blocks[: depth + 1]:
+            passed = [[_mask(level, (k,)) for k in range(max(c)) if k not in c] for c in combinations(range(level), level - radius)]
+            skipped = F.get(F.from_json(F.lit(json.dumps(passed)), "array<array<bigint>>"), F.col(f"t{level}"))
+            pairs = pairs.where(F.forall(skipped, lambda m: differ.bitwiseAND(m) != 0))
+        pairs = pairs.select("a", "b", F.bit_count(differ).alias("distance"))
+        found = pairs if found is None else found.unionByName(pairs)
+        if last:
+            return found
+        rows = marked.where(F.col("n") > hot).select("fp", *keys)
+        if not rows.limit(1).count():
+            return found
+    return found
+
+
+def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints with n_near, how many other documents have a fingerprint at most radius bits away, and near_id, the least id of those and its own.
+
+    prints has doc_id and fingerprint (as text). Documents of one fingerprint are counted once for all; pairs are of different fingerprints.
     """
-    fps = prints.select("fp").where("fp is not null").distinct()
-
-    def tables(rows: DataFrame, count: int, keys: list[str]) -> DataFrame:
-        masks = [_mask(count, c) for c in combinations(range(count), count - radius)]
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)]))
-        return rows.select("fp", *keys, each.alias("x")).select("fp", *keys, F.col("x.t").alias(f"t{count}"), F.col("x.key").alias(f"key{count}"))
-
-    def pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
-        left, right = rows.select(F.col("fp").alias("a"), *keys), rows.select(F.col("fp").alias("b"), *keys)
-        distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-        return left.join(right, keys).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance"))
-
-    first, keys = tables(fps, blocks, []), [f"t{blocks}", f"key{blocks}"]
-    sized = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = first.join(sized, keys)
-    small = pairs(marked.where(F.col("n") <= HOT_KEY).select("fp", *keys), keys)
-    finer = blocks + 2 if blocks + 2 <= 16 else blocks
-    hot = tables(marked.where(F.col("n") > HOT_KEY).select("fp", *keys), finer, keys)
-    return small.union(pairs(hot, [*keys, f"t{finer}", f"key{finer}"])).distinct()
+    prints = written(prints, "fingerprints")
+    value = F.conv(F.col("fingerprint"), 16, -10).cast("long")
+    sized = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+    classes = written(sized.withColumn("fp", value), "classes")
+    pairs = within_radius(classes, radius)
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(classes.select(F.col("fp").alias("b"), "n", "least"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("others"), F.min("least").alias("other_least"))
+    near = classes.join(others, "fp", "left").where("n > 1 or others > 0").select(F.col("fingerprint").alias("_fingerprint"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), F.least("least", "other_least").alias("group_least"))
+    near = written(near, "near")
+    if near.count() <= BROADCAST_IDS:
+        near = F.broadcast(near)
+    joined = prints.join(near, F.col("fingerprint") == F.col("_fingerprint"), "left")
+    return joined.select(*prints.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce("group_least", "doc_id").alias("near_id"))

@@ -16,6 +16,23 @@ def test_table_is_full_even_and_stable():
     assert table == sharding.build_table(dict(reversed(shards.items())), 10_007)
 
 
+def test_table_against_a_plain_refill():
+    """Each shard's whole permutation is written out; turns are taken by popping its next slot that is still free."""
+    import xxhash
+
+    shards, size = {"a": 2, "b": 1, "c": 3}, 211
+    orders = {n: [(xxhash.xxh64(n, seed=1).intdigest() + k * (xxhash.xxh64(n, seed=2).intdigest() % (size - 1) + 1)) % size for k in range(size)] for n in shards}
+    assert all(sorted(o) == list(range(size)) for o in orders.values())
+    owner = {}
+    while len(owner) < size:
+        for n in sorted(shards):
+            for _ in range(shards[n]):
+                free = [s for s in orders[n] if s not in owner]
+                if free:
+                    owner[free[0]] = n
+    assert sharding.build_table(shards, size) == [owner[s] for s in range(size)]
+
+
 def test_weights():
     n = Counter(sharding.build_table({"a": 3, "b": 1}, 10_007))
     assert abs(n["a"] - 3 * n["b"]) <= 4
@@ -34,5 +51,8 @@ def test_place(spark):
     assert len(got) == 3 and all(r["shard"] == table[r["slot"]] for r in got)
     assert len({r["slot"] for r in got if r["doc_id"] == 1}) == 1
     assert sharding.place(df.where("false"), ["doc_id"], table).count() == 0
+    keys = spark.createDataFrame([(k,) for k in range(300)], "doc_id long")
+    want = {r["doc_id"]: r["h"] % 101 for r in keys.selectExpr("doc_id", "xxhash64(doc_id) as h").collect()}  # Python's % is never negative
+    assert {r["doc_id"]: r["slot"] for r in sharding.place(keys, ["doc_id"], table).collect()} == want
     hot = spark.range(5000).selectExpr("1 as k", "id as row")
     assert len({r["slot"] for r in sharding.place(hot, ["k"], table, ["row"], 64).collect()}) > 30

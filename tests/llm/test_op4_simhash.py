@@ -46,7 +46,7 @@ def test_ties_nulls_and_small_tables(spark):
     assert simhash.edited_likeness(df.where("false")).count() == 0
 
 
-def test_radius_search_against_brute_force(spark, monkeypatch):
+def test_radius_search_against_brute_force(spark):
     r = random.Random(9)
     fps = [r.getrandbits(64) for _ in range(150)]
     for f in fps[:40]:
@@ -60,7 +60,21 @@ def test_radius_search_against_brute_force(spark, monkeypatch):
     u = sorted(set(fps))
     want = {(a, b) for i, a in enumerate(u) for b in u[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
     df = spark.createDataFrame([(f,) for f in fps] + [(None,)], "fp long")
-    for hot in (256, 1):
-        monkeypatch.setattr(simhash, "HOT_KEY", hot)
-        got = [(x["a"], x["b"]) for x in simhash.within_radius(df).collect()]
+    for hot in (256, 3, 1):
+        got = [(x["a"], x["b"]) for x in simhash.within_radius(df, hot=hot).collect()]
         assert set(got) == want and len(got) == len(set(got))
+
+
+def test_near_counts_against_brute_force(spark):
+    r = random.Random(11)
+    base = [r.getrandbits(64) for _ in range(20)]
+    prints = [f ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) if r.random() < 0.5 else f for f in base for _ in range(12)] + [0, 0, 2**64 - 1]
+    rows = [(100 - i, f"{f:016x}") for i, f in enumerate(prints)] + [(None, f"{prints[0]:016x}")]
+    got = simhash.near_counts(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
+    assert len(got) == len(rows)
+    value = [int(f, 16) for _, f in rows]
+    for x in got:
+        near = [i for (i, _), v in zip(rows, value) if bin(v ^ int(x["fingerprint"], 16)).count("1") <= 3]
+        assert x["n_near"] == len(near) - 1
+        assert x["near_id"] == min(i for i in near if i is not None)
+    assert simhash.near_counts(spark.createDataFrame([], "doc_id long, fingerprint string")).count() == 0

@@ -14,7 +14,7 @@ from foliomill.llm.queries import ORACLES, QUERIES
 def test_query_equals_its_sql(spark, name, sf):
     d = f"/root/testdata/{sf}"
     c = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     cur = c.execute(ORACLES[name])
     cols = [x[0] for x in cur.description]
