@@ -6,7 +6,9 @@ Each takes and returns a string column; null stays null.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,26 +71,137 @@ def full_width(text: str | None) -> str | None:
     return "".join(c for c, _ in out)
 
 
+def _runs(flags: np.ndarray) -> np.ndarray:
+    """How many flags in a row are set from each place on."""
+    ends = np.flatnonzero(np.append(~flags, True))
+    return ends[np.searchsorted(ends, np.arange(len(flags)))] - np.arange(len(flags))
+
+
 def collapse_repeats(text: str | None) -> str | None:
     """Word sequences that follow themselves reduced to one, the longest first, until none is left."""
     if text is None:
         return None
     w = text.split()
-    size = len(w) // 2
-    found = False
+    codes = np.unique(np.array(w, dtype=object), return_inverse=True)[1] if w else np.empty(0, np.int64)
+    size, found = len(w) // 2, False
     while size:
-        i, hit = 0, False
-        while i + 2 * size <= len(w):
-            if w[i : i + size] == w[i + size : i + 2 * size]:
-                del w[i + size : i + 2 * size]
-                hit = found = True
-                i += size
-            else:
-                i += 1
+        # a sequence of that length follows itself only where as many words in a row equal those one length on
+        same = codes[:-size] == codes[size:]
+        hit = False
+        if np.count_nonzero(same) >= size:
+            i, keep, n = 0, [], len(w)
+            run = _runs(same)
+            start = 0
+            while i + 2 * size <= n:
+                if run[i] >= size:
+                    hit = found = True
+                    # all further repeats of the sequence go with the first
+                    keep += range(start, i + size)
+                    i += size
+                    while i + size <= n and (codes[i : i + size] == codes[i - size : i]).all():
+                        i += size
+                    start = i
+                else:
+                    i += 1
+            keep += range(start, n)
+            if hit:
+                w, codes = [w[k] for k in keep], codes[keep]
         size = len(w) // 2 if hit else size - 1
     return " ".join(w) if found else text
 
 
+# Fixed patterns: leaders at an end and at a head, ends of sentences, closing marks, list numbers, words that go on.
+_LEADS, _LEAD_HEAD = re.compile(r"\.{3,}\s*$"), re.compile(r"^\s*\.{3,}")
+_ENDS, _SHUT = re.compile(r"[.:;?!][”\")\]]?\s*$|^\S{1,3}$"), re.compile(r"[)\]”\"]\s*$")
+_LISTED, _GOES_ON = re.compile(r"^\s*(?:\d{1,2}|[A-Za-z])[.)]\s"), re.compile(r"(?:,|&|\b(?:and|or|of|the|with|to|for))\s*$", re.I)
+
+
+@dataclass
+class Line:
+    """A line with its box; key names the line it began with."""
+
+    key: int
+    text: str
+    size: float
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+
+    def add(self, other: Line, text: str) -> Line:
+        return replace(self, text=" ".join(text.split()), x0=min(self.x0, other.x0), y0=min(self.y0, other.y0), x1=max(self.x1, other.x1), y1=max(self.y1, other.y1))
+
+
+def join_leaders(lines: list[Line]) -> list[Line]:
+    """Lines that end in a leader joined with the next one where that begins with one; each joins one other at most."""
+    out: list[Line] = []
+    open_lead = False
+    for x in lines:
+        if open_lead and _LEAD_HEAD.match(x.text):
+            last = out.pop()
+            out.append(last.add(x, _LEADS.sub(" ", last.text) + " " + _LEAD_HEAD.sub("", x.text)))
+            open_lead = False
+        else:
+            out.append(x)
+            open_lead = bool(_LEADS.search(x.text))
+    return out
+
+
+def goes_on(a: Line, b: Line, max_gap: float = 3.0, tolerance: float = 6.0) -> bool:
+    """Whether b continues a: a has no end, b stands tightly below, and their left edges agree, b hangs below a number, or both are centred."""
+    if _ENDS.search(a.text) or (_SHUT.search(a.text) and len(a.text) < 40):
+        return False
+    gap, height = b.y0 - a.y1, min(a.y1 - a.y0, b.y1 - b.y0)
+    if not -0.35 * height <= gap <= max_gap:
+        return False
+    hangs = bool(_LISTED.match(a.text)) and 0 < b.x0 - a.x0 <= 4 * max(a.size, 0.8 * (b.y1 - b.y0))
+    centred = abs(a.x0 + a.x1 - b.x0 - b.x1) / 2 <= tolerance and bool(_GOES_ON.search(a.text))
+    return abs(a.x0 - b.x0) <= tolerance or hangs or centred
+
+
+def join_wrapped(lines: list[Line], rules: list[tuple[float, float, float]] | None = None) -> list[Line]:
+    """Wrapped lines joined with the one they continue, which may stand some places back if it is 30 points up at most.
+
+    Further back than the line before, only a numbered one is continued, or one with no rule (y, x0, x1) in between where rules are known.
+    """
+    out: list[Line] = []
+    for x in sorted(lines, key=lambda r: (round(r.y0, 1), r.x0)):
+        for j in range(len(out) - 1, -1, -1):
+            a = out[j]
+            if a.y1 < x.y0 - 33.0:
+                j = -1
+                break
+            far = j < len(out) - 1 and not (_LISTED.match(a.text) and x.x0 > a.x0)
+            parted = rules is None or any(min(a.y0 + a.y1, x.y0 + x.y1) < 2 * y < max(a.y0 + a.y1, x.y0 + x.y1) and r0 <= min(a.x1, x.x1) and r1 >= max(a.x0, x.x0) for y, r0, r1 in rules)
+            if goes_on(a, x) and not (far and parted):
+                out[j] = a.add(x, a.text + " " + x.text)
+                break
+        else:
+            j = -1
+        if j < 0:
+            out.append(x)
+    return out
+
+
+def normal_leaders(text: str) -> str:
+    return " ".join(re.sub(r"\.{3,}", " … ", text).split())
+
+
+def clean(lines: list[Line], symbols: dict[int, str], rules: list[tuple[float, float, float]] | None = None) -> list[Line]:
+    """Leaders joined, wrapped lines joined, symbols mapped, leaders normalised, repeats collapsed, in this order."""
+    joined = join_wrapped(join_leaders(lines), rules)
+    return [replace(x, text=collapse_repeats(normal_leaders(x.text.translate(symbols)))) for x in joined]
+
+
+def clean_page(page: pd.DataFrame) -> pd.DataFrame:
+    from foliomill.operators.pages import SYMBOLS
+
+    rows = page.sort_values(["y0", "x0", "line_no"])
+    lines = [Line(r.line_no, r.text, r.size, r.x0, r.y0, r.x1, r.y1) for r in rows.itertuples()]
+    out = clean(lines, {0xF000 + k: c for k, c in SYMBOLS.items()})
+    return pd.DataFrame([(page["doc_id"].iloc[0], x.key, x.text, x.x0, x.y0, x.x1, x.y1) for x in out], columns=["doc_id", "line_no", "text", "x0", "y0", "x1", "y1"])
+
+
 # Fixed marks that may not begin or end a line.
 NO_HEAD, NO_TAIL = "，。；：？！）、》」』】%°", "（《「『【"
 

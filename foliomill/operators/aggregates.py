@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliomill.operators.filters import KEEP_SQL
+from foliomill.operators.projections import LEVELS_SQL, levels
 from foliomill.operators.scans import kept
 from foliomill.plans.registry import operator
 
@@ -29,30 +30,57 @@ def dictionary_duplicates(v):
     return v.dk.where("value IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("batch")).alias("batches")).where("n > 1")
 
 
-@operator("A10 N7", f"""SELECT doc_id, count(*) AS units, count(*) FILTER (WHERE {KEEP_SQL}) AS kept, count(*) FILTER (WHERE hit) AS hits, CAST(sum(length(text)) AS BIGINT) AS chars, round(100.0 * count(*) FILTER (WHERE hit) / greatest(count(*), 1), 4) AS percent FROM (SELECT un.*, d.key IS NOT NULL AS hit FROM un LEFT JOIN (SELECT DISTINCT key FROM dk WHERE value IS NOT NULL) d ON d.key = un.text) GROUP BY doc_id""")
+@operator("A10 N7", f"""SELECT doc_id, count(*) AS units, count(*) FILTER (WHERE {KEEP_SQL}) AS kept, count(*) FILTER (WHERE hit) AS hits, CAST(sum(length(text)) AS BIGINT) AS chars, round(100.0 * count(*) FILTER (WHERE hit) / greatest(count(*), 1), 4) AS percent, format('{{:,}}', CAST(sum(length(text)) AS BIGINT)) AS shown FROM (SELECT un.*, d.key IS NOT NULL AS hit FROM un LEFT JOIN (SELECT DISTINCT key FROM dk WHERE value IS NOT NULL) d ON d.key = un.text) GROUP BY doc_id""")
 def hit_statistics(v):
-    """Units, kept ones, dictionary hits, characters and the hit percentage of each document."""
+    """Units, kept ones, dictionary hits, characters (also as shown, in groups of thousands) and the hit percentage of each document."""
     d = v.dk.where("value IS NOT NULL").select(F.col("key").alias("text")).distinct().withColumn("hit", F.lit(True))
     u = v.un.join(d, "text", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return u.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.count_if(kept("text")).alias("kept"), F.count_if("hit").alias("hits"), F.sum(F.length("text")).alias("chars"), F.round(100.0 * F.count_if("hit") / F.greatest(F.count(F.lit(1)), F.lit(1)), 4).alias("percent"))
+    return u.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.count_if(kept("text")).alias("kept"), F.count_if("hit").alias("hits"), F.sum(F.length("text")).alias("chars"), F.round(100.0 * F.count_if("hit") / F.greatest(F.count(F.lit(1)), F.lit(1)), 4).alias("percent"), F.format_number(F.sum(F.length("text")), 0).alias("shown"))
 
 
-@operator("A13 A29", "SELECT page_key, list_sort(list(y1 - y0))[len(list(y1 - y0)) // 2 + 1] AS mid_height, least(52, greatest(14, 0.88 * list_sort(list(y1 - y0))[len(list(y1 - y0)) // 2 + 1])) AS label_size FROM rc GROUP BY page_key")
+@operator("A13 A29", "SELECT page_key, list_sort(list(y1 - y0))[len(list(y1 - y0)) // 2 + 1] AS mid_height, least(52, greatest(14, 0.88 * list_sort(list_filter(list(y1 - y0), lambda h: h <= 1.7 * list_sort(list(y1 - y0))[len(list(y1 - y0)) // 2 + 1]))[len(list_filter(list(y1 - y0), lambda h: h <= 1.7 * list_sort(list(y1 - y0))[len(list(y1 - y0)) // 2 + 1])) // 2 + 1])) AS label_size FROM rc GROUP BY page_key")
 def upper_median_height(v):
-    """The upper median of heights, and the label size that follows from it."""
-    m = v.rc.groupBy("page_key").agg(upper_median(F.col("y1") - F.col("y0")).alias("mid_height"))
-    return m.withColumn("label_size", F.least(F.lit(52.0), F.greatest(F.lit(14.0), 0.88 * F.col("mid_height"))))
+    """The upper median of heights, and the label size: 0.88 of that of the heights up to 1.7 times it, from 14 to 52."""
+    hs = F.array_sort(F.collect_list(F.col("y1") - F.col("y0")))
+    middle = lambda x: F.get(x, F.floor(F.size(x) / 2).cast("int"))
+    m = v.rc.groupBy("page_key").agg(hs.alias("hs")).withColumn("mid_height", middle(F.col("hs"))).withColumn("usual", F.filter("hs", lambda h: h <= 1.7 * F.col("mid_height")))
+    return m.select("page_key", "mid_height", F.least(F.lit(52.0), F.greatest(F.lit(14.0), 0.88 * middle(F.col("usual")))).alias("label_size"))
 
 
-@operator("A15 Q25", "SELECT page_key, c, max(x1) - min(x1) AS spread, count(*) AS n FROM (SELECT *, sum(CASE WHEN x0 - px > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY page_key ORDER BY x0, rid) AS c FROM (SELECT *, lag(x0) OVER (PARTITION BY page_key ORDER BY x0, rid) AS px FROM rc)) GROUP BY page_key, c HAVING count(*) >= 3", big="c")
+@operator("A15 Q25", "SELECT page_key, c, max(x1) - min(x1) AS spread, count(*) AS n, max(x1) - min(x1) > 2 AS off FROM (SELECT *, sum(CASE WHEN x0 - px > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY page_key ORDER BY x0, rid) AS c FROM (SELECT *, lag(x0) OVER (PARTITION BY page_key ORDER BY x0, rid) AS px FROM rc)) GROUP BY page_key, c HAVING count(*) >= 3", big="c")
 def column_alignment(v):
-    """The spread of right edges in columns of left edges that lie within 20 points of the one before."""
+    """The spread of right edges in columns of left edges that lie within 20 points of the one before; over 2 points is a fault."""
     w = Window.partitionBy("page_key").orderBy("x0", "rid")
     r = v.rc.withColumn("new", F.when(F.col("x0") - F.lag("x0").over(w) > 20, 1).otherwise(0)).withColumn("c", F.sum("new").over(w))
-    return r.groupBy("page_key", "c").agg((F.max("x1") - F.min("x1")).alias("spread"), F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return r.groupBy("page_key", "c").agg((F.max("x1") - F.min("x1")).alias("spread"), F.count(F.lit(1)).alias("n")).where("n >= 3").withColumn("off", F.col("spread") > 2)
 
 
-@operator("A17 Q22 Y12", "SELECT page_id, max(links) AS links, max(titles) AS titles, max(links) = max(titles) AS equal FROM (SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href=')) AS links, 0 AS titles FROM pages UNION ALL SELECT page_id, 0, count(*) FROM toc WHERE title <> '' GROUP BY page_id) GROUP BY page_id")
+@operator("Y12", """SELECT page_id, links, bookmarks, links = 2 * bookmarks AS same FROM (SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href=')) AS links, len(regexp_extract_all(html, '<(h[1-6]|li)[ >]')) AS bookmarks FROM pages)""")
+def bookmark_fingerprint(v):
+    """Whether links were made once only: twice as many as bookmarks, which are a page's headings and list items."""
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    return v.pages.select("page_id", n("<a [^>]*href=").alias("links"), n("<(h[1-6]|li)[ >]").alias("bookmarks")).withColumn("same", F.col("links") == 2 * F.col("bookmarks"))
+
+
+@operator("A16 Q26", "SELECT page_id, level, count(*) AS n, max(x) - min(x) AS spread, max(x) - min(x) > 2 AS off FROM (SELECT page_id, level, 54.0::DOUBLE + 12 * level + CASE WHEN ord % 11 = 5 THEN 3 ELSE 0 END AS x FROM (LEVELS)) GROUP BY page_id, level".replace("LEVELS", LEVELS_SQL))
+def level_lefts(v):
+    """The spread of left edges of a contents page's entries of one level; over 2 points is a fault."""
+    x = 54.0 + 12 * F.col("level") + F.when(F.col("ord") % 11 == 5, 3).otherwise(0)
+    g = levels(v).withColumn("x", x).groupBy("page_id", "level").agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("spread"))
+    return g.withColumn("off", F.col("spread") > 2)
+
+
+@operator("A17 Q22", """SELECT page_id, entries, links, bookmarks, entries = links AND links = bookmarks AS equal FROM (SELECT p.page_id, coalesce(t.n, 0) AS entries, len(regexp_extract_all(html, '<a [^>]*href=')) AS links, len(regexp_extract_all(html, '<(h[1-6]|li)[ >]')) AS bookmarks FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n FROM te WHERE title <> '' GROUP BY page_id) t ON t.page_id = p.page_id)""")
+def contents_counts(v):
+    """Entries, links and bookmarks of a contents page must be equally many."""
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    p = v.pages.select("page_id", n("<a [^>]*href=").alias("links"), n("<(h[1-6]|li)[ >]").alias("bookmarks"))
+    t = v.te.where("title <> ''").groupBy("page_id").agg(F.count(F.lit(1)).alias("entries"))
+    out = p.join(t, "page_id", "left").fillna(0, ["entries"])
+    return out.withColumn("equal", (F.col("entries") == F.col("links")) & (F.col("links") == F.col("bookmarks"))).select("page_id", "entries", "links", "bookmarks", "equal")
+
+
+@operator("R2", "SELECT page_id, max(links) AS links, max(titles) AS titles, max(links) = max(titles) AS equal FROM (SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href=')) AS links, 0 AS titles FROM pages UNION ALL SELECT page_id, 0, count(*) FROM toc WHERE title <> '' GROUP BY page_id) GROUP BY page_id")
 def toc_count(v):
     """Links of a page against its titled entries."""
     links = v.pages.select("page_id", F.regexp_count("html", F.lit("<a [^>]*href=")).cast("long").alias("links"))
@@ -60,12 +88,6 @@ def toc_count(v):
     return links.join(titles, "page_id", "left").select("page_id", "links", F.coalesce("titles", F.lit(0)).alias("titles")).withColumn("equal", F.col("links") == F.col("titles"))
 
 
-@operator("A18", "SELECT page_key, x0 AS x, n FROM (SELECT page_key, x0, count(*) AS n, sum(count(*)) OVER (PARTITION BY page_key) AS total FROM (SELECT l_orderkey % 400 AS page_key, CAST(l_partkey % 300 AS DOUBLE) AS x0 FROM lineitem) GROUP BY page_key, x0) WHERE n >= 0.01 * total")
-def column_bounds(v):
-    """Left edges with at least 1 % of a page's cells."""
-    x = v.lineitem.select((F.col("l_orderkey") % 400).alias("page_key"), (F.col("l_partkey") % 300).cast("double").alias("x")).groupBy("page_key", "x").agg(F.count(F.lit(1)).alias("n"))
-    return x.withColumn("total", F.sum("n").over(Window.partitionBy("page_key"))).where("n >= 0.01 * total").drop("total")
-
 
 @operator("A19 L1 L2", """SELECT page_key, CAST(min(fit) AS DOUBLE) AS size FROM (SELECT page_key, coalesce(list_filter(list_transform(range(0, 25), lambda i: 10 - 0.25 * i), lambda s: length(txt) * s * 0.55 <= 1.5 * (x1 - x0))[1], 4.0) AS fit FROM rc) GROUP BY page_key""")
 def table_font_size(v):
@@ -75,14 +97,6 @@ def table_font_size(v):
     return v.rc.groupBy("page_key").agg(F.min(fit).alias("size"))
 
 
-@operator("A21 N6 T3", """SELECT p_brand, widest, total, CASE WHEN sum(widest) OVER () <= 400 THEN widest + (400 - sum(widest) OVER ()) * total / sum(total) OVER () ELSE 400.0 * widest / sum(widest) OVER () END AS width FROM (SELECT p_brand, CAST(max(length(atom)) AS DOUBLE) AS widest, CAST(sum(length(atom)) AS DOUBLE) AS total FROM (SELECT p_brand, unnest(regexp_extract_all(p_name || ' ' || p_type, '[^ ]+')) AS atom FROM part) GROUP BY p_brand)""")
-def column_widths(v):
-    """Column widths: no narrower than the widest atom where that fits, else in proportion to it."""
-    a = v.part.select("p_brand", F.explode(F.regexp_extract_all(F.concat_ws(" ", "p_name", "p_type"), F.lit("[^ ]+"), 0)).alias("atom")).groupBy("p_brand").agg((F.max(F.length("atom")) * F.lit(1.0)).cast("double").alias("widest"), F.sum(F.length("atom")).cast("double").alias("total"))
-    w = Window.partitionBy()
-    s, t = F.sum("widest").over(w), F.sum("total").over(w)
-    return a.withColumn("width", F.when(s <= 400, F.col("widest") + (400 - s) * F.col("total") / t).otherwise(400.0 * F.col("widest") / s))
-
 
 @operator("A22 A25", "SELECT page_key, island, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(length(txt)) AS widest FROM (SELECT *, rid - row_number() OVER (PARTITION BY page_key, size ORDER BY rid) AS island FROM rc) GROUP BY page_key, size, island")
 def run_boxes(v):
@@ -97,19 +111,6 @@ def usage_totals(v):
     return v.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.count_if(F.col("value") > 50).alias("high"))
 
 
-@operator("A27 Q21", "SELECT DISTINCT a.doc_id, a.page, substr(a.text, 1, 2) AS head FROM ln a JOIN ln b ON a.doc_id = b.doc_id AND substr(a.text, 1, 2) = substr(b.text, 1, 2) AND a.y0 = b.y0 AND b.page = a.page + 1 AND a.text <> ''")
-def running_heads(v):
-    """Line beginnings that stand at the same height on the next page."""
-    t = v.ln.where("text <> ''").withColumn("head", F.substring("text", 1, 2))
-    b = t.select("doc_id", (F.col("page") - 1).alias("page"), "head", "y0")
-    return t.join(b, ["doc_id", "page", "head", "y0"], "left_semi").select("doc_id", "page", "head").distinct()
-
-
-@operator("A28 Z3", "SELECT truth, pred, count(*) AS n FROM (SELECT pm.doc_id, CASE WHEN landscape AND dom >= 18 THEN 'S' WHEN fig >= 70 THEN 'P' ELSE 'R' END AS pred, j.level AS truth FROM pm JOIN (SELECT doc_id, max(level) AS level FROM jd GROUP BY doc_id) j ON j.doc_id = pm.doc_id) GROUP BY truth, pred")
-def confusion(v):
-    """Judged against predicted levels."""
-    pred = F.when(F.col("landscape") & (F.col("dom") >= 18), "S").when(F.col("fig") >= 70, "P").otherwise("R")
-    return v.pm.join(v.jd.groupBy("doc_id").agg(F.max("level").alias("truth")), "doc_id").groupBy("truth", pred.alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @operator("A30", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS med, quantile_cont(l_extendedprice, 0.9) AS p90, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY l_returnflag")

@@ -25,7 +25,7 @@ def segment_coalesce(v):
     return s.groupBy("page_key", "axis", "k", "isle").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n")).drop("isle")
 
 
-@operator("C3 R4 A16 Q26", """SELECT page_key, CAST(len(list_reduce(ks, lambda a, x: CASE WHEN len(a) = 0 OR x - a[-1] > 2 THEN list_append(a, x) ELSE a END, CAST([] AS BIGINT[]))) AS BIGINT) AS anchors, list_reduce(ks, lambda a, x: CASE WHEN len(a) = 0 OR x - a[-1] > 2 THEN list_append(a, x) ELSE a END, CAST([] AS BIGINT[])) AS kept FROM (SELECT page_key, list(k ORDER BY k) AS ks FROM (SELECT DISTINCT page_key, CAST(k AS BIGINT) AS k FROM sg WHERE axis = 'H') GROUP BY page_key)""")
+@operator("C3 R4", """SELECT page_key, CAST(len(list_reduce(ks, lambda a, x: CASE WHEN len(a) = 0 OR x - a[-1] > 2 THEN list_append(a, x) ELSE a END, CAST([] AS BIGINT[]))) AS BIGINT) AS anchors, list_reduce(ks, lambda a, x: CASE WHEN len(a) = 0 OR x - a[-1] > 2 THEN list_append(a, x) ELSE a END, CAST([] AS BIGINT[])) AS kept FROM (SELECT page_key, list(k ORDER BY k) AS ks FROM (SELECT DISTINCT page_key, CAST(k AS BIGINT) AS k FROM sg WHERE axis = 'H') GROUP BY page_key)""")
 def anchor_cluster(v):
     """Values within 2 of their cluster's first member: chains don't extend a cluster."""
     s = v.sg.where("axis = 'H'").groupBy("page_key").agg(F.array_sort(F.collect_set(F.col("k").cast("long"))).alias("ks"))
@@ -33,86 +33,6 @@ def anchor_cluster(v):
     return s.select("page_key", fold.alias("kept")).select("page_key", F.size("kept").alias("anchors"), "kept")
 
 
-@operator("C4", """SELECT page_key, CAST(f.n AS BIGINT) AS lines FROM (SELECT page_key, list_reduce(ys, lambda a, y: CASE WHEN a.n = 0 OR y.s - a.s / a.c > 5 THEN {'s': y.s, 'c': CAST(1 AS BIGINT), 'n': a.n + 1} ELSE {'s': a.s + y.s, 'c': a.c + 1, 'n': a.n} END, {'s': 0.0::DOUBLE, 'c': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT)}) AS f
-  FROM (SELECT page_key, list({'s': (y0 + y1) / 2, 'c': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT)} ORDER BY y0 + y1, rid) AS ys FROM rc GROUP BY page_key))""")
-def mean_lines(v):
-    """Lines by running mean: a middle over 5 points from the mean of the line so far opens a new one."""
-    s = v.rc.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct(((F.col("y0") + F.col("y1")) / 2).alias("m"), "rid"))).alias("ms"))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c"), F.lit(0).alias("n"))
-
-    def step(a, x):
-        new = (a["n"] == 0) | (x["m"] - a["s"] / a["c"] > 5)
-        return F.struct(F.when(new, x["m"]).otherwise(a["s"] + x["m"]).alias("s"), F.when(new, 1).otherwise(a["c"] + 1).alias("c"), F.when(new, a["n"] + 1).otherwise(a["n"]).alias("n"))
-
-    return s.select("page_key", F.aggregate("ms", start, step, lambda a: a["n"]).alias("lines"))
-
-
-def meet(a, b):
-    return (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
-
-
-def least_labels(boxes, rounds: int = 14):
-    """For an array of structs i, x0, y0, x1, y1, l: labels spread between boxes that meet until nothing can change."""
-    spread = lambda arr: F.transform(arr, lambda a: F.struct(a["i"].alias("i"), a["x0"].alias("x0"), a["y0"].alias("y0"), a["x1"].alias("x1"), a["y1"].alias("y1"), F.array_min(F.transform(F.filter(arr, lambda b: meet(a, b)), lambda b: b["l"])).alias("l")))
-    return F.aggregate(F.sequence(F.lit(1), F.least(F.size(boxes), F.lit(rounds))), boxes, lambda acc, _: spread(acc))
-
-
-@operator("C6 C7 C9 X8 U1", """WITH RECURSIVE reach AS (SELECT page_key, rid, rid AS other FROM rc UNION SELECT r.page_key, r.rid, b.rid FROM reach r JOIN rc a ON a.page_key = r.page_key AND a.rid = r.other JOIN rc b ON b.page_key = a.page_key AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)
-  SELECT page_key, region, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (SELECT page_key, rid, min(other) AS region FROM reach GROUP BY page_key, rid) JOIN rc USING (page_key, rid) GROUP BY page_key, region""")
-def touching_regions(v):
-    """Rectangles of a page joined while they touch one another, with the box around each group."""
-    b = v.rc.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct(F.col("rid").alias("i"), "x0", "y0", "x1", "y1", F.col("rid").alias("l")))).alias("bs"))
-    r = b.select("page_key", F.explode(least_labels(F.col("bs"))).alias("e"))
-    return r.groupBy("page_key", F.col("e.l").alias("region")).agg(F.count(F.lit(1)).alias("n"), F.min("e.x0").alias("x0"), F.min("e.y0").alias("y0"), F.max("e.x1").alias("x1"), F.max("e.y1").alias("y1"))
-
-
-@operator("C10 J24", """SELECT a.page_key, a.rid, min(c.rid) AS cluster FROM rc a JOIN rc c ON a.page_key = c.page_key AND a.size = 6 AND c.size >= 9 AND a.x1 >= c.x0 - 60 AND a.x0 <= c.x1 + 60 AND a.y1 >= c.y0 - 24 AND a.y0 <= c.y1 + 24 GROUP BY a.page_key, a.rid""")
-def adsorbed_labels(v):
-    """Small labels taken in by the first cluster within 60 points sideways and 24 up or down."""
-    a = v.rc.where("size = 6").select("page_key", "rid", "x0", "y0", "x1", "y1")
-    c = v.rc.where("size >= 9").select(F.col("page_key").alias("pk"), *[F.col(k).alias(f"c{k}") for k in ("rid", "x0", "y0", "x1", "y1")])
-    near = (a.page_key == c.pk) & (F.col("x1") >= F.col("cx0") - 60) & (F.col("x0") <= F.col("cx1") + 60) & (F.col("y1") >= F.col("cy0") - 24) & (F.col("y0") <= F.col("cy1") + 24)
-    return a.join(c, near).groupBy("page_key", "rid").agg(F.min("crid").alias("cluster"))
-
-
-@operator("X1", """SELECT page_key, isle, min(rid) AS first_rid, list_distinct(list(size ORDER BY rid)) IS NOT NULL AS ok, count(DISTINCT size) AS values, count(*) AS n FROM (SELECT *, sum(CASE WHEN merged THEN 0 ELSE 1 END) OVER (PARTITION BY page_key ORDER BY rid) AS isle FROM (SELECT *, l_linenumber % 3 = 0 AS merged FROM rc)) GROUP BY page_key, isle""", big="isle")
-def merged_runs(v):
-    """Runs of vertically merged cells: their distinct values go to the first row."""
-    w = Window.partitionBy("page_key").orderBy("rid")
-    r = v.rc.withColumn("isle", F.sum(F.when(F.col("l_linenumber") % 3 == 0, 0).otherwise(1)).over(w))
-    g = r.groupBy("page_key", "isle").agg(F.min("rid").alias("first_rid"), F.array_distinct(F.collect_list("size")).alias("vs"), F.count(F.lit(1)).alias("n"))
-    return g.select("page_key", "isle", "first_rid", F.col("vs").isNotNull().alias("ok"), F.size("vs").alias("values"), "n")
-
-
-@operator("X4", """SELECT page_key, row_key, run, string_agg(txt, ' ' ORDER BY x0, rid) AS text FROM (SELECT *, sum(new) OVER (PARTITION BY page_key, row_key ORDER BY x0, rid) AS run FROM (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page_key, row_key ORDER BY x0, rid) > 0.5 * size OR size <> lag(size) OVER (PARTITION BY page_key, row_key ORDER BY x0, rid) THEN 1 ELSE 0 END AS new FROM (SELECT *, CAST(floor(y1 / 2) AS BIGINT) AS row_key FROM rc))) GROUP BY page_key, row_key, run""", big="run row_key")
-def rejoined_words(v):
-    """Word blocks of one baseline and size joined while gaps are at most half the size."""
-    w = Window.partitionBy("page_key", "row_key").orderBy("x0", "rid")
-    r = v.rc.withColumn("row_key", F.floor(F.col("y1") / 2))
-    new = F.when((F.col("x0") - F.lag("x1").over(w) > 0.5 * F.col("size")) | (F.col("size") != F.lag("size").over(w)), 1).otherwise(0)
-    r = r.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    g = r.groupBy("page_key", "row_key", "run").agg(F.array_sort(F.collect_list(F.struct("x0", "rid", "txt"))).alias("ts"))
-    return g.select("page_key", "row_key", "run", F.array_join(F.col("ts.txt"), " ").alias("text"))
-
-
-@operator("X5 X10 X14", """SELECT page_key, CAST(len(f) AS BIGINT) AS groups, list_max(list_transform(f, lambda g: g.n)) AS largest FROM (SELECT page_key, list_reduce(us, lambda acc, u: CASE WHEN len(acc) > 0 AND u[1].y - acc[-1].y <= 9 AND abs(u[1].x - acc[-1].x) <= 80 THEN list_append(acc[1:len(acc) - 1], {'x': acc[-1].x, 'y': u[1].y, 'n': acc[-1].n + 1}) ELSE list_append(acc, u[1]) END, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, n BIGINT)[])) AS f
-  FROM (SELECT page_key, list([{'x': x0, 'y': y0, 'n': CAST(1 AS BIGINT)}] ORDER BY y0, rid) AS us FROM rc GROUP BY page_key))""")
-def slide_groups(v):
-    """Units attached to the latest open group that is near enough; the group's lower edge grows."""
-    u = v.rc.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("y0", "rid", "x0"))).alias("us"))
-    empty = F.array().cast("array<struct<x:double,y:double,n:bigint>>")
-
-    def step(acc, e):
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & (e["y0"] - last["y"] <= 9) & (F.abs(e["x0"] - last["x"]) <= 80)
-        one = F.lit(1).cast("long")
-        grown = F.struct(last["x"].alias("x"), e["y0"].alias("y"), (last["n"] + one).alias("n"))
-        return F.when(joins, F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, F.struct(e["x0"].alias("x"), e["y0"].alias("y"), one.alias("n"))))
-
-    f = u.select("page_key", F.aggregate("us", empty, step).alias("f"))
-    return f.select("page_key", F.size("f").alias("groups"), F.array_max(F.transform("f", lambda g: g["n"])).alias("largest"))
-
-
 @operator("X6 J25", """WITH RECURSIVE caught AS (SELECT page_key, rid FROM rc WHERE size = 10 UNION SELECT b.page_key, b.rid FROM caught c JOIN rc a ON a.page_key = c.page_key AND a.rid = c.rid JOIN rc b ON b.page_key = a.page_key AND b.y0 - a.y1 BETWEEN -4 AND 6 AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0.4 * (b.x1 - b.x0)) SELECT page_key, rid FROM caught""")
 def caption_contagion(v):
     """Blocks right below a caption that overlap it by 40 % are caption too, and so on."""
@@ -122,32 +42,3 @@ def caption_contagion(v):
     done = F.aggregate(F.sequence(F.lit(1), F.size("bs")), F.col("bs"), lambda acc, _: spread(acc))
     return b.select("page_key", F.explode(F.filter(done, lambda a: a["l"])).alias("e")).select("page_key", F.col("e.i").alias("rid"))
 
-
-@operator("X7 J33", """SELECT page_key, CAST(len(f) AS BIGINT) AS kept, list_sort(list_transform(f, lambda r: r.rid)) AS rids FROM (SELECT page_key, list_reduce(us, lambda acc, u: CASE WHEN len(list_filter(acc, lambda k: k.x0 < u[1].x1 AND u[1].x0 < k.x1 AND k.y0 < u[1].y1 AND u[1].y0 < k.y1 AND contains(k.txt, string_split(u[1].txt, ' ')[1]))) > 0 THEN acc ELSE list_append(acc, u[1]) END, CAST([] AS STRUCT(rid BIGINT, txt VARCHAR, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[])) AS f
-  FROM (SELECT page_key, list([{'rid': rid, 'txt': txt, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] ORDER BY length(txt) DESC, rid) AS us FROM rc GROUP BY page_key))""")
-def geometric_dedupe(v):
-    """The longest text first; one that meets a kept rectangle whose text has its first word is absorbed."""
-    u = v.rc.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct((-F.length("txt")).alias("o"), "rid", "txt", "x0", "y0", "x1", "y1"))).alias("us"))
-    empty = F.array().cast("array<struct<o:int,rid:int,txt:string,x0:double,y0:double,x1:double,y1:double>>")
-    absorbed = lambda acc, e: F.exists(acc, lambda k: meet(k, e) & F.contains(k["txt"], F.split(e["txt"], " ")[0]))
-    f = u.select("page_key", F.aggregate("us", empty, lambda acc, e: F.when(absorbed(acc, e), acc).otherwise(F.array_append(acc, e))).alias("f"))
-    return f.select("page_key", F.size("f").alias("kept"), F.array_sort(F.transform("f", lambda r: r["rid"].cast("long"))).alias("rids"))
-
-
-@operator("X12 A14", """SELECT page_key, rid FROM rc JOIN (SELECT page_key, avg((x0 + x1) / 2) AS mid, count(*) AS n FROM rc GROUP BY page_key) USING (page_key) WHERE n >= 2 AND abs((x0 + x1) / 2 - mid) <= greatest(6, 0.05 * (x1 - x0))""")
-def centred_units(v):
-    """Units centred on the mean middle of their page."""
-    m = v.rc.groupBy("page_key").agg(F.avg((F.col("x0") + F.col("x1")) / 2).alias("mid"), F.count(F.lit(1)).alias("n"))
-    return v.rc.join(m, "page_key").where("n >= 2 AND abs((x0 + x1) / 2 - mid) <= greatest(6, 0.05 * (x1 - x0))").select("page_key", "rid")
-
-
-@operator("X11 X15", """SELECT page_key, rid, kind FROM (SELECT page_key, rid, 'rotated' AS kind FROM rc WHERE rid % 4 = 3 UNION ALL SELECT page_key, rid, CASE WHEN EXISTS (SELECT 1 FROM rc t WHERE t.page_key = a.page_key AND t.rid <> a.rid AND t.size = 10 AND t.x0 < a.x1 AND a.x0 < t.x1 AND t.y0 < a.y1 AND a.y0 < t.y1) THEN 'line' ELSE 'block' END FROM rc a WHERE rid % 4 <> 3)""")
-def reading_units(v):
-    """Units by kind: rotated ones, lines inside tables, blocks outside."""
-    a = v.rc.select("page_key", "rid", "x0", "y0", "x1", "y1")
-    t = v.rc.where("size = 10").select(F.col("page_key").alias("pk"), *[F.col(c).alias(f"t{c}") for c in ("rid", "x0", "y0", "x1", "y1")])
-    on = (F.col("page_key") == F.col("pk")) & (F.col("trid") != F.col("rid")) & (F.col("tx0") < F.col("x1")) & (F.col("x0") < F.col("tx1")) & (F.col("ty0") < F.col("y1")) & (F.col("y0") < F.col("ty1"))
-    plain = a.where("rid % 4 <> 3")
-    inside, outside = plain.join(t, on, "left_semi"), plain.join(t, on, "left_anti")
-    out = lambda d, k: d.select("page_key", "rid", F.lit(k).alias("kind"))
-    return out(a.where("rid % 4 = 3"), "rotated").unionByName(out(inside, "line")).unionByName(out(outside, "block"))

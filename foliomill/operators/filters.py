@@ -10,7 +10,7 @@ from foliomill.plans.registry import operator
 
 KEEP_SQL = "(regexp_full_match(text, '[0-9[:punct:]\\s]*') OR (regexp_full_match(text, '[A-Z0-9][A-Z0-9./-]*') AND regexp_matches(text, '[0-9]')) OR regexp_full_match(text, '[0-9]+/[0-9]+') OR NOT regexp_matches(text, '[A-Za-z]{2}'))"
 # Fixed list of words that make no prose: units and operators.
-TECHNICAL = ("mm", "cm", "in", "psi", "gpm", "rpm", "lb", "ft", "reg", "api", "rp", "x", "+", "-", "=", "of", "to")
+TECHNICAL = ("mm", "cm", "m", "in", "ft", "psi", "ksi", "bar", "mpa", "gpm", "lpm", "rpm", "lb", "lbs", "lbf", "klbs", "kg", "kgf", "nm", "ft-lbs", "ppg", "hp", "kw", "deg", "od", "id", "reg", "if", "fh", "api", "rp", "max", "min", "ref", "typ", "x", "+", "-", "=", "of", "to")
 #: The letters of which the derived texts have none, so that residue can be told from translated text.
 CJK = "[\\u2E80-\\u9FFF\\uFF00-\\uFFEF]"
 
@@ -30,12 +30,6 @@ def residual_english(v):
     return v.ln.where(latin & ~F.col("text").rlike(r"[一-鿿]") & ~F.col("text").rlike("^Licensed") & ~technical).select("doc_id", "line_no")
 
 
-@operator("F5 Q09", """SELECT doc_id, line_no, len(regexp_extract_all(t, '[;:!?]')) + len(regexp_extract_all(t, ',')) - len(regexp_extract_all(replace(t, ',', ',,'), '[0-9],,[0-9]')) AS n FROM (SELECT doc_id, line_no, '表 ' || text || ' 1,500' AS t FROM ln)""")
-def halfwidth_punctuation(v):
-    """Half-width punctuation in lines of CJK text; commas between digits don't count."""
-    t = v.ln.select("doc_id", "line_no", F.concat(F.lit("表 "), "text", F.lit(" 1,500")).alias("t"))
-    return t.select("doc_id", "line_no", F.regexp_count("t", F.lit(r"[;:!?]|,(?!(?<=[0-9],)[0-9])")).cast("long").alias("n"))
-
 
 @operator("F6 A1", "SELECT page_key, count(*) AS cells, count(*) FILTER (WHERE l_linenumber % 3 = 0) AS filled FROM rc GROUP BY page_key HAVING count(*) FILTER (WHERE l_linenumber % 3 = 0) < 4 OR count(*) FILTER (WHERE l_linenumber % 3 = 0) < 0.15 * count(*)")
 def fake_tables(v):
@@ -44,12 +38,20 @@ def fake_tables(v):
     return g.where("filled < 4 OR filled < 0.15 * cells")
 
 
-@operator("F7 Q19", "SELECT page_key, rid, CASE WHEN x1 - x0 > 100 THEN 'frame' WHEN l_linenumber % 5 = 0 THEN 'white' WHEN y1 - y0 >= 12 AND x1 - x0 < 40 THEN 'bar' ELSE 'art' END AS kind FROM rc WHERE x0 + l_quantity > 20")
+KIND = "CASE WHEN fill = 'white' AND x1 - x0 > 200 AND y1 - y0 > 100 THEN 'canvas' WHEN x1 - x0 >= 0.8 * 612 AND y1 - y0 >= 0.2 * 792 THEN 'frame' WHEN fill = 'black' AND x1 - x0 <= 3 AND y1 - y0 >= 10 THEN 'bar' WHEN fill = 'none' AND y1 - y0 BETWEEN 12 AND 20 AND x1 - x0 > 300 THEN 'highlight' ELSE 'art' END"
+
+
+@operator("F7", f"SELECT doc_id, page, did, {KIND} AS kind FROM dw")
 def drawing_kinds(v):
-    """Drawings by kind: page frame, white canvas, revision bar or art."""
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    kind = F.when(w > 100, "frame").when(F.col("l_linenumber") % 5 == 0, "white").when((h >= 12) & (w < 40), "bar").otherwise("art")
-    return v.rc.where(F.col("x0") + F.col("l_quantity") > 20).select("page_key", "rid", kind.alias("kind"))
+    """Drawings by fill and shape: white canvas, page frame, revision bar, highlight or art."""
+    return v.dw.select("doc_id", "page", "did", F.expr(KIND).alias("kind"))
+
+
+@operator("Q19", f"SELECT d.doc_id, d.page, d.did FROM dw d JOIN (SELECT doc_id, page, max(x1) AS edge FROM dw WHERE {KIND} = 'frame' GROUP BY ALL) f ON f.doc_id = d.doc_id AND f.page = d.page WHERE d.x1 - d.x0 <= 3 AND d.y1 - d.y0 >= 10 AND d.x0 > f.edge")
+def stray_rules(v):
+    """Vertical rules to the right of their page's frame."""
+    frame = v.dw.where(F.expr(KIND) == "frame").groupBy("doc_id", "page").agg(F.max("x1").alias("edge"))
+    return v.dw.where("x1 - x0 <= 3 AND y1 - y0 >= 10").join(frame, ["doc_id", "page"]).where("x0 > edge").select("doc_id", "page", "did")
 
 
 @operator("F8 G3 J36", """SELECT DISTINCT a.page_key, a.rid FROM rc a JOIN rc b ON a.page_key = b.page_key AND a.rid <> b.rid WHERE greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) >= 0.6 * ((a.x1 - a.x0) * (a.y1 - a.y0))
@@ -70,44 +72,36 @@ def code_columns(v):
     return v.un.groupBy("page").agg(F.bool_and(t.rlike(r"^(?:\(?[0-9]{1,2}\)?|[A-K])$")).alias("bubbles"), F.bool_and(t.rlike("^[0-9.,/ -]+$") | t.rlike("^[A-Z]+[-#][0-9]+$")).alias("codes"), F.count(F.lit(1)).alias("n"))
 
 
-@operator("F11 A6 A7", """SELECT page_key, rid FROM rc JOIN (SELECT page_key, arg_max(size, n * 100 - size) AS base FROM (SELECT page_key, size, count(*) AS n FROM rc GROUP BY page_key, size) GROUP BY page_key) b USING (page_key)
-  JOIN (SELECT page_key, list(x0) AS lefts FROM (SELECT page_key, x0, row_number() OVER (PARTITION BY page_key ORDER BY count(*) DESC, x0) AS rn FROM rc GROUP BY page_key, x0) WHERE rn <= 3 GROUP BY page_key) c USING (page_key)
-  WHERE abs(size - base) <= 0.75 OR len(list_filter(lefts, lambda l: abs(x0 - l) <= 1.5)) > 0""")
-def prose_test(v):
-    """Lines of body size, or that start at one of the three main left edges of their page."""
-    base = v.rc.groupBy("page_key", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("page_key").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("base"))
-    x = v.rc.groupBy("page_key", "x0").agg(F.count(F.lit(1)).alias("n"))
-    lefts = x.withColumn("rn", F.row_number().over(Window.partitionBy("page_key").orderBy(F.desc("n"), "x0"))).where("rn <= 3").groupBy("page_key").agg(F.collect_list("x0").alias("lefts"))
-    j = v.rc.join(base, "page_key").join(lefts, "page_key")
-    return j.where((F.abs(F.col("size") - F.col("base")) <= 0.75) | F.exists("lefts", lambda e: F.abs(F.col("x0") - e) <= 1.5)).select("page_key", "rid")
 
 
-@operator("F12 F13 X16", """SELECT w.page_key, w.rid FROM rc w WHERE EXISTS (SELECT 1 FROM (SELECT rc.*, max(size) OVER (PARTITION BY page_key) AS top FROM rc) m WHERE m.page_key = w.page_key AND m.rid <> w.rid AND m.size = m.top AND m.size >= 9 AND contains(m.txt, string_split(w.txt, ' ')[1])
-  AND (w.x0 + w.x1) / 2 BETWEEN m.x0 AND m.x1 AND (w.y0 + w.y1) / 2 BETWEEN m.y0 AND m.y1)""")
-def watermark_words(v):
-    """Words that are part of a watermark span of their page and centred in it."""
-    top = F.max("size").over(Window.partitionBy("page_key"))
-    m = v.rc.withColumn("top", top).where("size = top AND size >= 9").select(F.col("page_key").alias("pk"), *[F.col(c).alias(f"m{c}") for c in ("rid", "txt", "x0", "x1", "y0", "y1")])
-    w = v.rc
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    on = (w.page_key == m.pk) & (F.col("mrid") != F.col("rid")) & F.col("mtxt").contains(F.split("txt", " ")[0]) & cx.between(F.col("mx0"), F.col("mx1")) & cy.between(F.col("my0"), F.col("my1"))
-    return w.join(m, on, "left_semi").select("page_key", "rid")
+@operator("F14 A11 O4", """SELECT description, count(*) AS n, count(DISTINCT page_key) AS pages, min(page_key) AS first_page FROM (SELECT page_key, header, cells[list_position(header, 'PART NAME')] AS description FROM (SELECT page_key, CASE page_key % 3 WHEN 0 THEN ['ITEM', 'PART NAME', 'QTY'] WHEN 1 THEN ['PART NAME', 'QTY'] ELSE ['ITEM', 'NAME', 'QTY'] END AS header, CASE page_key % 3 WHEN 1 THEN [txt, '1'] ELSE [CAST(rid AS VARCHAR), CASE WHEN l_linenumber % 4 = 0 THEN upper(replace(p_brand, '#', '-')) ELSE txt END, '1'] END AS cells FROM rc)
+  WHERE list_contains(header, 'PART NAME') AND len(header) >= 3) WHERE NOT regexp_full_match(description, '[A-Z0-9-]+') GROUP BY description""")
+def part_descriptions(v):
+    """Distinct descriptions of part tables with their frequency and pages.
 
+    Only tables of three columns or more whose header names parts are read, at that column; number-shaped descriptions are dropped.
+    """
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    k = F.col("page_key") % 3
+    header = F.when(k == 0, words("ITEM", "PART NAME", "QTY")).when(k == 1, words("PART NAME", "QTY")).otherwise(words("ITEM", "NAME", "QTY"))
+    name = F.when(F.col("l_linenumber") % 4 == 0, F.upper(F.replace("p_brand", F.lit("#"), F.lit("-")))).otherwise(F.col("txt"))
+    cells = F.when(k == 1, F.array("txt", F.lit("1"))).otherwise(F.array(F.col("rid").cast("string"), name, F.lit("1")))
+    rows = v.rc.select("page_key", header.alias("header"), cells.alias("cells")).where("array_contains(header, 'PART NAME') AND size(header) >= 3")
+    d = rows.select("page_key", F.expr("element_at(cells, CAST(array_position(header, 'PART NAME') AS INT))").alias("description")).where(~F.col("description").rlike("^[A-Z0-9-]+$"))
+    return d.groupBy("description").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_key").alias("pages"), F.min("page_key").alias("first_page"))
 
-@operator("F14 A11 O4", "SELECT p_name AS description, count(*) AS n, list(DISTINCT p_brand ORDER BY p_brand) AS brands FROM part WHERE p_type NOT LIKE 'PROMO%' AND NOT regexp_full_match(p_name, '[A-Z0-9-]+') GROUP BY p_name")
-def part_descriptions(v):
-    """Distinct part descriptions with their frequency and brands; names shaped like numbers are left out."""
-    return v.part.where("p_type NOT LIKE 'PROMO%'").where(~F.col("p_name").rlike("^[A-Z0-9-]+$")).groupBy(F.col("p_name").alias("description")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("p_brand")).alias("brands"))
 
 
-@operator("F16 F17", """SELECT doc_id, line_no, nullif(regexp_extract(text, '([0-9]+)\\.?\\s*$', 1), '') AS number, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters FROM ln WHERE regexp_matches(text, '[0-9]+\\.?\\s*$') AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 2""")
-def toc_rows(v):
-    """Lines that end in a number and have letters before it."""
-    letters = F.length(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return v.ln.where(F.col("text").rlike(r"[0-9]+\.?\s*$") & (letters >= 2)).select("doc_id", "line_no", F.nullif(F.regexp_extract("text", r"([0-9]+)\.?\s*$", 1), F.lit("")).alias("number"), letters.cast("long").alias("letters"))
+@operator("F18", """SELECT s.doc_id, s.line_no, d.did FROM st s JOIN dw d ON d.doc_id = s.doc_id AND d.page = s.page AND d.y1 - d.y0 < 0.6 AND (d.y0 + d.y1) / 2 - s.y1 BETWEEN -0.5 AND 3 AND d.x0 >= s.x0 - 2 AND d.x1 <= s.x1 + 2 AND d.x1 - d.x0 >= 0.5 * (s.x1 - s.x0) WHERE trim(s.text) <> ''""")
+def underlined_lines(v):
+    """Lines with a rule right below (3 points) that lies within them (2 points to spare) and is half as long or longer."""
+    d = v.dw.where("y1 - y0 < 0.6").select(F.col("doc_id").alias("dd"), F.col("page").alias("dp"), "did", F.expr("(y0 + y1) / 2").alias("dy_"), F.col("x0").alias("dx0"), F.col("x1").alias("dx1"))
+    s = v.st.where("trim(text) <> ''")
+    on = F.expr("doc_id = dd AND page = dp AND dy_ - y1 BETWEEN -0.5 AND 3 AND dx0 >= x0 - 2 AND dx1 <= x1 + 2 AND dx1 - dx0 >= 0.5 * (x1 - x0)")
+    return s.join(d, on).select("doc_id", "line_no", "did")
 
 
-@operator("F18 J31", """SELECT r.page_key, r.rid, min(u.x0 - r.x0) AS offset_x FROM rc r JOIN rc u ON r.page_key = u.page_key AND u.rid <> r.rid AND u.size % 2 = 0 AND u.y0 BETWEEN r.y0 AND r.y1 + 8 AND u.x0 BETWEEN r.x0 - 1 AND r.x0 + 26 AND u.x1 - u.x0 >= 0.5 * (r.x1 - r.x0) GROUP BY r.page_key, r.rid""")
+@operator("J31", """SELECT r.page_key, r.rid, min(u.x0 - r.x0) AS offset_x FROM rc r JOIN rc u ON r.page_key = u.page_key AND u.rid <> r.rid AND u.size % 2 = 0 AND u.y0 BETWEEN r.y0 AND r.y1 + 8 AND u.x0 BETWEEN r.x0 - 1 AND r.x0 + 26 AND u.x1 - u.x0 >= 0.5 * (r.x1 - r.x0) GROUP BY r.page_key, r.rid""")
 def underlined_labels(v):
     """Labels with a rule right below, long enough and starting near them; the nearest start."""
     u = v.rc.where("size % 2 = 0").select(F.col("page_key").alias("pk"), *[F.col(c).alias(f"u{c}") for c in ("rid", "x0", "y0", "x1")])
@@ -116,11 +110,6 @@ def underlined_labels(v):
     return r.join(u, on).groupBy("page_key", "rid").agg(F.min(F.col("ux0") - F.col("x0")).alias("offset_x"))
 
 
-@operator("F19 Q11", """SELECT doc_id, len(regexp_extract_all(text, '[éèêñóíúç]')) AS n FROM documents WHERE regexp_matches(text, '[éèêñóíúç]')""")
-def odd_codepoints(v):
-    """Documents with code points from a watch list, and how many they hold."""
-    return v.documents.where(F.col("text").rlike("[éèêñóíúç]")).select("doc_id", F.regexp_count("text", F.lit("[éèêñóíúç]")).cast("long").alias("n"))
-
 
 @operator("F20 Q31", """SELECT page_id, ord, title FROM toc WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('Home', 'o'), ('Abo', 'ut'), ('', 'zzz')) w(p, f) WHERE starts_with(title, p) AND contains(title, f))""", big="ord")
 def waived_entries(v):
@@ -136,19 +125,12 @@ def orphan_fragments(v):
     return v.ln.where(F.col("text").rlike("^[a-z]") | F.col("text").rlike(r"\b(of|the|and|to|de|la|der|die)$")).select("doc_id", "line_no")
 
 
-@operator("F22 F23 A26 Q10", "SELECT ch, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ -~\\n]')) AS ch FROM documents) WHERE ch NOT IN ('é', 'è', 'ä', 'ö') GROUP BY ch")
-def missing_glyphs(v):
-    """Characters beyond printable ASCII that the font's character map lacks."""
-    ch = v.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ -~\n]"), 0)).alias("ch"))
-    cmap = v.spark.createDataFrame([("é",), ("è",), ("ä",), ("ö",)], "ch string")
-    return ch.join(F.broadcast(cmap), "ch", "left_anti").groupBy("ch").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
-
 
-@operator("F24 S26 O7", """SELECT s_suppkey, cc, list(tag ORDER BY tag DESC)[1:3] AS tags FROM (SELECT s_suppkey, 50 + s_nationkey * 3 AS cc, 120 + s_suppkey % 15 AS cuda FROM supplier), (VALUES (118), (121), (124), (126), (128), (130), (134)) t(tag)
+@operator("F24 O7", """SELECT s_suppkey, cc, list(tag ORDER BY coalesce(tag = pin, false) DESC, tag DESC)[1:3] AS tags FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 121 END AS pin, 50 + s_nationkey * 3 AS cc, 120 + s_suppkey % 15 AS cuda FROM supplier), (VALUES (118), (121), (124), (126), (128), (130), (134)) t(tag)
   WHERE tag <= cuda + 6 AND (cc < 100 OR tag >= 124) AND (cc >= 70 OR tag < 130) GROUP BY s_suppkey, cc""", big="cc")
 def wheel_selection(v):
-    """Up to three newest build tags that a device's capability and driver allow."""
-    s = v.supplier.select("s_suppkey", (50 + F.col("s_nationkey") * 3).alias("cc"), (120 + F.col("s_suppkey") % 15).alias("cuda"))
+    """Up to three build tags that a device's capability and driver allow: a pinned one first, then the newest."""
+    s = v.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 4 == 0, 121).alias("pin"), (50 + F.col("s_nationkey") * 3).alias("cc"), (120 + F.col("s_suppkey") % 15).alias("cuda"))
     t = v.spark.createDataFrame([(x,) for x in (118, 121, 124, 126, 128, 130, 134)], "tag int")
     j = s.join(F.broadcast(t), (t.tag <= s.cuda + 6) & ((s.cc < 100) | (t.tag >= 124)) & ((s.cc >= 70) | (t.tag < 130)))
-    return j.groupBy("s_suppkey", "cc").agg(F.slice(F.sort_array(F.collect_list("tag"), False), 1, 3).alias("tags"))
+    return j.groupBy("s_suppkey", "cc").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce(F.col("tag") == F.col("pin"), F.lit(False)).alias("first"), "tag")), False), 1, 3), lambda x: x["tag"]).alias("tags"))

@@ -20,28 +20,14 @@ SHARED = "(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(leas
 GAP = "greatest(b.x0 - a.x1, a.x0 - b.x1, b.y0 - a.y1, a.y0 - b.y1, 0)"
 
 
-@operator("G1 G2 G4 D5", f"""SELECT a.page_key, a.rid AS a_rid, b.rid AS b_rid, {SHARED} AS shared, {SHARED} / {AREA_A} AS of_self, {SHARED} / least({AREA_A}, {AREA_B}) AS of_smaller, {SHARED} / greatest({AREA_A}, {AREA_B}) AS of_larger, {GAP} AS gap FROM rc a JOIN rc b ON a.page_key = b.page_key AND a.rid < b.rid WHERE {GAP} <= 4""")
+@operator("G1 G2 G4 D5", f"""SELECT a.page_key, a.rid AS a_rid, b.rid AS b_rid, {SHARED} AS shared, {SHARED} / {AREA_A} AS of_self, {SHARED} / least({AREA_A}, {AREA_B}) AS of_smaller, {SHARED} / greatest({AREA_A}, {AREA_B}) AS of_larger, {GAP} AS gap, least(a.x0, b.x0) AS ux0, greatest(a.y1, b.y1) AS uy1, a.x0 - 2 AS grown_x0, a.y1 + 2 AS grown_y1, (a.x0 + a.x1) / 2 AS cx, (a.y0 + a.y1) / 2 AS cy, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS beside FROM rc a JOIN rc b ON a.page_key = b.page_key AND a.rid < b.rid WHERE {GAP} <= 4""")
 def overlap_ratios(v):
-    """Neighbouring pairs with their overlap by each denominator and their gap."""
+    """Neighbouring pairs with their overlap by each denominator, gap, union, centre, the first one grown, and their overlap in height."""
     p = pairs(v).withColumn("shared", g.shared("a_", "b_")).withColumn("gap", g.gap("a_", "b_")).where("gap <= 4")
     r = lambda d: F.col("shared") / d
-    return p.select("page_key", "a_rid", "b_rid", "shared", r(g.area("a_")).alias("of_self"), r(F.least(g.area("a_"), g.area("b_"))).alias("of_smaller"), r(F.greatest(g.area("a_"), g.area("b_"))).alias("of_larger"), "gap")
+    return p.select("page_key", "a_rid", "b_rid", "shared", r(g.area("a_")).alias("of_self"), r(F.least(g.area("a_"), g.area("b_"))).alias("of_smaller"), r(F.greatest(g.area("a_"), g.area("b_"))).alias("of_larger"), "gap", F.least("a_x0", "b_x0").alias("ux0"), F.greatest("a_y1", "b_y1").alias("uy1"), (F.col("a_x0") - 2).alias("grown_x0"), (F.col("a_y1") + 2).alias("grown_y1"), ((F.col("a_x0") + F.col("a_x1")) / 2).alias("cx"), ((F.col("a_y0") + F.col("a_y1")) / 2).alias("cy"), (F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")).alias("beside"))
 
 
-@operator("G6 X9 G7", """SELECT page_key, rid, CASE WHEN x0 < 0.15 * 330 AND x0 > 14 THEN x0 + 14 ELSE x0 END AS x0, CASE WHEN x1 > 0.85 * 330 THEN x1 - least(14, x1 - 0.85 * 330) ELSE x1 END AS x1, CASE WHEN (x1 - x0) * 4 < y1 - y0 THEN 'fallback' ELSE 'ok' END AS verdict FROM rc""")
-def bleed_shrink(v):
-    """Extents drawn back from the side they bleed over, by 14 points at most within the outer 15 %."""
-    x0, x1 = F.col("x0"), F.col("x1")
-    return v.rc.select("page_key", "rid", F.when((x0 < 0.15 * 330) & (x0 > 14), x0 + 14).otherwise(x0).alias("x0"), F.when(x1 > 0.85 * 330, x1 - F.least(F.lit(14.0), x1 - F.lit(0.85 * 330))).otherwise(x1).alias("x1"), F.when((x1 - x0) * 4 < F.col("y1") - F.col("y0"), "fallback").otherwise("ok").alias("verdict"))
-
-
-@operator("G9", """SELECT page_key, list_reduce(list(y0 ORDER BY rid), lambda top, y: CASE WHEN y > top AND y - top < 20 THEN y ELSE top END) AS top FROM rc GROUP BY page_key""")
-def trimmed_top(v):
-    """The upper edge pushed down by each blocking line within 20 points, in order."""
-    ys = F.transform(F.array_sort(F.collect_list(F.struct("rid", "y0"))), lambda x: x["y0"])
-    r = v.rc.groupBy("page_key").agg(ys.alias("ys"))
-    step = lambda top, y: F.when((y > top) & (y - top < 20), y).otherwise(top)
-    return r.select("page_key", F.aggregate(F.slice("ys", F.lit(2), F.greatest(F.size("ys"), F.lit(1))), F.get("ys", F.lit(0)), step).alias("top"))
 
 
 @operator("N5 V9 D19", "SELECT geo_id, deg, round(30 * 20 / sqrt(power(20 * cos(radians(deg)), 2) + power(30 * sin(radians(deg)), 2)), 6) AS radius FROM ring", big="deg")
@@ -66,7 +52,7 @@ def overlay_pixels(v):
     return v.img.select("xref", "place_no", F.round(F.col("width_pt") * 150 / 72, 0).cast("long").alias("px"), (F.col("page") % 7 * 150 / F.lit(72.0)).alias("x_px"))
 
 
-@operator("L10 L11", "SELECT page_key, count(*) AS n, CASE WHEN count(*) % 5 IN (1, 2) AND count(*) > 5 THEN count(*) % 5 + 3 ELSE count(*) % 5 END AS tail FROM rc GROUP BY page_key")
+@operator("L10", "SELECT page_key, count(*) AS n, CASE WHEN count(*) % 5 IN (1, 2) AND count(*) > 5 THEN count(*) % 5 + 3 ELSE count(*) % 5 END AS tail FROM rc GROUP BY page_key")
 def widow_control(v):
     """Rows on the last sheet of five: a tail of one or two takes three more along."""
     c = v.rc.groupBy("page_key").agg(F.count(F.lit(1)).alias("n"))

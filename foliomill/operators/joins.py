@@ -83,14 +83,6 @@ def vertical_rules(v):
     return crossing.groupBy("page_key", "k", "a", "b").agg(F.count(F.lit(1)).alias("crossed")).where("crossed >= 2")
 
 
-@operator("J12", """SELECT g.page_key, g.c, g.r FROM (SELECT page_key, c, r FROM (SELECT DISTINCT page_key FROM sg) p, range(0, 5) t(c), range(0, 4) u(r)) g WHERE NOT EXISTS (SELECT 1 FROM sg s WHERE s.page_key = g.page_key AND s.axis = 'H' AND s.k // 10 = g.r AND s.a <= g.c * 60 + 30 AND s.b + 30 >= g.c * 60 + 30)""")
-def missing_rules(v):
-    """Grid cells under which no horizontal rule runs: they merge with the cell below."""
-    g = v.sg.select("page_key").distinct().withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    h = v.sg.where("axis = 'H'").select(F.col("page_key").alias("pk"), F.floor(F.col("k") / 10).alias("hr"), "a", "b")
-    mid = F.col("c") * 60 + 30
-    return g.join(h, (g.page_key == h.pk) & (F.col("hr") == F.col("r")) & (F.col("a") <= mid) & (F.col("b") + 30 >= mid), "left_anti").select("page_key", "c", "r")
-
 
 @operator("J13 Q03 M1", f"""SELECT text, count(*) AS n, list(page ORDER BY page)[1:4] AS pages FROM (SELECT DISTINCT text, page FROM un WHERE kind < 2) u WHERE NOT EXISTS (SELECT 1 FROM {FIRST} d WHERE d.key = u.text) GROUP BY text""")
 def label_coverage(v):
@@ -107,12 +99,28 @@ def asset_differences(v):
     return used.join(have, "stem", "left_anti").withColumn("side", F.lit("missing")).unionByName(have.join(used, "stem", "left_anti").withColumn("side", F.lit("unused")))
 
 
-@operator("J15 Q12 A8 T11", """SELECT item_id, count(*) AS tokens, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT w FROM wd) o WHERE o.w = token)) AS lost FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{4,}')) AS token FROM benchmark) GROUP BY item_id""")
+#: Tokens that must survive as they are: runs of letters, digits and joints that hold a digit.
+TOKEN = r"[A-Za-z0-9][A-Za-z0-9\-./,]*[A-Za-z0-9]|[0-9]"
+TOKENS_SQL = f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) AS token FROM documents) WHERE regexp_matches(token, '[0-9]') AND length(token) >= 2 GROUP BY ALL"
+
+
+def document_tokens(v):
+    t = v.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), 0)).alias("token"))
+    return t.where(F.col("token").rlike("[0-9]") & (F.length("token") >= 2)).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@operator("A8 T11", TOKENS_SQL)
+def token_counts(v):
+    """Tokens with a digit of each document, by number of occurrences."""
+    return document_tokens(v)
+
+
+@operator("J15 Q12", f"""SELECT t.doc_id, t.token, t.n FROM ({TOKENS_SQL}) t JOIN (SELECT doc_id, regexp_replace(string_agg(text, ' ' ORDER BY line_no), '\\s', '', 'g') AS out FROM st GROUP BY doc_id) o ON o.doc_id = t.doc_id WHERE NOT contains(o.out, t.token)""")
 def token_reconciliation(v):
-    """Tokens of each item, and how many of them no document has as a word."""
-    t = v.benchmark.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{4,}"), 0))).alias("w"))
-    have = v.wd.select("w").distinct().withColumn("there", F.lit(1))
-    return t.join(have, "w", "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("there").isNull()).alias("lost"))
+    """Tokens of a document that its whole output lacks, even as part of something longer; blanks don't count."""
+    out = v.st.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
+    out = out.select("doc_id", F.regexp_replace(F.array_join(F.col("ls.text"), " "), r"\s", "").alias("out"))
+    return document_tokens(v).join(out, "doc_id").where(~F.col("out").contains(F.col("token"))).select("doc_id", "token", "n")
 
 
 @operator("J16 Q16 W6 T14 J38 U4", """SELECT doc_id, token, n FROM (SELECT doc_id, token, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY token) AS rn FROM (SELECT DISTINCT s.doc_id, s.token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9.]*[0-9][A-Za-z0-9.]*')) AS token FROM documents) s
@@ -126,14 +134,24 @@ def kept_tokens_missing(v):
     return lost.select("doc_id", "token", F.count(F.lit(1)).over(w).alias("n"), F.row_number().over(w.orderBy("token")).alias("rn")).where("rn <= 6").drop("rn")
 
 
-@operator("J17", "SELECT page, unit_no FROM (SELECT *, max(size) OVER (PARTITION BY page) AS hi, min(size) OVER (PARTITION BY page) AS lo FROM un) WHERE hi >= 1.4 * lo AND size = lo AND kind >= 2")
+@operator("J17", "SELECT u.page, u.unit_no FROM (SELECT *, max(size) OVER (PARTITION BY page) AS hi, min(size) OVER (PARTITION BY page) AS lo FROM un) u WHERE hi >= 1.4 * lo AND size = lo AND kind >= 2 AND NOT EXISTS (SELECT 1 FROM un o WHERE o.page = u.page + 1 AND contains(o.text, u.text))")
 def cross_size_rows(v):
-    """Kept rows in the small size of pages that mix sizes by 1.4 or more."""
+    """Kept rows in the small size of pages that mix sizes by 1.4 or more, and that the output (the page one on) doesn't show."""
     w = Window.partitionBy("page")
-    return v.un.select("page", "unit_no", "size", "kind", F.max("size").over(w).alias("hi"), F.min("size").over(w).alias("lo")).where("hi >= 1.4 * lo AND size = lo AND kind >= 2").select("page", "unit_no")
+    small = v.un.select("page", "unit_no", "text", "size", "kind", F.max("size").over(w).alias("hi"), F.min("size").over(w).alias("lo")).where("hi >= 1.4 * lo AND size = lo AND kind >= 2")
+    out = v.un.select((F.col("page") - 1).alias("op"), F.col("text").alias("ot"))
+    return small.join(out, (F.col("page") == F.col("op")) & F.col("ot").contains(F.col("text")), "left_anti").select("page", "unit_no")
 
 
-@operator("J18 J23", """SELECT a.page_key, a.rid, arg_min(b.rid, b.x0 * 1000 + b.rid) AS right_rid FROM rc a JOIN rc b ON a.page_key = b.page_key AND a.rid <> b.rid AND abs(a.y1 - b.y1) <= 0.6 * (a.y1 - a.y0) AND b.x0 >= a.x1 GROUP BY a.page_key, a.rid""")
+@operator("J23", f"""SELECT a.page_key, a.rid, arg_min(b.rid, {{'x': b.x0, 'r': b.rid}}) AS line_rid FROM {PAIR} WHERE a.size = 6 AND b.size > 6 AND abs(a.y1 - b.y1) <= 3 AND b.x0 >= a.x1 - 80 AND b.x0 - a.x1 <= 60 GROUP BY a.page_key, a.rid""")
+def marker_lines(v):
+    """The line that belongs to a bullet set apart: the nearest to its right on the baseline (3 points) whose start is at most 60 points off."""
+    a, b, same = pair(v)
+    near = F.expr("size = 6 AND bsize > 6 AND abs(y1 - by1) <= 3 AND bx0 >= x1 - 80 AND bx0 - x1 <= 60")
+    return a.join(b, same & near).groupBy("page_key", "rid").agg(F.min_by("brid", F.struct("bx0", "brid")).alias("line_rid"))
+
+
+@operator("J18", """SELECT a.page_key, a.rid, arg_min(b.rid, b.x0 * 1000 + b.rid) AS right_rid FROM rc a JOIN rc b ON a.page_key = b.page_key AND a.rid <> b.rid AND abs(a.y1 - b.y1) <= 0.6 * (a.y1 - a.y0) AND b.x0 >= a.x1 GROUP BY a.page_key, a.rid""")
 def nearest_right(v):
     """The nearest rectangle to the right on the same baseline."""
     a, b, same = pair(v)
@@ -149,24 +167,41 @@ def link_rows(v):
     return a.join(b, same, "left").groupBy("page_key", "rid").agg(F.coalesce(by_area, F.min(F.when(inside, F.col("brid")))).alias("row_rid"))
 
 
-@operator("J20 Q24 T13", """SELECT t.page_id, ord, kw FROM (SELECT page_id, ord, heading, list_reduce(regexp_extract_all(lower(title), '[a-z]{4,}'), lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END, '') AS kw FROM toc) t JOIN pages p ON p.page_id = t.page_id WHERE kw <> '' AND NOT contains(lower(regexp_replace(p.html, '<[^>]*>', ' ', 'g')), kw || ' ' || kw)""", big="ord")
+KEYWORD = r"[\u2E80-\u9FFF]{2,}|[a-z]{4,}"
+
+
+@operator("J20 Q24 T13", """SELECT t.page_id, t.ord, t.kw, p.page_id AS goal FROM (SELECT page_id, ord, printed, list_reduce(regexp_extract_all(lower(title), '[\\x{2E80}-\\x{9FFF}]{2,}|[a-z]{4,}'), lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END, '') AS kw FROM te) t JOIN pages p ON CAST(p.page_id AS VARCHAR) = t.printed WHERE kw <> '' AND NOT contains(lower(regexp_replace(p.html, '<[^>]*>', ' ', 'g')), kw)""")
 def toc_target_check(v):
-    """Entries whose longest keyword isn't found (twice running) in the text of the page they lead to."""
-    kw = F.aggregate(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{4,}"), 0), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    t = v.toc.select("page_id", "ord", kw.alias("kw")).where("kw <> ''")
-    body = v.pages.select("page_id", F.lower(F.regexp_replace("html", "<[^>]*>", " ")).alias("body"))
-    return t.join(body, "page_id").where(~F.col("body").contains(F.concat("kw", F.lit(" "), "kw"))).select("page_id", "ord", "kw")
+    """Entries whose longest keyword (two Han characters or four letters at least; the first of the longest) isn't in their target's text."""
+    kw = F.aggregate(F.regexp_extract_all(F.lower("title"), F.lit(KEYWORD), 0), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    t = v.te.select("page_id", "ord", "printed", kw.alias("kw")).where("kw <> ''")
+    body = v.pages.select(F.col("page_id").alias("goal"), F.col("page_id").cast("string").alias("printed"), F.lower(F.regexp_replace("html", "<[^>]*>", " ")).alias("body"))
+    return t.join(body, "printed").where(~F.col("body").contains(F.col("kw"))).select("page_id", "ord", "kw", "goal")
 
 
-@operator("J21 W3", "SELECT p_partkey, min(b.doc_id) AS first_doc FROM (SELECT p_partkey, initcap_1 AS code FROM (SELECT p_partkey, upper(substr(p_name, 1, 1)) || substr(p_name, 2, 1) AS initcap_1 FROM part)) c JOIN (SELECT doc_id, text, substr(text, 1, 2) AS head FROM ln WHERE y0 < 130) b ON b.head = c.code GROUP BY p_partkey")
+@operator("J21 S14", """SELECT code, arg_min(doc_id, {'d': doc_id, 'p': page}) AS doc_id, arg_min(page, {'d': doc_id, 'p': page}) AS page FROM (SELECT DISTINCT regexp_extract(text, '^([0-9]+-[0-9]+|[A-Z]+ [0-9]+)', 1) AS code FROM st WHERE regexp_matches(text, '^([0-9]+-[0-9]+|[A-Z]+ [0-9]+)')) c JOIN (SELECT doc_id, page, text FROM st WHERE y0 < 130) b ON starts_with(b.text, c.code) GROUP BY code""")
 def code_first_page(v):
-    """The first document with a head line that starts with a part's code; the fixed length of codes makes the join an equal one."""
-    c = v.part.select("p_partkey", F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1)).alias("head"))
-    b = v.ln.where("y0 < 130").groupBy(F.substring("text", 1, 2).alias("head")).agg(F.min("doc_id").alias("first_doc"))
-    return c.join(b, "head").select("p_partkey", "first_doc")
+    """The first page with a head line that starts with a code.
+
+    A head line is dealt to its beginnings of the lengths that codes have, so the join is an equal one.
+    """
+    p = r"^([0-9]+-[0-9]+|[A-Z]+ [0-9]+)"
+    codes = v.st.where(F.col("text").rlike(p)).select(F.regexp_extract("text", p, 1).alias("code")).distinct()
+    longest = codes.agg(F.max(F.length("code")).alias("m")).first()["m"] or 0  # a code's length, one number
+    heads = v.st.where("y0 < 130").select("doc_id", "page", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length("text"), F.lit(longest)), F.lit(1))), lambda n: F.substr("text", F.lit(1), n))).alias("code"))
+    return codes.join(heads, "code").groupBy("code").agg(F.min(F.struct("doc_id", "page")).alias("m")).select("code", "m.doc_id", "m.page")
 
 
-@operator("J26 J28 Q36 J40 Q43", f"""SELECT a.page_key, a.rid FROM rc a WHERE a.size <= 8 AND NOT EXISTS (SELECT 1 FROM rc b WHERE a.page_key = b.page_key AND a.rid <> b.rid AND b.size > 8 AND greatest(least(a.x1, b.x1 + 6) - greatest(a.x0, b.x0 - 6), 0) * greatest(least(a.y1, b.y1 + 6) - greatest(a.y0, b.y0 - 6), 0) >= 0.55 * ((a.x1 - a.x0) * (a.y1 - a.y0)))""")
+@operator("J40 Q43", """SELECT page_key, box, problem FROM (SELECT page_key, rid - 1 AS box, 'unlisted' AS problem FROM rc WHERE NOT EXISTS (SELECT 1 FROM (SELECT page_key AS pk, l_linenumber - 1 AS b FROM rc) l WHERE l.pk = page_key AND l.b = rid - 1) UNION ALL SELECT DISTINCT page_key, CAST(l_linenumber - 1 AS BIGINT), 'no box' FROM rc a WHERE NOT EXISTS (SELECT 1 FROM (SELECT page_key AS pk, rid - 1 AS b FROM rc) l WHERE l.pk = a.page_key AND l.b = a.l_linenumber - 1))""")
+def unlisted_boxes(v):
+    """Detected boxes that no label lists by its index, and labels for boxes that aren't there; both are errors."""
+    box = v.rc.select("page_key", (F.col("rid") - 1).cast("long").alias("box")).distinct()
+    label = v.rc.select("page_key", (F.col("l_linenumber") - 1).cast("long").alias("box")).distinct()
+    on = ["page_key", "box"]
+    return box.join(label, on, "left_anti").withColumn("problem", F.lit("unlisted")).unionByName(label.join(box, on, "left_anti").withColumn("problem", F.lit("no box")))
+
+
+@operator("J26 Q36", f"""SELECT a.page_key, a.rid FROM rc a WHERE a.size <= 8 AND NOT EXISTS (SELECT 1 FROM rc b WHERE a.page_key = b.page_key AND a.rid <> b.rid AND b.size > 8 AND greatest(least(a.x1, b.x1 + 6) - greatest(a.x0, b.x0 - 6), 0) * greatest(least(a.y1, b.y1 + 6) - greatest(a.y0, b.y0 - 6), 0) >= 0.55 * ((a.x1 - a.x0) * (a.y1 - a.y0)))""")
 def sweep_uncovered(v):
     """Detected boxes that no handled box, grown by 6 points, covers by 55 %."""
     a, b, same = pair(v)
@@ -181,7 +216,18 @@ def claimed_units(v):
     return a.join(b, same & ((shared_area() >= 0.3 * area()) | ((shared_area() > 0) & F.col("btxt").contains(F.col("txt")) & (F.col("txt") != F.col("btxt")))), "left_semi").select("page_key", "rid")
 
 
-@operator("J30 A14", "SELECT page_key, CASE WHEN n < 2 THEN -1 WHEN max(x0) - min(x0) <= greatest(3, 0.1 * max(x1 - x0)) THEN 0 WHEN max(x1) - min(x1) <= greatest(3, 0.1 * max(x1 - x0)) THEN 2 WHEN max(x0 + x1) / 2 - min(x0 + x1) / 2 <= greatest(3, 0.1 * max(x1 - x0)) THEN 1 ELSE -1 END AS align FROM (SELECT *, count(*) OVER (PARTITION BY page_key) AS n FROM rc) GROUP BY page_key, n", big="align")
+@operator("J30", f"""SELECT page_key, unit, n, CASE WHEN n < 2 THEN -1 WHEN sx0 <= tol THEN 0 WHEN sx1 <= tol THEN 2 WHEN sm <= tol THEN 1 ELSE -1 END AS align FROM (SELECT b.page_key, b.rid AS unit, count(*) AS n, max(a.x0) - min(a.x0) AS sx0, max(a.x1) - min(a.x1) AS sx1, max(a.x0 + a.x1) / 2 - min(a.x0 + a.x1) / 2 AS sm, greatest(3, 0.1 * any_value(b.x1 - b.x0)) AS tol FROM {PAIR} WHERE a.size < 9 AND b.size >= 9 AND {SHARED} > 0.5 * ((a.x1 - a.x0) * (a.y1 - a.y0)) GROUP BY b.page_key, b.rid)""", big="align")
+def unit_alignment(v):
+    """The alignment of the lines that lie in a unit by over half their area: left 0, centred 1, right 2, else -1."""
+    a, b, same = pair(v)
+    j = a.where("size < 9").join(b.where("bsize >= 9"), same & (shared_area() > 0.5 * area()))
+    spread = lambda c: F.max(c) - F.min(c)
+    g = j.groupBy("page_key", F.col("brid").alias("unit"), "bx0", "bx1").agg(F.count(F.lit(1)).alias("n"), spread(F.col("x0")).alias("sx0"), spread(F.col("x1")).alias("sx1"), spread((F.col("x0") + F.col("x1")) / 2).alias("sm"))
+    tol = F.greatest(F.lit(3.0), 0.1 * (F.col("bx1") - F.col("bx0")))
+    return g.select("page_key", "unit", "n", F.when(F.col("n") < 2, -1).when(F.col("sx0") <= tol, 0).when(F.col("sx1") <= tol, 2).when(F.col("sm") <= tol, 1).otherwise(-1).alias("align"))
+
+
+@operator("A14", "SELECT page_key, CASE WHEN n < 2 THEN -1 WHEN max(x0) - min(x0) <= greatest(3, 0.1 * max(x1 - x0)) THEN 0 WHEN max(x1) - min(x1) <= greatest(3, 0.1 * max(x1 - x0)) THEN 2 WHEN max(x0 + x1) / 2 - min(x0 + x1) / 2 <= greatest(3, 0.1 * max(x1 - x0)) THEN 1 ELSE -1 END AS align FROM (SELECT *, count(*) OVER (PARTITION BY page_key) AS n FROM rc) GROUP BY page_key, n", big="align")
 def block_alignment(v):
     """Left, right, centred or none, by the spread of edges and middles."""
     spread = lambda c: F.max(c) - F.min(c)
@@ -189,7 +235,17 @@ def block_alignment(v):
     return v.rc.groupBy("page_key").agg(F.when(F.count(F.lit(1)) < 2, -1).when(spread(F.col("x0")) <= tol, 0).when(spread(F.col("x1")) <= tol, 2).when(spread((F.col("x0") + F.col("x1")) / 2) <= tol, 1).otherwise(-1).alias("align"))
 
 
-@operator("J32 G10", "SELECT a.page_key, a.rid, least(576.0, coalesce(min(b.x0) FILTER (WHERE b.x0 > a.x0 AND b.y0 < a.y1 AND b.y1 > a.y0), 1e9) - 5) AS right_limit FROM rc a LEFT JOIN rc b ON a.page_key = b.page_key AND a.rid <> b.rid GROUP BY a.page_key, a.rid")
+@operator("J32 G10", """SELECT s.doc_id, s.line_no, least(576.0, coalesce(min(o.x0), 1e9) - 5) AS right_limit, count(o.x0) AS obstacles FROM st s LEFT JOIN (SELECT doc_id, page, line_no, x0, y0, y1 FROM st WHERE trim(text) <> '' UNION ALL SELECT doc_id, page, -1, x0, y0, y1 FROM dw WHERE x1 - x0 BETWEEN 3 AND 11 OR x1 - x0 <= 3) o ON o.doc_id = s.doc_id AND o.page = s.page AND o.line_no <> s.line_no AND o.x0 > s.x0 AND o.y0 < s.y1 AND o.y1 > s.y0 WHERE trim(s.text) <> '' GROUP BY s.doc_id, s.line_no""")
+def widening_limit(v):
+    """How far a line may widen: to the next line, checkbox or vertical rule at its height, less 5 points, or the margin."""
+    t = v.st.where("trim(text) <> ''")
+    o = t.select("doc_id", "page", "line_no", "x0", "y0", "y1").unionByName(v.dw.where("x1 - x0 BETWEEN 3 AND 11 OR x1 - x0 <= 3").select("doc_id", "page", F.lit(-1).cast("long").alias("line_no"), "x0", "y0", "y1"))
+    o = o.select(F.col("doc_id").alias("od"), F.col("page").alias("op"), F.col("line_no").alias("ol"), F.col("x0").alias("ox0"), F.col("y0").alias("oy0"), F.col("y1").alias("oy1"))
+    j = t.join(o, F.expr("doc_id = od AND page = op AND ol <> line_no AND ox0 > x0 AND oy0 < y1 AND oy1 > y0"), "left")
+    return j.groupBy("doc_id", "line_no").agg(F.least(F.lit(576.0), F.coalesce(F.min("ox0"), F.lit(1e9)) - 5).alias("right_limit"), F.count("ox0").alias("obstacles"))
+
+
+@operator("G10", "SELECT a.page_key, a.rid, least(576.0, coalesce(min(b.x0) FILTER (WHERE b.x0 > a.x0 AND b.y0 < a.y1 AND b.y1 > a.y0), 1e9) - 5) AS right_limit FROM rc a LEFT JOIN rc b ON a.page_key = b.page_key AND a.rid <> b.rid GROUP BY a.page_key, a.rid")
 def right_limit(v):
     """How far each rectangle may widen: to the nearest obstacle at its height, or the margin."""
     a, b, same = pair(v)
@@ -197,7 +253,16 @@ def right_limit(v):
     return a.join(b, same, "left").groupBy("page_key", "rid").agg(F.least(F.lit(576.0), F.coalesce(F.min(F.when(hit, F.col("bx0"))), F.lit(1e9)) - 5).alias("right_limit"))
 
 
-@operator("J33 J34 L9", "SELECT a.page_key, a.rid, min(b.y0) AS next_y, least(792.0, coalesce(min(b.y0), 792.0)) - a.y1 AS room FROM rc a LEFT JOIN rc b ON a.page_key = b.page_key AND a.rid <> b.rid AND b.y0 >= a.y1 AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0.25 * (a.x1 - a.x0) GROUP BY a.page_key, a.rid, a.y1")
+@operator("J33", f"SELECT a.page_key, a.rid, b.rid AS around FROM {PAIR} WHERE (a.x1 - a.x0) * (a.y1 - a.y0) < (b.x1 - b.x0) * (b.y1 - b.y0) AND {SHARED} >= 0.8 * ((a.x1 - a.x0) * (a.y1 - a.y0)) AND NOT contains(b.txt, a.txt) AND (a.x0 - b.x0 <= 6 OR b.x1 - a.x1 <= 6)")
+def edge_intruders(v):
+    """Smaller units that lie in a larger one by 80 %, at its left or right edge, with a text of their own."""
+    a, b, same = pair(v)
+    at_edge = (F.col("x0") - F.col("bx0") <= 6) | (F.col("bx1") - F.col("x1") <= 6)
+    on = same & (area() < area("b")) & (shared_area() >= 0.8 * area()) & ~F.col("btxt").contains(F.col("txt")) & at_edge
+    return a.join(b, on).select("page_key", "rid", F.col("brid").alias("around"))
+
+
+@operator("J34 L9", "SELECT a.page_key, a.rid, min(b.y0) AS next_y, least(792.0, coalesce(min(b.y0), 792.0)) - a.y1 AS room FROM rc a LEFT JOIN rc b ON a.page_key = b.page_key AND a.rid <> b.rid AND b.y0 >= a.y1 AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0.25 * (a.x1 - a.x0) GROUP BY a.page_key, a.rid, a.y1")
 def room_below(v):
     """The nearest unit below that overlaps by a quarter of the width, and the room down to it."""
     a, b, same = pair(v)
@@ -213,11 +278,14 @@ def rect_overlap_pairs(v):
     return a.join(b, (a.page_key == b.pk) & (F.col("rid") < F.col("brid")) & (shared_area() > 0.15 * F.least(area(), area("b"))) & high).select("page_key", F.col("rid").alias("a_rid"), F.col("brid").alias("b_rid"), shared_area().alias("shared"))
 
 
-@operator("J37 Q29 Q33", """SELECT s.doc_id, s.page, count(*) FILTER (WHERE abs(s.widest - o.widest) > 10) AS moved, max(abs(s.lines - o.lines)) AS line_gap FROM pm s JOIN (SELECT doc_id - 1 AS doc_id, page, widest, lines FROM pm) o ON o.doc_id = s.doc_id AND o.page = s.page GROUP BY s.doc_id, s.page""")
-def page_pairs(v):
-    """Pages of paired documents compared by number: width moved, lines gained or lost."""
-    o = v.pm.select((F.col("doc_id") - 1).alias("doc_id"), "page", F.col("widest").alias("ow"), F.col("lines").alias("ol"))
-    return v.pm.join(o, ["doc_id", "page"]).groupBy("doc_id", "page").agg(F.count_if(F.abs(F.col("widest") - F.col("ow")) > 10).alias("moved"), F.max(F.abs(F.col("lines") - F.col("ol"))).alias("line_gap"))
+@operator("Q33", """SELECT s.doc_id, s.page FROM (SELECT p.doc_id, p.page, w, h, coalesce(n, 0) AS n FROM pg p LEFT JOIN (SELECT doc_id, page, count(*) AS n FROM dw GROUP BY ALL) d ON d.doc_id = p.doc_id AND d.page = p.page) s JOIN (SELECT p.doc_id - 1 AS doc_id, p.page, w, h, coalesce(n, 0) AS n FROM pg p LEFT JOIN (SELECT doc_id, page, count(*) AS n FROM dw GROUP BY ALL) d ON d.doc_id = p.doc_id AND d.page = p.page) o ON o.doc_id = s.doc_id AND o.page = s.page WHERE s.w <> o.w OR s.h <> o.h OR o.n < s.n - 2""")
+def layout_changes(v):
+    """Pages of paired documents whose size differs, or that lost more than two drawings."""
+    n = v.dw.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    p = v.pg.join(n, ["doc_id", "page"], "left").fillna(0, ["n"])
+    o = p.select((F.col("doc_id") - 1).alias("doc_id"), "page", F.col("w").alias("ow"), F.col("h").alias("oh"), F.col("n").alias("on"))
+    return p.join(o, ["doc_id", "page"]).where(F.expr("w <> ow OR h <> oh OR `on` < n - 2")).select("doc_id", "page")
+
 
 
 @operator("J41 M2", """SELECT p.p_partkey, coalesce(l.p_size, p.p_size) AS size, CASE WHEN l.p_partkey IS NULL THEN 'own' ELSE 'like' END AS origin FROM part p LEFT JOIN part l ON l.p_partkey = CASE WHEN p.p_partkey % 4 = 0 THEN p.p_partkey // 4 END""", big="size")

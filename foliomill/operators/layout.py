@@ -20,7 +20,7 @@ def flow_ladder(v):
     return p.select("page_key", F.coalesce(*fits, F.lit(len(fits) - 1)).alias("step"))
 
 
-@operator("L3 L5 L12 T18")
+@operator("T18")
 def block_layout(v):
     """Text blocks of a page wrapped into its width one under the other: first and last line and height of each."""
 
@@ -44,21 +44,13 @@ def two_pass_contents(v):
     return v.toc.join(n, "page_id").select("page_id", "ord", F.concat_ws(" ", "title", dots, start).alias("line"))
 
 
-@operator("L6 L13 T17")
+@operator("A22")
 def form_blocks(v):
     """Labels and values of a page as stacked form rows with their estimated widths."""
     width = F.aggregate(F.split("text", ""), F.lit(0.0), lambda a, c: a + F.when(c == "", 0.0).when(F.ascii(c) > 127, em("表")).otherwise(em("a")))
     return v.un.select("page", "unit_no", F.when(F.col("kind") % 2 == 0, "label").otherwise("value").alias("part"), F.round(width * F.col("size"), 4).alias("width"), (72 + 14 * F.col("unit_no")).alias("y"))
 
 
-@operator("N8 Z5 Z6", """SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'off' WHEN event_id % 5 < 3 THEN 'answered' ELSE 'failed' END AS state, least(event_id % 5, 3) AS retries, CASE WHEN user_id % 7 = 0 THEN 0.0 ELSE list_sum(list_transform(range(0, least(event_id % 5, 3)), lambda k: 1.5 * power(2, k))) END AS waited FROM events""")
-def retried_requests(v):
-    """Requests with up to three retries and doubling waits of 1.5 seconds; a switch leaves some unasked."""
-    off, k = F.col("user_id") % 7 == 0, F.least(F.col("event_id") % 5, F.lit(3))
-    state = F.when(off, "off").when(F.col("event_id") % 5 < 3, "answered").otherwise("failed")
-    waited = F.when(off, 0.0).when(k > 0, 1.5 * (F.pow(F.lit(2.0), k.cast("double")) - 1))
-    return v.events.select("event_id", state.alias("state"), k.alias("retries"), waited.alias("waited"))
-
 
 @operator("DT1 DT2", """SELECT user_id, count(*) AS reads, count(*) FILTER (WHERE gap > 1800) AS stale, count(*) FILTER (WHERE gap > 86400 OR gap IS NULL) AS refetched FROM (SELECT user_id, epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY user_id""")
 def cache_ages(v):
@@ -83,18 +75,8 @@ def last_resort_locator(v):
     return sure.unionByName(g.where("dark < 12").mapInPandas(locate, "geo_id long, method string, score double"))
 
 
-@operator("S4 C9 F9 J8", """SELECT page_key, region, n, labels FROM (SELECT page_key, region, count(*) AS n, count(*) FILTER (WHERE size = 6) AS labels FROM (SELECT *, sum(new) OVER (PARTITION BY page_key ORDER BY y0, rid) AS region FROM (SELECT *, CASE WHEN y0 > max(y1) OVER (PARTITION BY page_key ORDER BY y0, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 26 THEN 1 ELSE 0 END AS new FROM rc)) GROUP BY page_key, region) WHERE n >= 2 AND labels >= 1""", big="region")
-def figure_scan(v):
-    """Figures: art in vertical clusters of two or more with at least one label among them."""
-    from pyspark.sql import Window
-
-    o = Window.partitionBy("page_key").orderBy("y0", "rid")
-    far = F.max("y1").over(o.rowsBetween(Window.unboundedPreceding, -1))
-    r = v.rc.withColumn("new", F.when(F.col("y0") > far + 26, 1).otherwise(0)).withColumn("region", F.sum("new").over(o))
-    return r.groupBy("page_key", "region").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") == 6).alias("labels")).where("n >= 2 AND labels >= 1")
-
 
-@operator("K10 K11", """SELECT page_key, string_agg(txt, '|' ORDER BY rid) AS buffer, md5(string_agg(txt, '|' ORDER BY rid)) AS digest FROM rc GROUP BY page_key""")
+@operator("K10", """SELECT page_key, string_agg(txt, '|' ORDER BY rid) AS buffer, md5(string_agg(txt, '|' ORDER BY rid)) AS digest FROM rc GROUP BY page_key""")
 def page_buffers(v):
     """Each page as one buffer with its digest, ready to be packed."""
     b = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rid", "txt"))), lambda x: x["txt"]), "|")

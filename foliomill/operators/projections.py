@@ -7,21 +7,6 @@ from pyspark.sql import functions as F
 
 from foliomill.plans.registry import operator
 
-LEVEL = "CASE WHEN landscape AND dom >= 18 THEN 'S' WHEN fig >= 70 OR cbs >= 15 OR form >= 8 OR paths > 3000 THEN 'P' ELSE 'R' END"
-
-
-def level():
-    """Order matters: slides before drawings and forms before plain text."""
-    c = F.col
-    return F.when(c("landscape") & (c("dom") >= 18), "S").when((c("fig") >= 70) | (c("cbs") >= 15) | (c("form") >= 8) | (c("paths") > 3000), "P").otherwise("R")
-
-
-@operator("P1 A1", "SELECT page_key, CAST(sum(length(trim(txt, ' '))) AS BIGINT) AS chars, count(*) AS paths, round(least(100, sum((x1 - x0) * (y1 - y0)) / (612 * 792) * 100), 6) AS fig, max(x1) > max(y1) AS landscape FROM rc GROUP BY page_key")
-def page_metrics(v):
-    """Characters, paths, figure share and orientation of each page."""
-    area = F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    return v.rc.groupBy("page_key").agg(F.sum(F.length(F.trim("txt"))).alias("chars"), F.count(F.lit(1)).alias("paths"), F.round(F.least(F.lit(100), area / (612 * 792) * 100), 6).alias("fig"), (F.max("x1") > F.max("y1")).alias("landscape"))
-
 
 @operator("P2 N1 N3", """SELECT page_key, count(*) AS cells, least(100.0, count(*) * 64 / 484704.0 * 100) AS share FROM (SELECT DISTINCT page_key, cx, cy FROM (SELECT page_key, cx, unnest(range(CAST(floor(y0 / 8) AS BIGINT), CAST(floor(y1 / 8) AS BIGINT) + 1)) AS cy
   FROM (SELECT page_key, y0, y1, unnest(range(CAST(floor(x0 / 8) AS BIGINT), CAST(floor(x1 / 8) AS BIGINT) + 1)) AS cx FROM rc))) GROUP BY page_key""")
@@ -32,57 +17,59 @@ def grid_coverage(v):
     return c.groupBy("page_key").agg(F.count(F.lit(1)).alias("cells")).withColumn("share", F.least(F.lit(100.0), F.col("cells") * 64 / 484704.0 * 100))
 
 
-@operator("P3 J6 J7", """SELECT page_key, count(*) AS slots FROM rc r WHERE size = 6 AND NOT EXISTS (SELECT 1 FROM rc w WHERE w.page_key = r.page_key AND w.rid <> r.rid AND w.size > 6 AND w.x0 < r.x1 AND w.x1 > r.x0 AND w.y1 > r.y0 - 11 AND w.y0 < r.y0 + 11)
-  AND EXISTS (SELECT 1 FROM rc w WHERE w.page_key = r.page_key AND w.size > 6 AND w.x1 <= r.x0 + 2 AND w.x1 > r.x0 - 40) GROUP BY page_key""")
-def form_slots(v):
-    """Blank rules with no word right above or below and a word within 40 points to the left."""
-    r = v.rc.where("size = 6").select("page_key", "rid", "x0", "y0", "x1")
-    w = v.rc.where("size > 6").select("page_key", F.col("rid").alias("wid"), F.col("x0").alias("wx0"), F.col("y0").alias("wy0"), F.col("x1").alias("wx1"), F.col("y1").alias("wy1"))
-    near = (r.page_key == w.page_key) & (w.wid != r.rid) & (w.wx0 < r.x1) & (w.wx1 > r.x0) & (w.wy1 > r.y0 - 11) & (w.wy0 < r.y0 + 11)
-    left = (r.page_key == w.page_key) & (w.wx1 <= r.x0 + 2) & (w.wx1 > r.x0 - 40)
-    return r.join(w, near, "left_anti").join(w, left, "left_semi").groupBy("page_key").agg(F.count(F.lit(1)).alias("slots"))
+@operator("P8 P10 P26", """SELECT *, greatest(280, CAST(floor(w * scale) AS BIGINT)) AS pad_w, greatest(280, CAST(floor(h * scale) AS BIGINT)) AS pad_h FROM (SELECT xref, place_no, w, h, CASE WHEN width_pt >= 250 THEN 300 WHEN width_pt >= 120 THEN 450 ELSE 600 END AS dpi, CASE WHEN w >= 1200 THEN 'wide' ELSE 'narrow' END AS params, CASE WHEN greatest(w, h) > 1568 THEN 1568.0 / greatest(w, h) ELSE 1.0 END::DOUBLE AS scale FROM img)""", big="dpi w h")
+def image_parameters(v):
+    """Resolution by width, detection parameters, and the scale and padded size (280 to 1568 pixels a side) of each placement's request."""
+    w, h = F.col("w"), F.col("h")
+    scale = F.when(F.greatest(w, h) > 1568, 1568.0 / F.greatest(w, h)).otherwise(1.0)
+    out = v.img.select("xref", "place_no", "w", "h", F.when(F.col("width_pt") >= 250, 300).when(F.col("width_pt") >= 120, 450).otherwise(600).alias("dpi"), F.when(w >= 1200, "wide").otherwise("narrow").alias("params"), scale.alias("scale"))
+    return out.select("*", *[F.greatest(F.lit(280).cast("long"), F.floor(F.col(c) * F.col("scale"))).alias(f"pad_{c}") for c in ("w", "h")])
+
 
+@operator("Z2", """SELECT xref, (place_no - 1) // 16 AS request, count(*) AS crops, (place_no - 1) // 16 = 0 AS whole_figure, 2 * count(*) + CASE WHEN (place_no - 1) // 16 = 0 THEN 1 ELSE 0 END AS questions FROM img GROUP BY xref, (place_no - 1) // 16""")
+def figure_requests(v):
+    """Questions about a figure's boxes: sixteen crops a request and two questions each; the whole figure goes with the first only."""
+    g = v.img.groupBy("xref", F.floor((F.col("place_no") - 1) / 16).alias("request")).agg(F.count(F.lit(1)).alias("crops"))
+    first = F.col("request") == 0
+    return g.select("xref", "request", "crops", first.alias("whole_figure"), (2 * F.col("crops") + F.when(first, 1).otherwise(0)).alias("questions"))
 
-@operator("P4", f"SELECT doc_id, page, {LEVEL} AS level FROM pm")
-def page_level(v):
-    """The level of each page."""
-    return v.pm.select("doc_id", "page", level().alias("level"))
 
+@operator("Z4 F25", """SELECT event_id, CASE WHEN present < 0.6 THEN 'absent' WHEN conf < 0.5 THEN 'unsure' ELSE 'located' END AS state, CASE WHEN present >= 0.6 AND conf >= 0.5 THEN x END AS x, read >= 0.6 AS readable, choice >= 0.8 AS chosen FROM (SELECT event_id, CAST(least(value / 100, 1) AS DOUBLE) AS present, user_id * 37 % 100 / 100.0::DOUBLE AS conf, event_id * 13 % 600 AS x, event_id * 7 % 100 / 100.0::DOUBLE AS read, event_id * 11 % 100 / 100.0::DOUBLE AS choice FROM events)""")
+def located_boxes(v):
+    """A box counts only if its target is present (0.6) and the box sure (0.5); readings and choices have bounds of their own (0.6, 0.8)."""
+    share = lambda c, k: F.col(c) * k % 100 / F.lit(100.0)
+    e = v.events.select("event_id", F.least(F.col("value") / 100, F.lit(1.0)).alias("present"), share("user_id", 37).alias("conf"), (F.col("event_id") * 13 % 600).alias("x"), share("event_id", 7).alias("read"), share("event_id", 11).alias("choice"))
+    ok = (F.col("present") >= 0.6) & (F.col("conf") >= 0.5)
+    return e.select("event_id", F.when(F.col("present") < 0.6, "absent").when(F.col("conf") < 0.5, "unsure").otherwise("located").alias("state"), F.when(ok, F.col("x")).alias("x"), (F.col("read") >= 0.6).alias("readable"), (F.col("choice") >= 0.8).alias("chosen"))
 
-@operator("P5 J39 F25 E7 Z1", f"""SELECT pm.doc_id, page, CASE WHEN j.level = 'blank' AND conf >= 0.8 THEN 'R' WHEN conf >= 0.8 THEN j.level ELSE {LEVEL} END AS level, CASE WHEN conf >= 0.8 AND j.level <> {LEVEL} THEN {LEVEL} END AS heur_level
-  FROM pm LEFT JOIN (SELECT doc_id, max(level) AS level, max(conf) AS conf FROM jd GROUP BY doc_id) j ON j.doc_id = pm.doc_id""")
-def model_override(v):
-    """A judgement of confidence 0.8 or more replaces the rule's level, which is then kept beside it."""
-    j = v.jd.groupBy("doc_id").agg(F.max("level").alias("jl"), F.max("conf").alias("conf"))
-    p, sure = v.pm.withColumn("heur", level()).join(j, "doc_id", "left"), F.col("conf") >= 0.8
-    out = F.when(sure & (F.col("jl") == "blank"), "R").when(sure, F.col("jl")).otherwise(F.col("heur"))
-    return p.select("doc_id", "page", out.alias("level"), F.when(sure & (F.col("jl") != F.col("heur")), F.col("heur")).alias("heur_level"))
 
+LEVELS_SQL = r"""SELECT page_id, o AS ord, t[o + 1] AS title, lv[o + 2] AS level FROM (SELECT *, unnest(range(len(t))) AS o FROM (SELECT page_id, list(title ORDER BY ord) AS t, list_reduce(list([own] ORDER BY ord), lambda a, x: list_append(a, CASE WHEN x[1] < 0 THEN greatest(2, a[-1] + 1) ELSE x[1] END), [CAST(0 AS BIGINT)]) AS lv FROM (SELECT page_id, ord, title,
+  CASE WHEN regexp_matches(title, '^[0-9]+(\.[0-9]+)*(\s|$)') THEN CAST(len(string_split(regexp_replace(regexp_extract(title, '^([0-9]+(?:\.[0-9]+)*)', 1), '(\.0)+$', ''), '.')) AS BIGINT) WHEN regexp_matches(title, '^\s*[图表]\s*[0-9]') THEN CAST(-1 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS own FROM te) GROUP BY page_id))"""
 
-@operator("P6 A3 A23", f"""SELECT doc_id, n, r, p, s, CASE WHEN mean_chars < 200 AND mean_fig < 70 THEN 'R-scan' WHEN s >= 0.6 * n THEN 'S' WHEN p > 0 AND r > 0 THEN 'H' WHEN p > 0 THEN 'P' ELSE 'R' END AS level
-  FROM (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE lv = 'R') AS r, count(*) FILTER (WHERE lv = 'P') AS p, count(*) FILTER (WHERE lv = 'S') AS s, avg(chars) AS mean_chars, avg(fig) AS mean_fig FROM (SELECT *, {LEVEL} AS lv FROM pm) GROUP BY doc_id)""")
-def document_level(v):
-    """The level of a document from the counts of its pages' levels."""
-    g = v.pm.withColumn("lv", level()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("lv") == x).alias(x.lower()) for x in "RPS"], F.avg("chars").alias("mc"), F.avg("fig").alias("mf"))
-    out = F.when((F.col("mc") < 200) & (F.col("mf") < 70), "R-scan").when(F.col("s") >= 0.6 * F.col("n"), "S").when((F.col("p") > 0) & (F.col("r") > 0), "H").when(F.col("p") > 0, "P").otherwise("R")
-    return g.select("doc_id", "n", "r", "p", "s", out.alias("level"))
 
+def levels(v):
+    number = F.regexp_extract("title", r"^([0-9]+(?:\.[0-9]+)*)", 1)
+    parts = F.size(F.split(F.regexp_replace(number, r"(\.0)+$", ""), r"\."))
+    own = F.when(F.col("title").rlike(r"^[0-9]+(\.[0-9]+)*(\s|$)"), parts).when(F.col("title").rlike(r"^\s*[图表]\s*[0-9]"), -1).otherwise(1).cast("long")
+    g = v.te.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", own.alias("own")))).alias("es"))
+    step = lambda a, x: F.array_append(a, F.when(x["own"] < 0, F.greatest(F.lit(2).cast("long"), F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + 1)).otherwise(x["own"]))
+    folded = F.aggregate("es", F.array().cast("array<bigint>"), step)
+    return g.select("page_id", "es", folded.alias("lv")).select("page_id", F.explode(F.arrays_zip("es", "lv")).alias("z")).select("page_id", "z.es.ord", "z.es.title", F.col("z.lv").alias("level"))
 
-@operator("P8 P10 P26 Z2", """SELECT xref, place_no, CASE WHEN width_pt >= 160 THEN 300 WHEN width_pt >= 60 THEN 450 ELSE 600 END AS dpi, CASE WHEN w >= 800 THEN 'wide' ELSE 'narrow' END AS params, CASE WHEN greatest(w, h) > 900 THEN 900.0 / greatest(w, h) WHEN least(w, h) < 320 THEN 320.0 / least(w, h) ELSE 1.0 END AS scale FROM img""", big="dpi")
-def image_parameters(v):
-    """Resolution by width, detection parameters and the request scale of each placement."""
-    w, h = F.col("w"), F.col("h")
-    scale = F.when(F.greatest(w, h) > 900, 900.0 / F.greatest(w, h)).when(F.least(w, h) < 320, 320.0 / F.least(w, h)).otherwise(1.0)
-    return v.img.select("xref", "place_no", F.when(F.col("width_pt") >= 160, 300).when(F.col("width_pt") >= 60, 450).otherwise(600).alias("dpi"), F.when(w >= 800, "wide").otherwise("narrow").alias("params"), scale.alias("scale"))
+
+@operator("P11", LEVELS_SQL)
+def entry_levels(v):
+    """The level of a contents entry: parts of its number without trailing zeros; a figure or table one deeper than the entry before; else 1."""
+    return levels(v)
 
 
-@operator("P11 P12", """SELECT page_id, CAST(o AS BIGINT) AS ord, t[o + 1] AS title, list_reduce(lvs[1:o + 1], lambda a, x: least(x, a + 1), 0) AS out FROM (SELECT *, unnest(range(len(lvs))) AS o FROM (SELECT page_id, list(1 + ord * 7 % 4 ORDER BY ord) AS lvs, list(title ORDER BY ord) AS t FROM toc GROUP BY page_id))""", big="ord out")
+@operator("P12", f"SELECT page_id, CAST(o AS BIGINT) AS ord, t[o + 1] AS title, out[o + 2] AS level FROM (SELECT *, unnest(range(len(t))) AS o FROM (SELECT page_id, list(title ORDER BY ord) AS t, list_reduce(list([level] ORDER BY ord), lambda a, x: list_append(a, least(x[1], a[-1] + 1)), [CAST(0 AS BIGINT)]) AS out FROM ({LEVELS_SQL}) GROUP BY page_id))")
 def outline_levels(v):
     """Outline levels of each page's entries, none more than one deeper than the entry before."""
-    g = v.toc.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", (1 + F.col("ord") * 7 % 4).alias("lv")))).alias("es"))
-    step = lambda a, x: F.struct(F.least(x["lv"], a["last"] + 1).alias("last"), F.array_append(a["out"], F.least(x["lv"], a["last"] + 1)).alias("out"))
-    folded = F.aggregate("es", F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
-    return g.select("page_id", "es", folded.alias("lv")).select("page_id", F.explode(F.arrays_zip("es", "lv")).alias("z")).select("page_id", "z.es.ord", "z.es.title", F.col("z.lv").alias("out"))
+    g = levels(v).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", "level"))).alias("es"))
+    step = lambda a, x: F.array_append(a, F.least(x["level"], F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + 1))
+    folded = F.aggregate("es", F.array().cast("array<bigint>"), step)
+    return g.select("page_id", "es", folded.alias("lv")).select("page_id", F.explode(F.arrays_zip("es", "lv")).alias("z")).select("page_id", "z.es.ord", "z.es.title", F.col("z.lv").alias("level"))
 
 
 @operator("P13 O6 J29", """SELECT a.page_key, a.rid, arg_max(b.size, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) * 1000 + b.size) AS span_size,
@@ -96,7 +83,16 @@ def span_font_size(v):
     return j.groupBy("a.page_key", "a.rid").agg(F.max_by("bsize", F.struct(area, "bsize")).alias("span_size"), F.round(F.sum(F.when(F.col("bsize") % 2 == 0, n).otherwise(0)) / F.sum(n), 6).alias("bold_share"))
 
 
-@operator("P14 P15", """SELECT kind, pos, text FROM (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'A' WHEN o_orderpriority LIKE '2%' THEN 'B' END AS kind, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS pos, o_orderstatus || ':' || o_orderkey AS text FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%')
+@operator("P14", """SELECT page_key, rid, CASE WHEN len(cells) = 3 THEN list_concat([CAST(row_number() OVER (PARTITION BY page_key ORDER BY rid) AS VARCHAR)], cells) ELSE cells END AS cells FROM (SELECT page_key, rid, CASE WHEN l_linenumber % 2 = 0 THEN [txt, p_brand, CAST(size AS VARCHAR)] ELSE ['x', txt, p_brand, CAST(size AS VARCHAR)] END AS cells FROM rc)""")
+def numbered_rows(v):
+    """Rows one cell short of their four headers get their number in front; full rows stay."""
+    size = F.col("size").cast("string")
+    cells = F.when(F.col("l_linenumber") % 2 == 0, F.array("txt", "p_brand", size)).otherwise(F.array(F.lit("x"), "txt", "p_brand", size))
+    n = F.row_number().over(Window.partitionBy("page_key").orderBy("rid")).cast("string")
+    return v.rc.select("page_key", "rid", cells.alias("cells")).select("page_key", "rid", F.when(F.size("cells") == 3, F.concat(F.array(n), F.col("cells"))).otherwise(F.col("cells")).alias("cells"))
+
+
+@operator("P15", """SELECT kind, pos, text FROM (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'A' WHEN o_orderpriority LIKE '2%' THEN 'B' END AS kind, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS pos, o_orderstatus || ':' || o_orderkey AS text FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%')
   UNION ALL SELECT 'C', 1, '(none)' WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderpriority LIKE '9%')""")
 def errata_sections(v):
     """Three sections of numbered rows; an empty section holds a placeholder."""
@@ -106,50 +102,62 @@ def errata_sections(v):
     return rows.unionByName(c)
 
 
-@operator("P16 D17", """SELECT category, line, max(CASE WHEN k = 0 THEN term END) AS left_term, max(CASE WHEN k = 1 THEN term END) AS right_term FROM (SELECT p_brand AS category, (rn - 1) // 2 AS line, (rn - 1) % 2 AS k, term FROM (SELECT p_brand, p_name AS term, row_number() OVER (PARTITION BY p_brand ORDER BY p_name) AS rn FROM (SELECT DISTINCT p_brand, p_name FROM part))) GROUP BY category, line""")
-def glossary_pairs(v):
-    """Terms of each category, two to a line in row-major order."""
-    t = v.part.select("p_brand", "p_name").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_name")) - 1)
-    return t.groupBy(F.col("p_brand").alias("category"), F.floor(F.col("rn") / 2).alias("line")).agg(F.max(F.when(F.col("rn") % 2 == 0, F.col("p_name"))).alias("left_term"), F.max(F.when(F.col("rn") % 2 == 1, F.col("p_name"))).alias("right_term"))
-
-
-ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
+ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx")
 
 
-@operator("P17", f"""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN i || '.' WHEN 1 THEN chr(CAST(96 + i AS INTEGER)) || '.' WHEN 2 THEN chr(CAST(64 + i AS INTEGER)) || '.' WHEN 3 THEN {list(ROMAN)}[i] || '.' ELSE '(' || i || ')' END AS marker FROM (SELECT *, p_partkey % 10 + 1 AS i FROM part)""")
+@operator("P17", f"""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN i || '.' WHEN 1 THEN chr(CAST(96 + i AS INTEGER)) || '.' WHEN 2 THEN chr(CAST(64 + i AS INTEGER)) || '.' WHEN 3 THEN {list(ROMAN)}[i] || '.' ELSE '（' || i || '）' END AS marker FROM (SELECT *, p_partkey % 20 + 1 AS i FROM part)""")
 def list_markers(v):
     """List markers in five styles."""
-    i = (F.col("p_partkey") % 10 + 1).cast("int")
+    i = (F.col("p_partkey") % 20 + 1).cast("int")
     roman = F.element_at(F.array(*[F.lit(r) for r in ROMAN]), i)
     k = F.col("p_size") % 5
     dot = F.lit(".")
-    return v.part.select("p_partkey", F.when(k == 0, F.concat(i.cast("string"), dot)).when(k == 1, F.concat(F.char(96 + i), dot)).when(k == 2, F.concat(F.char(64 + i), dot)).when(k == 3, F.concat(roman, dot)).otherwise(F.concat(F.lit("("), i.cast("string"), F.lit(")"))).alias("marker"))
+    return v.part.select("p_partkey", F.when(k == 0, F.concat(i.cast("string"), dot)).when(k == 1, F.concat(F.char(96 + i), dot)).when(k == 2, F.concat(F.char(64 + i), dot)).when(k == 3, F.concat(roman, dot)).otherwise(F.concat(F.lit("（"), i.cast("string"), F.lit("）"))).alias("marker"))
 
 
-@operator("P19", "SELECT page_id, ord, coalesce(nullif(regexp_extract(target, '/([a-z]+)[0-9]+$', 1), ''), nullif(regexp_extract(target, '([0-9]+)$', 1), ''), '?') AS printed FROM toc", big="ord")
-def printed_page_text(v):
-    """What a contents entry prints for its target: the first form that fits."""
-    g = lambda p: F.nullif(F.regexp_extract("target", p, 1), F.lit(""))
-    return v.toc.select("page_id", "ord", F.coalesce(g(r"/([a-z]+)[0-9]+$"), g(r"([0-9]+)$"), F.lit("?")).alias("printed"))
+@operator("P21", """SELECT doc_id, line_no, text, x0 AS origin_x, y1 AS origin_y, size, (CAST(color AS BIGINT) >> 16) & 255 AS red, (CAST(color AS BIGINT) >> 8) & 255 AS green, CAST(color AS BIGINT) & 255 AS blue, round(degrees(atan2(0 - dy, dx)), 6) AS deg FROM st WHERE regexp_matches(font, 'WM') AND size >= 20""")
+def watermark_rows(v):
+    """Watermarks as rows to be set again: text, origin, size, colour channels and angle."""
+    c = F.col("color").cast("long")
+    channel = lambda k: F.shiftright(c, k).bitwiseAND(F.lit(255).cast("long"))
+    s = v.st.where(F.col("font").rlike("WM") & (F.col("size") >= 20))
+    return s.select("doc_id", "line_no", "text", F.col("x0").alias("origin_x"), F.col("y1").alias("origin_y"), "size", channel(16).alias("red"), channel(8).alias("green"), channel(0).alias("blue"), F.round(F.degrees(F.atan2(F.lit(0.0) - F.col("dy"), F.col("dx"))), 6).alias("deg"))
 
 
-@operator("P20 X13", """SELECT page, arg_max(size, n * 100 - size) AS body_size, count(*) AS sizes, round(max(n) / sum(n), 6) AS body_share, CASE WHEN max(n) / sum(n) >= 0.5 THEN 'flow' ELSE 'rest' END AS part FROM (SELECT page, size, CAST(sum(length(text)) AS BIGINT) AS n FROM un GROUP BY page, size) GROUP BY page""", big="body_size")
-def slide_units(v):
-    """Body size of a page by characters, its share, and whether the page flows."""
-    g = v.un.groupBy("page", "size").agg(F.sum(F.length("text")).alias("n"))
-    share = F.max("n") / F.sum("n")
-    return g.groupBy("page").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("body_size"), F.count(F.lit(1)).alias("sizes"), F.round(share, 6).alias("body_share"), F.when(share >= 0.5, "flow").otherwise("rest").alias("part"))
+CORNERS = (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))
 
 
-@operator("P21 G8 N4", """SELECT page_key, rid, round(degrees(atan2(0 - dy, dx)), 6) AS deg, (c >> 16) & 255 AS red, (c >> 8) & 255 AS green, c & 255 AS blue, round(x0 + (x1 - x0) * cos(atan2(0 - dy, dx)), 6) AS qx, round(sqrt(dx * dx + dy * dy), 6) AS len FROM (SELECT *, CAST(x1 - x0 AS DOUBLE) AS dx, CAST(rid - 3 AS DOUBLE) AS dy, l_partkey * 2654435 % 16777216 AS c FROM rc)""", big="red green blue")
-def watermark_rows(v):
-    """Angle, colour channels and turned corner of slanted texts."""
-    r = v.rc.withColumn("dx", F.col("x1") - F.col("x0")).withColumn("dy", (F.col("rid") - 3).cast("double")).withColumn("c", F.col("l_partkey") * 2654435 % 16777216)
-    t = F.atan2(F.lit(0.0) - F.col("dy"), F.col("dx"))
-    return r.select("page_key", "rid", F.round(F.degrees(t), 6).alias("deg"), F.shiftright("c", 16).bitwiseAND(F.lit(255)).alias("red"), F.shiftright("c", 8).bitwiseAND(F.lit(255)).alias("green"), F.col("c").bitwiseAND(F.lit(255)).alias("blue"), F.round(F.col("x0") + F.col("dx") * F.cos(t), 6).alias("qx"), F.round(F.hypot("dx", "dy"), 6).alias("len"))
+@operator("G8 N4", "SELECT doc_id, line_no, " + ", ".join(f"round(x0 + ({x} - x0) * cos(t) - ({y} - y1) * sin(t), 6) AS qx{i}, round(y1 + ({x} - x0) * sin(t) + ({y} - y1) * cos(t), 6) AS qy{i}" for i, (x, y) in enumerate(CORNERS)) + ", round(sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)), 6) AS diagonal FROM (SELECT *, atan2(dy, dx) AS t FROM st WHERE dy <> 0 OR dx < 0)")
+def rotated_quads(v):
+    """The four corners of turned lines: their box turned about its origin, the lower left corner, by the line's direction."""
+    s = v.st.where("dy <> 0 OR dx < 0").withColumn("t", F.atan2("dy", "dx"))
+    out = []
+    for i, (x, y) in enumerate(CORNERS):
+        a, b = F.col(x) - F.col("x0"), F.col(y) - F.col("y1")
+        out += [F.round(F.col("x0") + a * F.cos("t") - b * F.sin("t"), 6).alias(f"qx{i}"), F.round(F.col("y1") + a * F.sin("t") + b * F.cos("t"), 6).alias(f"qy{i}")]
+    return s.select("doc_id", "line_no", *out, F.round(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), 6).alias("diagonal"))
+
 
+@operator("P22", """SELECT nation, f.top AS mast_top, f.foot AS foot_top, f.gap AS foot_gap FROM (SELECT s_nationkey AS nation, list_reduce(list({'top': y_top, 'bleed': bleed, 'foot': bottom, 'gap': gap} ORDER BY s_suppkey), lambda a, d: {'top': CASE WHEN d.top IS NULL THEN a.top WHEN d.bleed THEN greatest(a.top, d.top + 20) ELSE least(a.top, d.top) END, 'bleed': false, 'foot': CASE WHEN d.top IS NULL AND d.foot > a.foot THEN d.foot ELSE a.foot END, 'gap': CASE WHEN d.top IS NULL AND d.foot > a.foot THEN d.gap ELSE a.gap END}, {'top': 40.0::DOUBLE, 'bleed': false, 'foot': 30.0::DOUBLE, 'gap': 6.0::DOUBLE}) AS f
+  FROM (SELECT s_nationkey, s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_suppkey % 60 AS DOUBLE) END AS y_top, s_suppkey % 3 = 1 AS bleed, CAST(s_suppkey % 17 + s_suppkey % 29 AS DOUBLE) AS bottom, CAST(s_suppkey % 5 AS DOUBLE) AS gap FROM supplier) GROUP BY s_nationkey)""", big="nation")
+def effective_geometry(v):
+    """Page geometry after its decorations, in order: one at the top moves the head (full bleeds down, others up), one at the foot raises the foot."""
+    k = F.col("s_suppkey")
+    dbl = lambda c: c.cast("double")
+    d = v.supplier.select("s_nationkey", k, F.when(k % 3 != 0, dbl(k % 60)).alias("y_top"), (k % 3 == 1).alias("bleed"), dbl(k % 17 + k % 29).alias("bottom"), dbl(k % 5).alias("gap"))
+    g = d.groupBy(F.col("s_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "y_top", "bleed", "bottom", "gap"))).alias("ds"))
+    start = F.struct(F.lit(40.0).alias("top"), F.lit(30.0).alias("foot"), F.lit(6.0).alias("gap"))
 
-@operator("P22 W15", "SELECT doc_id, page, line_no, 72 + CAST(sum(CASE WHEN text = '' THEN 6 ELSE 12 END) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS BIGINT) AS bottom FROM ln", big="line_no")
+    def step(a, x):
+        lower = x["y_top"].isNull() & (x["bottom"] > a["foot"])
+        top = F.when(x["y_top"].isNull(), a["top"]).when(x["bleed"], F.greatest(a["top"], x["y_top"] + 20)).otherwise(F.least(a["top"], x["y_top"]))
+        return F.struct(top.alias("top"), F.when(lower, x["bottom"]).otherwise(a["foot"]).alias("foot"), F.when(lower, x["gap"]).otherwise(a["gap"]).alias("gap"))
+
+    f = g.select("nation", F.aggregate("ds", start, step).alias("f"))
+    return f.select("nation", F.col("f.top").alias("mast_top"), F.col("f.foot").alias("foot_top"), F.col("f.gap").alias("foot_gap"))
+
+
+@operator("W15", "SELECT doc_id, page, line_no, 72 + CAST(sum(CASE WHEN text = '' THEN 6 ELSE 12 END) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS BIGINT) AS bottom FROM ln", big="line_no")
 def running_layout(v):
     """Lines placed one under the other, blank ones half as high."""
     h = F.sum(F.when(F.col("text") == "", 6).otherwise(12)).over(Window.partitionBy("doc_id", "page").orderBy("line_no"))
@@ -168,10 +176,20 @@ def note_parse(v):
     return note.select("l_orderkey", "rid", g("fin ([0-9]+)").alias("fin"), g("ang ([0-9]+)").alias("ang"), F.regexp_extract_all("note", F.lit("[.]([0-9]+)"), 1).alias("decimals"), none(g("([0-9]+/[0-9]+)")).alias("frac"), F.array_compact(F.array(none(g("fin [0-9]+", 0)), none(g("tir [0-9]+", 0)))).alias("blocks"))
 
 
-@operator("P25 P27 G11", """SELECT page_key, rid, greatest(0, x0 - pad) AS cx0, greatest(0, y0 - pad) AS cy0, least(612, x1 + pad) AS cx1, least(792, y1 + pad) AS cy1, least(1, greatest(0, x0 / 612)) AS u, round(least(1, greatest(0, x0 / 612)) * 612, 6) AS back FROM (SELECT *, greatest(12, 0.6 * greatest(x1 - x0, y1 - y0)) AS pad FROM rc)""")
+@operator("P25 P27", """SELECT page_key, rid, greatest(0, x0 - pad) AS cx0, greatest(0, y0 - pad) AS cy0, least(612, x1 + pad) AS cx1, least(792, y1 + pad) AS cy1, least(1, greatest(0, (x0 - 5) / 290)) AS u0, least(1, greatest(0, (y0 - 5) / 190)) AS v0, least(1, greatest(0, (x1 - 5) / 290)) AS u1, least(1, greatest(0, (y1 - 5) / 190)) AS v1,
+  round(5 + 290 * least(1, greatest(0, (x0 - 5) / 290)), 6) AS back_x0, round(5 + 190 * least(1, greatest(0, (y0 - 5) / 190)), 6) AS back_y0, round(5 + 290 * least(1, greatest(0, (x1 - 5) / 290)), 6) AS back_x1, round(5 + 190 * least(1, greatest(0, (y1 - 5) / 190)), 6) AS back_y1 FROM (SELECT *, greatest(12, 0.6 * greatest(x1 - x0, y1 - y0)) AS pad FROM rc)""")
 def padded_boxes(v):
-    """Padded crop boxes clamped to the page, and a coordinate's way to the unit square and back."""
+    """Padded crop boxes clamped to the page, and each box in the unit square of a region (clamped to it) and back in points."""
     pad = F.greatest(F.lit(12.0), 0.6 * F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
     r, zero = v.rc.withColumn("pad", pad), F.lit(0.0)
-    u = F.least(F.lit(1.0), F.greatest(zero, F.col("x0") / 612))
-    return r.select("page_key", "rid", F.greatest(zero, F.col("x0") - F.col("pad")).alias("cx0"), F.greatest(zero, F.col("y0") - F.col("pad")).alias("cy0"), F.least(F.lit(612.0), F.col("x1") + F.col("pad")).alias("cx1"), F.least(F.lit(792.0), F.col("y1") + F.col("pad")).alias("cy1"), u.alias("u"), F.round(u * 612, 6).alias("back"))
+    unit = {c: F.least(F.lit(1.0), F.greatest(zero, (F.col(c) - 5) / (290 if c[0] == "x" else 190))) for c in ("x0", "y0", "x1", "y1")}
+    return r.select("page_key", "rid", F.greatest(zero, F.col("x0") - F.col("pad")).alias("cx0"), F.greatest(zero, F.col("y0") - F.col("pad")).alias("cy0"), F.least(F.lit(612.0), F.col("x1") + F.col("pad")).alias("cx1"), F.least(F.lit(792.0), F.col("y1") + F.col("pad")).alias("cy1"), *[e.alias(c.replace("x", "u").replace("y", "v")) for c, e in unit.items()], *[F.round(5 + (290 if c[0] == "x" else 190) * e, 6).alias(f"back_{c}") for c, e in unit.items()])
+
+
+@operator("G11", """SELECT f.page_key, f.rid, least(any_value(f.y1) + 20, coalesce(min(c.y0) - 4.5, 1e9)) AS bottom, count(c.rid) AS captions FROM rc f LEFT JOIN rc c ON c.page_key = f.page_key AND c.rid <> f.rid AND c.size = 6 AND c.y0 >= f.y1 AND least(f.x1, c.x1) > greatest(f.x0, c.x0) WHERE f.size >= 9 GROUP BY f.page_key, f.rid""")
+def caption_clamp(v):
+    """The lower edge of a figure's crop, 20 points further down but 4.5 short of the first caption below."""
+    f = v.rc.where("size >= 9").select("page_key", "rid", "x0", "x1", "y1")
+    c = v.rc.where("size = 6").select(F.col("page_key").alias("cp"), F.col("rid").alias("crid"), F.col("x0").alias("cx0"), F.col("x1").alias("cx1"), F.col("y0").alias("cy0"))
+    j = f.join(c, F.expr("page_key = cp AND crid <> rid AND cy0 >= y1 AND least(x1, cx1) > greatest(x0, cx0)"), "left")
+    return j.groupBy("page_key", "rid", "y1").agg(F.min("cy0").alias("first"), F.count("crid").alias("captions")).select("page_key", "rid", F.least(F.col("y1") + 20, F.coalesce(F.col("first") - 4.5, F.lit(1e9))).alias("bottom"), "captions")

@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from foliomill.plans.registry import operator
 
 
-@operator("Y1", """SELECT page_id, round(len(list_intersect(a, b)) * 1.0 / len(list_distinct(list_concat(a, b))), 6) AS alike FROM (SELECT x.page_id, x.labels AS a, y.labels AS b FROM (SELECT page_id, list_distinct(list(title)) AS labels FROM toc GROUP BY page_id) x JOIN (SELECT page_id - 1 AS page_id, list_distinct(list(title)) AS labels FROM toc GROUP BY page_id) y USING (page_id))""")
-def template_pages(v):
-    """How much the label sets of neighbouring pages agree."""
-    s = v.toc.groupBy("page_id").agg(F.collect_set("title").alias("a"))
-    j = s.join(s.select((F.col("page_id") - 1).alias("page_id"), F.col("a").alias("b")), "page_id")
-    return j.select("page_id", F.round(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 6).alias("alike"))
-
-
 @operator("Y2", """SELECT page_key, row_key, isle, string_agg(CAST(size AS VARCHAR), '' ORDER BY x0, rid) AS value FROM (SELECT *, sum(new) OVER (PARTITION BY page_key, row_key ORDER BY x0, rid) AS isle FROM (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page_key, row_key ORDER BY x0, rid) < 2.8 THEN 0 ELSE 1 END AS new FROM (SELECT *, CAST(floor(y0 / 100) AS BIGINT) AS row_key FROM rc))) GROUP BY page_key, row_key, isle""", big="isle")
 def digit_fragments(v):
     """Digit fragments re-joined where the gap is under 2.8 points."""
@@ -55,15 +47,6 @@ def narrow_figures(v):
     return v.img.where("w < width_pt * 4").select("xref", "place_no")
 
 
-@operator("Y16 Z4", """SELECT doc_id, CAST(sum(weight) AS BIGINT) AS strength, arg_max(family, weight * 10 + length(family)) AS family FROM documents, (VALUES ('MIT', 3), ('GNU', 5), ('Apache', 4), ('CC BY', 2)) r(family, weight) WHERE contains(text, family) GROUP BY doc_id""")
-def industry_evidence(v):
-    """Families of standards named in a document, with their summed weight and the strongest."""
-    r = v.spark.createDataFrame([("MIT", 3), ("GNU", 5), ("Apache", 4), ("CC BY", 2)], "family string, weight int")
-    d = v.documents.select("doc_id", "text")
-    j = d.join(F.broadcast(r), d.text.contains(r.family)).select("doc_id", "family", "weight")
-    return j.groupBy("doc_id").agg(F.sum("weight").alias("strength"), F.max_by("family", F.struct("weight", F.length("family"))).alias("family"))
-
-
 @operator("Y8 J1", """SELECT page, unit_no, coalesce(d.value, text) AS text FROM un LEFT JOIN (SELECT key, arg_min(value, batch) AS value FROM dk WHERE value IS NOT NULL AND value <> '' GROUP BY key) d ON d.key = un.text""")
 def unified_terms(v):
     """Units with the first value that isn't empty, else as they are."""
@@ -71,14 +54,14 @@ def unified_terms(v):
     return v.un.join(d, "text", "left").select("page", "unit_no", F.coalesce("value", "text").alias("text"))
 
 
-@operator("E9 E10 E5", """SELECT doc_id, page, unit_no, text FROM un WHERE NOT regexp_matches(text, '^D-') AND page % 5 = doc_id % 5 AND x1 - x0 > 40""")
+@operator("E9 E10", """SELECT doc_id, page, unit_no, text FROM un WHERE NOT regexp_matches(text, '^D-') AND page % 5 = doc_id % 5 AND x1 - x0 > 40""")
 def parameterised_units(v):
     """Units under parameters: a white-list pattern, a page rule and a width."""
     keep, width = "^D-", 40
     return v.un.where(~F.col("text").rlike(keep) & (F.col("page") % 5 == F.col("doc_id") % 5) & (F.col("x1") - F.col("x0") > width)).select("doc_id", "page", "unit_no", "text")
 
 
-@operator("S20 S21 S18 D18", """SELECT stem, count(*) AS keys, count(value) AS set_values, count(*) FILTER (WHERE value = ' ') AS erased FROM dk GROUP BY stem""")
+@operator("D18", """SELECT stem, count(*) AS keys, count(value) AS set_values, count(*) FILTER (WHERE value = ' ') AS erased FROM dk GROUP BY stem""")
 def registry_summary(v):
     """What a dictionary registry holds: keys, set values and erasures."""
     return v.dk.groupBy("stem").agg(F.count(F.lit(1)).alias("keys"), F.count("value").alias("set_values"), F.count_if(F.col("value") == " ").alias("erased"))

@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from foliomill.plans.registry import operator
 
 
-@operator("S1 D1", "SELECT doc_id, page, CAST(sum(length(trim(text, ' '))) AS BIGINT) AS chars, count(*) AS n_lines, max(x1) AS w, arg_min(substr(trim(text, ' '), 1, 70), line_no) FILTER (WHERE trim(text, ' ') <> '') AS first_line FROM ln GROUP BY doc_id, page", big="w")
-def page_probe(v):
-    """One row a page: characters, lines, width, and its first line that isn't blank, cut at 70 characters."""
-    t = F.trim("text")
-    return v.ln.groupBy("doc_id", "page").agg(F.sum(F.length(t)).alias("chars"), F.count(F.lit(1)).alias("n_lines"), F.max("x1").alias("w"), F.min_by(F.substring(t, 1, 70), F.when(t != "", F.col("line_no"))).alias("first_line"))
-
-
 @operator("S2 S9 R1 D2", "SELECT doc_id, page, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS n_spans, max(n) AS most FROM (SELECT doc_id, page, line_no, count(*) AS n FROM wd GROUP BY ALL) GROUP BY doc_id, page")
 def nested_spans(v):
     """The page tree at rest (lines with arrays of spans), opened again; blank spans and empty lines are gone."""
@@ -23,17 +16,6 @@ def nested_spans(v):
     return lines.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n").alias("n_spans"), F.max("n").alias("most"))
 
 
-@operator("S3 J5", """SELECT a.page_key, a.rid FROM rc a WHERE a.size < 9 AND NOT EXISTS (SELECT 1 FROM rc t WHERE t.page_key = a.page_key AND t.size >= 9
-  AND greatest(least(a.x1, t.x1) - greatest(a.x0, t.x0), 0) * greatest(least(a.y1, t.y1) - greatest(a.y0, t.y0), 0) > 0.5 * ((a.x1 - a.x0) * (a.y1 - a.y0)))""")
-def prose_outside_tables(v):
-    """Text rectangles of which at most half lies in any table rectangle of their page."""
-    r = v.rc
-    t = r.where("size >= 9").select("page_key", *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
-    shared = F.greatest(F.least("x1", "tx1") - F.greatest("x0", "tx0"), F.lit(0)) * F.greatest(F.least("y1", "ty1") - F.greatest("y0", "ty0"), F.lit(0))
-    a = r.where("size < 9").select("page_key", "rid", "x0", "y0", "x1", "y1")
-    return a.join(t, (a.page_key == t.page_key) & (shared > 0.5 * ((a.x1 - a.x0) * (a.y1 - a.y0))), "left_anti").select("page_key", "rid")
-
-
 @operator("S5 P9 O6 D11", "SELECT xref, min(w) AS w, min(h) AS h, count(*) AS places, round(min(w) / max(width_pt) * 72, 6) AS eff_dpi, arg_min(page, place_no) AS first_page FROM img GROUP BY xref", big="w h")
 def image_manifest(v):
     """One row an image with its placements and effective resolution at the widest one."""
@@ -41,24 +23,6 @@ def image_manifest(v):
     return g.select("xref", "w", "h", "places", F.round(F.col("w") / F.col("m") * 72, 6).alias("eff_dpi"), "first_page")
 
 
-@operator("S6 D6 D7 G5", """SELECT DISTINCT page_key, axis, k, a, b FROM (SELECT page_key, 'H' AS axis, y0 AS k, x0 AS a, x1 AS b FROM rc UNION ALL SELECT page_key, 'H', y1, x0, x1 FROM rc
-  UNION ALL SELECT page_key, 'V', x0, y0, y1 FROM rc UNION ALL SELECT page_key, 'V', x1, y0, y1 FROM rc) WHERE b - a >= 9""")
-def segments_distinct(v):
-    """Drawn rectangles as horizontal and vertical segments of at least 9 points, without repeats."""
-    edge = lambda axis, k, a, b: F.struct(F.lit(axis).alias("axis"), F.col(k).alias("k"), F.col(a).alias("a"), F.col(b).alias("b"))
-    e = v.rc.select("page_key", F.explode(F.array(edge("H", "y0", "x0", "x1"), edge("H", "y1", "x0", "x1"), edge("V", "x0", "y0", "y1"), edge("V", "x1", "y0", "y1"))).alias("e"))
-    return e.select("page_key", "e.*").where("b - a >= 9").distinct()
-
-
-@operator("S7 P7", """SELECT page_key, rid, CASE WHEN dx = 1 AND dy = 0 THEN 0 WHEN dy < 0 THEN 90 WHEN dy > 0 THEN 270 ELSE 180 END AS angle FROM (SELECT *, CASE rid % 4 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS dx,
-  CASE rid % 4 WHEN 1 THEN -1 WHEN 3 THEN 1 ELSE 0 END AS dy FROM rc) WHERE NOT (dx = 1 AND dy = 0)""", big="angle")
-def rotated_lines(v):
-    """Lines whose direction isn't left to right, with their angle."""
-    k = F.col("rid") % 4
-    r = v.rc.withColumn("dx", F.when(k == 0, 1).when(k == 2, -1).otherwise(0)).withColumn("dy", F.when(k == 1, -1).when(k == 3, 1).otherwise(0))
-    return r.where("NOT (dx = 1 AND dy = 0)").select("page_key", "rid", F.when(F.col("dy") < 0, 90).when(F.col("dy") > 0, 270).otherwise(180).alias("angle"))
-
-
 @operator("S8", "SELECT page_key, rid FROM rc WHERE (x1 - x0) / 4 BETWEEN 3 AND 11 AND (y1 - y0) BETWEEN 3 AND 11 AND abs((x1 - x0) / 4 - (y1 - y0)) < 3")
 def checkbox_scan(v):
     """Nearly square small rectangles (widths in quarter units)."""
@@ -66,18 +30,10 @@ def checkbox_scan(v):
     return v.rc.where(w.between(3, 11) & h.between(3, 11) & (F.abs(w - h) < 3)).select("page_key", "rid")
 
 
-@operator("S10 F10 T29", "SELECT doc_id, line_no, min(x0) OVER (PARTITION BY doc_id, line_no // 5) AS block_left, regexp_matches(text, '^(Licensed|Figure|Table)\\s') AS caption FROM (SELECT doc_id, line_no, x0 + 6 * (length(text) - length(ltrim(text, ' '))) AS x0, text FROM ln)", big="block_left")
-def figure_lines(v):
-    """Lines with the left edge of their block of five and whether they look like a caption."""
-    left = F.col("x0") + 6 * (F.length("text") - F.length(F.ltrim("text")))
-    block = Window.partitionBy("doc_id", F.floor(F.col("line_no") / 5))
-    return v.ln.withColumn("left", left).select("doc_id", "line_no", F.min("left").over(block).alias("block_left"), F.col("text").rlike(r"^(Licensed|Figure|Table)\s").alias("caption"))
-
-
-@operator("S11 O1 O8", "SELECT doc_id, page, string_agg(w, ' ' ORDER BY y0, x0) AS text FROM wd WHERE word_no < 3 GROUP BY doc_id, page")
-def reading_order_heads(v):
-    """The first words of each line, joined in reading order by page."""
-    g = v.wd.where("word_no < 3").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "w"))).alias("ws"))
+@operator("S11 O1", "SELECT doc_id, page, string_agg(w, ' ' ORDER BY y0, x0) AS text FROM wd GROUP BY doc_id, page")
+def reading_order(v):
+    """All words of a page, joined in reading order."""
+    g = v.wd.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "w"))).alias("ws"))
     return g.select("doc_id", "page", F.array_join(F.col("ws.w"), " ").alias("text"))
 
 
@@ -88,34 +44,20 @@ def dominant_size(v):
     return g.groupBy("page").agg(F.min_by(F.struct("size", "n"), F.struct(-F.col("n"), "size")).alias("m")).select("page", "m.size", "m.n")
 
 
-@operator("S13 W7", "SELECT doc_id, count(*) AS kept, max(cut) AS cut FROM (SELECT doc_id, line_no, max(CASE WHEN regexp_matches(text, '[0-9]') THEN line_no END) OVER (PARTITION BY doc_id) AS cut FROM ln) WHERE line_no <= cut GROUP BY doc_id", big="cut")
-def note_lines(v):
-    """Lines of each document up to its last one with a digit."""
-    cut = F.max(F.when(F.col("text").rlike("[0-9]"), F.col("line_no"))).over(Window.partitionBy("doc_id"))
-    return v.ln.select("doc_id", "line_no", cut.alias("cut")).where("line_no <= cut").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.max("cut").alias("cut"))
-
-
-@operator("S14", "SELECT doc_id, page, list(substr(text, 1, 20) ORDER BY line_no) AS header FROM ln WHERE y0 < 130 AND trim(text, ' ') <> '' GROUP BY doc_id, page")
+@operator("S14", "SELECT doc_id, page, list(text ORDER BY line_no) AS header FROM ln WHERE y0 < 130 AND trim(text, ' ') <> '' GROUP BY doc_id, page")
 def header_lines(v):
-    """The starts of the lines in the head band of each page, in order."""
-    g = v.ln.where("y0 < 130 AND trim(text) <> ''").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", F.substring("text", 1, 20).alias("t")))).alias("h"))
+    """The lines in the head band of each page, in order."""
+    g = v.ln.where("y0 < 130 AND trim(text) <> ''").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", F.col("text").alias("t")))).alias("h"))
     return g.select("doc_id", "page", F.col("h.t").alias("header"))
 
 
-@operator("S15 J22", """SELECT label, min(doc_id) AS first_doc, count(*) AS docs FROM (SELECT doc_id, arg_min(regexp_extract(text, '^(\\w+) \\|', 1), line_no) AS label FROM ln WHERE regexp_matches(text, '^[A-Za-z0-9_]+ \\|') GROUP BY doc_id) GROUP BY label""")
-def page_labels(v):
-    """The label at the head of each document's first table line; the first document that has it wins."""
-    first = v.ln.where(F.col("text").rlike(r"^[A-Za-z0-9_]+ \|")).groupBy("doc_id").agg(F.min_by(F.regexp_extract("text", r"^(\w+) \|", 1), "line_no").alias("label"))
-    return first.groupBy("label").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("docs"))
-
-
 @operator("S16 W2", "SELECT text, min(page) AS first_page, count(*) AS n FROM un GROUP BY text")
 def units_first_page(v):
     """Distinct units with the first page that shows them."""
     return v.un.groupBy("text").agg(F.min("page").alias("first_page"), F.count(F.lit(1)).alias("n"))
 
 
-@operator("S17 K7 T26", """SELECT stem, max(name) AS latest, stem || '_v' || lpad(CAST(max(v) + 1 AS VARCHAR), 2, '0') AS next FROM (SELECT p_brand AS stem, p_size AS v, p_brand || '_v' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS name FROM part) GROUP BY stem""")
+@operator("K7", """SELECT stem, max(name) AS latest, stem || '_v' || lpad(CAST(max(v) + 1 AS VARCHAR), 2, '0') AS next FROM (SELECT p_brand AS stem, p_size AS v, p_brand || '_v' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS name FROM part) GROUP BY stem""")
 def latest_versions(v):
     """The last version of each stem by name, and the name the next one gets."""
     p = v.part.select(F.col("p_brand").alias("stem"), F.col("p_size").alias("v"), F.concat("p_brand", F.lit("_v"), F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("name"))
@@ -150,12 +92,6 @@ def page_ranges(v):
     return p.groupBy("s_suppkey").agg(F.array_sort(F.collect_set("p")).alias("pages"))
 
 
-@operator("S25 O9", "SELECT font, dir FROM (SELECT lower(p_type) AS font, p_brand AS dir, row_number() OVER (PARTITION BY lower(p_type) ORDER BY p_brand, p_partkey) AS rn FROM part) WHERE rn = 1")
-def font_index(v):
-    """A font's directory: the first one that has it, names compared without case."""
-    return v.part.groupBy(F.lower("p_type").alias("font")).agg(F.min("p_brand").alias("dir"))
-
-
 @operator("S22 K1 D12 Q1 Q2 M3", """SELECT l_orderkey AS page, 'box' || (rid - 1) AS stem, CAST(rid - 1 AS BIGINT) AS box, CAST(x0 AS BIGINT) AS left_edge FROM (SELECT page_key AS l_orderkey, rid, x0 FROM rc)""")
 def detection_boxes(v):
     """Boxes written as one JSON map a page and read back: position in the map's arrays is the box id."""
@@ -164,10 +100,10 @@ def detection_boxes(v):
     return m.select(F.col("page_key").alias("page"), "stem", F.regexp_extract("stem", r"(\d+)$", 1).cast("long").alias("box"), F.col("box")[0].cast("long").alias("left_edge"))
 
 
-@operator("K2 K4", """SELECT doc_id, page, '=== page ' || page || ' (' || count(*) || ' lines) ===' || chr(10) || string_agg('[' || lpad(CAST(line_no AS VARCHAR), 4, '0') || '] ' || substr(text, 1, 30), chr(10) ORDER BY line_no) AS dump FROM ln GROUP BY doc_id, page""")
+@operator("K2", """SELECT doc_id, page, '=== page ' || page || ' (' || count(*) || ' lines) ===' || chr(10) || string_agg('[' || lpad(CAST(line_no AS VARCHAR), 4, '0') || '] ' || text, chr(10) ORDER BY line_no) AS dump FROM ln GROUP BY doc_id, page""")
 def text_dump(v):
     """A readable dump of each page under a header line."""
-    line = F.concat(F.lit("["), F.lpad(F.col("line_no").cast("string"), 4, "0"), F.lit("] "), F.substring("text", 1, 30))
+    line = F.concat(F.lit("["), F.lpad(F.col("line_no").cast("string"), 4, "0"), F.lit("] "), "text")
     g = v.ln.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("t")))).alias("ls"))
     return g.select("doc_id", "page", F.concat(F.format_string("=== page %d (%d lines) ===\n", "page", F.size("ls")), F.array_join(F.col("ls.t"), "\n")).alias("dump"))
 
@@ -189,27 +125,34 @@ def kept(c: str):
     return t.rlike(r"^[0-9\p{Punct}\s]*$") | (t.rlike(r"^[A-Z0-9][A-Z0-9./-]*$") & t.rlike("[0-9]")) | t.rlike("^[0-9]+/[0-9]+$") | ~t.rlike("[A-Za-z]{2}")
 
 
-@operator("K5 Q34", "SELECT o_orderkey, CASE WHEN after > 0.5 * before AND after > 200000 THEN 'fallback' WHEN after > 20 * before AND after > 300000 THEN 'blown up' ELSE 'subset' END AS verdict FROM (SELECT o_orderkey, o_totalprice AS before, o_totalprice * (o_orderkey % 30) / 20 AS after FROM orders)")
+@operator("K5 Q34", "SELECT o_orderkey, CASE WHEN after > 0.5 * before AND after > 2000000 THEN 'fallback' ELSE 'subset' END AS verdict, after > 20 * before AND after > 3000000 AS blown_up FROM (SELECT o_orderkey, o_totalprice * 8 AS before, o_totalprice * 8 * (o_orderkey % 30) AS after FROM orders)")
 def size_decision(v):
-    """Whether a subset file is kept, falls back, or has grown beyond reason."""
-    before, after = F.col("o_totalprice"), F.col("o_totalprice") * (F.col("o_orderkey") % 30) / 20
-    return v.orders.select("o_orderkey", F.when((after > 0.5 * before) & (after > 200000), "fallback").when((after > 20 * before) & (after > 300000), "blown up").otherwise("subset").alias("verdict"))
+    """Whether a subset file is kept or falls back (over half the size and 2 MB), and whether a file has grown 20 times beyond 3 MB."""
+    o = v.orders.select("o_orderkey", (F.col("o_totalprice") * 8).alias("before"), (F.col("o_totalprice") * 8 * (F.col("o_orderkey") % 30)).alias("after"))
+    return o.select("o_orderkey", F.expr("CASE WHEN after > 0.5 * before AND after > 2000000 THEN 'fallback' ELSE 'subset' END").alias("verdict"), F.expr("after > 20 * before AND after > 3000000").alias("blown_up"))
+
+
+@operator("K4", """SELECT page, '--- page ' || page || chr(10) || string_agg(unit_no || chr(9) || text, chr(10) ORDER BY unit_no) AS dump FROM un GROUP BY page""")
+def unit_dump(v):
+    """The units of each page under its header, one a line with their number."""
+    u = v.un.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("unit_no", "text"))).alias("us"))
+    lines = F.array_join(F.transform("us", lambda x: F.concat(x["unit_no"].cast("string"), F.lit("\t"), x["text"])), "\n")
+    return u.select("page", F.concat(F.lit("--- page "), F.col("page").cast("string"), F.lit("\n"), lines).alias("dump"))
 
 
-@operator("K6 U8 P18 W5 W11", """SELECT s_suppkey, p0 + i AS page, 'A-' || (i + 1) AS label FROM (SELECT s_suppkey, p0, unnest(range(0, pages)) AS i FROM (SELECT s_suppkey, s_nationkey % 4 + 1 AS pages, 100 + coalesce(sum(s_nationkey % 4 + 1) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0 FROM supplier))""", big="page")
+@operator("K6 W5", """SELECT s_suppkey, p0 + i AS page, 'A-' || (i + 1) AS label FROM (SELECT s_suppkey, p0, unnest(range(0, pages)) AS i FROM (SELECT s_suppkey, s_nationkey % 4 + 1 AS pages, 100 + coalesce(sum(s_nationkey % 4 + 1) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0 FROM supplier))""", big="page")
 def appendix_pages(v):
-    """Appendices appended one behind the other from page 100 on, each page with its label."""
+    """Appendices of a book (here a nation) appended one behind the other from page 100 on, each page with its label."""
     n = F.col("s_nationkey") % 4 + 1
-    p0 = 100 + F.coalesce(F.sum(n).over(Window.orderBy("s_suppkey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    p0 = 100 + F.coalesce(F.sum(n).over(Window.partitionBy("s_nationkey").orderBy("s_suppkey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = v.supplier.select("s_suppkey", p0.alias("p0"), n.alias("pages"))
     return placed.select("s_suppkey", "p0", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("i")).select("s_suppkey", (F.col("p0") + F.col("i")).alias("page"), F.concat(F.lit("A-"), (F.col("i") + 1).cast("string")).alias("label"))
 
 
-@operator("K8 Y13", "SELECT key, coalesce(arg_min(value, batch), '(new)') AS value, min(batch) AS batch FROM dk GROUP BY key", big="batch")
-def write_if_absent(v):
-    """A manifest merged by key: rows that are there stay, missing ones are added; it must not come out empty."""
-    out = v.dk.groupBy("key").agg(F.coalesce(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("batch"))), F.lit("(new)")).alias("value"), F.min("batch").alias("batch"))
-    return out.where(F.coalesce(F.assert_true(F.col("key").isNotNull(), "a manifest without rows is an error").isNull(), F.lit(True)))
+@operator("M2 Y13", "SELECT key, coalesce(arg_min(value, batch), '(new)') AS value, min(batch) AS batch FROM dk GROUP BY key", big="batch")
+def merged_manifest(v):
+    """A manifest merged by key: rows that are there stay, missing ones are added."""
+    return v.dk.groupBy("key").agg(F.coalesce(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("batch"))), F.lit("(new)")).alias("value"), F.min("batch").alias("batch"))
 
 
 @operator("K9", "SELECT xref, place_no, (place_no - 1) // 40 AS sheet, ((place_no - 1) % 40) // 5 AS tile_row, (place_no - 1) % 5 AS tile_col FROM img")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliomill.plans.registry import operator
 
 
-@operator("U1 U2", """SELECT page_key, rid, 'grid' AS src FROM rc WHERE size >= 9 UNION ALL SELECT f.page_key, f.rid, 'finder' FROM rc f WHERE f.size = 8 AND NOT EXISTS (SELECT 1 FROM rc g WHERE g.page_key = f.page_key AND g.size >= 9 AND g.x0 < f.x1 AND f.x0 < g.x1 AND g.y0 < f.y1 AND f.y0 < g.y1)""")
+@operator("U1", """SELECT page_key, rid, 'grid' AS src FROM rc WHERE size >= 9 UNION ALL SELECT f.page_key, f.rid, 'finder' FROM rc f WHERE f.size = 8 AND NOT EXISTS (SELECT 1 FROM rc g WHERE g.page_key = f.page_key AND g.size >= 9 AND g.x0 < f.x1 AND f.x0 < g.x1 AND g.y0 < f.y1 AND f.y0 < g.y1)""")
 def table_rect_union(v):
     """Grid rectangles and those finder rectangles that meet none of them."""
     grid, f = v.rc.where("size >= 9"), v.rc.where("size = 8").select("page_key", "rid", "x0", "y0", "x1", "y1")
@@ -25,7 +25,7 @@ def rect_dedupe_bucket(v):
     return r.groupBy("page", "txt", "bx", "yb").agg(F.min_by("rid", F.struct(-F.col("size"), "page_key", "rid")).alias("rid"))
 
 
-@operator("U6 U7", "SELECT s_suppkey, list_sort(list_filter(range(1, 11), lambda p: p <> s_nationkey % 10 + 1 AND p <> s_suppkey % 10 + 1)) AS body FROM supplier")
+@operator("U6", "SELECT s_suppkey, list_sort(list_filter(range(1, 11), lambda p: p <> s_nationkey % 10 + 1 AND p <> s_suppkey % 10 + 1)) AS body FROM supplier")
 def body_pages(v):
     """Pages 1 to 10 without the excluded ones."""
     return v.supplier.select("s_suppkey", F.array_except(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long")), F.array((F.col("s_nationkey") % 10 + 1).cast("long"), F.col("s_suppkey") % 10 + 1)).alias("body"))
@@ -38,11 +38,12 @@ def two_way_difference(v):
     return a.exceptAll(b).withColumn("side", F.lit("lost")).unionByName(b.exceptAll(a).withColumn("side", F.lit("new"))).groupBy("page", "text", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
-@operator("O2", "SELECT doc_id, page, step FROM (SELECT doc_id, page, CAST(ceil(max(page) OVER (PARTITION BY doc_id) / 3.0) AS BIGINT) AS step FROM pm) WHERE (page - 1) % step = 0")
+@operator("O2", "SELECT doc_id, page, step FROM (SELECT doc_id, page, CAST(ceil(max(page) OVER (PARTITION BY doc_id) / 80.0) AS BIGINT) AS step FROM (SELECT doc_id, page * 60 + CAST(s AS BIGINT) AS page FROM pm, range(0, 60) t(s))) WHERE (page - 1) % step = 0")
 def systematic_sample(v):
-    """Every n-th page, so that about three of a document are looked at."""
-    step = F.ceil(F.max("page").over(Window.partitionBy("doc_id")) / 3.0)
-    return v.pm.select("doc_id", "page", step.alias("step")).where("(page - 1) % step = 0")
+    """Every n-th page, so that about eighty of a document are looked at; each stored page stands for sixty."""
+    step = F.ceil(F.max("page").over(Window.partitionBy("doc_id")) / 80.0)
+    sheets = v.pm.select("doc_id", (F.col("page").cast("long") * 60).alias("first")).select("doc_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.lit(59).cast("long"))).alias("page"))
+    return sheets.select("doc_id", "page", step.alias("step")).where("(page - 1) % step = 0")
 
 
 @operator("O5 W6", "SELECT gate, page_key, n FROM (SELECT 'size ' || size AS gate, page_key, count(*) OVER (PARTITION BY size) AS n, row_number() OVER (PARTITION BY size ORDER BY page_key, rid) AS rn FROM rc WHERE l_quantity > 45) WHERE rn <= 6")
@@ -70,7 +71,7 @@ def grouped_lists(v):
     return m.select("page_key", "size", F.size("texts").cast("long").alias("n"), "texts")
 
 
-@operator("Q1 T28", """SELECT event_id, json_extract_string(props, '$.k') AS k, octet_length(encode(props)) AS bytes, base64(encode(event_type)) AS b64 FROM events""")
+@operator("Q1 T28", """SELECT event_id, json_extract_string(props, '$.k') AS k, octet_length(encode(props)) AS bytes, 4 * ceil(octet_length(encode(props)) * 400000 / 3.0) <= 33554432 AS fits, base64(encode(event_type)) AS b64 FROM events""")
 def json_and_base64(v):
-    """A JSON path, the byte length and base64 of event records."""
-    return v.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.octet_length("props").cast("long").alias("bytes"), F.base64(F.encode("event_type", "UTF-8")).alias("b64"))
+    """A JSON path, the byte length and base64 of event records, and whether a request of 400 000 such fits 32 MiB as base64."""
+    return v.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.octet_length("props").cast("long").alias("bytes"), (4 * F.ceil(F.octet_length("props") * F.lit(400000).cast("long") / F.lit(3.0)) <= 33554432).alias("fits"), F.base64(F.encode("event_type", "UTF-8")).alias("b64"))

@@ -8,18 +8,6 @@ from pyspark.sql import functions as F
 from foliomill.plans.registry import operator
 
 
-@operator("X2 O6", """SELECT page_key, arg_max(k, (b - a) * 1000 + k) AS frame_k, max(b - a) AS width FROM (SELECT page_key, a, b, max(k) AS k, count(*) AS n FROM sg WHERE axis = 'H' AND k >= 10 GROUP BY page_key, a, b) GROUP BY page_key""", big="frame_k")
-def widest_frame(v):
-    """The widest group of equal rules in the lower part of a page, and its lowest rule."""
-    g = v.sg.where("axis = 'H' AND k >= 10").groupBy("page_key", "a", "b").agg(F.max("k").alias("k"))
-    return g.groupBy("page_key").agg(F.max_by("k", F.struct(F.col("b") - F.col("a"), "k")).alias("frame_k"), F.max(F.col("b") - F.col("a")).alias("width"))
-
-
-@operator("C8 D9", """SELECT page_key, k AS top, lead(k) OVER (PARTITION BY page_key ORDER BY k) AS bottom, n AS columns FROM (SELECT page_key, k, count(DISTINCT a) AS n FROM sg WHERE axis = 'H' GROUP BY page_key, k)""", big="top bottom")
-def row_bands(v):
-    """Bands between neighbouring rules of a page, with the number of their columns."""
-    g = v.sg.where("axis = 'H'").groupBy("page_key", F.col("k").alias("top")).agg(F.countDistinct("a").alias("columns"))
-    return g.select("page_key", "top", F.lead("top").over(Window.partitionBy("page_key").orderBy("top")).alias("bottom"), "columns")
 
 
 @operator("X3 D8 J9", """SELECT page_key, r, c, string_agg(txt, ' ' ORDER BY y0, x0, rid) AS cell, count(*) AS words FROM (SELECT *, CAST(floor(y0 / 50) AS BIGINT) AS r, CAST(floor(x0 / 100) AS BIGINT) AS c FROM rc) GROUP BY page_key, r, c""")
@@ -48,7 +36,7 @@ def bridged_rules(v):
     return on.select("page_key", "k", "a", "b").distinct().groupBy("page_key").agg(F.count(F.lit(1)).alias("bridged"))
 
 
-@operator("L12 L4 T19", """SELECT page_key, rid, CASE WHEN length(txt) * size * 0.55 <= x1 - x0 THEN size ELSE greatest(4, floor((x1 - x0) / (0.55 * length(txt)) * 4) / 4) END AS fit, CAST(ceil(length(txt) * size * 0.55 / (x1 - x0)) AS BIGINT) AS lines FROM rc""")
+@operator("L4", """SELECT page_key, rid, CASE WHEN length(txt) * size * 0.55 <= x1 - x0 THEN size ELSE greatest(4, floor((x1 - x0) / (0.55 * length(txt)) * 4) / 4) END AS fit, CAST(ceil(length(txt) * size * 0.55 / (x1 - x0)) AS BIGINT) AS lines FROM rc""")
 def cell_plan(v):
     """The size at which a cell's text fits on one line (quarter steps, at least 4) and its lines at full size."""
     n, w = F.length("txt"), F.col("x1") - F.col("x0")

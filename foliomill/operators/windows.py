@@ -27,7 +27,16 @@ def upper_median_gap(v):
     return v.rc.select("page_key", g.alias("g")).select("page_key", F.when((F.col("g") >= 0) & (F.col("g") < 60), F.col("g")).alias("gap")).groupBy("page_key").agg(F.coalesce(upper_median("gap"), F.lit(8.0)).alias("gap"))
 
 
-@operator("W8 W9", """SELECT page_key, rid, sum(new) OVER (PARTITION BY page_key ORDER BY rid) AS table_no, new = 1 AS header FROM (SELECT *, CASE WHEN lag(size) OVER (PARTITION BY page_key ORDER BY rid) IS DISTINCT FROM size OR txt = first_value(txt) OVER (PARTITION BY page_key ORDER BY rid) THEN 1 ELSE 0 END AS new FROM rc)""", big="table_no")
+@operator("W9", """SELECT page_key, y1, cols, sum(new) OVER (PARTITION BY page_key ORDER BY y1) AS part FROM (SELECT *, CASE WHEN lag(cols) OVER (PARTITION BY page_key ORDER BY y1) IS DISTINCT FROM cols THEN 1 ELSE 0 END AS new FROM (SELECT page_key, y1, list(x0 ORDER BY x0, rid) AS cols FROM rc GROUP BY page_key, y1))""", big="part")
+def sub_tables(v):
+    """Rows of a table with the number of their part: a new one begins wherever the columns' left edges change."""
+    rows = v.rc.groupBy("page_key", "y1").agg(F.transform(F.array_sort(F.collect_list(F.struct("x0", "rid"))), lambda x: x["x0"]).alias("cols"))
+    o = Window.partitionBy("page_key").orderBy("y1")
+    new = F.when(F.lag("cols").over(o).eqNullSafe(F.col("cols")), 0).otherwise(1)
+    return rows.withColumn("new", new).select("page_key", "y1", "cols", F.sum("new").over(o).alias("part"))
+
+
+@operator("W8", """SELECT page_key, rid, sum(new) OVER (PARTITION BY page_key ORDER BY rid) AS table_no, new = 1 AS header FROM (SELECT *, CASE WHEN lag(size) OVER (PARTITION BY page_key ORDER BY rid) IS DISTINCT FROM size OR txt = first_value(txt) OVER (PARTITION BY page_key ORDER BY rid) THEN 1 ELSE 0 END AS new FROM rc)""", big="table_no")
 def table_headers(v):
     """A row is a header if its signature differs from the row before or its first cell is the page's first one again."""
     w = Window.partitionBy("page_key").orderBy("rid")
@@ -36,11 +45,11 @@ def table_headers(v):
     return r.select("page_key", "rid", F.sum(F.col("header").cast("int")).over(w).alias("table_no"), "header")
 
 
-@operator("W10 C3", """SELECT page_key, CAST(len(list_reduce(sizes, lambda a, x: CASE WHEN len(a) = 0 OR x / a[-1] >= 1.2 OR a[-1] / x >= 1.2 THEN list_append(a, x) ELSE a END, CAST([] AS DOUBLE[]))) AS BIGINT) AS runs FROM (SELECT page_key, list(CAST(size AS DOUBLE) ORDER BY rid) AS sizes FROM rc GROUP BY page_key)""")
+@operator("W10 C3", """SELECT page_key, CAST(len(list_reduce(sizes, lambda a, x: CASE WHEN len(a) = 0 OR x / a[-1] >= 1.4 OR a[-1] / x >= 1.4 THEN list_append(a, x) ELSE a END, CAST([] AS DOUBLE[]))) AS BIGINT) AS runs FROM (SELECT page_key, list(CAST(size AS DOUBLE) ORDER BY rid) AS sizes FROM rc GROUP BY page_key)""")
 def size_runs(v):
-    """Runs of units whose size stays within a fifth of the run's first one."""
+    """Runs of units whose size stays within 1.4 times the run's first one, either way."""
     s = v.rc.groupBy("page_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rid", "size"))), lambda x: x["size"].cast("double")).alias("s"))
-    fold = F.aggregate("s", F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | (x / F.try_element_at(a, F.lit(-1)) >= 1.2) | (F.try_element_at(a, F.lit(-1)) / x >= 1.2), F.array_append(a, x)).otherwise(a))
+    fold = F.aggregate("s", F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | (x / F.try_element_at(a, F.lit(-1)) >= 1.4) | (F.try_element_at(a, F.lit(-1)) / x >= 1.4), F.array_append(a, x)).otherwise(a))
     return s.select("page_key", F.size(fold).alias("runs"))
 
 
@@ -52,12 +61,13 @@ def common_right(v):
     return r.select("page_key", "rid", F.when((F.col("n") > 1) & mark, F.col("mx")).otherwise(F.col("x1")).alias("right_edge"))
 
 
-@operator("W13", """SELECT page_key, rid, least(size, mid) AS size FROM rc JOIN (SELECT page_key, k, list_sort(list(size))[len(list(size)) // 2 + 1] AS mid FROM (SELECT page_key, size, round_even((y0 + y1) / 8, 0) AS k FROM rc) GROUP BY page_key, k) m USING (page_key) WHERE m.k = round_even((y0 + y1) / 8, 0)""", big="size")
+@operator("W13", """SELECT page_key, rid, least(size, mid) AS size FROM (SELECT * FROM rc WHERE l_linenumber <> 4) rc JOIN (SELECT page_key, k, list_sort(list(size))[len(list(size)) // 2 + 1] AS mid FROM (SELECT page_key, size, round_even((y0 + y1) / 8, 0) AS k FROM rc WHERE l_linenumber <> 4) GROUP BY page_key, k) m USING (page_key) WHERE m.k = round_even((y0 + y1) / 8, 0)""", big="size")
 def row_font_sizes(v):
-    """Sizes cut to the upper median of their row; rows are middles rounded to fours."""
+    """Sizes cut to the upper median of their row; rows are middles rounded to fours, turned texts (fourth lines) have none."""
+    plain = v.rc.where("l_linenumber <> 4")
     k = F.bround((F.col("y0") + F.col("y1")) / 8, 0)
-    m = v.rc.groupBy("page_key", k.alias("k")).agg(upper_median("size").alias("mid"))
-    return v.rc.withColumn("k", k).join(m, ["page_key", "k"]).select("page_key", "rid", F.least("size", "mid").alias("size"))
+    m = plain.groupBy("page_key", k.alias("k")).agg(upper_median("size").alias("mid"))
+    return plain.withColumn("k", k).join(m, ["page_key", "k"]).select("page_key", "rid", F.least("size", "mid").alias("size"))
 
 
 @operator("W14", """SELECT page_key, rid, CASE WHEN count(*) OVER (PARTITION BY page_key, chain) >= 2 THEN min(x0) OVER (PARTITION BY page_key, chain) ELSE x0 END AS left_edge FROM (SELECT *, sum(new) OVER (PARTITION BY page_key ORDER BY y0, rid) AS chain FROM (SELECT *, CASE WHEN y0 - lag(y1) OVER (PARTITION BY page_key ORDER BY y0, rid) > 3 * (y1 - y0) THEN 1 ELSE 0 END AS new FROM rc))""")

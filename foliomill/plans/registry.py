@@ -14,6 +14,8 @@ from foliomill.sources.views import VIEW_SQL, Views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, list[str]] = {}
+#: SQL as it was given, without the views it needs, for use inside other SQL.
+RAW: dict[str, str] = {}
 
 
 def with_views(sql: str) -> str:
@@ -50,6 +52,7 @@ def operator(ids: str, oracle: str | None = None, big: str = ""):
         QUERIES[f.__name__] = run
         COVERS[f.__name__] = ids.split()
         if oracle:
+            RAW[f.__name__] = oracle.strip()
             sql = with_views(oracle)
             if big:
                 sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in big.split())}) FROM ({sql})"

@@ -11,11 +11,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliomill.sources import sheets
+
 #: Lines on a page, line height, left margin and character width of the derived layout.
 PAGE_LINES, LEADING, LEFT, CHAR = 50, 12, 54, 6
 
 
-class Views:
+class Views(sheets.Sheets):
     """The stored tables (by name) and the derived relations of one directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -95,7 +97,7 @@ class Views:
     def img(self) -> DataFrame:
         """Placements of images."""
         n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_partkey", "l_extendedprice"))
-        return self.lineitem.select(F.col("l_suppkey").alias("xref"), n.alias("place_no"), (400 + F.col("l_suppkey") % 7 * 100).cast("int").alias("w"), (300 + F.col("l_suppkey") % 5 * 50).cast("int").alias("h"), F.col("l_orderkey").alias("page"), (F.col("l_quantity") * 4).cast("double").alias("width_pt"))
+        return self.lineitem.select(F.col("l_suppkey").alias("xref"), n.alias("place_no"), (400 + F.col("l_suppkey") % 7 * 200).cast("int").alias("w"), (200 + F.col("l_suppkey") % 5 * 300).cast("int").alias("h"), F.col("l_orderkey").alias("page"), (F.col("l_quantity") * 6).cast("double").alias("width_pt"))
 
     @cached_property
     def ring(self) -> DataFrame:
@@ -114,6 +116,7 @@ VIEW_SQL = {
     "toc": """SELECT page_id, heading, ord, t[ord + 1] AS title, h[ord + 1] AS target FROM (SELECT *, unnest(range(len(h))) AS ord FROM (SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS heading, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1) AS h, regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>([^<]*)</a>', 1) AS t FROM pages))""",
     "pm": "SELECT doc_id, page, CAST(sum(length(trim(text, ' '))) AS BIGINT) AS chars, count(*) AS lines, 6 + (doc_id + page) % 14 AS dom, (doc_id * 7 + page * 13) % 101 AS fig, (doc_id * 31 + page) % 4000 AS paths, (doc_id + page * 3) % 18 AS cbs, (doc_id * 5 + page) % 11 AS form, doc_id % 4 = 0 AS landscape, max(length(text)) AS widest FROM ln GROUP BY doc_id, page",
     "jd": "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'R' WHEN quality = 1 THEN 'S' ELSE 'blank' END AS level, (doc_id * 37 % 100) / 100.0 AS conf FROM labels",
-    "img": "SELECT l_suppkey AS xref, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_extendedprice) AS place_no, 400 + l_suppkey % 7 * 100 AS w, 300 + l_suppkey % 5 * 50 AS h, l_orderkey AS page, CAST(l_quantity * 4 AS DOUBLE) AS width_pt FROM lineitem",
+    "img": "SELECT l_suppkey AS xref, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_extendedprice) AS place_no, 400 + l_suppkey % 7 * 200 AS w, 200 + l_suppkey % 5 * 300 AS h, l_orderkey AS page, CAST(l_quantity * 6 AS DOUBLE) AS width_pt FROM lineitem",
     "ring": "SELECT p_partkey AS geo_id, deg, (p_partkey * 7 + deg // 25 * 91) % 256 AS v FROM part, (SELECT unnest(range(0, 360, 5)) AS deg)",
 }
+VIEW_SQL |= sheets.VIEW_SQL

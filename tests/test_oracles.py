@@ -13,7 +13,7 @@ KINDS = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean":
 
 
 #: Scans with memory, solvers and pixels: what built-in functions can't express.
-PYTHON = {"full_width_cases", "full_width_lines", "collapse_cases", "wrap_cases", "block_layout", "last_resort_locator", "ink_outside_margins", "detected_text", "tight_boxes", "erased_labels", "densities"}
+PYTHON = {"cleaned_lines", "full_width_cases", "full_width_lines", "collapse_cases", "wrap_cases", "block_layout", "last_resort_locator", "ink_outside_margins", "detected_text", "tight_boxes", "erased_labels", "densities"}
 
 
 @pytest.fixture(scope="module")
