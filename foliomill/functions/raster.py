@@ -59,6 +59,67 @@ def text_boxes(im: np.ndarray, gap_x: int = 6, gap_y: int = 2) -> list[tuple[int
     return sorted(found, key=lambda b: (b[1], b[0]))
 
 
+Box = tuple[int, int, int, int]
+
+
+def components(mask: np.ndarray) -> list[Box]:
+    """The boxes of the parts of a mask that are connected sideways, up, down or across corners, by top and left edge.
+
+    Runs of each row are united with those of the row above that they touch.
+    """
+    root: list[int] = []
+    box: list[list[int]] = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    above: list[tuple[int, int, int]] = []
+    for y, row in enumerate(mask):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]])))
+        here, k = [], 0
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            me = len(root)
+            root.append(me)
+            box.append([a, y, b, y + 1])
+            while k < len(above) and above[k][1] < a:
+                k += 1
+            j = k
+            while j < len(above) and above[j][0] <= b:
+                p, q = find(above[j][2]), find(me)
+                if p != q:
+                    p, q = min(p, q), max(p, q)
+                    root[q] = p
+                    u, w = box[p], box[q]
+                    box[p] = [min(u[0], w[0]), min(u[1], w[1]), max(u[2], w[2]), max(u[3], w[3])]
+                j += 1
+            here.append((a, b, me))
+        above = here
+    return sorted((tuple(box[i]) for i in range(len(root)) if root[i] == i), key=lambda b: (b[1], b[0], b[2], b[3]))
+
+
+def joined(boxes: list[Box], dx: int, dy: int) -> list[Box]:
+    """Boxes joined while they are at most dx apart sideways and dy up or down."""
+    out: list[Box] = []
+    for b in boxes:
+        while True:
+            near = [o for o in out if o[0] - dx <= b[2] and b[0] - dx <= o[2] and o[1] - dy <= b[3] and b[1] - dy <= o[3]]
+            if not near:
+                break
+            out = [o for o in out if o not in near]
+            b = (min(b[0], *(o[0] for o in near)), min(b[1], *(o[1] for o in near)), max(b[2], *(o[2] for o in near)), max(b[3], *(o[3] for o in near)))
+        out.append(b)
+    return sorted(out, key=lambda b: (b[1], b[0]))
+
+
+def detect(im: np.ndarray, smallest: int = 6) -> list[Box]:
+    """Boxes of text: parts of the ink joined to words (4 pixels sideways), then to lines (10), without specks below `smallest` pixels."""
+    words = joined(components(ink(im)), 4, 0)
+    return [b for b in joined(words, 10, 0) if (b[2] - b[0]) * (b[3] - b[1]) >= smallest]
+
+
 def erase(im: np.ndarray, box: tuple[int, int, int, int]) -> np.ndarray:
     """The image with a box filled by its background."""
     out = im.copy()

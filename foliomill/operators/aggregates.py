@@ -17,10 +17,10 @@ def upper_median(c):
     return F.get(x, F.floor(F.size(x) / 2).cast("int"))
 
 
-@operator("A5 C5", "SELECT page_key, min(x) - 2 AS lo, max(x) + 2 AS hi FROM (SELECT page_key, x0 AS x, count(*) AS n FROM (SELECT l_orderkey % 400 AS page_key, CAST(l_partkey % 300 AS DOUBLE) AS x0 FROM lineitem) GROUP BY page_key, x0 HAVING count(*) >= 2) GROUP BY page_key")
+@operator("A5 C5", "SELECT page_key, min(x) - 2 AS lo, max(x) + 2 AS hi FROM (SELECT page_key, x0 AS x, count(*) AS n FROM (SELECT l_orderkey // 16 AS page_key, CAST(l_partkey % 300 AS DOUBLE) AS x0 FROM lineitem) GROUP BY page_key, x0 HAVING count(*) >= 2) GROUP BY page_key")
 def revision_bar_band(v):
     """The band of left edges that occur at least twice on a page."""
-    x = v.lineitem.select((F.col("l_orderkey") % 400).alias("page_key"), (F.col("l_partkey") % 300).cast("double").alias("x"))
+    x = v.lineitem.select(F.floor(F.col("l_orderkey") / 16).alias("page_key"), (F.col("l_partkey") % 300).cast("double").alias("x"))
     return x.groupBy("page_key", "x").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy("page_key").agg((F.min("x") - 2).alias("lo"), (F.max("x") + 2).alias("hi"))
 
 

@@ -313,3 +313,75 @@ def flow_split(v):
     o = r.select(F.col("page_key").alias("op"), F.col("rid").alias("orid"), F.col("x0").alias("ox0"), F.col("size").alias("osize"))
     n = r.join(o, F.expr("page_key = op AND orid <> rid AND abs(ox0 - x0) <= 24 AND abs(osize - size) <= 1"), "left").groupBy("page_key", "rid").agg((F.count("orid") >= 2).alias("flow"))
     return n.groupBy("page_key").agg(F.count_if("flow").alias("flow"), F.count_if(~F.col("flow")).alias("rest"))
+
+
+# ---------------------------------------------------------------- fixpoints
+
+
+_LINES = "list_sum(list_transform(es, lambda e: ceil((e.n + 2 + length(CAST(e.base + {p} AS VARCHAR))) / 40.0)))"
+
+
+@operator("L7 L8", f"""SELECT page_id, e.o AS ord, e.base + pages AS start, CAST(floor(above / 10) AS BIGINT) + 1 AS on_page, 72 + 14 * (above % 10) AS link_y, pages FROM (SELECT page_id, pages, e, CAST(coalesce(list_sum(list_transform(list_filter(es, lambda x: x.o < e.o), lambda x: ceil((x.n + 2 + length(CAST(x.base + pages AS VARCHAR))) / 40.0))), 0) AS BIGINT) AS above FROM (SELECT page_id, es, pages, unnest(es) AS e FROM (SELECT page_id, es, list_reduce([CAST(1 AS BIGINT), 1, 2, 3], lambda p, k: CAST(ceil({_LINES.format(p='p')} / 10.0) AS BIGINT)) AS pages FROM (SELECT page_id, list({{'o': ord, 'n': length(title) * 3, 'base': ord * 31 + 90}} ORDER BY ord) AS es FROM te GROUP BY page_id))))""")
+def settled_contents(v):
+    """A contents page laid out in three passes, as page numbers shift by the pages that the contents take and may then need more lines.
+
+    Each entry's page number, the contents page and the height of its link.
+    """
+    g = v.te.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("o"), (F.length("title") * 3).alias("n"), (F.col("ord") * 31 + 90).alias("base")))).alias("es"))
+    tall = lambda e, p: F.ceil((e["n"] + 2 + F.length((e["base"] + p).cast("string"))) / F.lit(40.0))
+    total = lambda es, p: F.aggregate(F.transform(es, lambda e: tall(e, p)), F.lit(0).cast("long"), lambda a, x: a + x)
+    done = g.select("page_id", "es", F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.lit(1).cast("long"), lambda p, _: F.ceil(total(F.col("es"), p) / F.lit(10.0))).alias("pages"))
+    above = total(F.filter("es", lambda x: x["o"] < F.col("e.o")), F.col("pages"))
+    rows = done.select("page_id", "es", "pages", F.explode("es").alias("e")).select("page_id", "e.o", "e.base", "pages", above.alias("above"))
+    return rows.select("page_id", F.col("o").alias("ord"), (F.col("base") + F.col("pages")).alias("start"), (F.floor(F.col("above") / 10) + 1).alias("on_page"), (72 + 14 * (F.col("above") % 10)).alias("link_y"), "pages")
+
+
+_GAP = "greatest(c.x0 - a.x1, a.x0 - c.x1, c.y0 - a.y1, a.y0 - c.y1, 0)"
+_FAR = f"list_filter(cs, lambda c: {_GAP} <= 26)"
+_GROW = ", ".join(f"'{c}': {f}(a.{c}, coalesce(list_{m}(list_transform({_FAR}, lambda c: c.{c})), a.{c}))" for c, f, m in (("x0", "least", "min"), ("y0", "least", "min"), ("x1", "greatest", "max"), ("y1", "greatest", "max")))
+
+
+@operator("X8", f"""SELECT page_key, rid, r.x0, r.y0, r.x1, r.y1 FROM (SELECT page_key, rid, list_reduce(list_concat([own], cs), lambda a, _: {{{_GROW}}}) AS r FROM (SELECT f.page_key, f.rid, {{'x0': any_value(f.x0), 'y0': any_value(f.y0), 'x1': any_value(f.x1), 'y1': any_value(f.y1)}} AS own, list({{'x0': c.x0, 'y0': c.y0, 'x1': c.x1, 'y1': c.y1}} ORDER BY c.rid) AS cs FROM bx f JOIN bx c ON c.page_key = f.page_key AND c.size = 9 WHERE f.size = 10 GROUP BY f.page_key, f.rid))""")
+def figure_extents(v):
+    """A figure's box grown over every piece of art that is at most 26 points from what it has grown to, until nothing more is near."""
+    r = boxes(v)
+    f = r.where("size = 10").select("page_key", "rid", F.struct(*BOX).alias("own"))
+    c = r.where("size = 9").groupBy("page_key").agg(F.collect_list(F.struct(*BOX)).alias("cs"))
+    j = f.join(c, "page_key")
+
+    def grow(a, _):
+        gap = lambda x: F.greatest(x["x0"] - a["x1"], a["x0"] - x["x1"], x["y0"] - a["y1"], a["y0"] - x["y1"], F.lit(0.0))
+        near = F.filter(F.col("cs"), lambda x: gap(x) <= 26)
+        side = lambda c, pick, both: both(a[c], F.coalesce(pick(F.transform(near, lambda x: x[c])), a[c])).alias(c)
+        return F.struct(side("x0", F.array_min, F.least), side("y0", F.array_min, F.least), side("x1", F.array_max, F.greatest), side("y1", F.array_max, F.greatest))
+
+    e = j.select("page_key", "rid", F.aggregate("cs", F.col("own"), grow).alias("r"))
+    return e.select("page_key", "rid", *[f"r.{c}" for c in BOX])
+
+
+_FITS = "least(f.b, x[1].b) - greatest(f.a, x[1].a) > 0.55 * least(f.b - f.a, x[1].b - x[1].a) AND least(f.bottom, x[1].bottom) - greatest(f.top, x[1].top) > -6"
+_UNION = "{'a': least(f.a, x[1].a), 'b': greatest(f.b, x[1].b), 'top': least(f.top, x[1].top), 'bottom': greatest(f.bottom, x[1].bottom)}"
+_PASS = f"list_reduce(list_transform(SOURCE, lambda e: [e]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda f: {_FITS})) = 0 THEN list_append(acc, x[1]) ELSE list_transform(acc, lambda f, j: CASE WHEN j = list_position(list_transform(acc, lambda f: {_FITS}), true) THEN {_UNION} ELSE f END) END)"
+_THRICE = _PASS.replace("SOURCE", _PASS.replace("SOURCE", _PASS.replace("SOURCE", "fs")))
+
+
+@operator("C7", f"""WITH tb AS (FAMILIES), mg AS (SELECT page_key, unnest(m) AS r FROM (SELECT page_key, {_THRICE} AS m FROM (SELECT page_key, list({{'a': a, 'b': b, 'top': top, 'bottom': bottom}} ORDER BY top, a, b, bottom) AS fs FROM tb GROUP BY page_key)))
+  SELECT g.page_key, r.a, r.b, r.top, r.bottom, count(*) AS words FROM mg g JOIN bx w ON w.page_key = g.page_key AND (w.x0 + w.x1) / 2 BETWEEN r.a - 2 AND r.b + 2 AND (w.y0 + w.y1) / 2 BETWEEN r.top - 2 AND r.bottom + 2 GROUP BY ALL HAVING count(*) >= 2""".replace("FAMILIES", RAW["rule_families"]))
+def table_regions(v):
+    """Tables: families of rules merged, in three passes, where they overlap by 55 % of the narrower and meet in height (6 points); with words."""
+    fs = rule_families(v).groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("top", "a", "b", "bottom"))).alias("fs"))
+    start = F.filter("fs", lambda f: F.lit(False))
+
+    def step(acc, x):
+        fits = lambda f: (F.least(f["b"], x["b"]) - F.greatest(f["a"], x["a"]) > 0.55 * F.least(f["b"] - f["a"], x["b"] - x["a"])) & (F.least(f["bottom"], x["bottom"]) - F.greatest(f["top"], x["top"]) > -6)
+        both = lambda f: F.struct(F.least(f["top"], x["top"]).alias("top"), F.least(f["a"], x["a"]).alias("a"), F.greatest(f["b"], x["b"]).alias("b"), F.greatest(f["bottom"], x["bottom"]).alias("bottom"))
+        at = F.array_position(F.transform(acc, fits), F.lit(True))
+        return F.when(at == 0, F.array_append(acc, x)).otherwise(F.transform(acc, lambda f, j: F.when(j + 1 == at, both(f)).otherwise(f)))
+
+    merged = F.col("fs")
+    for _ in range(3):
+        merged = F.aggregate(merged, start, step)
+    m = fs.select("page_key", F.explode(merged).alias("r")).select("page_key", "r.a", "r.b", "r.top", "r.bottom")
+    w = boxes(v).select(F.col("page_key").alias("wp"), F.expr("(x0 + x1) / 2").alias("wx"), F.expr("(y0 + y1) / 2").alias("wy"))
+    j = m.join(w, F.expr("page_key = wp AND wx BETWEEN a - 2 AND b + 2 AND wy BETWEEN top - 2 AND bottom + 2"))
+    return j.groupBy("page_key", "a", "b", "top", "bottom").agg(F.count(F.lit(1)).alias("words")).where("words >= 2")

@@ -35,7 +35,7 @@ def block_layout(v):
     return v.un.select("page", "unit_no", "text", "size", "x0", "x1").groupBy("page").applyInPandas(lay, "page long, unit_no int, top double, lines int, bottom double")
 
 
-@operator("L7 L8 T20", """SELECT page_id, ord, title || ' ' || repeat('.', CAST(greatest(3, 60 - length(title) - length(CAST(start AS VARCHAR))) AS INTEGER)) || ' ' || start AS line FROM (SELECT page_id, ord, title, 1 + CAST(ceil(n / 10.0) AS BIGINT) + ord // 3 AS start FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM toc))""", big="ord")
+@operator("T20", """SELECT page_id, ord, title || ' ' || repeat('.', CAST(greatest(3, 60 - length(title) - length(CAST(start AS VARCHAR))) AS INTEGER)) || ' ' || start AS line FROM (SELECT page_id, ord, title, 1 + CAST(ceil(n / 10.0) AS BIGINT) + ord // 3 AS start FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM toc))""", big="ord")
 def two_pass_contents(v):
     """Contents lines with leaders: page numbers shift by the pages that the contents themselves take."""
     n = v.toc.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
@@ -44,10 +44,11 @@ def two_pass_contents(v):
     return v.toc.join(n, "page_id").select("page_id", "ord", F.concat_ws(" ", "title", dots, start).alias("line"))
 
 
-@operator("A22")
+@operator("A22", r"""SELECT page, unit_no, CASE WHEN kind % 2 = 0 THEN 'label' ELSE 'value' END AS part, round((0.55::DOUBLE * length(regexp_replace(text, '[^\x{0}-\x{2E80}]', '', 'g')) + 1.0::DOUBLE * length(regexp_replace(text, '[\x{0}-\x{2E80}]', '', 'g'))) * size, 4) AS width, 72 + 14 * unit_no AS y FROM un""", big="y")
 def form_blocks(v):
     """Labels and values of a page as stacked form rows with their estimated widths."""
-    width = F.aggregate(F.split("text", ""), F.lit(0.0), lambda a, c: a + F.when(c == "", 0.0).when(F.ascii(c) > 127, em("表")).otherwise(em("a")))
+    wide = F.length(F.regexp_replace("text", r"[\x{0}-\x{2E80}]", ""))
+    width = em("a") * (F.length("text") - wide) + em("表") * wide
     return v.un.select("page", "unit_no", F.when(F.col("kind") % 2 == 0, "label").otherwise("value").alias("part"), F.round(width * F.col("size"), 4).alias("width"), (72 + 14 * F.col("unit_no")).alias("y"))
 
 
@@ -62,7 +63,7 @@ def cache_ages(v):
     return v.events.select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.col("gap") > 1800).alias("stale"), F.count_if((F.col("gap") > 86400) | F.col("gap").isNull()).alias("refetched"))
 
 
-@operator("E6 V9")
+@operator("E6 V9", "SELECT geo_id, CASE WHEN dark >= 12 THEN 'rule' ELSE 'locator' END AS method, CASE WHEN dark >= 12 THEN dark / 72.0::DOUBLE ELSE (255 - low) / 255.0::DOUBLE END AS score FROM (SELECT geo_id, count(*) FILTER (WHERE v < 60) AS dark, min(v) AS low FROM ring GROUP BY geo_id)")
 def last_resort_locator(v):
     """Rings located by rule where there are dark samples enough; only the rest goes to the slow locator."""
     g = v.ring.groupBy("geo_id").agg(F.count_if(F.col("v") < 60).alias("dark"), F.min("v").alias("low"))

@@ -13,15 +13,17 @@ WIDTH, HEIGHT = 420, 230
 
 
 def images(v) -> DataFrame:
-    """page_key, w, h, pixels (binary), boxes of every page."""
-    pages = v.rc.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("rid", "x0", "y0", "x1", "y1"))).alias("boxes"))
+    """page_key, w, h, pixels (binary), boxes of every page, and the boxes of the next page (null if there is none)."""
+    own = v.rc.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("rid", "x0", "y0", "x1", "y1"))).alias("boxes"))
+    pages = own.join(own.select((F.col("page_key") - 1).alias("page_key"), F.col("boxes").alias("others")), "page_key", "left")
 
     def paint(batches):
         for b in batches:
             b["pixels"] = [raster.draw([(x["x0"], x["y0"], x["x1"], x["y1"]) for x in boxes], WIDTH, HEIGHT).tobytes() for boxes in b["boxes"]]
-            yield b.assign(w=WIDTH, h=HEIGHT)[["page_key", "w", "h", "pixels", "boxes"]]
+            yield b.assign(w=WIDTH, h=HEIGHT)[["page_key", "w", "h", "pixels", "boxes", "others"]]
 
-    return pages.mapInPandas(paint, "page_key long, w int, h int, pixels binary, boxes array<struct<rid:int,x0:double,y0:double,x1:double,y1:double>>")
+    box = "array<struct<rid:int,x0:double,y0:double,x1:double,y1:double>>"
+    return pages.mapInPandas(paint, f"page_key long, w int, h int, pixels binary, boxes {box}, others {box}")
 
 
 def measure(v, f, schema: str) -> DataFrame:
@@ -47,8 +49,8 @@ def ink_outside_margins(v):
 
 @operator("V2 V8 V7")
 def detected_text(v):
-    """Boxes of text found in the pixels of each page, in reading order."""
-    return measure(v, lambda im, r: [(k, *b) for k, b in enumerate(raster.text_boxes(im))], "page_key long, box int, x0 int, y0 int, x1 int, y1 int")
+    """Boxes of text in the pixels of each page, in reading order: connected parts of the ink, joined to words and then to lines."""
+    return measure(v, lambda im, r: [(k, *b) for k, b in enumerate(raster.detect(im))], "page_key long, box int, x0 int, y0 int, x1 int, y1 int")
 
 
 @operator("V4 V12 V11")
@@ -66,23 +68,33 @@ def tight_boxes(v):
 
 @operator("V1 V3 V5 Q37 Q38 Q39")
 def erased_labels(v):
-    """Each page with its first label erased: background, ink left in the box, and boxes lost elsewhere."""
+    """Every label of a page erased for itself: background, ink left in its box, boxes lost elsewhere, and labels that overlap it."""
 
     def f(im, r):
-        b = r.boxes[0]
-        box = (int(b["x0"]), int(b["y0"]), min(im.shape[1], int(b["x1"])), int(b["y1"]))
-        out = raster.erase(im, box)
-        yield raster.paper(im), int(raster.ink(out)[box[1] : box[3], box[0] : box[2]].sum()), len(raster.text_boxes(im)) - len(raster.text_boxes(out))
+        boxes = [(int(b["x0"]), int(b["y0"]), min(im.shape[1], int(b["x1"])), int(b["y1"])) for b in r.boxes]
+        before = raster.text_boxes(im)
+        for k, (b, box) in enumerate(zip(r.boxes, boxes)):
+            out = raster.erase(im, box)
+            over = sum(box[0] < o[2] and o[0] < box[2] and box[1] < o[3] and o[1] < box[3] for j, o in enumerate(boxes) if j != k)
+            yield int(b["rid"]), raster.paper(im), int(raster.ink(out)[box[1] : box[3], box[0] : box[2]].sum()), len(before) - len(raster.text_boxes(out)), over
 
-    return measure(v, f, "page_key long, paper int, residue int, lost int")
+    return measure(v, f, "page_key long, rid long, paper int, residue int, lost int, overlaps int")
 
 
 @operator("V6 V10 Q14")
 def densities(v):
-    """The share of cells dense with ink, and of a crop's ink foreign to its own page (none) or to an empty one (all)."""
+    """The share of cells dense with ink, how much of a page's crop is foreign to the page and to the next one, and which it was taken from.
+
+    A crop belongs to a page if at most 8 % of its ink has no ink of the page within two pixels. Crops are shifted by a pixel, as
+    rendering does.
+    """
 
     def f(im, r):
-        d = raster.density(im)
-        yield float((d > 0.2).mean()), raster.stray_share(im, im), raster.stray_share(im, raster.draw([], im.shape[1], im.shape[0])), int(raster.upscale(im, 2).shape[1])
+        import numpy as np
+
+        d, crop = raster.density(im), np.roll(im, 1, axis=1)
+        own = raster.stray_share(crop, im)
+        other = None if r.others is None else raster.stray_share(crop, raster.draw([(x["x0"], x["y0"], x["x1"], x["y1"]) for x in r.others], im.shape[1], im.shape[0]))
+        yield float((d > 0.2).mean()), own, other, own <= 0.08, int(raster.upscale(im, 2).shape[1])
 
-    return measure(v, f, "page_key long, dense double, own double, foreign double, doubled int")
+    return measure(v, f, "page_key long, dense double, own double, foreign double, belongs boolean, doubled int")

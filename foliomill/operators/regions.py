@@ -48,7 +48,7 @@ def page_boxes(df, *more):
     return df.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("rid", *BOX, *more))).alias("bs"))
 
 
-@operator("U1 C7 C9 X8", f"""WITH RECURSIVE reach AS (SELECT page_key, rid, rid AS other FROM bx UNION SELECT r.page_key, r.rid, b.rid FROM reach r JOIN bx a ON a.page_key = r.page_key AND a.rid = r.other JOIN bx b ON b.page_key = a.page_key AND {MEET})
+@operator("U1 C9", f"""WITH RECURSIVE reach AS (SELECT page_key, rid, rid AS other FROM bx UNION SELECT r.page_key, r.rid, b.rid FROM reach r JOIN bx a ON a.page_key = r.page_key AND a.rid = r.other JOIN bx b ON b.page_key = a.page_key AND {MEET})
   SELECT page_key, region, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (SELECT page_key, rid, min(other) AS region FROM reach GROUP BY page_key, rid) JOIN bx USING (page_key, rid) GROUP BY page_key, region""")
 def touching_regions(v):
     """Rectangles of a page joined while they touch one another, to any depth, with the box around each group."""

@@ -17,11 +17,11 @@ def table_rect_union(v):
     return grid.select("page_key", "rid", F.lit("grid").alias("src")).unionByName(f.join(b, meets, "left_anti").select("page_key", "rid", F.lit("finder").alias("src")))
 
 
-@operator("U5", "SELECT page, txt, bx, yb, rid FROM (SELECT page_key % 400 AS page, txt, CAST(round_even(x0 / 3, 0) AS BIGINT) AS bx, CAST(round_even(y0 / 3, 0) AS BIGINT) AS yb, rid, row_number() OVER (PARTITION BY page_key % 400, txt, round_even(x0 / 3, 0), round_even(y0 / 3, 0) ORDER BY size DESC, page_key, rid) AS rn FROM rc) WHERE rn = 1")
+@operator("U5", "SELECT page, txt, bx, yb, rid FROM (SELECT page_key // 16 AS page, txt, CAST(round_even(x0 / 3, 0) AS BIGINT) AS bx, CAST(round_even(y0 / 3, 0) AS BIGINT) AS yb, rid, row_number() OVER (PARTITION BY page_key // 16, txt, round_even(x0 / 3, 0), round_even(y0 / 3, 0) ORDER BY size DESC, page_key, rid) AS rn FROM rc) WHERE rn = 1")
 def rect_dedupe_bucket(v):
     """Overprinted texts of one 3-point cell once, the largest kept."""
     b = lambda c: F.bround(F.col(c) / 3, 0).cast("long")
-    r = v.rc.select((F.col("page_key") % 400).alias("page"), "page_key", "txt", b("x0").alias("bx"), b("y0").alias("yb"), "rid", "size")
+    r = v.rc.select(F.floor(F.col("page_key") / 16).alias("page"), "page_key", "txt", b("x0").alias("bx"), b("y0").alias("yb"), "rid", "size")
     return r.groupBy("page", "txt", "bx", "yb").agg(F.min_by("rid", F.struct(-F.col("size"), "page_key", "rid")).alias("rid"))
 
 
@@ -38,11 +38,11 @@ def two_way_difference(v):
     return a.exceptAll(b).withColumn("side", F.lit("lost")).unionByName(b.exceptAll(a).withColumn("side", F.lit("new"))).groupBy("page", "text", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
-@operator("O2", "SELECT doc_id, page, step FROM (SELECT doc_id, page, CAST(ceil(max(page) OVER (PARTITION BY doc_id) / 80.0) AS BIGINT) AS step FROM (SELECT doc_id, page * 60 + CAST(s AS BIGINT) AS page FROM pm, range(0, 60) t(s))) WHERE (page - 1) % step = 0")
+@operator("O2", "SELECT doc_id, page, step FROM (SELECT doc_id, page, CAST(ceil(max(page) OVER (PARTITION BY doc_id) / 80.0) AS BIGINT) AS step FROM (SELECT doc_id, page * 60 + CAST(s AS BIGINT) AS page FROM pg, range(0, 60) t(s))) WHERE (page - 1) % step = 0")
 def systematic_sample(v):
     """Every n-th page, so that about eighty of a document are looked at; each stored page stands for sixty."""
     step = F.ceil(F.max("page").over(Window.partitionBy("doc_id")) / 80.0)
-    sheets = v.pm.select("doc_id", (F.col("page").cast("long") * 60).alias("first")).select("doc_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.lit(59).cast("long"))).alias("page"))
+    sheets = v.pg.select("doc_id", (F.col("page").cast("long") * 60).alias("first")).select("doc_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.lit(59).cast("long"))).alias("page"))
     return sheets.select("doc_id", "page", step.alias("step")).where("(page - 1) % step = 0")
 
 

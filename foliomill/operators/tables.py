@@ -25,7 +25,7 @@ def vertical_spans(v):
     return g.groupBy("page_key", "c", "g").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).drop("g")
 
 
-@operator("C7", """SELECT page_key, count(*) AS bridged FROM (SELECT DISTINCT h.page_key, h.k, h.a, h.b FROM sg h JOIN sg g ON g.page_key = h.page_key AND g.axis = 'H' AND h.axis = 'H' AND g.k > h.k AND least(h.b, g.b) - greatest(h.a, g.a) > 0.55 * greatest(h.b - h.a, g.b - g.a) JOIN sg v ON v.page_key = h.page_key AND v.axis = 'V' AND v.k BETWEEN h.a AND h.b AND v.k BETWEEN g.a AND g.b) GROUP BY page_key""")
+@operator("C6", """SELECT page_key, count(*) AS bridged FROM (SELECT DISTINCT h.page_key, h.k, h.a, h.b FROM sg h JOIN sg g ON g.page_key = h.page_key AND g.axis = 'H' AND h.axis = 'H' AND g.k > h.k AND least(h.b, g.b) - greatest(h.a, g.a) > 0.55 * greatest(h.b - h.a, g.b - g.a) JOIN sg v ON v.page_key = h.page_key AND v.axis = 'V' AND v.k BETWEEN h.a AND h.b AND v.k BETWEEN g.a AND g.b) GROUP BY page_key""")
 def bridged_rules(v):
     """Rules with a lower one that covers 55 % of the wider of both, and a vertical rule across the two."""
     h = v.sg.where("axis = 'H'").select("page_key", "k", "a", "b")

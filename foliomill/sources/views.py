@@ -57,7 +57,7 @@ class Views(sheets.Sheets):
     def sg(self) -> DataFrame:
         """Ruled segments: axis, position k, from a to b."""
         a = (F.col("l_partkey") % 300).cast("double")
-        return self.lineitem.select((F.col("l_orderkey") % 400).alias("page_key"), F.when(F.col("l_linenumber") % 2 == 0, "V").otherwise("H").alias("axis"), (F.col("l_suppkey") % 40).cast("int").alias("k"), a.alias("a"), (a + F.col("l_quantity")).alias("b")).distinct()
+        return self.lineitem.select(F.floor(F.col("l_orderkey") / 16).alias("page_key"), F.when(F.col("l_linenumber") % 2 == 0, "V").otherwise("H").alias("axis"), (F.col("l_suppkey") % 40).cast("int").alias("k"), a.alias("a"), (a + F.col("l_quantity")).alias("b")).distinct()
 
     @cached_property
     def dk(self) -> DataFrame:
@@ -80,13 +80,6 @@ class Views(sheets.Sheets):
         a = self.pages.select("page_id", F.regexp_extract("html", r"<h1[^>]*>([^<]*)</h1>", 1).alias("heading"), F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"[^>]*>'), 1).alias("h"), F.regexp_extract_all("html", F.lit(r'<a [^>]*href="[^"]*"[^>]*>([^<]*)</a>'), 1).alias("t"))
         return a.select("page_id", "heading", F.posexplode(F.arrays_zip("h", "t")).alias("ord", "z")).select("page_id", "heading", "ord", F.col("z.t").alias("title"), F.col("z.h").alias("target"))
 
-    @cached_property
-    def pm(self) -> DataFrame:
-        """Page metrics: characters, lines, dominant size, figure share, paths, checkboxes, form slots, landscape."""
-        p = self.ln.groupBy("doc_id", "page").agg(F.sum(F.length(F.trim("text"))).alias("chars"), F.count(F.lit(1)).alias("lines"), F.max(F.length("text")).alias("widest"))
-        d, g = F.col("doc_id"), F.col("page")
-        return p.select("doc_id", "page", "chars", "lines", (6 + (d + g) % 14).alias("dom"), ((d * 7 + g * 13) % 101).alias("fig"), ((d * 31 + g) % 4000).alias("paths"), ((d + g * 3) % 18).alias("cbs"), ((d * 5 + g) % 11).alias("form"), ((d % 4) == 0).alias("landscape"), "widest")
-
     @cached_property
     def jd(self) -> DataFrame:
         """Judgements on documents: a level with a confidence."""
@@ -110,11 +103,10 @@ VIEW_SQL = {
     "ln": "SELECT doc_id, line_no, text, CAST(line_no // 50 + 1 AS BIGINT) AS page, 54 AS x0, 72 + 12 * (line_no % 50) AS y0, 54 + 6 * length(text) AS x1, 84 + 12 * (line_no % 50) AS y1 FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
     "wd": "SELECT doc_id, line_no, page, word_no, w, c0, 54 + 6 * c0 AS x0, y0, 54 + 6 * c0 + 6 * length(w) AS x1, y1 FROM (SELECT *, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS c0 FROM (SELECT doc_id, line_no, page, y0, y1, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS word_no FROM (SELECT *, string_split(text, ' ') AS ws FROM ln))) WHERE w <> ''",
     "rc": "SELECT l_orderkey AS page_key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice) AS rid, CAST(l_partkey % 300 AS DOUBLE) AS x0, CAST(l_suppkey % 200 AS DOUBLE) AS y0, CAST(l_partkey % 300 + 10 + 2 * l_quantity AS DOUBLE) AS x1, CAST(l_suppkey % 200 + 8 + l_linenumber % 5 AS DOUBLE) AS y1, 6 + l_linenumber % 5 AS size, p_name AS txt, l_partkey, l_linenumber, l_quantity, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey",
-    "sg": "SELECT DISTINCT l_orderkey % 400 AS page_key, CASE WHEN l_linenumber % 2 = 0 THEN 'V' ELSE 'H' END AS axis, l_suppkey % 40 AS k, CAST(l_partkey % 300 AS DOUBLE) AS a, l_partkey % 300 + l_quantity AS b FROM lineitem",
+    "sg": "SELECT DISTINCT l_orderkey // 16 AS page_key, CASE WHEN l_linenumber % 2 = 0 THEN 'V' ELSE 'H' END AS axis, l_suppkey % 40 AS k, CAST(l_partkey % 300 AS DOUBLE) AS a, l_partkey % 300 + l_quantity AS b FROM lineitem",
     "dk": "SELECT 'main' AS stem, p_partkey % 3 AS batch, upper(p_name) AS key, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' ' ELSE p_type END AS value FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey % 3, upper(p_name) ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1",
     "un": "SELECT page_key % 50 AS doc_id, page_key AS page, rid AS unit_no, CASE l_linenumber % 4 WHEN 0 THEN upper(txt) WHEN 1 THEN upper(p_brand) WHEN 2 THEN 'D-' || l_partkey ELSE CAST(l_quantity AS INTEGER) || '/8' END AS text, size, l_linenumber % 4 AS kind, x0, y0, x1, y1 FROM rc",
     "toc": """SELECT page_id, heading, ord, t[ord + 1] AS title, h[ord + 1] AS target FROM (SELECT *, unnest(range(len(h))) AS ord FROM (SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS heading, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1) AS h, regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>([^<]*)</a>', 1) AS t FROM pages))""",
-    "pm": "SELECT doc_id, page, CAST(sum(length(trim(text, ' '))) AS BIGINT) AS chars, count(*) AS lines, 6 + (doc_id + page) % 14 AS dom, (doc_id * 7 + page * 13) % 101 AS fig, (doc_id * 31 + page) % 4000 AS paths, (doc_id + page * 3) % 18 AS cbs, (doc_id * 5 + page) % 11 AS form, doc_id % 4 = 0 AS landscape, max(length(text)) AS widest FROM ln GROUP BY doc_id, page",
     "jd": "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'R' WHEN quality = 1 THEN 'S' ELSE 'blank' END AS level, (doc_id * 37 % 100) / 100.0 AS conf FROM labels",
     "img": "SELECT l_suppkey AS xref, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_extendedprice) AS place_no, 400 + l_suppkey % 7 * 200 AS w, 200 + l_suppkey % 5 * 300 AS h, l_orderkey AS page, CAST(l_quantity * 6 AS DOUBLE) AS width_pt FROM lineitem",
     "ring": "SELECT p_partkey AS geo_id, deg, (p_partkey * 7 + deg // 25 * 91) % 256 AS v FROM part, (SELECT unnest(range(0, 360, 5)) AS deg)",
