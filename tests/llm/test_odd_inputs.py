@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliomill.llm import common, jaccard, langid, mixing, pii, quality, simhash
+from foliomill.llm import common, jaccard, langid, mixing, pii, quality, quotes, sharding, simhash
 
 NAMES = ["tokens", "n_tokens", "stratum", "kept", "_gone", "taken", "size", "fp", "bucket", "shard", "component_id", "d", "t", "n", "lang_pred", "spans", "votes", "target", "weight", "a", "b", "quota"]
 
@@ -44,6 +44,17 @@ def test_operators_keep_every_row(spark, odd):
     assert {c for i, s, c in linked if i is None and s} == {1} and (None, 0, None) in linked and (5, 15138, 4) in {(i, s > 1000 and 15138, c) for i, s, c in linked}
 
 
+def test_conversations_and_shards(spark):
+    names = ["position", "parent_turn", "thread", "own", "quotes", "hash", "original", "shard", "place", "offset", "slot"]
+    rows = [(1, 0, "u", "hello there"), (1, 0, "u", "hello there"), (1, 1, None, "> hello there\nfine"), (1, None, "u", "> hello there"), (None, 2, "u", None), (None, None, None, None), (2, 0, "", ""), (2, 1, "u", "> " + "long " * 50_000), (2, 2, "u", ">>> \n>> \n> ")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    got = quotes.reply_order(df).collect()
+    assert len(got) == len(rows) and sorted(r["parent_turn"] for r in got if r["parent_turn"] is not None) == [0]
+    assert quotes.reply_order(df.where("false")).collect() == []
+    table = sharding.build_table({"a": 1, "b": 2}, 101)
+    assert sharding.place(df, ["conv_id", "text"], table).count() == len(rows) and sharding.place(df, ["conv_id"], table, ["turn"], 4).count() == len(rows)
+
+
 def test_labels_without_rows(spark, odd):
     docs, labels = common.read_table(spark, odd, "documents"), common.read_table(spark, odd, "labels")
     assert quality.assess(docs, labels.where("false")).count() == docs.count()

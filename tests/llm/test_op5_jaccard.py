@@ -178,3 +178,11 @@ def test_every_link_is_counted_once(spark, monkeypatch, chunk):
     got = jaccard.link_counts(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)).collect()
     assert {(r["doc_id"], r["n_links"]) for r in got} == set(zip(ids, want)) and len(got) == len(texts)
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(ids, texts)
+
+
+def test_a_text_of_several_segments():
+    r = random.Random(6)
+    text = " ".join(f"w{r.randrange(5000)}" for _ in range(260_000))
+    assert len(text) > shingles.SEGMENT
+    got = shingles.shingle_sets([text, "a b", text])
+    assert len(got[0]) == len(sets_of([text])[0]) and (got[0] == got[2]).all() and len(got[1]) == 1

@@ -71,3 +71,15 @@ def test_repeats_and_empty(spark):
     assert out.columns == docs.columns and 0 < out.count() < 3 * docs.count() + 1
     assert mixing.mix(docs.where("false")).count() == 0
     assert mixing.mix(docs.where("source = 'empty'")).collect()[0]["taken"] == 0
+
+
+def test_copies_follow_the_mix(spark):
+    from collections import Counter
+
+    rows = [(i, "abc"[i % 3] if i % 7 else None, " ".join(["w"] * (i * 37 % 90)), i) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, taken long")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"]] += int(r["taken"] / max(r["size"], 1) + 0.5)
+    got = Counter(r["doc_id"] for r in mixing.repeat_documents(docs).collect())
+    assert got == +want and max(got.values()) <= 3
