@@ -1,7 +1,11 @@
-"""Pixel operators: pages are drawn from their rectangles as binary images, then measured in Arrow batches a page at a time."""
+"""Pixel operators: pages are drawn from their rectangles as binary images and measured, one page at a time.
+
+A worker holds one image; only rectangles and results pass between Spark and Python.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,47 +14,48 @@ from foliomill.functions import raster
 from foliomill.plans.registry import operator
 
 WIDTH, HEIGHT = 420, 230
+#: Rows of results that are handed on at once.
+ROWS = 20_000
 
 
-def images(v) -> DataFrame:
-    """page_key, w, h, pixels (binary), boxes of every page, and the boxes of the next page (null if there is none)."""
-    own = v.rc.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("rid", "x0", "y0", "x1", "y1"))).alias("boxes"))
-    pages = own.join(own.select((F.col("page_key") - 1).alias("page_key"), F.col("boxes").alias("others")), "page_key", "left")
+def rectangles(v) -> DataFrame:
+    """page_key, rids, boxes (x0, y0, x1, y1 of each in turn) of every page."""
+    own = v.rc.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("rid", "x0", "y0", "x1", "y1"))).alias("b"))
+    return own.select("page_key", F.col("b.rid").alias("rids"), F.flatten(F.transform("b", lambda b: F.array(b["x0"], b["y0"], b["x1"], b["y1"]))).alias("boxes"))
 
-    def paint(batches):
-        for b in batches:
-            b["pixels"] = [raster.draw([(x["x0"], x["y0"], x["x1"], x["y1"]) for x in boxes], WIDTH, HEIGHT).tobytes() for boxes in b["boxes"]]
-            yield b.assign(w=WIDTH, h=HEIGHT)[["page_key", "w", "h", "pixels", "boxes", "others"]]
 
-    box = "array<struct<rid:int,x0:double,y0:double,x1:double,y1:double>>"
-    return pages.mapInPandas(paint, f"page_key long, w int, h int, pixels binary, boxes {box}, others {box}")
+def image(boxes: np.ndarray) -> np.ndarray:
+    return raster.draw(boxes.reshape(-1, 4).tolist(), WIDTH, HEIGHT)
 
 
-def measure(v, f, schema: str) -> DataFrame:
+def measure(pages: DataFrame, f, schema: str) -> DataFrame:
     """f(image, row) -> list of tuples, over all pages."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        import numpy as np
-
         for b in batches:
-            rows = [(r.page_key, *x) for r in b.itertuples() for x in f(np.frombuffer(r.pixels, dtype=np.uint8).reshape(r.h, r.w), r)]
+            rows = []
+            for r in b.itertuples():
+                rows += [(r.page_key, *x) for x in f(image(r.boxes), r)]
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
             yield pd.DataFrame(rows, columns=names)
 
-    return images(v).mapInPandas(run, schema)
+    return pages.mapInPandas(run, schema)
 
 
 @operator("Q06 Q07 Q44 D20")
 def ink_outside_margins(v):
     """Ink pixels outside the margins and in the footer band of each page that has any."""
-    f = lambda im, r: [(raster.margin_ink(im, 10, 10, 400, 200), int(raster.ink(im)[205:].sum()))]
-    return measure(v, f, "page_key long, outside long, footer long").where("outside > 0 OR footer > 30")
+    f = lambda im, r: [(raster.margin_ink(im, 10, 10, 400, 200), int(raster.ink(im[205:]).sum()))]
+    return measure(rectangles(v), f, "page_key long, outside long, footer long").where("outside > 0 OR footer > 30")
 
 
 @operator("V2 V8 V7")
 def detected_text(v):
     """Boxes of text in the pixels of each page, in reading order: connected parts of the ink, joined to words and then to lines."""
-    return measure(v, lambda im, r: [(k, *b) for k, b in enumerate(raster.detect(im))], "page_key long, box int, x0 int, y0 int, x1 int, y1 int")
+    return measure(rectangles(v), lambda im, r: [(k, *b) for k, b in enumerate(raster.detect(im))], "page_key long, box int, x0 int, y0 int, x1 int, y1 int")
 
 
 @operator("V4 V12 V11")
@@ -59,11 +64,11 @@ def tight_boxes(v):
 
     def f(im, r):
         h, w = im.shape
-        for b in r.boxes:
-            box = raster.ink_box(im, max(0, int(b["x0"]) - 3), max(0, int(b["y0"]) - 3), min(w, int(b["x1"]) + 3), min(h, int(b["y1"]) + 3))
-            yield (int(b["rid"]), *(box or (None,) * 4))
+        for rid, (x0, y0, x1, y1) in zip(r.rids.tolist(), r.boxes.reshape(-1, 4).tolist()):
+            box = raster.ink_box(im, max(0, int(x0) - 3), max(0, int(y0) - 3), min(w, int(x1) + 3), min(h, int(y1) + 3))
+            yield (rid, *(box or (None,) * 4))
 
-    return measure(v, f, "page_key long, rid int, x0 double, y0 double, x1 double, y1 double")
+    return measure(rectangles(v), f, "page_key long, rid int, x0 double, y0 double, x1 double, y1 double")
 
 
 @operator("V1 V3 V5 Q37 Q38 Q39")
@@ -71,14 +76,14 @@ def erased_labels(v):
     """Every label of a page erased for itself: background, ink left in its box, boxes lost elsewhere, and labels that overlap it."""
 
     def f(im, r):
-        boxes = [(int(b["x0"]), int(b["y0"]), min(im.shape[1], int(b["x1"])), int(b["y1"])) for b in r.boxes]
-        before = raster.text_boxes(im)
-        for k, (b, box) in enumerate(zip(r.boxes, boxes)):
-            out = raster.erase(im, box)
-            over = sum(box[0] < o[2] and o[0] < box[2] and box[1] < o[3] and o[1] < box[3] for j, o in enumerate(boxes) if j != k)
-            yield int(b["rid"]), raster.paper(im), int(raster.ink(out)[box[1] : box[3], box[0] : box[2]].sum()), len(before) - len(raster.text_boxes(out)), over
+        box = r.boxes.reshape(-1, 4).astype(int)
+        box[:, 2] = np.minimum(box[:, 2], im.shape[1])
+        paper = raster.paper(im)
+        for rid, b, (residue, lost) in zip(r.rids.tolist(), box, raster.erasures(im, box.tolist())):
+            over = ((box[:, :2] < b[2:]) & (b[:2] < box[:, 2:])).all(axis=1).sum() - (b[:2] < b[2:]).all()
+            yield rid, paper, residue, lost, int(over)
 
-    return measure(v, f, "page_key long, rid long, paper int, residue int, lost int, overlaps int")
+    return measure(rectangles(v), f, "page_key long, rid long, paper int, residue int, lost int, overlaps int")
 
 
 @operator("V6 V10 Q14")
@@ -90,11 +95,11 @@ def densities(v):
     """
 
     def f(im, r):
-        import numpy as np
-
         d, crop = raster.density(im), np.roll(im, 1, axis=1)
         own = raster.stray_share(crop, im)
-        other = None if r.others is None else raster.stray_share(crop, raster.draw([(x["x0"], x["y0"], x["x1"], x["y1"]) for x in r.others], im.shape[1], im.shape[0]))
+        other = None if r.others is None else raster.stray_share(crop, image(r.others))
         yield float((d > 0.2).mean()), own, other, own <= 0.08, int(raster.upscale(im, 2).shape[1])
 
-    return measure(v, f, "page_key long, dense double, own double, foreign double, belongs boolean, doubled int")
+    own = rectangles(v).select("page_key", "boxes")
+    pages = own.join(own.select((F.col("page_key") - 1).alias("page_key"), F.col("boxes").alias("others")), "page_key", "left")
+    return measure(pages, f, "page_key long, dense double, own double, foreign double, belongs boolean, doubled int")
