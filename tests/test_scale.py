@@ -9,7 +9,7 @@ from foliomill.plans.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["densities", "erased_labels", "tight_boxes", "detected_text"])
+@pytest.mark.parametrize("name", ["densities", "erased_labels", "tight_boxes", "detected_text", "ink_outside_margins"])
 def test_no_pixels_between_spark_and_python(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 1 and "pixels" not in plan
