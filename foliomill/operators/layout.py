@@ -58,7 +58,7 @@ def cache_ages(v):
     """Reads of each cache entry: locks stale after half an hour, contents after a day."""
     from pyspark.sql import Window
 
-    t = F.unix_timestamp("ts")
+    t = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).cast("long")  # to the nearest second, halves to even
     gap = t - F.lag(t).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return v.events.select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.col("gap") > 1800).alias("stale"), F.count_if((F.col("gap") > 86400) | F.col("gap").isNull()).alias("refetched"))
 

@@ -1,10 +1,12 @@
 """Queries on rows that the smallest tables lack, and what passes between Spark and Python."""
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from foliomill.functions import raster
-from foliomill.plans.catalog import QUERIES
+from foliomill.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +32,23 @@ def test_paper_is_the_median():
         im = r.choice(np.array(values, dtype=np.uint8), (9, 14))
         light = im[im >= 128]
         assert raster.paper(im) == (int(np.median(light)) if light.size else 255)
+
+
+def same_as_sql(spark, folder, table, rows, name):
+    """Whether a query over one written table gives its SQL's rows."""
+    duck = duckdb.connect()
+    duck.register("given", rows)
+    duck.execute(f"COPY (SELECT * FROM given) TO '{folder}/{table}.parquet'")
+    duck.execute(f"CREATE VIEW {table} AS FROM '{folder}/{table}.parquet'")
+    cur = duck.execute(ORACLES[name])
+    cols = [d[0] for d in cur.description]
+    got, want = QUERIES[name](spark, str(folder)).select(cols).collect(), cur.fetchall()
+    return sorted(map(tuple, got)) == sorted(want) and len(want) > 0
+
+
+def test_gaps_between_fractions_of_seconds(spark, tmp_path):
+    at = [0.4, 1800.6, 3601.0, 90001.5, 176401.4, 262801.9, 262802.5, 264603.5]
+    ts = [pd.Timestamp("2024-01-01") + pd.Timedelta(microseconds=round(x * 1e6)) for x in at]
+    rows = pd.DataFrame({"event_id": range(16), "ts": ts + [t + pd.Timedelta(milliseconds=700) for t in ts[::-1]], "user_id": [1] * 8 + [2] * 8, "event_type": "view", "value": 1.0, "props": "{}"})
+    rows["ts"] = rows["ts"].astype("datetime64[us]")
+    assert same_as_sql(spark, tmp_path, "events", rows, "cache_ages")
