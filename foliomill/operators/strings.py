@@ -68,7 +68,7 @@ def wrap_cases(v):
 def line_widths(v):
     """Estimated widths of lines (1 em a wide character, 0.55 else), the lines they take in 160 points, and whether they are Chinese."""
     wide = F.length(F.regexp_replace("text", r"[\x{0}-\x{2E80}]", ""))
-    w = 0.55 * (F.length("text") - wide) + 1.0 * wide
+    w = (55 * (F.length("text") - wide) + 100 * wide) / F.lit(100.0)  # in hundredths, so that no sum is rounded
     return v.st.select("doc_id", "line_no", F.round(w * F.col("size"), 4).alias("width"), F.ceil(w * F.col("size") / 160).alias("n_lines"), F.col("text").rlike(r"[一-鿿\x{FF01}-\x{FF5E}\x{3000}-\x{303F}]").alias("chinese"))
 
 

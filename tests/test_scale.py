@@ -46,6 +46,13 @@ def same_as_sql(spark, folder, table, rows, name):
     return sorted(map(tuple, got)) == sorted(want) and len(want) > 0
 
 
+def test_widths_at_whole_lines(spark, tmp_path):
+    """Lines whose width is a whole number of 160 points."""
+    texts = ["\n".join("x" * n + "表" * m for n in range(0, 1000, 20)) for m in range(24)]
+    rows = pd.DataFrame({"doc_id": range(24), "text": texts, "lang": "en", "source": "a", "n_chars": [len(t) for t in texts]})
+    assert same_as_sql(spark, tmp_path, "documents", rows, "line_widths")
+
+
 def test_gaps_between_fractions_of_seconds(spark, tmp_path):
     at = [0.4, 1800.6, 3601.0, 90001.5, 176401.4, 262801.9, 262802.5, 264603.5]
     ts = [pd.Timestamp("2024-01-01") + pd.Timedelta(microseconds=round(x * 1e6)) for x in at]
