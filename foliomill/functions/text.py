@@ -230,6 +230,22 @@ def wrap(text: str, width: float) -> list[str]:
     return [*lines, line.rstrip()] if line.strip() else lines
 
 
+_TOKEN = re.compile(r"[A-Za-z0-9.\-/]+")
+
+
+def _count_lines(text: pd.Series, width: pd.Series) -> pd.Series:
+    """How many lines wrap() gives: one for a single word, else counted once a batch for each pair of text and width."""
+    known: dict[tuple[str, float], int] = {}
+    out = []
+    for pair in zip(text, width):
+        n = known.get(pair)
+        if n is None:
+            t = pair[0]
+            n = known[pair] = None if t is None else 1 if _TOKEN.fullmatch(t) else len(wrap(*pair))
+        out.append(n)
+    return pd.Series(out, dtype="Int32")
+
+
 def _full_width_all(s: pd.Series) -> pd.Series:
     return s.map(full_width, na_action="ignore")
 
@@ -252,3 +268,7 @@ def _wrap_all(text: pd.Series, width: pd.Series) -> pd.Series:
 
 def wrap_udf(text, width) -> Column:
     return F.pandas_udf(_wrap_all, "array<string>")(text, width)
+
+
+def count_lines_udf(text, width) -> Column:
+    return F.pandas_udf(_count_lines, "int")(text, width)

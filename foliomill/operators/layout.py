@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from foliomill.functions.text import em, wrap
+from foliomill.functions.text import count_lines_udf, em
 from foliomill.plans.registry import operator
 
 #: Scales and gaps of the first-fit ladder, in order of preference.
@@ -22,17 +21,21 @@ def flow_ladder(v):
 
 @operator("T18")
 def block_layout(v):
-    """Text blocks of a page wrapped into its width one under the other: first and last line and height of each."""
+    """Text blocks of a page wrapped into its width one under the other: first and last line and height of each.
 
-    def lay(page: pd.DataFrame) -> pd.DataFrame:
-        y, rows = 72.0, []
-        for r in page.sort_values("unit_no").itertuples():
-            lines = wrap(r.text, max(4.0, (r.x1 - r.x0) / r.size))
-            rows.append((r.page, r.unit_no, y, len(lines), y + 1.2 * r.size * len(lines)))
-            y = rows[-1][-1] + 4
-        return pd.DataFrame(rows, columns=["page", "unit_no", "top", "lines", "bottom"])
+    Only the lines of a text are counted in Python; heights are added up in order, a page at a time. A missing text has no lines.
+    """
+    limit = F.greatest(F.lit(4.0), (F.col("x1") - F.col("x0")) / F.col("size"))
+    u = v.un.select("page", F.col("unit_no").cast("int").alias("unit_no"), "size", F.coalesce(count_lines_udf("text", limit), F.lit(0)).alias("lines"))
+    p = u.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("unit_no", "size", "lines"))).alias("units"))
+    row = "array<struct<unit_no:int,top:double,lines:int,bottom:double>>"
 
-    return v.un.select("page", "unit_no", "text", "size", "x0", "x1").groupBy("page").applyInPandas(lay, "page long, unit_no int, top double, lines int, bottom double")
+    def under(acc, x):
+        bottom = acc["y"] + F.lit(1.2) * x["size"] * x["lines"]
+        return F.struct((bottom + 4).alias("y"), F.concat(acc["rows"], F.array(F.struct(x["unit_no"].alias("unit_no"), acc["y"].alias("top"), x["lines"].alias("lines"), bottom.alias("bottom")))).alias("rows"))
+
+    laid = F.aggregate("units", F.struct(F.lit(72.0).alias("y"), F.array().cast(row).alias("rows")), under, lambda acc: acc["rows"])
+    return p.select("page", F.inline(laid))
 
 
 @operator("T20", """SELECT page_id, ord, title || ' ' || repeat('.', CAST(greatest(3, 60 - length(title) - length(CAST(start AS VARCHAR))) AS INTEGER)) || ' ' || start AS line FROM (SELECT page_id, ord, title, 1 + CAST(ceil(n / 10.0) AS BIGINT) + ord // 3 AS start FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM toc))""", big="ord")

@@ -6,7 +6,9 @@ import pandas as pd
 import pytest
 
 from foliomill.functions import raster
+from foliomill.functions.text import wrap
 from foliomill.plans.catalog import ORACLES, QUERIES
+from foliomill.sources.views import Views
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +61,16 @@ def test_gaps_between_fractions_of_seconds(spark, tmp_path):
     rows = pd.DataFrame({"event_id": range(16), "ts": ts + [t + pd.Timedelta(milliseconds=700) for t in ts[::-1]], "user_id": [1] * 8 + [2] * 8, "event_type": "view", "value": 1.0, "props": "{}"})
     rows["ts"] = rows["ts"].astype("datetime64[us]")
     assert same_as_sql(spark, tmp_path, "events", rows, "cache_ages")
+
+
+def test_blocks_without_a_python_call_for_each_page(spark):
+    """The rows of a fold in Python, from a plan that sends only texts there."""
+    df = QUERIES["block_layout"](spark, SF)
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+    want, last, y = [], None, 0.0
+    for r in Views(spark, SF).un.orderBy("page", "unit_no").collect():
+        y = y if r["page"] == last else 72.0
+        n = len(wrap(r["text"], max(4.0, (r["x1"] - r["x0"]) / r["size"])))
+        want.append((r["page"], r["unit_no"], y, n, y + 1.2 * r["size"] * n))
+        last, y = r["page"], want[-1][-1] + 4
+    assert sorted(map(tuple, df.collect())) == want
