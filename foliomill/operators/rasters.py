@@ -1,6 +1,7 @@
 """Pixel operators: pages are drawn from their rectangles as binary images and measured, one page at a time.
 
-A worker holds one image; only rectangles and results pass between Spark and Python.
+A worker holds one page, as strips of equal rows where ink is all that is measured and as an image where cells and crops are; only
+rectangles and results pass between Spark and Python.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.functions import raster
+from foliomill.functions import raster, strips
 from foliomill.plans.registry import operator
 
 WIDTH, HEIGHT = 420, 230
@@ -28,15 +29,21 @@ def image(boxes: np.ndarray) -> np.ndarray:
     return raster.draw(boxes.reshape(-1, 4).tolist(), WIDTH, HEIGHT)
 
 
+def drawn(r) -> tuple[list[strips.Strip], list[list[float]]]:
+    """A page's strips and its boxes."""
+    boxes = r.boxes.reshape(-1, 4).tolist()
+    return strips.draw(boxes, WIDTH, HEIGHT), boxes
+
+
 def measure(pages: DataFrame, f, schema: str) -> DataFrame:
-    """f(image, row) -> list of tuples, over all pages."""
+    """f(row) -> tuples, over all pages."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for b in batches:
             rows = []
             for r in b.itertuples():
-                rows += [(r.page_key, *x) for x in f(image(r.boxes), r)]
+                rows += [(r.page_key, *x) for x in f(r)]
                 if len(rows) >= ROWS:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -48,21 +55,26 @@ def measure(pages: DataFrame, f, schema: str) -> DataFrame:
 @operator("Q06 Q07 Q44 D20")
 def ink_outside_margins(v):
     """Ink pixels outside the margins and in the footer band of each page that has any."""
-    f = lambda im, r: [(raster.margin_ink(im, 10, 10, 400, 200), int(raster.ink(im[205:]).sum()))]
+
+    def f(r):
+        im = image(r.boxes)
+        yield raster.margin_ink(im, 10, 10, 400, 200), int(raster.ink(im[205:]).sum())
+
     return measure(rectangles(v), f, "page_key long, outside long, footer long").where("outside > 0 OR footer > 30")
 
 
 @operator("V2 V8 V7")
 def detected_text(v):
     """Boxes of text in the pixels of each page, in reading order: connected parts of the ink, joined to words and then to lines."""
-    return measure(rectangles(v), lambda im, r: [(k, *b) for k, b in enumerate(raster.detect(im))], "page_key long, box int, x0 int, y0 int, x1 int, y1 int")
+    return measure(rectangles(v), lambda r: [(k, *b) for k, b in enumerate(raster.detect(image(r.boxes)))], "page_key long, box int, x0 int, y0 int, x1 int, y1 int")
 
 
 @operator("V4 V12 V11")
 def tight_boxes(v):
     """Rough boxes drawn in to their ink; null where there is none."""
 
-    def f(im, r):
+    def f(r):
+        im = image(r.boxes)
         h, w = im.shape
         for rid, (x0, y0, x1, y1) in zip(r.rids.tolist(), r.boxes.reshape(-1, 4).tolist()):
             box = raster.ink_box(im, max(0, int(x0) - 3), max(0, int(y0) - 3), min(w, int(x1) + 3), min(h, int(y1) + 3))
@@ -75,13 +87,12 @@ def tight_boxes(v):
 def erased_labels(v):
     """Every label of a page erased for itself: background, ink left in its box, boxes lost elsewhere, and labels that overlap it."""
 
-    def f(im, r):
-        box = r.boxes.reshape(-1, 4).astype(int)
-        box[:, 2] = np.minimum(box[:, 2], im.shape[1])
-        paper = raster.paper(im)
-        for rid, b, (residue, lost) in zip(r.rids.tolist(), box, raster.erasures(im, box.tolist())):
-            over = ((box[:, :2] < b[2:]) & (b[:2] < box[:, 2:])).all(axis=1).sum() - (b[:2] < b[2:]).all()
-            yield rid, paper, residue, lost, int(over)
+    def f(r):
+        page, boxes = drawn(r)
+        labels = [(int(x0), int(y0), min(int(x1), WIDTH), int(y1)) for x0, y0, x1, y1 in boxes]
+        for k, (rid, (x0, y0, x1, y1), (residue, lost)) in enumerate(zip(r.rids.tolist(), labels, strips.erasures(page, labels))):
+            over = sum(i != k and a < x1 and x0 < c and b < y1 and y0 < d for i, (a, b, c, d) in enumerate(labels))
+            yield rid, strips.PAPER, residue, lost, over
 
     return measure(rectangles(v), f, "page_key long, rid long, paper int, residue int, lost int, overlaps int")
 
@@ -94,7 +105,8 @@ def densities(v):
     rendering does.
     """
 
-    def f(im, r):
+    def f(r):
+        im = image(r.boxes)
         d, crop = raster.density(im), np.roll(im, 1, axis=1)
         own = raster.stray_share(crop, im)
         other = None if r.others is None else raster.stray_share(crop, image(r.others))
