@@ -74,10 +74,9 @@ def tight_boxes(v):
     """Rough boxes drawn in to their ink; null where there is none."""
 
     def f(r):
-        im = image(r.boxes)
-        h, w = im.shape
-        for rid, (x0, y0, x1, y1) in zip(r.rids.tolist(), r.boxes.reshape(-1, 4).tolist()):
-            box = raster.ink_box(im, max(0, int(x0) - 3), max(0, int(y0) - 3), min(w, int(x1) + 3), min(h, int(y1) + 3))
+        page, boxes = drawn(r)
+        for rid, (x0, y0, x1, y1) in zip(r.rids.tolist(), boxes):
+            box = strips.ink_box(page, max(0, int(x0) - 3), max(0, int(y0) - 3), min(WIDTH, int(x1) + 3), min(HEIGHT, int(y1) + 3))
             yield (rid, *(box or (None,) * 4))
 
     return measure(rectangles(v), f, "page_key long, rid int, x0 double, y0 double, x1 double, y1 double")
