@@ -65,8 +65,8 @@ def ink_outside_margins(v):
 
 @operator("V2 V8 V7")
 def detected_text(v):
-    """Boxes of text in the pixels of each page, in reading order: connected parts of the ink, joined to words and then to lines."""
-    return measure(rectangles(v), lambda r: [(k, *b) for k, b in enumerate(raster.detect(image(r.boxes)))], "page_key long, box int, x0 int, y0 int, x1 int, y1 int")
+    """Boxes of text in the ink of each page, in reading order: connected parts of the ink, joined to words and then to lines."""
+    return measure(rectangles(v), lambda r: [(k, *b) for k, b in enumerate(strips.detect(drawn(r)[0]))], "page_key long, box int, x0 int, y0 int, x1 int, y1 int")
 
 
 @operator("V4 V12 V11")

@@ -20,7 +20,7 @@ def pages():
         yield [(float(a), float(b), a + c / 2, b + d / 2) for a, b, c, d in zip(x.tolist(), y.tolist(), r.integers(4, 120, n).tolist(), r.integers(4, 50, n).tolist())]
 
 
-@pytest.mark.parametrize("name", ["text_boxes"])
+@pytest.mark.parametrize("name", ["detect", "text_boxes"])
 def test_boxes_of_text(name):
     got = [(getattr(strips, name)(strips.draw(b, W, H)), getattr(raster, name)(raster.draw(b, W, H))) for b in pages()]
     assert all(g == w for g, w in got) and max(len(w) for _, w in got) > 5
@@ -58,7 +58,7 @@ def test_a_page_costs_what_its_boxes_do():
     boxes = [(10.0, 10.0, 90.0, 22.0), (30.0, 40.0, 300.0, 52.0), (200.0, 190.0, 280.0, 202.0)]
     tracemalloc.start()
     page = strips.draw(boxes, 420, 230)
-    found = strips.erasures(page, [(10, 10, 90, 22)]), strips.ink_box(page, 5, 5, 95, 25)
+    found = strips.detect(page), strips.erasures(page, [(10, 10, 90, 22)]), strips.ink_box(page, 5, 5, 95, 25)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert found[0] == [(0, 1)] and peak < 420 * 230 / 4
+    assert len(found[0]) == 3 and found[1] == [(0, 1)] and peak < 420 * 230 / 4
