@@ -57,8 +57,8 @@ def ink_outside_margins(v):
     """Ink pixels outside the margins and in the footer band of each page that has any."""
 
     def f(r):
-        im = image(r.boxes)
-        yield raster.margin_ink(im, 10, 10, 400, 200), int(raster.ink(im[205:]).sum())
+        page, _ = drawn(r)
+        yield strips.margin_ink(page, 10, 10, 400, 200), strips.ink_in(page, 0, 205, WIDTH, HEIGHT)
 
     return measure(rectangles(v), f, "page_key long, outside long, footer long").where("outside > 0 OR footer > 30")
 

@@ -39,6 +39,7 @@ def test_ink_within_and_outside():
         for _ in range(8):
             x0, y0, x1, y1 = (int(x) for x in np.sort(r.integers(0, [[W + 1], [H + 1]], (2, 2)), axis=1).T.ravel())
             assert strips.ink_in(page, x0, y0, x1, y1) == np.count_nonzero(raster.ink(im[y0:y1, x0:x1]))
+            assert strips.margin_ink(page, x0, y0, x1, y1) == raster.margin_ink(im, x0, y0, x1, y1)
             assert strips.ink_box(page, x0, y0, x1, y1) == raster.ink_box(im, x0, y0, x1, y1)
 
 
@@ -58,7 +59,7 @@ def test_a_page_costs_what_its_boxes_do():
     boxes = [(10.0, 10.0, 90.0, 22.0), (30.0, 40.0, 300.0, 52.0), (200.0, 190.0, 280.0, 202.0)]
     tracemalloc.start()
     page = strips.draw(boxes, 420, 230)
-    found = strips.detect(page), strips.erasures(page, [(10, 10, 90, 22)]), strips.ink_box(page, 5, 5, 95, 25)
+    found = strips.detect(page), strips.erasures(page, [(10, 10, 90, 22)]), strips.ink_box(page, 5, 5, 95, 25), strips.margin_ink(page, 10, 10, 400, 200)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found[0]) == 3 and found[1] == [(0, 1)] and peak < 420 * 230 / 4
